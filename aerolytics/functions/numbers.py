@@ -35,7 +35,7 @@ def safe_ratio(num: Column, den: Column) -> Column:
 def round_half_even(c: Column, digits: int) -> Column:
     """Round the way NumPy does: scale, round half to even on the double, unscale."""
     scale = float(10 ** digits)
-    return F.rint(c * F.lit(scale)) / F.lit(scale)
+    return F.rint(c * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def sample_skewness(v: Column) -> Column:

@@ -43,13 +43,15 @@ def variety(samples: DataFrame, approx: bool = False) -> DataFrame:
 
     ``status`` is ``constant`` for one distinct value, ``low_variety`` when the
     distinct count is below 1 % of the rows, else NULL. ``first_value`` is the
-    value on the first row (may be NULL). ``approx`` uses a sketch for the
-    distinct count.
+    value on the first row (may be NULL). Empty parameters are left out (they
+    are dropped before this check). ``approx`` uses a sketch for the distinct
+    count.
     """
     distinct = F.approx_count_distinct("value") if approx else F.count_distinct("value")
     v = (numeric(samples, include_elapsed=False).groupBy("flight_id", "parameter")
          .agg(distinct.alias("n_distinct"), F.count(F.lit(1)).alias("n_rows"),
-              F.min_by("value", "row_no").alias("first_value")))
+              F.min_by("value", "row_no").alias("first_value"), F.count("value").alias("_n_valid"))
+         .filter(F.col("_n_valid") > 0).drop("_n_valid"))
     status = (F.when(F.col("n_distinct") == 1, F.lit("constant"))
               .when(F.col("n_distinct").cast("double") < F.col("n_rows").cast("double") * F.lit(LOW_VARIETY_SHARE),
                     F.lit("low_variety")))

@@ -70,17 +70,19 @@ def events_samples(spark: SparkSession, sf_dir: str, with_nulls: bool = False) -
 
 
 def lineitem_samples(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
-    """``lineitem`` as recordings: flight = l_returnflag, rows by (l_orderkey, l_linenumber).
+    """``lineitem`` as recordings: flight = l_returnflag, rows by (l_orderkey,
+    l_linenumber, l_partkey, l_suppkey).
 
     Four parameters: quantity, extended price, discount, tax. ``extra`` adds a
     constant parameter ``one`` and ``tax_gaps`` = l_tax, missing on line 3 of
     each order.
     """
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    base = li.select(F.col("l_returnflag").alias("flight_id"), "l_orderkey", "l_linenumber",
+    base = li.select(F.col("l_returnflag").alias("flight_id"), "l_orderkey", "l_linenumber", "l_partkey",
+                     "l_suppkey",
                      F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
                      "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    base = dense_row_number(base, ["flight_id"], ["l_orderkey", "l_linenumber"],
+    base = dense_row_number(base, ["flight_id"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
                             F.shiftright(F.col("l_orderkey"), 12))
     base = _elapsed(base)
     params = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice",
@@ -148,3 +150,26 @@ def events_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(1).cast("long").alias("line_no"), F.lit(EVENT_HEADER_UNITS).alias("line")),
     )).alias("h")).select("flight_id", "h.line_no", "h.line")
     return head.unionByName(data)
+
+
+# Flight-test vocabulary used to label part rows as parameter
+# names, picked by p_partkey modulo its length (a label, not a filter).
+PARAMETER_VOCABULARY = [
+    "aileron", "elevator", "rudder", "flap", "spoiler", "trim tab", "angle of attack", "alpha",
+    "beta", "sideslip", "pitch rate", "roll rate", "yaw rate", "longitudinal force", "lateral force",
+    "normal load", "strain gauge", "stress", "hinge moment", "torque", "stick position", "pedal cmd",
+    "pitch trim", "betha", "controller", "tablet", "airspeed", "altitude", "longitudinal lateral load",
+]
+
+
+def part_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter catalogue from ``part``: flight = p_brand, one parameter per
+    part, named ``<VOCABULARY WORD> <P_NAME> #<p_partkey>``, column position =
+    p_partkey (so column order is part order)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    vocab = F.array(*[F.lit(w) for w in PARAMETER_VOCABULARY])
+    word = F.get(vocab, (F.col("p_partkey") % len(PARAMETER_VOCABULARY)).cast("int"))
+    name = F.concat_ws(" ", F.upper(word), F.upper(F.col("p_name")),
+                       F.concat(F.lit("#"), F.col("p_partkey").cast("string")))
+    return part.select(F.col("p_brand").alias("flight_id"), name.alias("parameter"),
+                       F.col("p_partkey").cast("int").alias("position"))
