@@ -1,13 +1,17 @@
-"""The five timestamp formats of a recording, as regex + arithmetic expressions.
-
-Every parser returns TIMESTAMP_NTZ or NULL and never raises. Formats without a
-year land in 1900; day-of-year 366 of 1900 rolls into 1901, seconds 60 and 61
-roll into the next minute. Fractions keep microseconds (digits 7-9 are cut).
+"""The five timestamp formats of a recording, as expressions that never raise.
+
+A cell matches the shape of at most one format (they differ in separators
+and in the fraction), so parsing is: classify the shape once (``rlike``,
+first match), cut the cell into digit tokens with ``translate`` + a one-char
+``split`` (no regex), check the field ranges and build the value with
+integer arithmetic. Formats without a year land in 1900; day-of-year 366 of
+1900 rolls into 1901, seconds 60 and 61 roll into the next minute. Fractions
+keep microseconds (digits 7-9 are cut).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The formats, in the order they are tried.
@@ -19,75 +23,83 @@ TS_FORMATS = [
     "%H:%M:%S",
 ]
 
-_DOY = r"^([0-9]{1,3}):([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})\.([0-9]{1,9})$"
-_DATETIME_F = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2}) +([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})\.([0-9]*)$"
-_DATETIME = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2}) +([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})$"
-_TIME_F = r"^([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})\.([0-9]{1,9})$"
-_TIME = r"^([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})$"
+# The text shape each format accepts (fields of 1-2 digits,
+# day of year 1-3, year 4; fraction 1-9 digits, or any length after a date).
+SHAPES = [
+    r"^[0-9]{1,3}:[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\.[0-9]{1,9}$",
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} +[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\.[0-9]*$",
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} +[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$",
+    r"^[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\.[0-9]{1,9}$",
+    r"^[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$",
+]
 
 # The range a nanosecond timestamp can hold.
 _TS_MIN = "1677-09-21 00:12:43.145225"
 _TS_MAX = "2262-04-11 23:47:16.854775"
 
 
-def _g(c: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(c, pattern, i).try_cast("long")
-
-
-def _fraction_us(c: Column, pattern: str, i: int) -> Column:
-    digits = F.regexp_extract(c, pattern, i)
-    return F.when(F.length(digits) == 0, F.lit(0)).otherwise(
-        F.rpad(F.substring(digits, 1, 6), 6, "0").try_cast("long"))
-
+def timestamp_shape(c: Column) -> Column:
+    """Index of the format whose shape the cell has, or NULL."""
+    out = F.lit(None).cast("int")
+    for i in reversed(range(len(SHAPES))):
+        out = F.when(c.rlike(SHAPES[i]), F.lit(i)).otherwise(out)
+    return out
 
-def _clock_us(h: Column, m: Column, s: Column, us: Column) -> Column:
-    return ((h * 3600 + m * 60 + s) * 1_000_000 + us)
 
-
-def _clock_ok(h: Column, m: Column, s: Column) -> Column:
-    return (h <= 23) & (m <= 59) & (s <= 61)
+def timestamp_tokens(c: Column) -> Column:
+    """Digit runs of a cell: separators '-', ' ', '.', ':' -> one array."""
+    return F.array_remove(F.split(F.translate(c, "- .", ":::"), ":", -1), "")
 
 
-def _base_1900() -> Column:
-    return F.expr("TIMESTAMP_NTZ'1900-01-01 00:00:00'")
+def _fraction_us(tok: Column) -> Column:
+    return F.when(tok.isNull(), F.lit(0)).otherwise(F.rpad(F.substring(tok, 1, 6), 6, "0").cast("long"))
 
 
-def _doy(c: Column) -> Column:
-    d, h, m, s = (_g(c, _DOY, i) for i in (1, 2, 3, 4))
-    us = _fraction_us(c, _DOY, 5)
-    ok = c.rlike(_DOY) & (d >= 1) & (d <= 366) & _clock_ok(h, m, s)
-    return F.when(ok, F.timestamp_add("MICROSECOND", (d - 1) * 86_400_000_000 + _clock_us(h, m, s, us),
-                                      _base_1900()))
+def _clock(h: Column, m: Column, s: Column, us: Column) -> Column:
+    return (h * 3600 + m * 60 + s) * 1_000_000 + us
 
 
-def _datetime(c: Column, pattern: str, with_fraction: bool) -> Column:
-    y, mo, d, h, m, s = (_g(c, pattern, i) for i in (1, 2, 3, 4, 5, 6))
-    us = _fraction_us(c, pattern, 7) if with_fraction else F.lit(0)
-    ok = c.rlike(pattern) & (mo >= 1) & (mo <= 12) & (d >= 1) & (d <= 31) & _clock_ok(h, m, s)
-    day = F.try_make_timestamp_ntz(y.cast("int"), mo.cast("int"), d.cast("int"),
-                                   F.lit(0), F.lit(0), F.lit(0))
-    ts = F.timestamp_add("MICROSECOND", _clock_us(h, m, s, us), day)
-    in_range = (ts >= F.expr(f"TIMESTAMP_NTZ'{_TS_MIN}'")) & (ts <= F.expr(f"TIMESTAMP_NTZ'{_TS_MAX}'"))
-    return F.when(ok & day.isNotNull(), F.when(in_range, ts))
+def _clock_ok(h: Column, m: Column, s: Column) -> Column:
+    return (h <= 23) & (m <= 59) & (s <= 61)
 
 
-def _time(c: Column, pattern: str, with_fraction: bool) -> Column:
-    h, m, s = (_g(c, pattern, i) for i in (1, 2, 3))
-    us = _fraction_us(c, pattern, 4) if with_fraction else F.lit(0)
-    ok = c.rlike(pattern) & _clock_ok(h, m, s)
-    return F.when(ok, F.timestamp_add("MICROSECOND", _clock_us(h, m, s, us), _base_1900()))
+def timestamp_from_tokens(tokens: Column, shape: Column) -> Column:
+    """TIMESTAMP_NTZ from the tokens of a cell of the given shape, NULL when a
+    field is out of range or the date does not exist."""
+    def t(i):
+        return F.get(tokens, i).cast("long")
+
+    base_1900 = F.expr("TIMESTAMP_NTZ'1900-01-01 00:00:00'")
+    # day of year
+    d, h, m, s = t(0), t(1), t(2), t(3)
+    doy = F.when((d >= 1) & (d <= 366) & _clock_ok(h, m, s), F.timestamp_add(
+        "MICROSECOND", (d - 1) * 86_400_000_000 + _clock(h, m, s, _fraction_us(F.get(tokens, 4))), base_1900))
+    # date and time
+    y, mo, dd, hh, mi, ss = t(0), t(1), t(2), t(3), t(4), t(5)
+    day = F.try_make_timestamp_ntz(y.cast("int"), mo.cast("int"), dd.cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    frac = F.when(shape == 1, _fraction_us(F.get(tokens, 6))).otherwise(F.lit(0))
+    dt = F.timestamp_add("MICROSECOND", _clock(hh, mi, ss, frac), day)
+    dt_ok = (mo >= 1) & (mo <= 12) & (dd >= 1) & (dd <= 31) & _clock_ok(hh, mi, ss)
+    in_range = (dt >= F.expr(f"TIMESTAMP_NTZ'{_TS_MIN}'")) & (dt <= F.expr(f"TIMESTAMP_NTZ'{_TS_MAX}'"))
+    date_time = F.when(dt_ok & day.isNotNull() & in_range, dt)
+    # time of day
+    th, tm, ts = t(0), t(1), t(2)
+    tfrac = F.when(shape == 3, _fraction_us(F.get(tokens, 3))).otherwise(F.lit(0))
+    tod = F.when(_clock_ok(th, tm, ts), F.timestamp_add("MICROSECOND", _clock(th, tm, ts, tfrac), base_1900))
+    return (F.when(shape == 0, doy).when(shape.isin(1, 2), date_time).when(shape.isin(3, 4), tod))
+
+
+def with_timestamp(df: DataFrame, cell: str, shape_col: str = "ts_shape", ts_col: str = "ts_any") -> DataFrame:
+    """Add the cell's format shape and its parsed value, in two steps so the
+    shape test and the tokenisation run once per row."""
+    d = df.withColumn(shape_col, timestamp_shape(F.col(cell)))
+    d = d.withColumn("_ts_tok", F.when(F.col(shape_col).isNotNull(), timestamp_tokens(F.col(cell))))
+    return d.withColumn(ts_col, timestamp_from_tokens(F.col("_ts_tok"), F.col(shape_col))).drop("_ts_tok")
 
 
 def parse_timestamp(c: Column, fmt: int) -> Column:
     """Parse a stripped cell with format number ``fmt`` (0-based index in TS_FORMATS)."""
-    if fmt == 0:
-        return _doy(c)
-    if fmt == 1:
-        return _datetime(c, _DATETIME_F, True)
-    if fmt == 2:
-        return _datetime(c, _DATETIME, False)
-    if fmt == 3:
-        return _time(c, _TIME_F, True)
-    if fmt == 4:
-        return _time(c, _TIME, False)
-    raise ValueError(f"unknown timestamp format {fmt}")
+    if not 0 <= fmt < len(TS_FORMATS):
+        raise ValueError(f"unknown timestamp format {fmt}")
+    shape = F.when(c.rlike(SHAPES[fmt]), F.lit(fmt))
+    return F.when(shape.isNotNull(), timestamp_from_tokens(timestamp_tokens(c), shape))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from aerolytics.functions.numbers import round_half_even
 from aerolytics.schema import numeric
-from aerolytics.session import join_small
+from aerolytics.session import join_small, materialize_counted
 
 _MOMENTS = ("flight_id string, i int, j int, n double, sx double, sy double, sxx double, "
             "syy double, sxy double")
@@ -73,10 +73,10 @@ def correlation(samples: DataFrame, parameters: Sequence[str] | None = None) ->
     per = (per.withColumn("idx", (F.dense_rank().over(w.orderBy("parameter")) - 1).cast("int"))
            .withColumn("p", F.count(F.lit(1)).over(w).cast("int"))
            .filter(F.col("p") >= 2))
-    from aerolytics.session import materialize
-    per = materialize(per)
+
+    per, n_per = materialize_counted(per)
     v = join_small(s.filter(F.col("value").isNotNull()), per.select("flight_id", "parameter", "idx", "mean", "p"),
-                   ["flight_id", "parameter"], stored=True)
+                   ["flight_id", "parameter"], n_rows=n_per)
     rows = (v.groupBy("flight_id", "row_no")
             .agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("value") - F.col("mean")).alias("v"))))
                  .alias("c"), F.first("p").alias("p"))

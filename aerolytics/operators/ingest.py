@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from aerolytics.functions.numbers import parse_number, safe_ratio
 from aerolytics.functions.text import (ELAPSED_COLUMN, TIMESTAMP_COLUMN, column_name, py_strip,
                                        split_cells)
-from aerolytics.functions.timestamps import TS_FORMATS, parse_timestamp
-from aerolytics.plans.ordering import ROW_BLOCK_BITS, dense_row_number, previous_values
-from aerolytics.session import BROADCAST_MAX_ROWS, materialize
+from aerolytics.functions.timestamps import TS_FORMATS, with_timestamp
+from aerolytics.plans.ordering import ROW_BLOCK_BITS, dense_row_number, keep_not_null, previous_values
+from aerolytics.session import BROADCAST_MAX_ROWS, materialize, materialize_counted
 
 # Share thresholds (strictly greater than) for a timestamp format
 # and for a numeric column; minimum number of lines of a recording.
@@ -54,8 +54,8 @@ class Recording:
 
 def _small(df: DataFrame) -> DataFrame:
     """Materialise a decision table and mark it for broadcast if its size allows."""
-    df = materialize(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_MAX_ROWS else df
+    df, n = materialize_counted(df)
+    return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
 
 
 def _prepared(lines: DataFrame) -> DataFrame:
@@ -82,23 +82,20 @@ def ingest(lines: DataFrame) -> Recording:
             .when(~F.col("blank"), F.lit("d")))
     t = t.withColumn("role", role).filter(F.col("role").isNotNull())
     raw = F.split(F.col("line"), ",", -1)
-    ts0 = py_strip(F.get(raw, 0))
     t = t.select("flight_id", "role", raw.alias("raw"),
-                 *[F.when(F.col("role") == "d", parse_timestamp(ts0, i)).alias(f"ts{i}") for i in range(NF)])
-    c = t.select("flight_id", "role", *[f"ts{i}" for i in range(NF)],
-                 F.posexplode("raw").alias("pos", "cell"))
+                 F.when(F.col("role") == "d", py_strip(F.get(raw, 0))).alias("ts_cell"))
+    t = with_timestamp(t, "ts_cell")
+    c = t.select("flight_id", "role", "ts_shape", "ts_any", F.posexplode("raw").alias("pos", "cell"))
     is_d = F.col("role") == "d"
     num_ok = parse_number(py_strip(F.col("cell"))).isNotNull()
     aggs = [F.max(F.when(F.col("role") == "h1", F.col("cell"))).alias("h1"),
             F.max(F.when(F.col("role") == "h2", F.col("cell"))).alias("h2"),
             F.count_if(is_d).alias("n_data")]
     for i in range(NF):
-        ts = F.col(f"ts{i}")
-        at0 = is_d & (F.col("pos") == 0)
-        aggs += [F.count(F.when(at0, ts)).alias(f"cnt{i}"),
-                 F.min(F.when(at0, ts)).alias(f"min{i}"),
-                 F.max(F.when(at0, ts)).alias(f"max{i}"),
-                 F.count_if(is_d & (F.col("pos") > 0) & ts.isNotNull() & num_ok).alias(f"num{i}")]
+        ok_i = is_d & (F.col("ts_shape") == i) & F.col("ts_any").isNotNull()
+        ts = F.when(ok_i & (F.col("pos") == 0), F.col("ts_any"))
+        aggs += [F.count(ts).alias(f"cnt{i}"), F.min(ts).alias(f"min{i}"), F.max(ts).alias(f"max{i}"),
+                 F.count_if(ok_i & (F.col("pos") > 0) & num_ok).alias(f"num{i}")]
     cols = materialize(c.groupBy("flight_id", "pos").agg(*aggs))
 
     # per-flight decisions
@@ -134,7 +131,6 @@ def ingest(lines: DataFrame) -> Recording:
                       py_strip(F.col("h1")).alias("name"), py_strip(F.col("h2")).alias("unit"),
                       (safe_ratio(F.col("num_ok"), F.col("n_kept")) > F.lit(NUMERIC_VALID_SHARE)).alias("is_numeric"),
                       F.col("n_kept").alias("n_rows"), F.col("num_ok")))
-    params = materialize(params)
     dups = (params.groupBy("flight_id", "parameter").agg(F.count(F.lit(1)).alias("times"))
             .filter(F.col("times") > 1))
     dup_flights = dups.groupBy("flight_id").agg(F.lit(True).alias("dup_names"))
@@ -158,16 +154,14 @@ def ingest(lines: DataFrame) -> Recording:
     fixed = (F.when(n > F.col("n_cols"), F.slice(cells, 1, F.col("n_cols")))
              .when(n < F.col("n_cols"), F.concat(cells, F.array_repeat(F.lit(""), F.col("n_cols") - n)))
              .otherwise(cells))
-    rows = rows.select("flight_id", "line_no", "h0", "fmt", "t0", "layout", "refused",
+    rows = rows.select("flight_id", "line_no", "line", "h0", "fmt", "t0", "layout", "refused",
                        F.size(cells).alias("n_raw"), "n_cols", fixed.alias("cells"))
     cell_table = rows.select("flight_id", "line_no", F.posexplode("cells").alias("position", "cell"))
 
-    ts0 = F.get(F.col("cells"), 0)
-    chosen = parse_timestamp(ts0, NF - 1)
-    for i in reversed(range(NF - 1)):
-        chosen = F.when(F.col("fmt") == i, parse_timestamp(ts0, i)).otherwise(chosen)
-    kept = (rows.filter(F.col("refused").isNull())
-            .withColumn("ts", chosen).filter(F.col("ts").isNotNull()))
+    first_cell = py_strip(F.substring_index(F.col("line"), ",", 1))
+    kept = with_timestamp(rows.filter(F.col("refused").isNull()).withColumn("_c0", first_cell), "_c0")
+    kept = kept.withColumn("ts", F.when(F.col("ts_shape") == F.col("fmt"), F.col("ts_any")))
+    kept = keep_not_null(kept.drop("_c0", "ts_shape", "ts_any"), "ts")
     kept = dense_row_number(kept, ["flight_id"], ["line_no"], F.shiftright(F.col("line_no"), ROW_BLOCK_BITS))
     kept = kept.withColumn("elapsed_s", F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("ts")) / 1e6)
     per_cell = F.transform(F.col("layout"), lambda p: F.struct(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from aerolytics.schema import numeric
-from aerolytics.session import join_small
+from aerolytics.session import join_small, materialize_counted
 
 # Welch defaults (segment length, half overlap, periodic Hann,
 # constant detrend, density scaling, one-sided).
@@ -106,10 +106,10 @@ def welch_psd(samples: DataFrame, parameters: Sequence[str] | None = None,
             .withColumn("nseg", (F.floor((F.col("n") - F.col("L")) / F.col("step")) + 1).cast("long"))
             .withColumn("fs", F.try_divide(F.lit(1.0), F.try_divide(F.col("e1") - F.col("e0"),
                                                                    (F.col("n") - 1).cast("double")))))
-    from aerolytics.session import materialize
-    info = materialize(info)
+
+    info, n_info = materialize_counted(info)
     j = join_small(s, info.select("flight_id", "parameter", "L", "step", "nseg"), ["flight_id", "parameter"],
-                   stored=True)
+                   n_rows=n_info)
     first = F.floor(F.col("row_no") / F.col("step"))
     seg = F.explode(F.array(first - 1, first)).alias("seg")
     m = j.select("flight_id", "parameter", "row_no", "value", "L", "step", "nseg", seg)
@@ -119,7 +119,7 @@ def welch_psd(samples: DataFrame, parameters: Sequence[str] | None = None,
             .agg(F.array_sort(F.collect_list(F.struct("row_no", "value"))).alias("c"))
             .select("flight_id", "parameter", "seg", F.col("c.value").alias("vals")))
     segs = join_small(segs, info.select("flight_id", "parameter", "fs", "n_null"), ["flight_id", "parameter"],
-                      stored=True).filter(F.col("n_null") == 0)
+                      n_rows=n_info).filter(F.col("n_null") == 0)
     psd = segs.select("flight_id", "parameter", F.posexplode(_segment_psd("vals", "fs")).alias("bin", "p"))
     avg = psd.groupBy("flight_id", "parameter", "bin").agg(F.avg("p").alias("psd"))
     bins = info.select("flight_id", "parameter", "L", "fs", "n_null",

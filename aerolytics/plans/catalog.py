@@ -19,7 +19,7 @@ from aerolytics.functions.text import ELAPSED_COLUMN
 from aerolytics.functions.timestamps import TS_FORMATS
 from aerolytics.operators import (corr, export, ingest, limits, ordered, outliers, quality, report, select,
                                   series, spectrum, stats, templates)
-from aerolytics.session import checkpoint_dir
+from aerolytics.session import checkpoint_dir, materialize
 from aerolytics.sources import tables
 
 # The limits table the limit-check query uses.
@@ -63,7 +63,9 @@ _INGEST_CACHE: dict = {}
 def recording(spark, sf) -> ingest.Recording:
     key = (id(spark), sf)
     if key not in _INGEST_CACHE:
-        _INGEST_CACHE[key] = ingest.ingest(tables.events_lines(spark, sf))
+        # The event-derived text is itself a shuffle; store it once, as a
+        # recording file would be, since ingest reads its input three times.
+        _INGEST_CACHE[key] = ingest.ingest(materialize(tables.events_lines(spark, sf)))
     return _INGEST_CACHE[key]
 
 

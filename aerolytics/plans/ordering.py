@@ -17,24 +17,46 @@ ROW_BLOCK_BITS = 16  # 65,536 rows per block for dense row numbers
 
 
 def dense_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                     block: Column, out: str = "row_no") -> DataFrame:
+                     block: Column, out: str = "row_no", counted: Column | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row within ``keys`` by ``order``.
 
     ``block`` must be monotone in ``order`` within a key (e.g. line_no >> 16);
     it bounds how many rows one window task sorts. Block offsets come from a
     per-(key, block) count table, prefix-summed over blocks.
+
+    ``counted`` (boolean): only those rows are numbered (others get the number
+    the next counted row would get) - the caller filters afterwards. The
+    filter then sits above the window, so the optimizer cannot push it down
+    into (and duplicate) the expressions that compute ``counted``.
     """
     keys = list(keys)
-    d = df.withColumn("_dr_blk", block)
-    counts = d.groupBy(*keys, "_dr_blk").agg(F.count(F.lit(1)).alias("_dr_n"))
+    one = F.lit(1) if counted is None else F.when(counted, F.lit(1)).otherwise(F.lit(0))
+    d = df.withColumn("_dr_blk", block).withColumn("_dr_one", one)
+    counts = d.groupBy(*keys, "_dr_blk").agg(F.sum("_dr_one").alias("_dr_n"))
     before = Window.partitionBy(*keys).orderBy("_dr_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_dr_blk",
                             F.coalesce(F.sum("_dr_n").over(before), F.lit(0)).alias("_dr_off"))
-    inner = Window.partitionBy(*keys, "_dr_blk").orderBy(*order)
-    d = d.withColumn("_dr_r", F.row_number().over(inner) - 1)
+    inner = (Window.partitionBy(*keys, "_dr_blk").orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("_dr_r", F.sum("_dr_one").over(inner) - F.col("_dr_one"))
     return (d.join(offsets, [*keys, "_dr_blk"])
             .withColumn(out, (F.col("_dr_off") + F.col("_dr_r")).cast("long"))
-            .drop("_dr_blk", "_dr_off", "_dr_r"))
+            .drop("_dr_blk", "_dr_off", "_dr_r", "_dr_one"))
+
+
+def keep_not_null(df: DataFrame, col: str) -> DataFrame:
+    """Keep the rows where ``col`` is not NULL, evaluating ``col`` once.
+
+    A plain ``filter`` on a computed column is pushed below the projections
+    that compute it, and the optimizer then inlines the whole expression chain
+    into the pushed predicate (and into join conditions), once per reference.
+    Here the value passes through a one-element ``explode_outer``; a predicate
+    on a generator's output is never pushed below the generator.
+    """
+    fenced = "_kept_" + col
+    return (df.withColumn(fenced, F.explode_outer(F.array(F.col(col))))
+            .filter(F.col(fenced).isNotNull())
+            .drop(col).withColumnRenamed(fenced, col))
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str],

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Largest side (rows) that join_small broadcasts; above it the join shuffles
@@ -69,22 +69,35 @@ def materialize(df: DataFrame) -> DataFrame:
     Used for the small per-flight / per-parameter decision tables that are
     joined back onto the big sample data, so the size check and the join read
     the same stored result and a lost executor never recomputes the upstream
-    scan.
+    scan. See ``materialize_counted`` for the row count.
     """
+    return materialize_counted(df)[0]
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize`` plus the row count, observed during the same job."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    obs = Observation()
+    stored = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return stored, int(obs.get["n"])
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS, stored: bool = False) -> DataFrame:
+               max_rows: int = BROADCAST_MAX_ROWS, stored: bool = False,
+               n_rows: int | None = None) -> DataFrame:
     """Join a derived, normally small table onto big data.
 
     The small side is materialised and counted; it is broadcast only when its
     row count is within ``max_rows``. Above that the plain (shuffle) join is
     used and AQE splits a skewed key. ``stored=True`` skips materialising a
-    side that is already stored.
+    side that is already stored; ``n_rows`` gives its known row count.
     """
-    side = small if stored else materialize(small)
-    if side.count() <= max_rows:
+    if n_rows is not None:
+        side, n = small, n_rows
+    elif stored:
+        side, n = small, small.count()
+    else:
+        side, n = materialize_counted(small)
+    if n <= max_rows:
         side = F.broadcast(side)
     return big.join(side, on, how)
