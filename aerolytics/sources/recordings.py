@@ -47,3 +47,13 @@ def read_recordings(spark: SparkSession, paths: str | Sequence[str],
     return lines.select(fid.alias("flight_id"),
                         (F.col("_off") + F.col("_id") - F.col("_first")).cast("long").alias("line_no"),
                         "line")
+
+
+def lines_from_text(spark: SparkSession, recordings: dict[str, str]) -> DataFrame:
+    """Small in-memory recordings (flight_id -> file text) as ``lines``.
+
+    For tests and single uploads: the text passes through the driver, so use
+    ``read_recordings`` for anything large. The text is split on ``\\n`` only.
+    """
+    rows = [(fid, i, line) for fid, text in recordings.items() for i, line in enumerate(text.split("\n"))]
+    return spark.createDataFrame(rows, "flight_id string, line_no long, line string")
