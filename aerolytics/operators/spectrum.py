@@ -5,8 +5,13 @@ most 256 samples; segments are assembled by ``groupBy(flight, parameter,
 segment)`` and transformed a whole Arrow batch at a time with NumPy
 (one ``rfft`` over a 2-D block), then averaged per bin by Spark.
 
-The FFT spectrum needs the whole series: it runs one ``applyInPandas`` group
-per (flight, parameter) series, in file order.
+The FFT spectrum needs the whole series. Series up to FFT_SINGLE_TASK_MAX
+points run as one ``applyInPandas`` group each. Longer series use Bluestein's
+chirp transform (any length n becomes a circular convolution of power-of-two
+length M >= 2n-1), and every length-M transform is the four-step Cooley-Tukey
+decomposition M = M1 * M2: FFTs over groups of M1 points, a twiddle
+multiplication, FFTs over groups of M2 points - so no task holds more than
+about 2*sqrt(M) points of one series.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ from aerolytics.session import join_small, materialize_counted
 # constant detrend, density scaling, one-sided).
 WELCH_SEGMENT = 256
 SPECTRUM_SCHEMA = "flight_id string, parameter string, bin long, frequency_hz double, amplitude double"
+# Longest series one task transforms whole (points); longer ones are distributed.
+FFT_SINGLE_TASK_MAX = 1 << 22
+_KEYS = ["flight_id", "parameter"]
 
 
 def _fft_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -52,15 +60,133 @@ def _select(samples: DataFrame, parameters: Sequence[str] | None) -> DataFrame:
     return s.select("flight_id", "parameter", "row_no", "elapsed_s", "value")
 
 
-def fft_spectrum(samples: DataFrame, parameters: Sequence[str] | None = None) -> DataFrame:
+def fft_spectrum(samples: DataFrame, parameters: Sequence[str] | None = None,
+                 single_task_max: int = FFT_SINGLE_TASK_MAX) -> DataFrame:
     """Amplitude spectrum per series: bins 0 .. n//2-1, frequency k/(n*dt),
     amplitude 2/n*|X_k| (DC doubled too). A missing value makes every
-    amplitude missing."""
+    amplitude missing. ``row_no`` must number each series densely from 0."""
     s = _select(samples, parameters)
-    out = s.groupBy("flight_id", "parameter").applyInPandas(_fft_group, SPECTRUM_SCHEMA)
+    info = s.groupBy(*_KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("n_null"),
+        F.min_by("elapsed_s", "row_no").alias("e0"), F.max_by("elapsed_s", "row_no").alias("e1"))
+    info, n_info = materialize_counted(info)
+    small = info.filter(F.col("n") <= single_task_max).select(*_KEYS)
+    large = info.filter(F.col("n") > single_task_max)
+    one = (join_small(s, small, _KEYS, "left_semi", n_rows=n_info)
+           .groupBy(*_KEYS).applyInPandas(_fft_group, SPECTRUM_SCHEMA))
+    dist = _bluestein_spectrum(join_small(s, large.select(*_KEYS), _KEYS, "left_semi", n_rows=n_info),
+                               large, n_info)
+    out = one.unionByName(dist)
     return out.withColumn("amplitude", F.when(~F.isnan("amplitude"), F.col("amplitude")))
 
 
+# --- distributed transform ----------------------------------------------------
+
+_STAGE1 = ("flight_id string, parameter string, j2 long, k1 long, n long, m1 long, m2 long, "
+           "are double, aim double, bre double, bim double")
+_STAGE2 = "flight_id string, parameter string, idx long, n long, m1 long, m2 long, re double, aim double"
+_FINAL = SPECTRUM_SCHEMA
+
+
+def _chirp_angle(j: np.ndarray, n: int) -> np.ndarray:
+    """pi * (j^2 mod 2n) / n, exact in integers (valid while 2n < 3e9)."""
+    jm = np.mod(j, 2 * n).astype(np.int64)
+    return np.pi * np.mod(jm * jm, 2 * n).astype(np.float64) / n
+
+
+def _four_step_first(pdf: pd.DataFrame, two: bool) -> pd.DataFrame:
+    """Group of one j2 column: FFT over j1, times the twiddle factor."""
+    n, m1, m2 = (int(pdf[c].iloc[0]) for c in ("n", "m1", "m2"))
+    m = m1 * m2
+    j2 = int(pdf["j2"].iloc[0])
+    a = np.zeros(m1, dtype=np.complex128)
+    a[pdf["j1"].to_numpy(dtype=np.int64)] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+    k1 = np.arange(m1, dtype=np.int64)
+    tw = np.exp(-2j * np.pi * np.mod(j2 * k1, m) / m)
+    ya = np.fft.fft(a) * tw
+    out = {"flight_id": pdf["flight_id"].iloc[0], "parameter": pdf["parameter"].iloc[0], "j2": j2, "k1": k1,
+           "n": n, "m1": m1, "m2": m2, "are": ya.real, "aim": ya.imag}
+    if two:
+        # chirp b_j = exp(+i pi j^2 / n) for j < n and its mirror for j > m - n
+        j = j2 + m2 * k1  # indices of this column, k1 plays j1 here
+        b = np.zeros(m1, dtype=np.complex128)
+        lo = j < n
+        b[lo] = np.exp(1j * _chirp_angle(j[lo], n))
+        hi = j > m - n
+        b[hi] = np.exp(1j * _chirp_angle(m - j[hi], n))
+        yb = np.fft.fft(b) * tw
+        out["bre"], out["bim"] = yb.real, yb.imag
+    else:
+        out["bre"] = out["bim"] = np.zeros(m1)
+    return pd.DataFrame(out)
+
+
+def _four_step_second_product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Group of one k1 row: FFT over j2 for both signals, then conj(A * B)."""
+    n, m1, m2 = (int(pdf[c].iloc[0]) for c in ("n", "m1", "m2"))
+    k1 = int(pdf["k1"].iloc[0])
+    order = pdf["j2"].to_numpy(dtype=np.int64)
+    a = np.zeros(m2, dtype=np.complex128)
+    b = np.zeros(m2, dtype=np.complex128)
+    a[order] = pdf["are"].to_numpy() + 1j * pdf["aim"].to_numpy()
+    b[order] = pdf["bre"].to_numpy() + 1j * pdf["bim"].to_numpy()
+    c = np.conj(np.fft.fft(a) * np.fft.fft(b))
+    k2 = np.arange(m2, dtype=np.int64)
+    return pd.DataFrame({"flight_id": pdf["flight_id"].iloc[0], "parameter": pdf["parameter"].iloc[0],
+                         "idx": k1 + m1 * k2, "n": n, "m1": m1, "m2": m2, "re": c.real, "aim": c.imag})
+
+
+def _four_step_second_final(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Group of one k1 row of FFT(conj C): finish the inverse, apply the
+    output chirp, keep bins k < n//2 as amplitudes."""
+    n, m1, m2 = (int(pdf[c].iloc[0]) for c in ("n", "m1", "m2"))
+    m = m1 * m2
+    k1 = int(pdf["k1"].iloc[0])
+    order = pdf["j2"].to_numpy(dtype=np.int64)
+    a = np.zeros(m2, dtype=np.complex128)
+    a[order] = pdf["are"].to_numpy() + 1j * pdf["aim"].to_numpy()
+    conv = np.conj(np.fft.fft(a)) / m
+    k = k1 + m1 * np.arange(m2, dtype=np.int64)
+    keep = k < n // 2
+    k = k[keep]
+    x = conv[keep] * np.exp(-1j * _chirp_angle(k, n))
+    dt = float(pdf["dt"].iloc[0])
+    with np.errstate(all="ignore"):
+        freq = k * (1.0 / (n * dt))
+    return pd.DataFrame({"flight_id": pdf["flight_id"].iloc[0], "parameter": pdf["parameter"].iloc[0],
+                         "bin": k, "frequency_hz": freq, "amplitude": 2.0 / n * np.abs(x)})
+
+
+def _sizes(info: DataFrame) -> DataFrame:
+    """Transform length M = 2^m >= 2n - 1, split as M1 = 2^floor(m/2), M2 = M / M1."""
+    m = F.ceil(F.log2(2 * F.col("n") - 1)).cast("int")
+    return (info.withColumn("m1", F.pow(F.lit(2.0), F.floor(m / 2)).cast("long"))
+            .withColumn("m2", F.pow(F.lit(2.0), m - F.floor(m / 2)).cast("long")))
+
+
+def _bluestein_spectrum(s: DataFrame, large: DataFrame, n_info: int) -> DataFrame:
+    sizes = _sizes(large).withColumn("dt", (F.col("e1") - F.col("e0")) / (F.col("n") - 1).cast("double"))
+    d = join_small(s, sizes.select(*_KEYS, "n", "m1", "m2", "n_null"), _KEYS, n_rows=n_info)
+    d = d.filter(F.col("n_null") == 0)
+    angle = F.lit(np.pi) * F.pmod(F.col("row_no") * F.col("row_no"), 2 * F.col("n")).cast("double") / F.col("n")
+    a = d.select(*_KEYS, "n", "m1", "m2", F.pmod(F.col("row_no"), F.col("m2")).alias("j2"),
+                 F.floor(F.col("row_no") / F.col("m2")).alias("j1"),
+                 (F.col("value") * F.cos(angle)).alias("re"), (-F.col("value") * F.sin(angle)).alias("im"))
+    st1 = a.groupBy(*_KEYS, "j2").applyInPandas(lambda p: _four_step_first(p, True), _STAGE1)
+    c = st1.groupBy(*_KEYS, "k1").applyInPandas(_four_step_second_product, _STAGE2)
+    z = c.select(*_KEYS, "n", "m1", "m2", F.pmod(F.col("idx"), F.col("m2")).alias("j2"),
+                 F.floor(F.col("idx") / F.col("m2")).alias("j1"), F.col("re"), F.col("aim").alias("im"))
+    st1b = z.groupBy(*_KEYS, "j2").applyInPandas(lambda p: _four_step_first(p, False), _STAGE1)
+    st1b = join_small(st1b, sizes.select(*_KEYS, "dt"), _KEYS, n_rows=n_info)
+    fin = st1b.groupBy(*_KEYS, "k1").applyInPandas(_four_step_second_final, _FINAL)
+    nulls = (sizes.filter(F.col("n_null") > 0)
+             .select(*_KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2) - 1)).alias("bin"),
+                     "n", "dt")
+             .select(*_KEYS, "bin", (F.col("bin") * (F.lit(1.0) / (F.col("n") * F.col("dt")))).alias("frequency_hz"),
+                     F.lit(None).cast("double").alias("amplitude")))
+    return fin.unionByName(nulls)
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def _segment_psd(vals: pd.Series, fs: pd.Series) -> pd.Series:
     """PSD of each segment (one array per row); all rows of one length go

@@ -201,3 +201,20 @@ def test_export_roundtrip_and_validation(spark, tmp_path):
     assert v[("warning", "MISSING_VALUES")] == 1 and v[("info", "PARAMETERS")] == 4
     assert v[("info", "NUMERIC_PARAMETERS")] == 3
     assert export.export_formats() == ["csv", "json", "parquet"]
+
+
+def test_distributed_fft_matches_numpy(spark):
+    rng = np.random.default_rng(3)
+    data = {"f": {"x": [float(v) for v in rng.normal(0, 1, 300)]}, "g": {"y": [float(v) for v in rng.normal(2, 1, 257)]},
+            "h": {"w": [1.0, None] + [2.0] * 40}}
+    s = series_samples(spark, data, dt=0.01)
+    out = spectrum.fft_spectrum(s, single_task_max=16).toPandas()
+    for fid, p in (("f", "x"), ("g", "y")):
+        a = np.array(data[fid][p])
+        got = out[(out.flight_id == fid) & (out.parameter == p)].sort_values("bin")
+        want = 2.0 / len(a) * np.abs(np.fft.fft(a)[: len(a) // 2])
+        assert len(got) == len(a) // 2
+        assert np.allclose(got.amplitude.to_numpy(), want, atol=1e-11)
+        assert np.allclose(got.frequency_hz.to_numpy(), np.fft.fftfreq(len(a), 0.01)[: len(a) // 2])
+    gap = out[(out.flight_id == "h") & (out.parameter == "w")]
+    assert len(gap) == 21 and gap.amplitude.isna().all()
