@@ -28,6 +28,7 @@ from aerolytics.functions.numbers import parse_number, safe_ratio
 from aerolytics.functions.text import (ELAPSED_COLUMN, TIMESTAMP_COLUMN, column_name, py_strip,
                                        split_cells)
 from aerolytics.functions.timestamps import TS_FORMATS, with_timestamp
+from aerolytics.plans.quantiles import quantile_columns
 from aerolytics.plans.ordering import ROW_BLOCK_BITS, dense_row_number, keep_not_null, previous_values
 from aerolytics.session import BROADCAST_MAX_ROWS, materialize, materialize_counted
 
@@ -192,8 +193,8 @@ def ingest(lines: DataFrame) -> Recording:
 def _flights(accepted: DataFrame, kept: DataFrame) -> DataFrame:
     """Per-flight summary; the median interval comes from row-to-row gaps in file order."""
     gaps = previous_values(kept.select("flight_id", "row_no", "elapsed_s"), ["flight_id"], ["elapsed_s"])
-    med = gaps.groupBy("flight_id").agg(
-        F.percentile(F.col("elapsed_s") - F.col("prev_elapsed_s"), 0.5).alias("median_interval_s"))
+    med = quantile_columns(gaps.select("flight_id", (F.col("elapsed_s") - F.col("prev_elapsed_s")).alias("gap")),
+                           ["flight_id"], "gap", [0.5], ["median_interval_s"])
     fmt_name = F.element_at(F.array(*[F.lit(f) for f in TS_FORMATS]), F.col("fmt") + 1)
     return (accepted.join(med, "flight_id", "left")
             .select("flight_id", F.col("n_kept").cast("long").alias("n_rows"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolytics.plans.ordering import previous_values
+from aerolytics.plans.quantiles import quantile_columns
 from aerolytics.schema import rows_of
 from aerolytics.session import join_small
 
@@ -26,8 +27,7 @@ def elapsed_gaps(samples: DataFrame) -> DataFrame:
 def sampling(samples: DataFrame) -> DataFrame:
     """Median gap and sampling rate per flight (A7); the rate only for a
     positive median and more than one row."""
-    med = elapsed_gaps(samples).groupBy("flight_id").agg(
-        F.percentile("gap_s", 0.5).alias("median_interval_s"), F.count(F.lit(1)).alias("n_gaps"))
+    med = quantile_columns(elapsed_gaps(samples), ["flight_id"], "gap_s", [0.5], ["median_interval_s"])
     return med.select("flight_id", "median_interval_s",
                       F.when(F.col("median_interval_s") > 0, 1.0 / F.col("median_interval_s"))
                       .alias("sampling_rate_hz"))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolytics.plans.quantiles import quantile_columns
 from aerolytics.schema import numeric
 from aerolytics.session import join_small
 
@@ -36,9 +37,7 @@ def outliers(samples: DataFrame, parameters: Sequence[str] | str, method: str =
     v = F.col("value")
     t = F.lit(float(threshold))
     if method == "iqr":
-        st = s.groupBy("flight_id", "parameter").agg(
-            F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-        st = st.select("flight_id", "parameter", F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q3"))
+        st = quantile_columns(s, ["flight_id", "parameter"], "value", [0.25, 0.75], ["_q1", "_q3"])
         j = join_small(s, st, ["flight_id", "parameter"])
         iqr = F.col("_q3") - F.col("_q1")
         flag = (v < F.col("_q1") - t * iqr) | (v > F.col("_q3") + t * iqr)

@@ -1,11 +1,12 @@
 """Per-parameter statistics.
 
-One ``groupBy(flight_id, parameter)`` per call with every statistic in the
-same aggregate (one scan). Exact quartiles use ``percentile`` (linear
-interpolation, the same as the reference); its buffer is one count per
-distinct value of a (flight, parameter) group, partially aggregated before the
-shuffle. ``approx=True`` switches to the bounded ``percentile_approx`` sketch
-for series with very many distinct values.
+One ``groupBy(flight_id, parameter)`` per call with every moment in the same
+aggregate (one scan, partial then final). Quartiles (linear interpolation, as
+the reference) come from ``plans.quantiles.exact_quantiles``: exact, and no
+(flight, parameter) group is ever held by one task. ``quantiles="map"`` uses
+Spark's one-pass ``percentile`` instead (one buffer entry per distinct value
+of a group: only for groups known to be small); ``"approx"`` the bounded
+``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from aerolytics.functions.numbers import sample_kurtosis, sample_skewness
 from aerolytics.functions.text import ELAPSED_COLUMN
+from aerolytics.plans.quantiles import quantile_columns
 from aerolytics.schema import numeric
+from aerolytics.session import materialize_counted
 
 APPROX_ACCURACY = 100_000
 QUARTILES = [0.25, 0.5, 0.75]
@@ -29,6 +32,20 @@ def _quartiles(v: Column, approx: bool) -> Column:
     return F.percentile(v, F.array(*[F.lit(q) for q in QUARTILES]))
 
 
+def _with_quartiles(moments: DataFrame, s: DataFrame, quantiles: str, names=("q25", "q50", "q75")) -> DataFrame:
+    """Add quartile columns to a per-(flight, parameter) moment table."""
+    if quantiles in ("map", "approx"):
+        q = s.groupBy("flight_id", "parameter").agg(_quartiles(F.col("value"), quantiles == "approx").alias("_q"))
+        q = q.select("flight_id", "parameter", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    else:
+        moments = materialize_counted(moments)
+        known = (moments[0].select("flight_id", "parameter", F.col("count").alias("_n"), F.col("min").alias("_lo"),
+                                   F.col("max").alias("_hi")), moments[1])
+        q = quantile_columns(s, ["flight_id", "parameter"], "value", QUARTILES, list(names), known)
+        moments = moments[0]
+    return moments.join(q, ["flight_id", "parameter"], "left")
+
+
 def overview(samples: DataFrame) -> DataFrame:
     """Per flight: points, parameters (all columns but timestamp and elapsed),
     columns, duration in minutes (D1)."""
@@ -41,19 +58,19 @@ def overview(samples: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_max_el") / 60.0, F.lit(0.0)).alias("duration_min")))
 
 
-def describe(samples: DataFrame, approx: bool = False, include_elapsed: bool = True) -> DataFrame:
+def describe(samples: DataFrame, quantiles: str = "exact", include_elapsed: bool = True) -> DataFrame:
     """count, mean, std (n-1), min, quartiles, max of every numeric parameter."""
     v = F.col("value")
-    return (numeric(samples, include_elapsed).groupBy("flight_id", "parameter")
-            .agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                 F.min(v).alias("min"), _quartiles(v, approx).alias("_q"), F.max(v).alias("max"))
-            .select("flight_id", "parameter", "count", "mean", "std", "min",
-                    F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"),
-                    "max"))
+    s = numeric(samples, include_elapsed)
+    m = (s.groupBy("flight_id", "parameter")
+         .agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+              F.min(v).alias("min"), F.max(v).alias("max")))
+    return _with_quartiles(m, s, quantiles).select("flight_id", "parameter", "count", "mean", "std", "min",
+                                                   "q25", "q50", "q75", "max")
 
 
 def statistics(samples: DataFrame, parameters: Sequence[str] | None = None,
-               approx: bool = False) -> DataFrame:
+               quantiles: str = "exact") -> DataFrame:
     """Extended statistics of the requested numeric parameters (D3).
 
     Absent, text and all-missing parameters are left out. Skewness and
@@ -63,12 +80,13 @@ def statistics(samples: DataFrame, parameters: Sequence[str] | None = None,
     if parameters is not None:
         s = s.filter(F.col("parameter").isin(list(parameters)))
     v = F.col("value")
-    out = (s.filter(v.isNotNull()).groupBy("flight_id", "parameter")
+    s = s.filter(v.isNotNull())
+    out = (s.groupBy("flight_id", "parameter")
            .agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                F.min(v).alias("min"), F.max(v).alias("max"), _quartiles(v, approx).alias("_q"),
+                F.min(v).alias("min"), F.max(v).alias("max"),
                 sample_skewness(v).alias("skewness"), sample_kurtosis(v).alias("kurtosis")))
-    return out.select("flight_id", "parameter", "count", "mean", "std", "min", "max",
-                      F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"),
+    out = _with_quartiles(out, s, quantiles, ("q25", "median", "q75"))
+    return out.select("flight_id", "parameter", "count", "mean", "std", "min", "max", "median", "q25", "q75",
                       (F.col("max") - F.col("min")).alias("range"), "skewness", "kurtosis")
 
 
