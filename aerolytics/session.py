@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +76,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``materialize`` plus the row count, observed during the same job."""
+    """``materialize`` plus the row count, observed during the same job.
+
+    The plan is persisted first: an eager checkpoint runs one job to count and
+    a second to write the files, and without the cached blocks the second job
+    would compute the plan again. The cache is dropped once the files exist
+    (a lost executor before that only means recomputing from lineage).
+    """
     checkpoint_dir(df.sparkSession)
     obs = Observation()
-    stored = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    return stored, int(obs.get["n"])
+    cached = df.observe(obs, F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    stored = cached.checkpoint(eager=True)
+    n = int(obs.get["n"])
+    cached.unpersist(blocking=False)
+    return stored, n
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",

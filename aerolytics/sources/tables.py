@@ -51,7 +51,15 @@ def _elapsed(df: DataFrame, keys=("flight_id",)) -> DataFrame:
             .drop("_t0"))
 
 
-def events_samples(spark: SparkSession, sf_dir: str, with_nulls: bool = False) -> DataFrame:
+def _event_flight(per_type: int | None):
+    """flight_id of an event: its type, or type and user bucket for ``per_type`` recordings per type."""
+    if not per_type:
+        return F.col("event_type")
+    return F.concat_ws("-", F.col("event_type"), (F.col("user_id") % per_type).cast("string"))
+
+
+def events_samples(spark: SparkSession, sf_dir: str, with_nulls: bool = False,
+                   per_type: int | None = None) -> DataFrame:
     """``events`` as recordings: flight = event_type, rows by (ts, event_id).
 
     Parameters ``value`` and ``k`` (from props). ``with_nulls`` blanks
@@ -61,7 +69,7 @@ def events_samples(spark: SparkSession, sf_dir: str, with_nulls: bool = False) -
     value = F.col("value")
     if with_nulls:
         value = F.when(F.col("event_id") % NULL_VALUE_EVERY != 0, value)
-    base = ev.select(F.col("event_type").alias("flight_id"), "event_id", "ts", value.alias("value"),
+    base = ev.select(_event_flight(per_type).alias("flight_id"), "event_id", "ts", value.alias("value"),
                      F.get_json_object("props", "$.k").cast("double").alias("k"))
     base = dense_row_number(base, ["flight_id"], ["ts", "event_id"],
                             F.shiftright(_micros(F.col("ts")), TIME_BLOCK_BITS))
@@ -112,13 +120,14 @@ def hourly_counts_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpivot(full, {"events": "events"}, "flight_id", "row_no", "ts", "elapsed_s")
 
 
-def events_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_lines(spark: SparkSession, sf_dir: str, per_type: int | None = None) -> DataFrame:
     """``events`` written out as recording text: ``lines(flight_id, line_no, line)``.
 
     One recording per event_type: a byte-order mark and two header lines, then
     one line per event in (ts, event_id) order, ``timestamp,value,k,note``. The
     timestamp layout depends on the flight (one mixes two layouts). Faults by
     event_id: blank line, unreadable timestamp, short row, long row, bad number.
+    ``per_type`` splits each type into that many recordings by user_id bucket.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     eid = F.col("event_id")
@@ -140,11 +149,11 @@ def events_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(eid % SHORT_ROW_EVERY == 0, short).otherwise(full)
     body = F.when(eid % LONG_ROW_EVERY == 0, F.concat(body, F.lit(",extra"))).otherwise(body)
     line = F.when(eid % BLANK_LINE_EVERY == 0, F.lit("  ")).otherwise(body)
-    data = ev.select(fid.alias("flight_id"), "ts", "event_id", line.alias("line"))
+    data = ev.select(_event_flight(per_type).alias("flight_id"), "ts", "event_id", line.alias("line"))
     data = dense_row_number(data, ["flight_id"], ["ts", "event_id"],
                             F.shiftright(_micros(F.col("ts")), TIME_BLOCK_BITS), out="_seq")
     data = data.select("flight_id", (F.col("_seq") + 2).alias("line_no"), "line")
-    flights = ev.select(F.col("event_type").alias("flight_id")).distinct()
+    flights = ev.select(_event_flight(per_type).alias("flight_id")).distinct()
     head = flights.select("flight_id", F.explode(F.array(
         F.struct(F.lit(0).cast("long").alias("line_no"), F.lit(BOM + EVENT_HEADER_NAMES).alias("line")),
         F.struct(F.lit(1).cast("long").alias("line_no"), F.lit(EVENT_HEADER_UNITS).alias("line")),
