@@ -19,7 +19,8 @@ rows, no timestamp, a column name twice) yield no samples and an issue row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,14 +44,29 @@ NF = len(TS_FORMATS)
 
 @dataclass
 class Recording:
-    """Result of ingest: lazy DataFrames over the three passes."""
+    """Result of ingest: lazy DataFrames over the three passes.
+
+    ``flights`` (needs the median row gap) and ``issues`` are built on first
+    access, so a caller that only reads samples pays for neither.
+    """
 
     samples: DataFrame      # flight_id, row_no, ts, elapsed_s, parameter, text, value
     parameters: DataFrame   # flight_id, position, parameter, name, unit, is_numeric, n_rows, n_valid
-    flights: DataFrame      # flight_id, n_rows, n_parameters, duration_s, median_interval_s, ...
-    issues: DataFrame       # flight_id, line_no, column, code, count
     cells: DataFrame        # flight_id, line_no, position, cell  (parsed rows, before typing)
     head: DataFrame         # per-flight decisions (small)
+    _parts: dict = field(repr=False, default_factory=dict)
+
+    @cached_property
+    def flights(self) -> DataFrame:
+        """flight_id, n_rows, n_parameters, duration_s, median_interval_s, sampling_rate_hz, ts_format"""
+        p = self._parts
+        return _flights(p["accepted"], p["kept"])
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        """flight_id, line_no, column, code, count"""
+        p = self._parts
+        return _issues(self.head, p["params"], p["rows"], self.samples)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -184,10 +200,8 @@ def ingest(lines: DataFrame) -> Recording:
                   .filter(F.col("position") > 0)
                   .select("flight_id", "position", "parameter", "name", "unit", "is_numeric", "n_rows",
                           F.when(F.col("is_numeric"), F.col("num_ok")).otherwise(F.col("n_rows")).alias("n_valid")))
-    flights = _flights(accepted, kept)
-    issues = _issues(head, params, rows, samples)
-    return Recording(samples=samples, parameters=parameters, flights=flights, issues=issues,
-                     cells=cell_table, head=head)
+    return Recording(samples=samples, parameters=parameters, cells=cell_table, head=head,
+                     _parts={"accepted": accepted, "kept": kept, "params": params, "rows": rows})
 
 
 def _flights(accepted: DataFrame, kept: DataFrame) -> DataFrame:
