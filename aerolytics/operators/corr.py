@@ -90,10 +90,9 @@ def correlation(samples: DataFrame, parameters: Sequence[str] | None = None) ->
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     names = per.select("flight_id", "idx", "parameter", "constant")
-    out = (mom.join(F.broadcast(names.withColumnRenamed("idx", "i").withColumnRenamed("parameter", "x")
-                                .withColumnRenamed("constant", "cx")), ["flight_id", "i"])
-           .join(F.broadcast(names.withColumnRenamed("idx", "j").withColumnRenamed("parameter", "y")
-                             .withColumnRenamed("constant", "cy")), ["flight_id", "j"]))
+    xs = names.withColumnRenamed("idx", "i").withColumnRenamed("parameter", "x").withColumnRenamed("constant", "cx")
+    ys = names.withColumnRenamed("idx", "j").withColumnRenamed("parameter", "y").withColumnRenamed("constant", "cy")
+    out = join_small(join_small(mom, xs, ["flight_id", "i"], n_rows=n_per), ys, ["flight_id", "j"], n_rows=n_per)
     degenerate = ((n < 2) | F.col("cx") | F.col("cy")
                   | (vx <= F.lit(_ZERO_VARIANCE) * F.col("sxx")) | (vy <= F.lit(_ZERO_VARIANCE) * F.col("syy")))
     r = F.when(~degenerate, cov / F.sqrt(vx * vy))

@@ -83,6 +83,7 @@ def requested(spark: SparkSession, names: Sequence[str]) -> DataFrame:
 def valid_parameters(params: DataFrame, names: Sequence[str]) -> DataFrame:
     """Requested names present in each flight, in request order."""
     req = requested(params.sparkSession, names)
+    # req is the request list itself: its size is the request's
     return params.join(F.broadcast(req), "parameter").select("flight_id", "request_pos", "parameter")
 
 

@@ -57,7 +57,7 @@ def _empty(samples: DataFrame) -> DataFrame:
 def _points(samples: DataFrame, spec: SeriesSpec, axis: str = "y1", first_no: int = 0) -> DataFrame:
     req = samples.sparkSession.createDataFrame(
         [(first_no + i, p) for i, p in enumerate(spec.parameters)], "series_no int, parameter string")
-    s = samples.join(F.broadcast(req), "parameter")
+    s = samples.join(F.broadcast(req), "parameter")  # req: the chart's own parameter list
     x = F.col("elapsed_s") if spec.x_axis == ELAPSED_COLUMN else F.lit(None).cast("double")
     x_ts = F.col("ts") if spec.x_axis == TIMESTAMP_COLUMN else F.lit(None).cast("timestamp_ntz")
     return s.select("flight_id", F.lit(spec.id).alias("chart_id"), "series_no", "parameter", "row_no",
