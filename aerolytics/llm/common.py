@@ -43,6 +43,17 @@ def texts(array: pa.Array) -> list:
     return [None if b is None else b.decode("utf-8", "replace") for b in raw_bytes(array)]
 
 
+# A-Z become a-z, the other ASCII characters that are no digit or letter become
+# spaces, bytes of longer code points stay: words are then what split() gives.
+_FOLD = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32)
+              for b in range(256))
+
+
+def fold_words(text: bytes) -> list[bytes]:
+    """Lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` as UTF-8."""
+    return text.translate(_FOLD).split()
+
+
 def let(value: Column, body) -> Column:
     """``body(x)`` with ``x`` bound once to ``value``, whatever the optimizer inlines."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolytics.llm.common import raw_bytes
+from aerolytics.llm.common import fold_words, raw_bytes
 
 # Phrases of the base rule and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -50,16 +50,6 @@ MAX_GAP = 12
 #: Covered share of a template from which its label is given.
 MIN_COVERAGE = 0.8
 
-# A-Z become a-z, the other ASCII characters that are no digit or letter become
-# spaces, bytes of longer code points stay: words are then what split() gives.
-_FOLD = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32)
-              for b in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` as UTF-8."""
-    return text.translate(_FOLD).split()
-
 
 class SuffixAutomaton:
     """Generalised suffix automaton of word sequences.
@@ -141,7 +131,7 @@ class LicenseScanner:
 
     def scan(self, text: bytes | None) -> dict:
         """Base places, covered template spans and labels of one text."""
-        words = words_of(text or b"")
+        words = fold_words(text or b"")
         places: list[tuple[int, int]] = []
         matches: list[tuple[int, int, int]] = []
         last = (0, 0, 0)
