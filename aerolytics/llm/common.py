@@ -62,3 +62,26 @@ def let(value: Column, body) -> Column:
 def unsigned_hex(c: Column) -> Column:
     """A 64-bit integer as 16 lowercase hex digits of its two's complement."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))
+
+
+def text_sha(text: Column) -> Column:
+    """SHA-256 of a text (null as empty) as 32 bytes."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def drop_marked(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` (all columns) that ``marks`` does not drop.
+
+    ``marks`` (doc_id, sha, n_rows, stays) has one row per id and text that is
+    decided on; all other rows stay. Of ``n_rows`` repeated rows that stay one
+    is returned, the first by its JSON if other columns differ.
+    """
+    both = docs.alias("d").join(marks.alias("m"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("m.doc_id"))
+                                & (text_sha(F.col(f"d.`{text_col}`")) == F.col("m.sha")), "left")
+    marked = both.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("r"),
+                         F.col("m.stays").alias("stays"), F.col("m.n_rows").alias("n_rows"),
+                         F.col("m.doc_id").alias("k"), F.col("m.sha").alias("sha"))
+    single = marked.where("stays is null or (stays and n_rows = 1)").select("r.*")
+    twins = (marked.where("stays and n_rows > 1").groupBy("k", "sha")
+             .agg(F.min_by("r", F.to_json("r")).alias("r")).select("r.*"))
+    return single.unionByName(twins)

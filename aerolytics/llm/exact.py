@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolytics.llm.common import stored
+from aerolytics.llm.common import drop_marked, stored, text_sha
 
 #: Fingerprints a slice holds on average, which bounds the memory of a merge.
 SLICE_FINGERPRINTS = 1 << 19
@@ -155,12 +155,12 @@ def _groups(keyed: DataFrame) -> DataFrame:
     return (keyed.join(repeated, "fp", "left_semi").groupBy("fp", "text")
             .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
             .where("group_size > 1")
-            .select("fp", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"))
+            .select("fp", text_sha(F.col("text")).alias("sha"), "keep_id", "group_size"))
 
 
 def _members(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """(doc_id, fp, sha, n_rows, keep_id, group_size) per distinct id and text."""
-    rows = (keyed.select("doc_id", "fp", F.unhex(F.sha2("text", 256)).alias("sha"))
+    rows = (keyed.select("doc_id", "fp", text_sha(F.col("text")).alias("sha"))
             .groupBy("doc_id", "fp", "sha").agg(F.count(F.lit(1)).alias("n_rows")))
     return rows.join(groups, ["fp", "sha"], "left")
 
@@ -192,15 +192,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     keyed = _keyed(docs, id_col, text_col)
     members = stored(_members(keyed, _groups(keyed)).where("group_size > 1").select(
-        "doc_id", "fp", "sha", "n_rows", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")), "copies")
-    text = F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))
-    both = docs.alias("d").join(members.alias("m"), F.xxhash64(text).eqNullSafe(F.col("m.fp"))
-                                & F.col(f"d.`{id_col}`").eqNullSafe(F.col("m.doc_id"))
-                                & (F.unhex(F.sha2(text, 256)) == F.col("m.sha")), "left")
-    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
-    marked = both.select(row.alias("r"), F.col("m.stays").alias("stays"), F.col("m.n_rows").alias("n_rows"),
-                         F.col("m.doc_id").alias("k"), F.col("m.sha").alias("sha"))
-    single = marked.where("stays is null or (stays and n_rows = 1)").select("r.*")
-    twins = (marked.where("stays and n_rows > 1").groupBy("k", "sha")
-             .agg(F.min_by("r", F.to_json("r")).alias("r")).select("r.*"))
-    return single.unionByName(twins)
+        "doc_id", "sha", "n_rows", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")), "copies")
+    return drop_marked(docs, members, id_col, text_col)
