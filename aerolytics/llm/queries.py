@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolytics.llm import exact, licenses, packing, pieces, pii, quality, simhash, substrings, toxicity
+from aerolytics.llm import exact, licenses, packing, pieces, pii, quality, simhash, substrings, suffixes, toxicity
 from aerolytics.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_report(documents(spark, sf_dir))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(documents(spark, sf_dir)).drop("spans", "kept")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scans": op5_license_scans,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
