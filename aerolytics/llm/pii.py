@@ -171,17 +171,21 @@ def pii_spans(text: Column) -> Column:
     return spans(text)
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by its kind, e.g. ``[EMAIL]``.
-
-    Same rows and columns (any names); a null text stays null, an empty one
-    empty; texts without findings are unchanged.
-    """
+def redacted(text: Column) -> Column:
+    """Text column with every span replaced by its kind, e.g. ``[EMAIL]``; null stays null."""
     @F.arrow_udf("string")
     def masked(column: pa.Array) -> pa.Array:
         return pa.array([None if t is None else redact_text(t, find_spans(t)) for t in texts(column)], pa.string())
 
-    return docs.withColumn(text_col, masked(F.col(f"`{text_col}`")))
+    return masked(text)
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the spans of ``text_col`` replaced: same rows, other columns unchanged (any names).
+
+    A null text stays null, an empty one empty; texts without findings are unchanged.
+    """
+    return docs.withColumn(text_col, redacted(F.col(f"`{text_col}`")))
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
