@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from aerolytics.llm.common import raw_bytes, stored
 
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:

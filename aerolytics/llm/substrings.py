@@ -21,7 +21,7 @@ from aerolytics.llm.blocks import Keys, answered, flagged, packed, slice_bits, u
 
 WINDOW_WORDS = 35
 #: Windows a slice holds on average, which bounds the memory of its count.
-SLICE_WINDOWS = 1 << 21
+SLICE_WINDOWS = 1 << 19
 #: Bytes of text per window assumed when the number of slices is set.
 BYTES_PER_WINDOW = 6
 # Odd multipliers of the two rolling hashes (modulo 2^64).
