@@ -2,12 +2,12 @@
 
 Plan: one aggregate gives each (flight, parameter) its index, mean and
 whether it is constant (small table, joined back with a size check). Samples
-are grouped per (flight, row) into two short arrays (indices, values) - a
-shuffle keyed by row, so a big flight spreads over all tasks. ``mapInPandas``
-turns each Arrow batch of rows into moment matrices with NumPy (counts, sums,
-sums of squares and cross products over rows where both values exist, on
-mean-shifted values), and a final ``groupBy(flight, i, j).sum`` adds the
-batches up. Work is linear in rows; no row pairs are ever formed.
+are dealt by (flight, row block) - a big flight spreads over all tasks - and
+sorted by row. ``mapInPandas`` adds up moment matrices with NumPy (counts,
+sums, sums of squares and cross products over rows where both values exist, on
+mean-shifted values) and emits one upper triangle per flight and partition; a
+final ``groupBy(flight, i, j).sum`` adds those up. Work is linear in rows; no
+row pairs are ever formed.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolytics.functions.numbers import round_half_even
+from aerolytics.plans.ordering import ROW_BLOCK_BITS
 from aerolytics.schema import numeric
 from aerolytics.session import join_small, materialize_counted
 
@@ -27,41 +28,68 @@ _MOMENTS = ("flight_id string, i int, j int, n double, sx double, sy double, sxx
             "syy double, sxy double")
 # Relative size under which a variance over the common rows counts as zero.
 _ZERO_VARIANCE = 1e-13
+# Rows of one flight turned into a dense block at once.
+_ROWS_AT_ONCE = 4096
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Counts, sums, squares and products over rows where both values exist: (5, p, p)."""
+    mf = (~np.isnan(x)).astype(np.float64)
+    x0 = np.where(mf > 0, x, 0.0)
+    # [1][i, j] = sum of x_i where x_j also exists, [2] likewise of squares
+    return np.stack([mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0])
 
 
 def _moment_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by flight and row -> one upper triangle of sums per flight and partition."""
+    fid, total, held = None, None, None
+
+    def emitted() -> pd.DataFrame:
+        i, j = np.triu_indices(total.shape[1])
+        n, sx, sxx, sxy = total
+        return pd.DataFrame({"flight_id": fid, "i": i.astype(np.int32), "j": j.astype(np.int32), "n": n[i, j],
+                             "sx": sx[i, j], "sy": sx[j, i], "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
+
+    def add(g: pd.DataFrame) -> None:
+        nonlocal total
+        rows, p = pd.factorize(g["row_no"])[0], int(g["p"].iloc[0])
+        if total is None:
+            total = np.zeros((4, p, p))
+        for at in range(0, len(g) and rows[-1] + 1, _ROWS_AT_ONCE):
+            a, b = np.searchsorted(rows, [at, at + _ROWS_AT_ONCE])
+            x = np.full((rows[b - 1] + 1 - at, p), np.nan)
+            x[rows[a:b] - at, g["idx"].to_numpy()[a:b]] = g["v"].to_numpy()[a:b]
+            total += _moments(x)
+
     for pdf in batches:
+        if held is not None:
+            pdf, held = pd.concat([held, pdf], ignore_index=True), None
         if pdf.empty:
             continue
-        for fid, g in pdf.groupby("flight_id", sort=False):
-            idx = g["idx"].to_numpy()
-            vals = g["vals"].to_numpy()
-            p = int(g["p"].iloc[0])
-            lens = np.fromiter((len(a) for a in idx), dtype=np.int64, count=len(idx))
-            rows = np.repeat(np.arange(len(g)), lens)
-            x = np.full((len(g), p), np.nan)
-            if lens.sum():
-                x[rows, np.concatenate(idx).astype(np.int64)] = np.concatenate(vals).astype(np.float64)
-            m = ~np.isnan(x)
-            mf = m.astype(np.float64)
-            x0 = np.where(m, x, 0.0)
-            n = mf.T @ mf
-            sx = x0.T @ mf                      # sx[i, j] = sum of x_i where x_j also exists
-            sxx = (x0 * x0).T @ mf
-            sxy = x0.T @ x0
-            ii, jj = np.meshgrid(np.arange(p), np.arange(p), indexing="ij")
-            yield pd.DataFrame({
-                "flight_id": fid, "i": ii.ravel().astype(np.int32), "j": jj.ravel().astype(np.int32),
-                "n": n.ravel(), "sx": sx.ravel(), "sy": sx.T.ravel(), "sxx": sxx.ravel(),
-                "syy": sxx.T.ravel(), "sxy": sxy.ravel()})
+        # The last row may go on in the next batch.
+        last = (pdf["flight_id"] == pdf["flight_id"].iloc[-1]) & (pdf["row_no"] == pdf["row_no"].iloc[-1])
+        pdf, held = pdf[~last], pdf[last]
+        for name, g in pdf.groupby("flight_id", sort=False):
+            if fid != name:
+                if total is not None:
+                    yield emitted()
+                fid, total = name, None
+            add(g)
+    if held is not None:
+        if fid != held["flight_id"].iloc[0]:
+            if total is not None:
+                yield emitted()
+            fid, total = held["flight_id"].iloc[0], None
+        add(held)
+        yield emitted()
 
 
 def correlation(samples: DataFrame, parameters: Sequence[str] | None = None) -> DataFrame:
     """Full matrix as rows (flight_id, x, y, n, r); r NULL where undefined.
 
     A flight needs at least two numeric parameters (elapsed not counted). A
-    constant parameter gives NULL, on the diagonal too. Pairs with no common
-    row are absent.
+    constant parameter gives NULL, on the diagonal too; so does a pair with no
+    common row (n = 0), and a parameter without any value.
     """
     s = numeric(samples, include_elapsed=False)
     if parameters is not None:
@@ -77,26 +105,31 @@ def correlation(samples: DataFrame, parameters: Sequence[str] | None = None) ->
     per, n_per = materialize_counted(per)
     v = join_small(s.filter(F.col("value").isNotNull()), per.select("flight_id", "parameter", "idx", "mean", "p"),
                    ["flight_id", "parameter"], n_rows=n_per)
-    rows = (v.groupBy("flight_id", "row_no")
-            .agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("value") - F.col("mean")).alias("v"))))
-                 .alias("c"), F.first("p").alias("p"))
-            .select("flight_id", F.col("c.idx").alias("idx"), F.col("c.v").alias("vals"), "p"))
+    rows = (v.select("flight_id", "row_no", "idx", (F.col("value") - F.col("mean")).alias("v"), "p")
+            .repartition("flight_id", F.shiftright("row_no", ROW_BLOCK_BITS))
+            .sortWithinPartitions("flight_id", "row_no"))
     mom = (rows.mapInPandas(_moment_batches, _MOMENTS)
            .groupBy("flight_id", "i", "j")
-           .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-           .filter(F.col("n") > 0))
-    n = F.col("n")
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+           .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
     names = per.select("flight_id", "idx", "parameter", "constant")
     xs = names.withColumnRenamed("idx", "i").withColumnRenamed("parameter", "x").withColumnRenamed("constant", "cx")
     ys = names.withColumnRenamed("idx", "j").withColumnRenamed("parameter", "y").withColumnRenamed("constant", "cy")
-    out = join_small(join_small(mom, xs, ["flight_id", "i"], n_rows=n_per), ys, ["flight_id", "j"], n_rows=n_per)
-    degenerate = ((n < 2) | F.col("cx") | F.col("cy")
+    # Every pair of a flight's parameters, also those without a common row: the matrix that is asked for.
+    pairs = join_small(xs, ys, ["flight_id"], n_rows=n_per).filter(F.col("i") <= F.col("j"))
+    found = pairs.join(mom, ["flight_id", "i", "j"], "left")
+    n = F.coalesce(F.col("n"), F.lit(0.0))
+    some = F.when(n > 0, n)
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / some
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / some
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / some
+    degenerate = ((n < 2) | F.coalesce(F.col("cx") | F.col("cy"), F.lit(True))
                   | (vx <= F.lit(_ZERO_VARIANCE) * F.col("sxx")) | (vy <= F.lit(_ZERO_VARIANCE) * F.col("syy")))
-    r = F.when(~degenerate, cov / F.sqrt(vx * vy))
-    return out.select("flight_id", "x", "y", n.cast("long").alias("n"), r.alias("r"))
+    ratio = cov / F.sqrt(vx * vy)
+    r = F.when(~degenerate, F.when(F.isnan(ratio), None).otherwise(F.least(F.greatest(ratio, F.lit(-1.0)), F.lit(1.0))))
+    upper = found.select("flight_id", "x", "y", n.cast("long").alias("n"), r.alias("r"))
+    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    return (upper.withColumn("xy", F.explode(F.when(F.col("x") == F.col("y"), F.slice(both, 1, 1)).otherwise(both)))
+            .select("flight_id", "xy.x", "xy.y", "n", "r"))
 
 
 def correlation_labels(samples: DataFrame, parameters: Sequence[str]) -> DataFrame:

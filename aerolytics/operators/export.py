@@ -70,7 +70,8 @@ def export_metadata(samples: DataFrame, export_date: str | None = None, n_charts
 def validate_export(samples: DataFrame) -> DataFrame:
     """Rows (flight_id, severity, code, n) (B7). Warnings: no elapsed
     column, no numeric column, columns with missing values; info: points,
-    columns, numeric columns (elapsed counts as numeric)."""
+    columns, numeric columns (elapsed counts as numeric). Samples without any
+    row give one error row without a flight."""
     is_el = F.col("parameter") == ELAPSED_COLUMN
     base = samples.groupBy("flight_id").agg(
         F.count_if(is_el).alias("points"),
@@ -85,7 +86,10 @@ def validate_export(samples: DataFrame) -> DataFrame:
         return b.filter(cond).select("flight_id", F.lit(sev).alias("severity"), F.lit(code).alias("code"),
                                      n.cast("long").alias("n"))
 
-    return (row("warning", "NO_ELAPSED_COLUMN", F.lit(0), ~F.col("has_elapsed"))
+    nothing = samples.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0).select(
+        F.lit(None).cast("string").alias("flight_id"), F.lit("error").alias("severity"), F.lit("NO_DATA").alias("code"),
+        "n")
+    return (nothing.unionByName(row("warning", "NO_ELAPSED_COLUMN", F.lit(0), ~F.col("has_elapsed")))
             .unionByName(row("warning", "NO_NUMERIC_COLUMN", F.lit(0), F.col("numeric_columns") == 0))
             .unionByName(row("warning", "MISSING_VALUES", F.col("n_columns_with_missing"),
                              F.col("n_columns_with_missing") > 0))

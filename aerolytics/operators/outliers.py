@@ -28,7 +28,8 @@ def outliers(samples: DataFrame, parameters: Sequence[str] | str, method: str =
 
     ``iqr``: outside [q25 - t*IQR, q75 + t*IQR]; any other method (also
     ``isolation``) is the z-score: |v - mean| / std > t, std with n-1. Both
-    strict. An absent or text parameter gives no rows.
+    strict. An absent or text parameter gives no rows. Infinite values are data:
+    a mean or quartile that they leave undefined flags no sample.
     """
     if isinstance(parameters, str):
         parameters = [parameters]
@@ -40,10 +41,13 @@ def outliers(samples: DataFrame, parameters: Sequence[str] | str, method: str =
         st = quantile_columns(s, ["flight_id", "parameter"], "value", [0.25, 0.75], ["_q1", "_q3"])
         j = join_small(s, st, ["flight_id", "parameter"])
         iqr = F.col("_q3") - F.col("_q1")
-        flag = (v < F.col("_q1") - t * iqr) | (v > F.col("_q3") + t * iqr)
+        low, high = F.col("_q1") - t * iqr, F.col("_q3") + t * iqr
+        # Spark orders NaN above every number; a bound that infinite data left undefined flags nothing.
+        flag = (~F.isnan(low) & (v < low)) | (~F.isnan(high) & (v > high))
     else:
         st = s.groupBy("flight_id", "parameter").agg(F.avg(v).alias("_m"), F.stddev_samp(v).alias("_s"))
         j = join_small(s, st, ["flight_id", "parameter"])
-        flag = F.abs(F.try_divide(v - F.col("_m"), F.col("_s"))) > t
+        z = F.try_divide(v - F.col("_m"), F.col("_s"))
+        flag = ~F.isnan(z) & (F.abs(z) > t)
     return j.select("flight_id", "row_no", "parameter", "value",
-                    F.coalesce(flag, F.lit(False)).alias("is_outlier"))
+                    F.coalesce(flag & ~F.isnan(v), F.lit(False)).alias("is_outlier"))

@@ -2,7 +2,7 @@
 
 Drawing is not done here; ``series(samples, spec)`` returns the points a chart
 would draw as a DataFrame ``(flight_id, chart_id, series_no, parameter,
-row_no, x, x_ts, y, y_text, baseline, axis)``.
+row_no, x, x_ts, x_text, y, y_text, baseline, axis)``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ LAYOUT_CAPACITY = {"1x1": 1, "1x2": 2, "2x2": 4, "3x2": 6, "2x3": 6, "1x4": 4}
 DEFAULT_LAYOUT = "2x2"
 
 SERIES_SCHEMA = ("flight_id string, chart_id string, series_no int, parameter string, row_no long, "
-                 "x double, x_ts timestamp_ntz, y double, y_text string, baseline double, axis string")
+                 "x double, x_ts timestamp_ntz, x_text string, y double, y_text string, baseline double, axis string")
 
 
 @dataclass(frozen=True)
@@ -58,20 +58,28 @@ def _points(samples: DataFrame, spec: SeriesSpec, axis: str = "y1", first_no: in
     req = samples.sparkSession.createDataFrame(
         [(first_no + i, p) for i, p in enumerate(spec.parameters)], "series_no int, parameter string")
     s = samples.join(F.broadcast(req), "parameter")  # req: the chart's own parameter list
-    x = F.col("elapsed_s") if spec.x_axis == ELAPSED_COLUMN else F.lit(None).cast("double")
+    x, x_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    if spec.x_axis == ELAPSED_COLUMN:
+        x = F.col("elapsed_s")
+    elif spec.x_axis not in X_AXES:
+        # Another parameter: its cell of the same row; a flight without it has no points.
+        across = samples.filter(F.col("parameter") == spec.x_axis).select(
+            "flight_id", "row_no", F.col("value").alias("_x"), F.col("text").alias("_x_text"))
+        s = s.join(across, ["flight_id", "row_no"])
+        x, x_text = F.col("_x"), F.col("_x_text")
     x_ts = F.col("ts") if spec.x_axis == TIMESTAMP_COLUMN else F.lit(None).cast("timestamp_ntz")
     return s.select("flight_id", F.lit(spec.id).alias("chart_id"), "series_no", "parameter", "row_no",
-                    x.alias("x"), x_ts.alias("x_ts"), F.col("value").alias("y"), F.col("text").alias("y_text"),
+                    x.alias("x"), x_ts.alias("x_ts"), x_text.alias("x_text"), F.col("value").alias("y"), F.col("text").alias("y_text"),
                     F.lit(None).cast("double").alias("baseline"), F.lit(axis).alias("axis"))
 
 
 def series(samples: DataFrame, spec: SeriesSpec | dict) -> DataFrame:
-    """Points of one chart (G1-G4, G6). No parameters or an unknown x column
-    give no rows; an unknown type draws as a line; ``frequency`` returns the
+    """Points of one chart (G1-G4, G6). x is the elapsed time, the timestamp or
+    any parameter. No parameters or an x column that no flight has give no rows; an unknown type draws as a line; ``frequency`` returns the
     spectrum instead (see ``frequency_series``)."""
     if isinstance(spec, dict):
         spec = SeriesSpec.from_dict(spec)
-    if not spec.parameters or spec.x_axis not in X_AXES:
+    if not spec.parameters:
         return _empty(samples)
     kind = spec.type if spec.type in CHART_TYPES else DEFAULT_TYPE
     if kind == "frequency":
@@ -94,7 +102,8 @@ def frequency_series(samples: DataFrame, spec: SeriesSpec) -> DataFrame:
     return (sp.join(F.broadcast(req), "parameter")
             .select("flight_id", F.lit(spec.id).alias("chart_id"), "series_no", "parameter",
                     F.col("bin").alias("row_no"), F.col("frequency_hz").alias("x"),
-                    F.lit(None).cast("timestamp_ntz").alias("x_ts"), F.col("amplitude").alias("y"),
+                    F.lit(None).cast("timestamp_ntz").alias("x_ts"), F.lit(None).cast("string").alias("x_text"),
+                    F.col("amplitude").alias("y"),
                     F.lit(None).cast("string").alias("y_text"), F.lit(None).cast("double").alias("baseline"),
                     F.lit(spec.freq_type).alias("axis")))
 

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -33,6 +33,9 @@ WELCH_SEGMENT = 256
 SPECTRUM_SCHEMA = "flight_id string, parameter string, bin long, frequency_hz double, amplitude double"
 # Longest series one task transforms whole (points); longer ones are distributed.
 FFT_SINGLE_TASK_MAX = 1 << 22
+# Longest series the distributed transform takes (exact 64-bit chirp angles), and their limb.
+FFT_MAX = 1 << 41
+FFT_LIMB = 1 << 20
 _KEYS = ["flight_id", "parameter"]
 
 
@@ -88,10 +91,20 @@ _STAGE2 = "flight_id string, parameter string, idx long, n long, m1 long, m2 lon
 _FINAL = SPECTRUM_SCHEMA
 
 
+def _square_mod(j, m):
+    """j * j mod m for 0 <= j < m < 2^42 in 64-bit integers (arrays or columns).
+
+    j = h 2^20 + l: h^2 is shifted by 20 bits twice with a reduction between.
+    """
+    h, low = (j - j % FFT_LIMB) / FFT_LIMB, j % FFT_LIMB
+    h = h.cast("long") if isinstance(h, Column) else h.astype(np.int64)
+    t = (h * h) % m * FFT_LIMB % m
+    return ((t + 2 * h * low % m) * FFT_LIMB % m + low * low) % m
+
+
 def _chirp_angle(j: np.ndarray, n: int) -> np.ndarray:
-    """pi * (j^2 mod 2n) / n, exact in integers (valid while 2n < 3e9)."""
-    jm = np.mod(j, 2 * n).astype(np.int64)
-    return np.pi * np.mod(jm * jm, 2 * n).astype(np.float64) / n
+    """pi * (j^2 mod 2n) / n, exact in integers."""
+    return np.pi * _square_mod(np.mod(j, 2 * n).astype(np.int64), 2 * n).astype(np.float64) / n
 
 
 def _four_step_first(pdf: pd.DataFrame, two: bool) -> pd.DataFrame:
@@ -150,7 +163,7 @@ def _four_step_second_final(pdf: pd.DataFrame) -> pd.DataFrame:
     keep = k < n // 2
     k = k[keep]
     x = conv[keep] * np.exp(-1j * _chirp_angle(k, n))
-    dt = float(pdf["dt"].iloc[0])
+    dt = np.float64(pdf["dt"].iloc[0])
     with np.errstate(all="ignore"):
         freq = k * (1.0 / (n * dt))
     return pd.DataFrame({"flight_id": pdf["flight_id"].iloc[0], "parameter": pdf["parameter"].iloc[0],
@@ -160,15 +173,24 @@ def _four_step_second_final(pdf: pd.DataFrame) -> pd.DataFrame:
 def _sizes(info: DataFrame) -> DataFrame:
     """Transform length M = 2^m >= 2n - 1, split as M1 = 2^floor(m/2), M2 = M / M1."""
     m = F.ceil(F.log2(2 * F.col("n") - 1)).cast("int")
+    info = info.withColumn("n", F.when(F.col("n") <= FFT_MAX, F.col("n")).otherwise(F.raise_error(
+        F.lit(f"FFT of a series longer than {FFT_MAX} points"))))
     return (info.withColumn("m1", F.pow(F.lit(2.0), F.floor(m / 2)).cast("long"))
             .withColumn("m2", F.pow(F.lit(2.0), m - F.floor(m / 2)).cast("long")))
 
 
+def _bin_frequency():
+    """bin / (n dt); a zero time step gives NaN at bin 0 and infinity beyond, as in floating point."""
+    step = F.col("n") * F.col("dt")
+    none = F.when(F.col("bin") == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    return F.when(step == 0, none).otherwise(F.col("bin") * F.try_divide(F.lit(1.0), step))
+
+
 def _bluestein_spectrum(s: DataFrame, large: DataFrame, n_info: int) -> DataFrame:
     sizes = _sizes(large).withColumn("dt", (F.col("e1") - F.col("e0")) / (F.col("n") - 1).cast("double"))
     d = join_small(s, sizes.select(*_KEYS, "n", "m1", "m2", "n_null"), _KEYS, n_rows=n_info)
     d = d.filter(F.col("n_null") == 0)
-    angle = F.lit(np.pi) * F.pmod(F.col("row_no") * F.col("row_no"), 2 * F.col("n")).cast("double") / F.col("n")
+    angle = F.lit(np.pi) * _square_mod(F.col("row_no"), 2 * F.col("n")).cast("double") / F.col("n")
     a = d.select(*_KEYS, "n", "m1", "m2", F.pmod(F.col("row_no"), F.col("m2")).alias("j2"),
                  F.floor(F.col("row_no") / F.col("m2")).alias("j1"),
                  (F.col("value") * F.cos(angle)).alias("re"), (-F.col("value") * F.sin(angle)).alias("im"))
@@ -182,7 +204,7 @@ def _bluestein_spectrum(s: DataFrame, large: DataFrame, n_info: int) -> DataFram
     nulls = (sizes.filter(F.col("n_null") > 0)
              .select(*_KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2) - 1)).alias("bin"),
                      "n", "dt")
-             .select(*_KEYS, "bin", (F.col("bin") * (F.lit(1.0) / (F.col("n") * F.col("dt")))).alias("frequency_hz"),
+             .select(*_KEYS, "bin", _bin_frequency().alias("frequency_hz"),
                      F.lit(None).cast("double").alias("amplitude")))
     return fin.unionByName(nulls)
 

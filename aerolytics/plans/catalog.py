@@ -9,7 +9,7 @@ in both engines) plus 0.0 (no negative zero).
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +19,14 @@ from aerolytics.functions.text import ELAPSED_COLUMN
 from aerolytics.functions.timestamps import TS_FORMATS
 from aerolytics.operators import (corr, export, ingest, limits, ordered, outliers, quality, report, select,
                                   series, spectrum, stats, templates)
+from aerolytics.plans.quantiles import quantile_columns
 from aerolytics.session import checkpoint_dir, materialize
 from aerolytics.sources import tables
 
 # The limits table the limit-check query uses.
 QUERY_LIMITS = [("value", 0.0, 250.0), ("k", 10.0, 99.0), ("Elapsed Time (s)", 0.0, 3.0e6),
                 ("absent parameter", 0.0, 1.0)]
+INFINITE_VALUE_EVERY = 500
 EXPORT_DATE = "2024-02-01T00:00:00"
 VALID_REQUEST = ["VALUE (deg)", "NOTE", "ALTITUDE (ft)", "K"]
 
@@ -61,7 +63,7 @@ _INGEST_CACHE: dict = {}
 
 
 def recording(spark, sf) -> ingest.Recording:
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _INGEST_CACHE:
         # The event-derived text is itself a shuffle; store it once, as a
         # recording file would be, since ingest reads its input three times.
@@ -211,8 +213,53 @@ def q_psd_welch(spark, sf):
 
 def q_spectrum_dispatch(spark, sf):
     s = ev(spark, sf)
-    return (spectrum.spectrum(s, ["value", "absent"], "fft")
-            .unionByName(spectrum.spectrum(s, ["k"], "welch")))
+    out = (spectrum.spectrum(s, ["value", "absent"], "fft")
+           .unionByName(spectrum.spectrum(s, ["k"], "welch")))
+    return _rounded(out, {"frequency_hz": 12, "amplitude": 3})
+
+
+def q_fft_large(spark, sf):
+    """The distributed transform, forced for every series, on data the small path also takes."""
+    out = spectrum.fft_spectrum(tables.hourly_counts_samples(spark, sf), single_task_max=8)
+    return _rounded(out, {"frequency_hz": 12, "amplitude": 6})
+
+
+def q_quantiles_large(spark, sf):
+    """Quartiles by histogram refinement, forced for every group above 500 values."""
+    out = quantile_columns(li(spark, sf), ["flight_id", "parameter"], "value", [0.25, 0.5, 0.75],
+                           ["q25", "q50", "q75"], final_rows=500)
+    return _rounded(out, {c: 4 for c in ("q25", "q50", "q75")})
+
+
+def ev_inf(spark, sf):
+    """Event samples whose ``value`` is infinite on every INFINITE_VALUE_EVERY-th row of a flight."""
+    every = F.col("row_no") % INFINITE_VALUE_EVERY == 0
+    return ev(spark, sf).withColumn("value", F.when(every & (F.col("parameter") == "value"), F.lit(float("inf")))
+                                    .otherwise(F.col("value")))
+
+
+def q_outliers_zscore_inf(spark, sf):
+    return outliers.outliers(ev_inf(spark, sf), ["value", "k"], "zscore", 3.0).drop("value")
+
+
+def q_outliers_iqr_inf(spark, sf):
+    return outliers.outliers(ev_inf(spark, sf), ["value"], "iqr", 1.5).drop("value")
+
+
+def q_correlation_missing(spark, sf):
+    """The matrix of parameters of which one has no value at all and two never share a row."""
+    s = li_extra(spark, sf)
+    odd = F.col("row_no") % 2 == 1
+    first = F.col("parameter") == "l_tax"
+    s = s.withColumn("value", F.when(first & odd, None).when((F.col("parameter") == "tax_gaps") & ~odd, None)
+                     .when(F.col("parameter") == "l_discount", None).otherwise(F.col("value")))
+    return _rounded(corr.correlation(s), {"r": 6})
+
+
+def q_series_scatter_xy(spark, sf):
+    spec = {"id": "c3", "type": "scatter", "parameters": ["value"], "x_axis": "k"}
+    return _rounded(series.series(ev(spark, sf), spec).drop("x_ts", "x_text", "y_text", "baseline", "axis"),
+                    {"x": 6, "y": 6})
 
 
 def q_categories(spark, sf):
@@ -241,24 +288,24 @@ def q_valid_parameters(spark, sf):
 
 def q_series_line(spark, sf):
     spec = {"id": "c0", "type": "line", "parameters": ["value", "k", "absent"]}
-    return _rounded(series.series(ev(spark, sf), spec).drop("x_ts", "y_text", "baseline", "axis"),
+    return _rounded(series.series(ev(spark, sf), spec).drop("x_ts", "x_text", "y_text", "baseline", "axis"),
                     {"x": 6, "y": 6})
 
 
 def q_series_area(spark, sf):
     spec = {"id": "c1", "type": "area", "parameters": ["l_quantity", "l_discount"]}
-    return _rounded(series.series(li(spark, sf), spec).drop("x_ts", "y_text", "axis"),
+    return _rounded(series.series(li(spark, sf), spec).drop("x_ts", "x_text", "y_text", "axis"),
                     {"x": 6, "y": 6, "baseline": 6})
 
 
 def q_series_two_axes(spark, sf):
     return _rounded(series.two_axis_series(ev(spark, sf), ["value"], ["k", "absent"])
-                    .drop("x_ts", "y_text", "baseline"), {"x": 6, "y": 6})
+                    .drop("x_ts", "x_text", "y_text", "baseline"), {"x": 6, "y": 6})
 
 
 def q_series_timestamp_bar(spark, sf):
     spec = {"id": "c2", "type": "bar", "parameters": ["k"], "x_axis": "Timestamp"}
-    return _rounded(series.series(ev(spark, sf), spec).drop("x", "y_text", "baseline", "axis"), {"y": 6})
+    return _rounded(series.series(ev(spark, sf), spec).drop("x", "x_text", "y_text", "baseline", "axis"), {"y": 6})
 
 
 def q_export_metadata(spark, sf):
@@ -272,7 +319,7 @@ def q_validate_export(spark, sf):
 
 def q_export_roundtrip(spark, sf):
     base = checkpoint_dir(spark)
-    path = os.path.join(base, "exports", next(tempfile._get_candidate_names()))
+    path = os.path.join(base, "exports", uuid.uuid4().hex)
     export.export_json(ev_null(spark, sf), path, EXPORT_DATE)
     schema = ("Timestamp string, k double, value double, `Elapsed Time (s)` double, flight_id string")
     back = spark.read.schema(schema).json(f"{path}/data")
@@ -305,14 +352,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_summary": q_missing_summary,
     "correlation_matrix": q_correlation_matrix,
     "correlation_labels": q_correlation_labels,
+    "correlation_missing": q_correlation_missing,
+    "quantiles_large": q_quantiles_large,
     "limit_check": q_limit_check,
     "outliers_zscore": q_outliers_zscore,
     "outliers_iqr": q_outliers_iqr,
     "outliers_isolation": q_outliers_isolation,
+    "outliers_zscore_inf": q_outliers_zscore_inf,
+    "outliers_iqr_inf": q_outliers_iqr_inf,
     "every_kth_row": q_every_kth_row,
     "mean_time_step": q_mean_time_step,
     "first_value": q_first_value,
     "fft": q_fft,
+    "fft_large": q_fft_large,
     "psd_welch": q_psd_welch,
     "spectrum_dispatch": q_spectrum_dispatch,
     "categories": q_categories,
@@ -323,6 +375,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "series_line": q_series_line,
     "series_area": q_series_area,
     "series_two_axes": q_series_two_axes,
+    "series_scatter_xy": q_series_scatter_xy,
     "series_timestamp_bar": q_series_timestamp_bar,
     "export_metadata": q_export_metadata,
     "validate_export": q_validate_export,

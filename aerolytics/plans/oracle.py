@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from aerolytics.functions.text import ELAPSED_COLUMN
 from aerolytics.functions.timestamps import TS_FORMATS
-from aerolytics.operators.select import CATEGORY_RULES, OTHER_CATEGORY, QUICK_SELECTORS, QUICK_LIMIT
-from aerolytics.operators.templates import TEMPLATES
 from aerolytics.plans import catalog
 from aerolytics.sources import tables as T
 
@@ -274,19 +272,27 @@ SELECT flight_id, bool_or(missing > 0) AS any_missing, count(*) FILTER (WHERE mi
 FROM m GROUP BY 1"""
 
 
-def _corr(params_filter: str, label: bool) -> str:
+def _corr(params_filter: str, label: bool, value: str = "value") -> str:
     lab = ", round_even(r * 100.0, 0) / 100.0 + 0.0 AS r_label" if label else ""
     return LI(True) + f""",
-s AS (SELECT * FROM li WHERE text IS NULL AND parameter <> {EL} {params_filter} AND value IS NOT NULL),
+s AS (SELECT flight_id, row_no, parameter, {value} AS value FROM li
+      WHERE text IS NULL AND parameter <> {EL} {params_filter}),
+names AS (SELECT DISTINCT flight_id, parameter FROM s),
+np AS (SELECT flight_id, count(*) AS np FROM names GROUP BY 1),
+grid AS (SELECT a.flight_id, a.parameter AS x, b.parameter AS y FROM names a JOIN names b USING (flight_id)),
 p AS (SELECT a.flight_id, a.parameter AS x, b.parameter AS y, a.value AS vx, b.value AS vy
-      FROM s a JOIN s b USING (flight_id, row_no)),
+      FROM s a JOIN s b USING (flight_id, row_no) WHERE a.value IS NOT NULL AND b.value IS NOT NULL),
 c AS (SELECT flight_id, x, y, count(*) AS n,
-             covar_samp(vx, vy) / nullif(stddev_samp(vx) * stddev_samp(vy), 0) AS r FROM p GROUP BY 1, 2, 3),
-np AS (SELECT flight_id, count(DISTINCT parameter) AS np FROM s GROUP BY 1)
-SELECT c.flight_id, x, y, n, {R('r')} AS r{lab} FROM c JOIN np USING (flight_id) WHERE np.np >= 2"""
+             covar_samp(vx, vy) / nullif(stddev_samp(vx) * stddev_samp(vy), 0) AS r FROM p GROUP BY 1, 2, 3)
+SELECT g.flight_id, g.x, g.y, coalesce(c.n, 0) AS n, {R('r')} AS r{lab}
+FROM grid g JOIN np USING (flight_id) LEFT JOIN c ON c.flight_id = g.flight_id AND c.x = g.x AND c.y = g.y
+WHERE np.np >= 2"""
 
 
 CORRELATION = _corr("", False)
+CORRELATION_MISSING = _corr("", False, "CASE WHEN parameter = 'l_tax' AND row_no % 2 = 1 THEN NULL "
+                                       "WHEN parameter = 'tax_gaps' AND row_no % 2 = 0 THEN NULL "
+                                       "WHEN parameter = 'l_discount' THEN NULL ELSE value END")
 CORRELATION_LABELS = _corr("AND parameter IN ('l_quantity', 'tax_gaps', 'absent')", True)
 
 _LIM = ("lim(parameter, limit_min, limit_max) AS (VALUES "
@@ -329,6 +335,28 @@ SELECT s.flight_id, s.row_no, s.parameter, s.value,
                 OR s.value > st.q3 + CAST(1.5 AS DOUBLE) * (st.q3 - st.q1), false) AS is_outlier
 FROM s JOIN st USING (flight_id, parameter)"""
 
+QUANTILES_LARGE = LI() + f"""
+SELECT flight_id, parameter, {R('quantile_cont(value, 0.25)', 4)} AS q25,
+       {R('quantile_cont(value, 0.5)', 4)} AS q50, {R('quantile_cont(value, 0.75)', 4)} AS q75
+FROM li WHERE value IS NOT NULL GROUP BY 1, 2"""
+
+# One infinite value leaves mean and deviation undefined: nothing is an outlier by z-score.
+OUTLIERS_Z_INF = EV() + f""",
+s AS (SELECT * FROM ev WHERE parameter IN ('value', 'k')),
+st AS (SELECT flight_id, avg(value) AS m, stddev_samp(value) AS sd FROM s WHERE parameter = 'k' GROUP BY 1)
+SELECT s.flight_id, s.row_no, s.parameter,
+       coalesce(s.parameter = 'k' AND abs((s.value - st.m) / nullif(st.sd, 0)) > 3.0, false) AS is_outlier
+FROM s JOIN st USING (flight_id)"""
+OUTLIERS_IQR_INF = EV() + f""",
+s AS (SELECT flight_id, row_no, parameter,
+             CASE WHEN row_no % {catalog.INFINITE_VALUE_EVERY} = 0 THEN CAST('inf' AS DOUBLE) ELSE value END AS value
+      FROM ev WHERE parameter = 'value'),
+st AS (SELECT flight_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM s GROUP BY 1)
+SELECT s.flight_id, s.row_no, s.parameter,
+       coalesce(s.value < st.q1 - CAST(1.5 AS DOUBLE) * (st.q3 - st.q1)
+                OR s.value > st.q3 + CAST(1.5 AS DOUBLE) * (st.q3 - st.q1), false) AS is_outlier
+FROM s JOIN st USING (flight_id)"""
+
 EVERY_KTH = EV() + f""",
 k AS (SELECT flight_id, greatest(1, count(*) // 50) AS k FROM ev_base GROUP BY 1)
 SELECT e.flight_id, e.row_no, e.ts, {R('e.elapsed_s')} AS elapsed_s, e.parameter, e.text, {R('e.value')} AS value
@@ -361,8 +389,9 @@ SELECT flight_id, 'events' AS parameter, CAST(k AS BIGINT) AS bin,
        """ + R("2.0 / n * sqrt(re * re + im * im)") + """ AS amplitude
 FROM dft"""
 
-PSD = EV() + f""",
-s AS (SELECT flight_id, row_no, elapsed_s, value FROM ev_base),
+def _psd(column: str) -> str:
+    return f"""
+s AS (SELECT flight_id, row_no, elapsed_s, {column} AS value FROM ev_base),
 info AS (SELECT flight_id, count(*) AS n, least(256, count(*)) AS L, arg_min(elapsed_s, row_no) AS e0,
                 arg_max(elapsed_s, row_no) AS e1 FROM s GROUP BY 1),
 info2 AS (SELECT *, L - L // 2 AS step, (n - L) // (L - L // 2) + 1 AS nseg,
@@ -385,11 +414,29 @@ ws AS (SELECT flight_id, sum(power(0.5 - 0.5 * cos(2 * pi() * j / L), 2)) AS s2
 p AS (SELECT d.flight_id, d.k, d.L, d.fs,
              (re * re + im * im) / (d.fs * ws.s2)
                * CASE WHEN d.k = 0 THEN 1 WHEN d.L % 2 = 0 AND d.k = d.L // 2 THEN 1 ELSE 2 END AS p
-      FROM dft d JOIN ws USING (flight_id))
+      FROM dft d JOIN ws USING (flight_id))"""
+
+
+PSD = EV() + "," + _psd("value") + f"""
 SELECT flight_id, 'value' AS parameter, CAST(k AS BIGINT) AS bin,
        {R('k * (1.0 / (L * (1.0 / fs)))', 12)} AS frequency_hz, {R('10.0 * log10(avg(p))')} AS psd_db
 FROM p GROUP BY flight_id, k, L, fs"""
 
+SPECTRUM_DISPATCH = EV() + f""",
+fn AS (SELECT flight_id, count(*) AS n, arg_min(elapsed_s, row_no) AS e0, arg_max(elapsed_s, row_no) AS e1
+       FROM ev_base GROUP BY 1),
+fb AS (SELECT flight_id, n, (e1 - e0) / CAST(n - 1 AS DOUBLE) AS dt, unnest(generate_series(0, n // 2 - 1)) AS k FROM fn),
+fd AS (SELECT b.flight_id, b.k, b.n, b.dt,
+              sum(e.value * cos(2 * pi() * ((e.row_no * b.k) % b.n) / b.n)) AS re,
+              sum(e.value * sin(2 * pi() * ((e.row_no * b.k) % b.n) / b.n)) AS im
+       FROM fb b JOIN ev_base e USING (flight_id) GROUP BY 1, 2, 3, 4),""" + _psd("k") + f"""
+SELECT flight_id, 'value' AS parameter, 'fft' AS kind, CAST(k AS BIGINT) AS bin,
+       {R('k * (1.0 / (n * dt))', 12)} AS frequency_hz, {R('2.0 / n * sqrt(re * re + im * im)', 3)} AS amplitude
+FROM fd
+UNION ALL
+SELECT flight_id, 'k', 'psd', CAST(k AS BIGINT), {R('k * (1.0 / (L * (1.0 / fs)))', 12)}, {R('avg(p)', 3)}
+FROM p GROUP BY flight_id, k, L, fs"""
+
 
 # --- parameter names from part ---------------------------------------------
 
@@ -405,35 +452,58 @@ ps AS (SELECT * FROM pp
        UNION ALL SELECT flight_id, {EL}, CAST(max(position) + 1 AS INTEGER) FROM pp GROUP BY 1)"""
 
 
-def _any(words: list[str], col: str = "parameter") -> str:
-    return "(" + " OR ".join(f"contains(lower({col}), {_q(w)})" for w in words) + ")"
+# The rules stand here a second time, as SQL, so that a wrong rule table does not pass.
+def _any(words: str, col: str = "parameter") -> str:
+    """Does the lower-cased name hold one of these |-separated words?"""
+    return f"regexp_matches(lower({col}), '{words}')"
 
 
-_CAT = "CASE " + " ".join(f"WHEN {_any(ws)} THEN {_q(n)}" for n, ws in CATEGORY_RULES) + f" ELSE {_q(OTHER_CATEGORY)} END"
 CATEGORIES = "WITH " + PART_PARAMS + f"""
-SELECT flight_id, {_CAT} AS category, parameter, position FROM pp"""
-
-QUICK = "WITH " + PART_PARAMS + """,
-sel AS (""" + "\n  UNION ALL ".join(
-    f"SELECT flight_id, {_q(s)} AS selector, parameter, position FROM ps WHERE {_any(ws)}" for s, ws in QUICK_SELECTORS) + f""")
+SELECT flight_id,
+       CASE WHEN {_any('aileron|elevator|rudder|flap|spoiler|tab')} THEN 'Control Surfaces'
+            WHEN {_any('angle|alpha|beta|aoa|sideslip|pitch|roll|yaw')} THEN 'Flight Angles'
+            WHEN {_any('force|load|strain|stress|moment|torque')} THEN 'Forces & Loads'
+            WHEN {_any('position|cmd|command|stick|pedal')} THEN 'Positions & Commands'
+            WHEN {_any('trim')} THEN 'Trim Settings'
+            ELSE 'Other Parameters' END AS category, parameter, position
+FROM pp"""
+
+QUICK = "WITH " + PART_PARAMS + f""",
+sel AS (
+  SELECT flight_id, 'control' AS selector, parameter, position FROM ps WHERE {_any('aileron|elevator|rudder|flap')}
+  UNION ALL SELECT flight_id, 'angle', parameter, position FROM ps WHERE {_any('angle|alpha|beta')}
+  UNION ALL SELECT flight_id, 'force', parameter, position FROM ps WHERE {_any('force|strain|load')})
 SELECT flight_id, selector, parameter, position,
        row_number() OVER (PARTITION BY flight_id, selector ORDER BY position) AS rank
-FROM sel QUALIFY rank <= {QUICK_LIMIT}"""
-
-
-def _templates(max_chart: int | None) -> str:
-    parts = []
-    for t, charts in TEMPLATES.items():
-        for no, (title, words, also, exclude, limit, ylab, color) in enumerate(charts):
-            cond = _any(words)
-            if also:
-                cond += " AND " + _any(also)
-            if exclude:
-                cond += " AND NOT " + _any(exclude)
-            parts.append(f"SELECT flight_id, parameter, position, {_q(t)} AS template, {no} AS chart_no, {_q(title)} AS title, "
-                         f"{limit} AS lim, {_q(ylab)} AS y_axis_label, {_q(color)} AS color_scheme FROM ps WHERE {cond}")
-    keep = f"WHERE chart_idx < {max_chart}" if max_chart is not None else ""
-    return "WITH " + PART_PARAMS + ",\nmatches AS (" + "\n  UNION ALL ".join(parts) + """),
+FROM sel QUALIFY rank <= 4"""
+
+
+def _chart(template: str, no: int, title: str, where: str, limit: int, label: str, color: str) -> str:
+    return (f"SELECT flight_id, parameter, position, '{template}' AS template, {no} AS chart_no, '{title}' AS title, "
+            f"{limit} AS lim, '{label}' AS y_axis_label, '{color}' AS color_scheme FROM ps WHERE {where}")
+
+
+_FORCE = _any("force|strain|load")
+_MATCHES = "\n  UNION ALL ".join([
+    _chart("control_surfaces", 0, "Aileron Control", _any("aileron"), 3, "Deflection (deg)", "blues"),
+    _chart("control_surfaces", 1, "Elevator Control", _any("elevator"), 3, "Deflection (deg)", "reds"),
+    _chart("control_surfaces", 2, "Rudder Control", _any("rudder"), 3, "Deflection (deg)", "greens"),
+    _chart("control_surfaces", 3, "Flap Position", _any("flap"), 3, "Position (deg)", "purples"),
+    _chart("flight_angles", 0, "Angle of Attack", _any("alpha|angle of attack|aoa"), 2, "Angle (deg)", "viridis"),
+    _chart("flight_angles", 1, "Sideslip Angle", _any("beta|sideslip|betha"), 2, "Angle (deg)", "plasma"),
+    _chart("forces", 0, "Longitudinal Forces", f"{_FORCE} AND {_any('longitudinal')}", 3, "Force (kg)", "blues"),
+    _chart("forces", 1, "Lateral Forces", f"{_FORCE} AND {_any('lateral')}", 3, "Force (kg)", "reds"),
+    _chart("forces", 2, "Other Forces", f"{_FORCE} AND NOT {_any('lateral|longitudinal')}", 3, "Force (kg)", "greens"),
+    _chart("comprehensive", 0, "Control Surfaces Overview", _any("aileron|elevator|rudder"), 4, "Deflection (deg)",
+           "viridis"),
+    _chart("comprehensive", 1, "Flight Angles", _any("alpha|beta|angle"), 3, "Angle (deg)", "plasma"),
+    _chart("comprehensive", 2, "Force Measurements", _any("force|strain"), 3, "Force (kg)", "inferno"),
+    _chart("comprehensive", 3, "Trim Settings", _any("trim"), 3, "Trim (deg)", "cividis"),
+])
+
+
+def _templates(keep: str = "") -> str:
+    return "WITH " + PART_PARAMS + ",\nmatches AS (" + _MATCHES + """),
 top AS (SELECT * FROM matches
         QUALIFY row_number() OVER (PARTITION BY flight_id, template, chart_no ORDER BY position) <= lim),
 charts AS (SELECT flight_id, template, chart_no, title, y_axis_label, color_scheme,
@@ -446,8 +516,8 @@ SELECT flight_id, template, 'template_chart_' || CAST(chart_idx AS VARCHAR) AS c
 FROM numbered {keep}"""
 
 
-TEMPLATES_SQL = _templates(None)
-LAYOUT_SQL = _templates(2)
+TEMPLATES_SQL = _templates()
+LAYOUT_SQL = _templates("WHERE chart_idx < 2")  # a 1x2 grid
 
 _REQ = ("req(request_pos, parameter) AS (VALUES "
         + ", ".join(f"({i}, {_q(p)})" for i, p in enumerate(catalog.VALID_REQUEST)) + ")")
@@ -476,6 +546,11 @@ SELECT e.flight_id, 'multi_axis' AS chart_id, CAST(r.series_no AS INTEGER) AS se
        {R('e.elapsed_s')} AS x, {R('e.value')} AS y, r.axis
 FROM ev e JOIN req r USING (parameter)"""
 
+SERIES_SCATTER_XY = EV() + f"""
+SELECT flight_id, 'c3' AS chart_id, CAST(0 AS INTEGER) AS series_no, 'value' AS parameter, row_no,
+       {R('k')} AS x, {R('value')} AS y
+FROM ev_base"""
+
 SERIES_TS_BAR = EV() + f""",
 k AS (SELECT flight_id, greatest(1, count(*) // 50) AS k FROM ev_base GROUP BY 1)
 SELECT e.flight_id, 'c2' AS chart_id, CAST(0 AS INTEGER) AS series_no, e.parameter, e.row_no, e.ts AS x_ts,
@@ -577,5 +652,12 @@ ORACLE: dict[str, str] = {
     "export_metadata": EXPORT_METADATA,
     "validate_export": VALIDATE_EXPORT,
     "export_roundtrip": EXPORT_ROUNDTRIP,
+    "correlation_missing": CORRELATION_MISSING,
+    "quantiles_large": QUANTILES_LARGE,
+    "outliers_zscore_inf": OUTLIERS_Z_INF,
+    "outliers_iqr_inf": OUTLIERS_IQR_INF,
+    "fft_large": FFT,
+    "spectrum_dispatch": SPECTRUM_DISPATCH,
+    "series_scatter_xy": SERIES_SCATTER_XY,
     "report_tables": REPORT,
 }

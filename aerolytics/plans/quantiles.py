@@ -30,11 +30,10 @@ from aerolytics.session import join_small, materialize_counted
 
 BUCKETS = 4096
 FINAL_ROWS = 1 << 20
-MAX_ROUNDS = 12
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    stats: tuple[DataFrame, int] | None = None) -> DataFrame:
+                    stats: tuple[DataFrame, int] | None = None, final_rows: int | None = None) -> DataFrame:
     """(keys..., q_index, quantile) for every group with at least one value.
 
     Linear interpolation between the order statistics at floor(q * (n - 1))
@@ -42,7 +41,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     a stored (keys..., _n, _lo, _hi) table of the groups with its row count,
     when the caller has already aggregated them (saves one scan).
     """
-    keys = list(keys)
+    keys, final = list(keys), FINAL_ROWS if final_rows is None else final_rows
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if stats is None:
         stats = materialize_counted(v.groupBy(*keys).agg(
@@ -59,18 +58,20 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
            .withColumn("r_hi", F.least(F.col("r_lo") + 1, F.col("_n") - 1)))
     ranks = (pos.select(*keys, "_n", "_lo", "_hi",
                         F.explode(F.array_distinct(F.array("r_lo", "r_hi"))).alias("r")).distinct())
-    # small groups: one window per group, at most FINAL_ROWS rows each
-    wanted = (ranks.filter(F.col("_n") <= FINAL_ROWS).groupBy(*keys)
+    # small groups: one window per group, at most final rows each
+    wanted = (ranks.filter(F.col("_n") <= final).groupBy(*keys)
               .agg(F.collect_set("r").alias("_want")))
     vs = join_small(v, wanted, keys, n_rows=n_stats * len(probs))
     wr = Window.partitionBy(*keys).orderBy("_v")
     done = (vs.withColumn("r", (F.row_number().over(wr) - 1).cast("long"))
             .filter(F.array_contains(F.col("_want"), F.col("r"))).select(*keys, "r", F.col("_v").alias("x")))
     # large groups: refinement; open targets hold rank r in [a, b], c = values below a
-    targets = ranks.filter(F.col("_n") > FINAL_ROWS).select(
+    targets = ranks.filter(F.col("_n") > final).select(
         *keys, "r", F.col("_lo").alias("a"), F.col("_hi").alias("b"), F.lit(0).cast("long").alias("c"))
-    n_large = stats.filter(F.col("_n") > FINAL_ROWS).count()  # reads the stored table
-    for _ in range(MAX_ROUNDS if n_large else 0):
+    n_large = stats.filter(F.col("_n") > final).count()  # reads the stored table
+    # The ends of an interval fall into different buckets, so every round narrows
+    # every open interval and the loop ends; no target is given up.
+    while n_large:
         targets, n_open = materialize_counted(targets)
         solved = targets.filter(F.col("a") == F.col("b")).select(*keys, "r", F.col("a").alias("x"))
         done = done.unionByName(solved)
@@ -81,10 +82,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         j = join_small(v, open_t, keys, n_rows=n_open).filter((F.col("_v") >= F.col("a")) & (F.col("_v") <= F.col("b")))
         width = F.col("b") - F.col("a")
         finite = ~F.isnan(width) & (F.abs(width) != F.lit(float("inf")))
-        bucket = (F.when(finite, F.least(F.floor((F.col("_v") - F.col("a")) / width * BUCKETS),
-                                         F.lit(BUCKETS - 1)))
-                  .when(F.col("_v") == F.col("a"), F.lit(0))
-                  .when(F.col("_v") == F.col("b"), F.lit(BUCKETS - 1))
+        # Over several powers of two the buckets are equal on a signed log scale.
+        scale = _signed_log("b") - _signed_log("a")
+        wide = (F.abs("a") != F.lit(float("inf"))) & (F.abs("b") != F.lit(float("inf"))) & ~F.isnan("b") & (scale > 2)
+        part = F.when(wide, (_signed_log("_v") - _signed_log("a")) / scale).when(finite, (F.col("_v") - F.col("a")) / width)
+        bucket = (F.when(F.col("_v") == F.col("a"), F.lit(0)).when(F.col("_v") == F.col("b"), F.lit(BUCKETS - 1))
+                  .when(part.isNotNull(), F.greatest(F.lit(0), F.least(F.floor(part * BUCKETS), F.lit(BUCKETS - 1))))
                   .otherwise(F.lit(BUCKETS // 2)).cast("int"))
         hist = j.groupBy(*keys, "r", "a", "b", "c", bucket.alias("k")).agg(
             F.count(F.lit(1)).alias("cnt"), F.min("_v").alias("kmin"), F.max("_v").alias("kmax"))
@@ -95,15 +98,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         nxt = hit.select(*keys, "r", F.col("kmin").alias("a"), F.col("kmax").alias("b"),
                          (F.col("upto") - F.col("cnt")).alias("c"), "cnt")
         nxt, n_next = materialize_counted(nxt)
-        small = nxt.filter((F.col("cnt") <= FINAL_ROWS) & (F.col("a") < F.col("b")))
-        # finish bounded buckets exactly: sort at most FINAL_ROWS values per target
+        small = nxt.filter((F.col("cnt") <= final) & (F.col("a") < F.col("b")))
+        # finish bounded buckets exactly: sort at most final values per target
         fin = join_small(v, small.drop("cnt"), keys, n_rows=n_next).filter(
             (F.col("_v") >= F.col("a")) & (F.col("_v") <= F.col("b")))
         wt = Window.partitionBy(*keys, "r").orderBy("_v")
         fin = (fin.withColumn("_i", F.row_number().over(wt) - 1 + F.col("c"))
                .filter(F.col("_i") == F.col("r")).select(*keys, "r", F.col("_v").alias("x")))
         done = done.unionByName(fin)
-        targets = nxt.filter((F.col("cnt") > FINAL_ROWS) | (F.col("a") == F.col("b"))).drop("cnt")
+        targets = nxt.filter((F.col("cnt") > final) | (F.col("a") == F.col("b"))).drop("cnt")
     # at most 2 * len(probs) ranks per group: one small map, read once
     found = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("_at"))
     out = (pos.join(found, keys)
@@ -115,9 +118,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return out.select(*keys, F.col("qi").alias("q_index"), lerp.alias("quantile"))
 
 
+def _signed_log(c: str):
+    """Non-decreasing map of the finite doubles to -2099..2099: log2 of the size, mirrored for negatives."""
+    v = F.col(c)
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1075.0))
+
+
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                     names: Sequence[str], stats: tuple[DataFrame, int] | None = None) -> DataFrame:
+                     names: Sequence[str], stats: tuple[DataFrame, int] | None = None,
+                     final_rows: int | None = None) -> DataFrame:
     """``exact_quantiles`` pivoted to one column per probability (``names``)."""
-    q = exact_quantiles(df, keys, value, probs, stats)
+    q = exact_quantiles(df, keys, value, probs, stats, final_rows)
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col("q_index") == i, F.col("quantile"))).alias(nm)
                                   for i, nm in enumerate(names)])
