@@ -76,7 +76,8 @@ def drop_marked(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -
     decided on; all other rows stay. Of ``n_rows`` repeated rows that stay one
     is returned, the first by its JSON if other columns differ.
     """
-    both = docs.alias("d").join(marks.alias("m"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("m.doc_id"))
+    # Merged at every size: whether the marks fit a broadcast must not decide the plan.
+    both = docs.alias("d").join(marks.alias("m").hint("merge"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("m.doc_id"))
                                 & (text_sha(F.col(f"d.`{text_col}`")) == F.col("m.sha")), "left")
     marked = both.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("r"),
                          F.col("m.stays").alias("stays"), F.col("m.n_rows").alias("n_rows"),
