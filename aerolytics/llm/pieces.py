@@ -17,12 +17,16 @@ from aerolytics.llm.common import texts
 MARK = "▁"
 #: Distinct chunks whose segmentation a worker remembers.
 CACHE_CHUNKS = 300_000
+#: Chunks up to this length are segmented in lock step, so many at a time, and remembered.
+SHORT_CHUNK = 64
+LOCK_STEP = 1 << 13
+#: Texts whose chunks are looked up together.
+TEXTS_AT_ONCE = 256
 #: How far an unknown character scores below the least piece.
 UNKNOWN_PENALTY = 10.0
 
-# No piece continues past the start of a marker run that follows other text, so
-# a best path always breaks there and chunks can be segmented one by one.
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+# Bytes of a UTF-8 character by its first byte.
+_WIDTH = np.array([1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10, np.int32)
 
 
 class DoubleArrayTrie:
@@ -119,6 +123,7 @@ class PieceModel:
         self.unknown = min(values) - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
         self.trie = DoubleArrayTrie([pieces[i].encode() for i in self.normal])
+        self.longest = max(len(pieces[i].encode()) for i in self.normal)
         # What a piece stands for in decoded text; control pieces stand for nothing.
         self.surface = [b""] * size
         for i in self.normal:
@@ -127,12 +132,23 @@ class PieceModel:
             self.surface[i] = bytes([b])
         self.is_byte = np.zeros(size, bool)
         self.is_byte[list(self.byte_id.values())] = True
-        self.cache: dict[str, tuple[bytes, float]] = {}
-
-    def viterbi(self, chunk: bytes) -> tuple[list[int], float]:
-        """Ids of the best segmentation and its score; of equal paths the earlier start wins."""
+        # What an id adds to the score; an unknown character's falls to its first byte.
+        self.score_of = np.zeros(size)
+        self.score_of[self.normal] = values
+        self.score_of[[i for b, i in self.byte_id.items() if not 0x80 <= b < 0xC0] or [self.unknown_id]] = self.unknown
+        # No piece continues past the start of a marker run that follows other
+        # text, nor over a line end unless some piece holds one: a best path
+        # breaks there, so the chunks between can be segmented one by one.
+        alone = "" if any("\n" in pieces[i] for i in self.normal) else "\n"
+        self.chunks = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
+        self.segments: dict[str, bytes] = {}
+        self.arrays = [np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)]
+        self.byte_ids = np.array([self.byte_id.get(b, self.unknown_id) for b in range(256)], np.int32)
+
+    def viterbi(self, chunk: bytes) -> list[int]:
+        """Ids of the best segmentation; of equal paths the earlier start wins."""
         n, base, check, value, scores = len(chunk), self.trie.base, self.trie.check, self.trie.value, self.scores
-        best, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
+        best, start, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
             here = best[i]
@@ -140,51 +156,128 @@ class PieceModel:
                 continue
             lead = chunk[i]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            s, single = 0, False
-            for end in range(i, n):
-                t = base[s] + chunk[end] + 1
+            s, end, single = 0, i, i + width
+            for c in chunk[i:i + self.longest]:
+                t = base[s] + c + 1
                 if check[t] != s:
                     break
                 s = t
+                end += 1
                 v = value[t]
                 if v >= 0:
-                    total = here + scores[v]
-                    if total > best[end + 1]:
-                        best[end + 1], back[end + 1] = total, (i, v)
-                    single = single or end + 1 - i == width
-            if not single and here + self.unknown > best[i + width]:
-                best[i + width], back[i + width] = here + self.unknown, (i, -1)
+                    if here + scores[v] > best[end]:
+                        best[end], start[end], piece[end] = here + scores[v], i, v
+                    if end == i + width:
+                        single = 0
+            if single and here + self.unknown > best[single]:
+                best[single], start[single], piece[single] = here + self.unknown, i, -1
         ids, at = [], n
         while at:
-            start, v = back[at]
-            if v >= 0:
-                ids.append(self.normal[v])
+            if piece[at] >= 0:
+                ids.append(self.normal[piece[at]])
             elif self.byte_id:
-                ids.extend(self.byte_id[b] for b in reversed(chunk[start:at]))
+                ids.extend([self.byte_id[b] for b in reversed(chunk[start[at]:at])])
             else:
                 ids.append(self.unknown_id)
-            at = start
-        return ids[::-1], best[n]
+            at = start[at]
+        ids.reverse()
+        return ids
+
+    def viterbi_many(self, chunks: list[bytes]) -> list[bytes]:
+        """``viterbi`` of many short chunks in lock step; ids as bytes, chunk by chunk.
+
+        All chunks advance by one start position and one trie step at a time;
+        chunks of like length go together.
+        """
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        out: list[bytes] = [b""] * len(chunks)
+        by_length = np.argsort(lengths, kind="stable")
+        for at in range(0, len(chunks), LOCK_STEP):
+            rows = by_length[at:at + LOCK_STEP]
+            parts = self._lock_step([chunks[r] for r in rows], lengths[rows])
+            for r, part in zip(rows.tolist(), parts):
+                out[r] = part
+        return out
+
+    def _lock_step(self, chunks: list[bytes], lengths: np.ndarray) -> list[bytes]:
+        base, check, value = self.arrays
+        scores = np.array(self.scores)
+        n, longest = len(chunks), int(lengths.max())
+        text = np.zeros((n, longest), np.int32)
+        inside = np.arange(longest) < lengths[:, None]
+        text[inside] = np.frombuffer(b"".join(chunks), np.uint8)
+        width = _WIDTH[text]
+        best, start = np.full((n, longest + 1), -np.inf), np.zeros((n, longest + 1), np.int32)
+        piece = np.full((n, longest + 1), -1, np.int32)
+        best[:, 0] = 0.0
+        for i in range(longest):
+            first = np.flatnonzero(inside[:, i] & (best[:, i] > -np.inf))
+            rows, state, known = first, np.zeros(len(first), np.int32), np.zeros(n, bool)
+            for end in range(i + 1, min(longest, i + self.longest) + 1):
+                step = base[state] + text[rows, end - 1] + 1
+                on = (check[step] == state) & inside[rows, end - 1]
+                rows, state = rows[on], step[on]
+                if not len(rows):
+                    break
+                found = value[state]
+                ends = found >= 0
+                hit, found = rows[ends], found[ends]
+                total = best[hit, i] + scores[found]
+                better = total > best[hit, end]
+                best[hit[better], end], start[hit[better], end] = total[better], i
+                piece[hit[better], end] = found[better]
+                known[hit[width[hit, i] == end - i]] = True
+            lone = first[~known[first]]
+            end = np.minimum(i + width[lone, i], longest)
+            better = best[lone, i] + self.unknown > best[lone, end]
+            lone, end = lone[better], end[better]
+            best[lone, end], start[lone, end], piece[lone, end] = best[lone, i] + self.unknown, i, -1
+        # Every chunk walks back from its end; the steps are then put in order.
+        steps, at = [], lengths.copy()
+        rows = np.flatnonzero(at)
+        while len(rows):
+            end = at[rows]
+            begin = start[rows, end]
+            steps.append((rows, begin, end, piece[rows, end]))
+            at[rows] = begin
+            rows = rows[begin > 0]
+        row, begin, end, found = (np.concatenate(c) for c in zip(*steps))
+        order = np.lexsort((begin, row))
+        row, begin, end, found = row[order], begin[order], end[order], found[order]
+        # A piece is one id, an unknown character one id per byte (or one unknown id).
+        size = np.where(found >= 0, 1, end - begin if self.byte_id else 1)
+        of = np.repeat(np.arange(len(row)), size)
+        offset = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        ids = np.where(found[of] >= 0, np.array(self.normal, np.int32)[found[of]],
+                       self.byte_ids[text[row[of], begin[of] + offset]]).astype(np.int32)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(row, size, n))]).astype(np.int64) * 4
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; spaces become markers, one more stands before the text."""
+        out = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            chunks = [self.chunks.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at:at + TEXTS_AT_ONCE]]
+            if len(self.segments) >= CACHE_CHUNKS:
+                self.segments.clear()
+            new = list(set().union(*chunks).difference(self.segments))
+            short = [c for c in new if len(c) <= SHORT_CHUNK]
+            self.segments.update(zip(short, self.viterbi_many([c.encode() for c in short])))
+            long = {c: np.array(self.viterbi(c.encode()), np.int32).tobytes() for c in new if len(c) > SHORT_CHUNK}
+            self.segments.update(long)
+            out += [np.frombuffer(b"".join(map(self.segments.__getitem__, c)), np.int32) for c in chunks]
+            for c in long:
+                del self.segments[c]
+        return out
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:
-        """Ids and score of a text; spaces become markers, one more stands before the text."""
-        if not text:
-            return np.empty(0, np.int32), 0.0
-        chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
-        cache = self.cache
-        for c in set(chunks).difference(cache):
-            if len(cache) >= CACHE_CHUNKS:
-                break
-            if len(c) <= 64:
-                cache[c] = self._segment(c)
-        found = [cache.get(c) or self._segment(c) for c in chunks]
-        if len(cache) >= CACHE_CHUNKS:
-            cache.clear()
-        return np.frombuffer(b"".join([f[0] for f in found]), np.int32), math.fsum(f[1] for f in found)
-
-    def _segment(self, chunk: str) -> tuple[bytes, float]:
-        ids, score = self.viterbi(chunk.encode())
-        return np.array(ids, np.int32).tobytes(), score
+        """Ids and score of one text."""
+        ids = self.encode_many([text])[0]
+        return ids, self.score(ids)
+
+    def score(self, ids: np.ndarray) -> float:
+        return float(self.score_of[ids].sum())
 
     def decode(self, ids) -> str:
         """Text of ids: markers become spaces, the one before the text goes, byte runs become characters."""
@@ -210,7 +303,9 @@ def encode(text: Column, model: str | None = None, unigram: bool = False) -> Col
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
         m = load(path, unigram)
-        return pa.array([None if t is None else m.encode(t)[0] for t in texts(column)], pa.list_(pa.int32()))
+        found = texts(column)
+        ids = m.encode_many([t or "" for t in found])
+        return pa.array([None if t is None else i for t, i in zip(found, ids)], pa.list_(pa.int32()))
 
     return ids(text)
 
@@ -245,10 +340,12 @@ def piece_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     @F.arrow_udf("struct<" + ",".join(f"{n}:{t}" for n, (t, _) in _FIELDS.items()) + ">")
     def report(column: pa.Array) -> pa.Array:
         m, out = load(path, unigram), []
-        for t in texts(column):
-            ids, score = m.encode(t or "")
-            out.append((len(ids), int(m.is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()),
-                        round(score, 6), m.decode(ids.tolist()) == (t or "").replace(MARK, " ")))
+        found = [t or "" for t in texts(column)]
+        for at in range(0, len(found), TEXTS_AT_ONCE):  # ids of a whole batch are never held
+            part = found[at:at + TEXTS_AT_ONCE]
+            for t, ids in zip(part, m.encode_many(part)):
+                out.append((len(ids), int(m.is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()),
+                            round(m.score(ids), 6), m.decode(ids.tolist()) == t.replace(MARK, " ")))
         columns = list(zip(*out)) or [()] * len(_FIELDS)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS.values())], list(_FIELDS))
 

@@ -62,6 +62,13 @@ def test_viterbi_reaches_the_best_score(model):
             assert score == pytest.approx(brute(model, "▁" + text.replace(" ", "▁")), abs=1e-6)
 
 
+def test_lock_step_and_single_chunks_agree(model):
+    rng = random.Random(6)
+    chunks = ["".join(rng.choice("▁abcthe.é漢\x00\U0001F600") for _ in range(rng.randrange(1, 30))).encode()
+              for _ in range(3000)]
+    assert model.viterbi_many(chunks) == [np.array(model.viterbi(c), np.int32).tobytes() for c in chunks]
+
+
 def test_ids_equal_the_library_with_the_same_scores(model):
     proto = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
