@@ -1,29 +1,34 @@
 """Exports (B1-B8): CSV and JSON folders, the table bundle, metadata, validation.
 
-Writers are distributed (``df.write``), one folder per call, partitioned by
-flight; metadata goes to a side file computed by one aggregate. Nothing is
-collected on the driver except the parameter list the wide layout needs
-(its size is the number of distinct column names, checked).
+Every flight is written with its own columns in file order; no list of columns
+over all flights exists anywhere, and a parameter that is text in one flight and
+a number in another keeps both. Writers are distributed: a flight is cut into
+parts of PART_ROWS rows, each one self-contained file below
+``flight_id=.../part=...``. Nothing is collected on the driver.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolytics.functions.text import ELAPSED_COLUMN, TIMESTAMP_COLUMN
 from aerolytics.operators.ordered import sampling
 from aerolytics.operators.quality import missing_summary
 from aerolytics.operators.stats import describe
-from aerolytics.schema import numeric, pivot
+from aerolytics.schema import numeric
+from aerolytics.session import join_small
 
 # Formats really written, and the CSV metadata title.
 EXPORT_FORMATS = ["csv", "json", "parquet"]
 CSV_TITLE = "Flight Data Export"
-MAX_WIDE_COLUMNS = 20_000
+# Rows of a flight in one file, as a power of two.
+PART_BITS = 20
+CSV_TIME, JSON_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def export_formats() -> list[str]:
@@ -31,21 +36,52 @@ def export_formats() -> list[str]:
     return list(EXPORT_FORMATS)
 
 
-def _column_lists(samples: DataFrame) -> tuple[list[str], list[str]]:
-    """Parameter names (all flights) and which of them hold text."""
-    kinds = (samples.groupBy("parameter")
-             .agg(F.bool_or(F.col("text").isNotNull()).alias("is_text"), F.min("flight_id").alias("_f")))
-    if kinds.count() > MAX_WIDE_COLUMNS:
-        raise ValueError("too many distinct parameters for a wide export; export the long form")
-    rows = kinds.orderBy("parameter").collect()
-    names = [r.parameter for r in rows if r.parameter != ELAPSED_COLUMN] + [ELAPSED_COLUMN]
-    return names, [r.parameter for r in rows if r.is_text]
+def _placed(samples: DataFrame, parameters: DataFrame | None) -> DataFrame:
+    """Samples with ``place``: column order, elapsed last, by file position if ``parameters`` tells it."""
+    s, position = samples, F.lit(0)
+    if parameters is not None:
+        s = join_small(samples, parameters.select("flight_id", "parameter", F.col("position").alias("_pos")),
+                       ["flight_id", "parameter"], "left")
+        position = F.coalesce(F.col("_pos"), F.lit(0))
+    return s.withColumn("place", F.struct((F.col("parameter") == ELAPSED_COLUMN).alias("last"),
+                                          position.alias("position"), F.col("parameter").alias("name")))
 
 
-def wide(samples: DataFrame) -> DataFrame:
-    """One row per (flight, row): Timestamp, every parameter, elapsed last."""
-    names, text = _column_lists(samples)
-    return pivot(samples, names, text).orderBy("flight_id", "row_no")
+def column_lists(samples: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+    """(flight_id, columns): the parameter names of each flight in column order."""
+    names = _placed(samples, parameters).groupBy("flight_id", "place").agg(F.lit(1).alias("_one"))
+    ordered = F.transform(F.array_sort(F.collect_list("place")), lambda p: p["name"])
+    return names.groupBy("flight_id").agg(ordered.alias("columns"))
+
+
+def records(samples: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+    """One row per (flight, row): Timestamp and the row's cells in column order.
+
+    ``cells`` is array<struct<parameter, text, value>>; its length is the row's
+    own number of columns. Grouping by (flight, row) spreads a large flight.
+    """
+    cell = F.struct("place", "parameter", "text", "value")
+    rows = (_placed(samples, parameters).groupBy("flight_id", "row_no")
+            .agg(F.first("ts").alias(TIMESTAMP_COLUMN), F.array_sort(F.collect_list(cell)).alias("_c")))
+    cells = F.transform("_c", lambda c: F.struct(c["parameter"].alias("parameter"), c["text"].alias("text"),
+                                                 c["value"].alias("value")))
+    return rows.select("flight_id", "row_no", TIMESTAMP_COLUMN, cells.alias("cells"))
+
+
+def _json_string(c: Column) -> Column:
+    """A JSON string literal: the only element of a JSON list, without its brackets."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _csv_cell(c: Column) -> Column:
+    return F.when(c.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def _write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (flight_id, row_no, line), a header at row -1 of each part, as one file per flight and part."""
+    (lines.repartition("flight_id", "part").sortWithinPartitions("flight_id", "part", "row_no")
+     .select("flight_id", "part", "line").write.mode("overwrite").partitionBy("flight_id", "part").text(path))
 
 
 def export_metadata(samples: DataFrame, export_date: str | None = None, n_charts: int = 0) -> DataFrame:
@@ -98,30 +134,43 @@ def validate_export(samples: DataFrame) -> DataFrame:
             .unionByName(row("info", "NUMERIC_PARAMETERS", F.col("numeric_columns"))))
 
 
-def _flight_folder(df: DataFrame, path: str, fmt: str, **opts) -> None:
-    w = df.write.mode("overwrite").partitionBy("flight_id").format(fmt)
-    for k, v in opts.items():
-        w = w.option(k, v)
-    w.save(path)
-
-
 def export_csv(samples: DataFrame, path: str, include_metadata: bool = True,
-               export_date: str | None = None) -> None:
-    """Wide CSV per flight under ``path/data`` (B1, B2), with the metadata
-    head as ``path/metadata`` (JSON lines, one per flight)."""
-    _flight_folder(wide(samples).drop("row_no"), f"{path}/data", "csv", header="true",
-                   timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
+               export_date: str | None = None, parameters: DataFrame | None = None) -> None:
+    """CSV per flight under ``path/data`` (B1, B2): a header and one line per
+    row, missing cells empty; the metadata head as ``path/metadata`` (JSON lines)."""
+    part = F.shiftright("row_no", PART_BITS).alias("part")
+    columns = column_lists(samples, parameters)
+    rows = join_small(records(samples, parameters), columns, ["flight_id"])
+    cells = F.map_from_entries(F.transform("cells", lambda c: F.struct(
+        c["parameter"], F.coalesce(_csv_cell(c["text"]), c["value"].cast("string"), F.lit("")))))
+    body = F.transform("columns", lambda n: F.coalesce(F.try_element_at(F.col("_cells"), n), F.lit("")))
+    data = (rows.withColumn("_cells", cells)
+            .select("flight_id", part, "row_no", F.concat_ws(
+                ",", F.date_format(TIMESTAMP_COLUMN, CSV_TIME), F.concat_ws(",", body)).alias("line")))
+    head = join_small(rows.select("flight_id", part).distinct(), columns, ["flight_id"]).select(
+        "flight_id", "part", F.lit(-1).cast("long").alias("row_no"),
+        F.concat_ws(",", F.lit(TIMESTAMP_COLUMN), F.concat_ws(",", F.transform("columns", _csv_cell))).alias("line"))
+    _write_lines(data.unionByName(head), f"{path}/data")
     if include_metadata:
         (export_metadata(samples, export_date).withColumn("title", F.lit(CSV_TITLE))
          .write.mode("overwrite").json(f"{path}/metadata"))
 
 
-def export_json(samples: DataFrame, path: str, export_date: str | None = None) -> None:
-    """JSON records per flight with ISO dates and explicit nulls (B3, B4),
-    plus the metadata folder."""
-    _flight_folder(wide(samples).drop("row_no"), f"{path}/data", "json", ignoreNullFields="false",
-                   timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    export_metadata(samples, export_date).write.mode("overwrite").json(f"{path}/metadata")
+def export_json(samples: DataFrame, path: str, export_date: str | None = None, charts: Sequence[dict] = (),
+                parameters: DataFrame | None = None) -> None:
+    """JSON records per flight with ISO dates and explicit nulls (B3, B4);
+    ``path/metadata`` holds the metadata with column list and chart configurations."""
+    pairs = F.transform("cells", lambda c: F.concat(_json_string(c["parameter"]), F.lit(":"), F.when(
+        c["text"].isNotNull(), _json_string(c["text"])).otherwise(F.coalesce(c["value"].cast("string"), F.lit("null")))))
+    stamp = F.concat(F.lit(f'"{TIMESTAMP_COLUMN}":"'), F.date_format(TIMESTAMP_COLUMN, JSON_TIME), F.lit('"'))
+    lines = records(samples, parameters).select(
+        "flight_id", F.shiftright("row_no", PART_BITS).alias("part"), "row_no",
+        F.concat(F.lit("{"), F.concat_ws(",", stamp, F.concat_ws(",", pairs)), F.lit("}")).alias("line"))
+    _write_lines(lines, f"{path}/data")
+    configurations = F.lit(json.dumps([dict(c, parameters=list(c.get("parameters", ()))) for c in charts]))
+    (export_metadata(samples, export_date, len(charts)).join(column_lists(samples, parameters), "flight_id")
+     .withColumn("columns", F.concat(F.array(F.lit(TIMESTAMP_COLUMN)), F.col("columns")))
+     .withColumn("charts", configurations).write.mode("overwrite").json(f"{path}/metadata"))
 
 
 def chart_table(spark, charts: Sequence) -> DataFrame:
@@ -132,15 +181,16 @@ def chart_table(spark, charts: Sequence) -> DataFrame:
                                        "y_axis_label string, color_scheme string")
 
 
-def export_bundle(samples: DataFrame, path: str, charts: Sequence = (), export_date: str | None = None) -> None:
-    """The workbook's four tables as Parquet folders (B5): flight data,
-    statistics (describe of numeric columns, elapsed included), metadata,
-    chart configurations."""
-    _flight_folder(wide(samples), f"{path}/flight_data", "parquet")
+def export_bundle(samples: DataFrame, path: str, charts: Sequence = (), export_date: str | None = None,
+                  parameters: DataFrame | None = None) -> None:
+    """The workbook's four tables as Parquet folders (B5): flight data (records
+    in column order), statistics (describe of numeric columns, elapsed
+    included), metadata, chart configurations."""
+    (records(samples, parameters).write.mode("overwrite").partitionBy("flight_id").parquet(f"{path}/flight_data"))
     describe(samples).write.mode("overwrite").parquet(f"{path}/statistics")
     export_metadata(samples, export_date, len(charts)).write.mode("overwrite").parquet(f"{path}/metadata")
     chart_table(samples.sparkSession, charts).write.mode("overwrite").parquet(f"{path}/chart_configurations")
 
 
-__all__ = ["export_formats", "wide", "export_metadata", "validate_export", "export_csv", "export_json",
-           "export_bundle", "chart_table", "numeric", "TIMESTAMP_COLUMN"]
+__all__ = ["export_formats", "records", "column_lists", "export_metadata", "validate_export", "export_csv",
+           "export_json", "export_bundle", "chart_table", "numeric", "TIMESTAMP_COLUMN"]

@@ -1,7 +1,7 @@
 """Report contents (D13, D14) as named DataFrames, and a long form of them.
 
-The HTML pages are not built; each section is a lazy DataFrame over the same
-samples, so a caller computes only the sections it reads.
+The HTML pages are not built. One aggregate per (flight, parameter) is computed
+and stored when a report is asked for; its short sections are read from there.
 """
 
 from __future__ import annotations
@@ -11,23 +11,93 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolytics.functions.text import ELAPSED_COLUMN, TIMESTAMP_COLUMN
+from aerolytics.operators.export import chart_table
 from aerolytics.operators.limits import limit_check
-from aerolytics.operators.quality import constant_parameters, missing_summary
-from aerolytics.operators.stats import describe, overview, report_statistics
+from aerolytics.operators.stats import describe
+from aerolytics.session import materialize
 
 
-def auto_report_tables(samples: DataFrame, limits: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Automatic report: overview, describe, missing note, limit findings."""
-    out = {"overview": overview(samples), "describe": describe(samples), "missing": missing_summary(samples)}
+def parameter_summary(samples: DataFrame) -> DataFrame:
+    """One row per (flight, parameter): all that the short report sections need, from one scan.
+
+    Stored, as every section reads it; it has as many rows as there are columns
+    over all flights.
+    """
+    v = F.col("value")
+    return materialize(samples.groupBy("flight_id", "parameter").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n_valid"),
+        F.count_if(v.isNull() & F.col("text").isNull()).alias("missing"),
+        F.count_if(F.col("text").isNull()).alias("n_numeric"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min_by(v, "row_no").alias("first_value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+
+def _sections(summary: DataFrame) -> dict[str, DataFrame]:
+    """Overview, statistics, missing note and constants of a parameter summary."""
+    elapsed = F.col("parameter") == ELAPSED_COLUMN
+    per_flight = summary.groupBy("flight_id").agg(
+        F.coalesce(F.sum(F.when(elapsed, F.col("n_rows"))), F.lit(0)).alias("n_points"),
+        F.count_if(~elapsed).alias("n_parameters"), F.max(F.when(elapsed, F.col("max"))).alias("_last"),
+        F.bool_or(F.col("missing") > 0).alias("any_missing"),
+        F.count_if(F.col("missing") > 0).alias("n_columns_with_missing"))
+    numbers = summary.filter(~elapsed & (F.col("n_numeric") > 0))
+    return {
+        "overview": per_flight.select("flight_id", "n_points", "n_parameters",
+                                      (F.col("n_parameters") + 2).alias("n_columns"),
+                                      F.coalesce(F.col("_last") / 60.0, F.lit(0.0)).alias("duration_min")),
+        "statistics": numbers.select("flight_id", "parameter", "min", "max", "mean", "std",
+                                     (F.col("max") - F.col("min")).alias("range")),
+        "missing": per_flight.select("flight_id", "any_missing", "n_columns_with_missing"),
+        "constants": (numbers.filter((F.col("n_valid") > 0) & (F.col("min") == F.col("max")))
+                      .select("flight_id", "parameter", "first_value")),
+    }
+
+
+def describe_timestamp(summary: DataFrame) -> DataFrame:
+    """The ``Timestamp`` row of the automatic report's describe: count, first and last per flight."""
+    return (summary.filter(F.col("parameter") == ELAPSED_COLUMN)
+            .select("flight_id", F.lit(TIMESTAMP_COLUMN).alias("parameter"), F.col("n_rows").alias("count"),
+                    F.col("first_ts").alias("first"), F.col("last_ts").alias("last")))
+
+
+def auto_report_tables(samples: DataFrame, limits: DataFrame | None = None,
+                       charts: Sequence[dict] = ()) -> dict[str, DataFrame]:
+    """Automatic report: overview, describe (numbers and the timestamp), missing
+    note, limit findings, chart list (D13)."""
+    summary = parameter_summary(samples)
+    parts = _sections(summary)
+    out = {"overview": parts["overview"], "describe": describe(samples),
+           "describe_timestamp": describe_timestamp(summary), "missing": parts["missing"]}
     if limits is not None:
         out["limits"] = limit_check(samples, limits)
+    if charts:
+        out["charts"] = chart_table(samples.sparkSession, charts)
     return out
 
 
-def flight_report_tables(samples: DataFrame) -> dict[str, DataFrame]:
-    """Flight report: overview, statistics, missing note, constants."""
-    return {"overview": overview(samples), "statistics": report_statistics(samples),
-            "missing": missing_summary(samples), "constants": constant_parameters(samples)}
+def flight_report_tables(samples: DataFrame, charts: Sequence[dict] = ()) -> dict[str, DataFrame]:
+    """Flight report: overview, statistics, missing note, constants, chart list."""
+    out = _sections(parameter_summary(samples))
+    if charts:
+        out["charts"] = chart_table(samples.sparkSession, charts)
+    return out
+
+
+def auto_report_long(samples: DataFrame, limits: DataFrame) -> DataFrame:
+    """Automatic report as rows (flight_id, section, key, field, value); times as seconds since 1970."""
+    t = auto_report_tables(samples, limits)
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    ts = t["describe_timestamp"].select("flight_id", "parameter", "count", *[
+        (F.timestamp_diff("MICROSECOND", epoch, F.col(c)) / 1e6).alias(c) for c in ("first", "last")])
+    return (_long(t["overview"], "overview", [], ["n_points", "n_parameters", "duration_min"])
+            .unionByName(_long(t["describe"], "describe", ["parameter"],
+                               ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]))
+            .unionByName(_long(ts, "describe", ["parameter"], ["count", "first", "last"]))
+            .unionByName(_long(t["missing"].withColumn("any_missing", F.col("any_missing").cast("int")),
+                               "missing", [], ["any_missing", "n_columns_with_missing"]))
+            .unionByName(_long(t["limits"].filter(F.col("parameter").isNotNull()), "limits", ["parameter", "status"],
+                               ["min_value", "max_value"])))
 
 
 def _long(df: DataFrame, section: str, key_cols: Sequence[str], value_cols: Sequence[str]) -> DataFrame:

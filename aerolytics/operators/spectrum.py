@@ -180,9 +180,9 @@ def _sizes(info: DataFrame) -> DataFrame:
 
 
 def _bin_frequency():
-    """bin / (n dt); a zero time step gives NaN at bin 0 and infinity beyond, as in floating point."""
+    """bin / (n dt); a zero time step leaves bin 0 undefined and the others infinite, as in floating point."""
     step = F.col("n") * F.col("dt")
-    none = F.when(F.col("bin") == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    none = F.when(F.col("bin") > 0, F.lit(float("inf")))
     return F.when(step == 0, none).otherwise(F.col("bin") * F.try_divide(F.lit(1.0), step))
 
 

@@ -8,7 +8,6 @@ in both engines) plus 0.0 (no negative zero).
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -22,11 +21,13 @@ from aerolytics.operators import (corr, export, ingest, limits, ordered, outlier
 from aerolytics.plans.quantiles import quantile_columns
 from aerolytics.session import checkpoint_dir, materialize
 from aerolytics.sources import tables
+from aerolytics.sources.recordings import read_recordings
 
 # The limits table the limit-check query uses.
 QUERY_LIMITS = [("value", 0.0, 250.0), ("k", 10.0, 99.0), ("Elapsed Time (s)", 0.0, 3.0e6),
                 ("absent parameter", 0.0, 1.0)]
 INFINITE_VALUE_EVERY = 500
+MIXED_TEXT_FLIGHTS = ["click", "error"]
 EXPORT_DATE = "2024-02-01T00:00:00"
 VALID_REQUEST = ["VALUE (deg)", "NOTE", "ALTITUDE (ft)", "K"]
 
@@ -318,8 +319,7 @@ def q_validate_export(spark, sf):
 
 
 def q_export_roundtrip(spark, sf):
-    base = checkpoint_dir(spark)
-    path = os.path.join(base, "exports", uuid.uuid4().hex)
+    path = _export_folder(spark)
     export.export_json(ev_null(spark, sf), path, EXPORT_DATE)
     schema = ("Timestamp string, k double, value double, `Elapsed Time (s)` double, flight_id string")
     back = spark.read.schema(schema).json(f"{path}/data")
@@ -328,6 +328,94 @@ def q_export_roundtrip(spark, sf):
                     {"k": 6, "value": 6, "elapsed_s": 6})
 
 
+def ev_mixed(spark, sf):
+    """Flights with different columns; ``mixed`` is text in two of them and a number in the others."""
+    s = ev_null(spark, sf)
+    as_text = F.col("flight_id").isin(MIXED_TEXT_FLIGHTS)
+    k = s.filter(F.col("parameter") == "k")
+    mixed = k.withColumn("parameter", F.lit("mixed, kind")).withColumn(
+        "text", F.when(as_text, F.concat(F.lit('t"'), F.coalesce(F.col("value").cast("int").cast("string"), F.lit("")))))
+    mixed = mixed.withColumn("value", F.when(~as_text, F.col("value")))
+    only = (s.filter((F.col("parameter") == "k") & (F.col("flight_id") == "click"))
+            .withColumn("parameter", F.lit("only_click")).withColumn("value", F.col("value") * 2))
+    return s.unionByName(mixed).unionByName(only)
+
+
+def _export_folder(spark):
+    return f"{checkpoint_dir(spark)}/exports/{uuid.uuid4().hex}"
+
+
+def _cell_parts(cells):
+    """Long cells (flight_id, Timestamp, parameter, cell) -> text or rounded number."""
+    is_text = F.col("cell").startswith("t")
+    number = F.when(~is_text & (F.col("cell") != ""), F.col("cell").cast("double"))
+    return cells.select("flight_id", F.col("stamp"), "parameter", F.when(is_text, F.col("cell")).alias("text"),
+                        rnd(number).alias("value"))
+
+
+def q_export_csv(spark, sf):
+    """The CSV export read back: every cell under its own flight's header."""
+    path = _export_folder(spark)
+    export.export_csv(ev_mixed(spark, sf), path, True, EXPORT_DATE)
+    raw = spark.read.text(f"{path}/data").withColumn("c", _csv_split("value"))
+    head = F.get("c", F.lit(0)) == "Timestamp"
+    names = raw.filter(head).select("flight_id", "part", F.col("c").alias("names"))
+    rows = raw.filter(~head).join(names, ["flight_id", "part"])
+    cells = rows.select("flight_id", F.get("c", F.lit(0)).alias("stamp"),
+                        F.explode(F.slice(F.arrays_zip("names", "c"), 2, 100_000)).alias("z"))
+    return _cell_parts(cells.select("flight_id", "stamp", F.col("z.names").alias("parameter"), F.col("z.c").alias("cell")))
+
+
+def _csv_split(column):
+    """Cells of a CSV line with quoted cells (the quotes go)."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), F.col(column)), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), 1)
+    return F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(
+        F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def q_export_json_mixed(spark, sf):
+    """The JSON export read back as maps: columns and kinds are the flight's own."""
+    path = _export_folder(spark)
+    export.export_json(ev_mixed(spark, sf), path, EXPORT_DATE)
+    raw = spark.read.text(f"{path}/data").select("flight_id", F.from_json("value", "map<string,string>").alias("m"))
+    cells = raw.select("flight_id", F.try_element_at("m", F.lit("Timestamp")).alias("stamp"), F.explode("m")
+                       .alias("parameter", "cell")).filter(F.col("parameter") != "Timestamp")
+    return _cell_parts(cells.withColumn("cell", F.coalesce("cell", F.lit(""))))
+
+
+def q_export_bundle(spark, sf):
+    """The bundle's flight data read back."""
+    path = _export_folder(spark)
+    export.export_bundle(ev_mixed(spark, sf), path, (), EXPORT_DATE)
+    rows = spark.read.parquet(f"{path}/flight_data")
+    cells = rows.select("flight_id", F.date_format("Timestamp", export.CSV_TIME).alias("stamp"), F.explode("cells").alias("c"))
+    return cells.select("flight_id", "stamp", F.col("c.parameter").alias("parameter"), F.col("c.text").alias("text"),
+                        rnd(F.col("c.value")).alias("value"))
+
+
+def q_auto_report(spark, sf):
+    return _rounded(report.auto_report_long(ev_null(spark, sf), _limits_df(spark)), {"value": 4})
+
+
+def q_ingest_files(spark, sf):
+    """The event recordings written as files, one per flight, and read back from disk.
+
+    One folder name holds a space; its recording is too short and is refused,
+    which the result shows as a row with the refusal as parameter.
+    """
+    path = f"{checkpoint_dir(spark)}/recordings/{uuid.uuid4().hex}"
+    short = spark.createDataFrame([("too short", 0, "Description,A"), ("too short", 1, "EU,-")],
+                                  "flight_id string, line_no long, line string")
+    lines = tables.events_lines(spark, sf).unionByName(short)
+    (lines.repartition("flight_id").sortWithinPartitions("flight_id", "line_no")  # a file has one writer
+     .select("flight_id", "line").write.partitionBy("flight_id").text(path))
+    rec = ingest.ingest(read_recordings(spark, path, flight_id_from="path"))
+    folder = F.regexp_extract("flight_id", "flight_id=([^/]+)/", 1)
+    samples = _rounded(rec.samples, {"elapsed_s": 6, "value": 6})
+    refused = rec.issues.filter(F.col("code") == "TOO_FEW_LINES").select("flight_id", F.col("code").alias("parameter"))
+    return (samples.unionByName(refused, allowMissingColumns=True).withColumn("flight_id", folder))
+
+
 def q_report_tables(spark, sf):
     return _rounded(report.report_long(li_extra(spark, sf)), {"value": 4})
 
@@ -380,6 +468,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_metadata": q_export_metadata,
     "validate_export": q_validate_export,
     "export_roundtrip": q_export_roundtrip,
+    "export_csv": q_export_csv,
+    "export_json_mixed": q_export_json_mixed,
+    "export_bundle": q_export_bundle,
+    "auto_report": q_auto_report,
+    "ingest_files": q_ingest_files,
     "report_tables": q_report_tables,
 }
 

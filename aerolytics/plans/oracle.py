@@ -583,6 +583,61 @@ SELECT flight_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS "Timestamp", {R('k')}
        {R('elapsed_s')} AS elapsed_s
 FROM ev_base"""
 
+def _mixed(stamp: str) -> str:
+    return EV(True) + f""",
+cells AS (
+  SELECT flight_id, ts, parameter, text, value FROM ev
+  UNION ALL
+  SELECT flight_id, ts, 'mixed, kind', CASE WHEN flight_id IN ('click', 'error')
+           THEN 't"' || coalesce(CAST(CAST(trunc(k) AS INTEGER) AS VARCHAR), '') END,
+         CASE WHEN flight_id NOT IN ('click', 'error') THEN k END FROM ev_base
+  UNION ALL SELECT flight_id, ts, 'only_click', NULL, k * 2 FROM ev_base WHERE flight_id = 'click')
+SELECT flight_id, strftime(ts, '{stamp}') AS stamp, parameter, text, {R('value')} AS value FROM cells"""
+
+
+EXPORT_CSV = _mixed("%Y-%m-%d %H:%M:%S.%f")
+EXPORT_JSON = _mixed("%Y-%m-%dT%H:%M:%S.%f")
+
+INGEST_FILES = INGEST_SAMPLES + """
+UNION ALL SELECT 'too short', NULL, NULL, NULL, 'TOO_FEW_LINES', NULL, NULL"""
+
+AUTO_REPORT = EV(True) + ",\n" + _LIM + f""",
+ov AS (SELECT flight_id, count(*) FILTER (WHERE parameter = {EL}) AS n_points,
+              count(DISTINCT parameter) FILTER (WHERE parameter <> {EL}) AS n_parameters,
+              coalesce(max(value) FILTER (WHERE parameter = {EL}) / 60.0, 0.0) AS duration_min FROM ev GROUP BY 1),
+de AS (SELECT flight_id, parameter, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
+              quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75,
+              max(value) AS max FROM ev WHERE text IS NULL GROUP BY 1, 2),
+ts AS (SELECT flight_id, count(*) AS n, epoch_us(min(ts)) / 1e6 AS first, epoch_us(max(ts)) / 1e6 AS last
+       FROM ev_base GROUP BY 1),
+mp AS (SELECT flight_id, parameter, count(*) FILTER (WHERE value IS NULL AND text IS NULL) AS missing FROM ev GROUP BY 1, 2),
+ms AS (SELECT flight_id, CAST(bool_or(missing > 0) AS INTEGER) AS any_missing,
+              count(*) FILTER (WHERE missing > 0) AS nm FROM mp GROUP BY 1),
+li AS (SELECT d.flight_id, d.parameter, d.min, d.max, l.limit_min, l.limit_max FROM de d JOIN lim l USING (parameter)),
+st AS (SELECT *, 'below' AS status FROM li WHERE min < limit_min
+       UNION ALL SELECT *, 'above' FROM li WHERE max > limit_max
+       UNION ALL SELECT *, 'ok' FROM li WHERE limit_min <= min AND max <= limit_max),
+u AS (
+  SELECT flight_id, 'overview' AS section, '' AS key, 'n_points' AS field, CAST(n_points AS DOUBLE) AS value FROM ov
+  UNION ALL SELECT flight_id, 'overview', '', 'n_parameters', CAST(n_parameters AS DOUBLE) FROM ov
+  UNION ALL SELECT flight_id, 'overview', '', 'duration_min', duration_min FROM ov
+  UNION ALL SELECT flight_id, 'describe', parameter, 'count', CAST(n AS DOUBLE) FROM de
+  UNION ALL SELECT flight_id, 'describe', parameter, 'mean', mean FROM de
+  UNION ALL SELECT flight_id, 'describe', parameter, 'std', std FROM de
+  UNION ALL SELECT flight_id, 'describe', parameter, 'min', min FROM de
+  UNION ALL SELECT flight_id, 'describe', parameter, 'q25', q25 FROM de
+  UNION ALL SELECT flight_id, 'describe', parameter, 'q50', q50 FROM de
+  UNION ALL SELECT flight_id, 'describe', parameter, 'q75', q75 FROM de
+  UNION ALL SELECT flight_id, 'describe', parameter, 'max', max FROM de
+  UNION ALL SELECT flight_id, 'describe', 'Timestamp', 'count', CAST(n AS DOUBLE) FROM ts
+  UNION ALL SELECT flight_id, 'describe', 'Timestamp', 'first', first FROM ts
+  UNION ALL SELECT flight_id, 'describe', 'Timestamp', 'last', last FROM ts
+  UNION ALL SELECT flight_id, 'missing', '', 'any_missing', CAST(any_missing AS DOUBLE) FROM ms
+  UNION ALL SELECT flight_id, 'missing', '', 'n_columns_with_missing', CAST(nm AS DOUBLE) FROM ms
+  UNION ALL SELECT flight_id, 'limits', parameter || '|' || status, 'min_value', min FROM st
+  UNION ALL SELECT flight_id, 'limits', parameter || '|' || status, 'max_value', max FROM st)
+SELECT flight_id, section, key, field, {R('value', 4)} AS value FROM u"""
+
 REPORT = LI(True) + f""",
 ov AS (SELECT flight_id, count(*) FILTER (WHERE parameter = {EL}) AS n_points,
               count(DISTINCT parameter) FILTER (WHERE parameter <> {EL}) AS n_parameters,
@@ -659,5 +714,10 @@ ORACLE: dict[str, str] = {
     "fft_large": FFT,
     "spectrum_dispatch": SPECTRUM_DISPATCH,
     "series_scatter_xy": SERIES_SCATTER_XY,
+    "export_csv": EXPORT_CSV,
+    "export_json_mixed": EXPORT_JSON,
+    "export_bundle": EXPORT_CSV,
+    "auto_report": AUTO_REPORT,
+    "ingest_files": INGEST_FILES,
     "report_tables": REPORT,
 }

@@ -89,9 +89,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         bucket = (F.when(F.col("_v") == F.col("a"), F.lit(0)).when(F.col("_v") == F.col("b"), F.lit(BUCKETS - 1))
                   .when(part.isNotNull(), F.greatest(F.lit(0), F.least(F.floor(part * BUCKETS), F.lit(BUCKETS - 1))))
                   .otherwise(F.lit(BUCKETS // 2)).cast("int"))
-        hist = j.groupBy(*keys, "r", "a", "b", "c", bucket.alias("k")).agg(
+        hist = j.groupBy(*keys, "r", "a", "b", "c", bucket.alias("_bucket")).agg(
             F.count(F.lit(1)).alias("cnt"), F.min("_v").alias("kmin"), F.max("_v").alias("kmax"))
-        w = (Window.partitionBy(*keys, "r").orderBy("k")
+        w = (Window.partitionBy(*keys, "r").orderBy("_bucket")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         hist = hist.withColumn("upto", F.col("c") + F.sum("cnt").over(w))
         hit = hist.filter((F.col("upto") - F.col("cnt") <= F.col("r")) & (F.col("r") < F.col("upto")))

@@ -84,11 +84,12 @@ def pivot(samples: DataFrame, parameters: Sequence[str],
 
     The row key is (flight_id, row_no); grouping by it spreads a large flight
     over all tasks. Numeric parameters give their value, those listed in
-    ``text_parameters`` their text.
+    ``text_parameters`` their text, or their value as text where a flight holds numbers.
     """
     s = samples.filter(F.col("parameter").isin(list(parameters)))
     cols = [F.first(F.when(F.col("parameter") == p,
-                           F.col("text") if p in text_parameters else F.col("value")),
+                           F.coalesce("text", F.col("value").cast("string")) if p in text_parameters
+                           else F.col("value")),
                     ignorenulls=True).alias(p)
             for p in parameters]
     return s.groupBy("flight_id", "row_no").agg(F.first("ts").alias(TIMESTAMP_COLUMN), *cols)

@@ -14,23 +14,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolytics.session import join_small
 
 
+def decoded_path(path: Column) -> Column:
+    """A file path as it is on disk; the metadata column gives it URL-encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def read_recordings(spark: SparkSession, paths: str | Sequence[str],
                     flight_id_from: str = "name") -> DataFrame:
     """Read recording files into ``lines``.
 
-    ``flight_id_from``: ``"name"`` uses the file name without extension,
-    ``"path"`` the full path.
+    ``flight_id_from``: ``"name"`` uses the file name without extension, but the
+    path for files that share a name with another one read here; ``"path"``
+    always the full path. Both are decoded (a space is a space).
     """
     if isinstance(paths, str):
         paths = [paths]
     raw = (spark.read.option("lineSep", "\n").option("wholetext", "false").text(list(paths))
-           .select(F.col("_metadata.file_path").alias("_path"),
+           .select(decoded_path(F.col("_metadata.file_path")).alias("_path"),
                    F.col("_metadata.file_block_start").alias("_split"),
                    F.monotonically_increasing_id().alias("_id"),
                    F.col("value").alias("line")))
@@ -39,11 +45,15 @@ def read_recordings(spark: SparkSession, paths: str | Sequence[str],
     before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_path", "_split", "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    lines = join_small(raw, splits, ["_path", "_split"])
-    if flight_id_from == "path":
-        fid = F.col("_path")
-    else:
-        fid = F.regexp_extract(F.col("_path"), r"([^/]+?)(\.[^./]*)?$", 1)
+    fid = F.col("_path")
+    if flight_id_from != "path":
+        # One row per input split: a name that several files have names none of them.
+        name = F.regexp_extract(F.col("_path"), r"([^/]+?)(\.[^./]*)?$", 1)
+        paths = splits.groupBy(name.alias("_name")).agg(F.count_distinct("_path").alias("_paths"))
+        splits = splits.withColumn("_name", name).join(paths, "_name")
+        fid = F.when(F.col("_paths") == 1, F.col("_name")).otherwise(fid)
+    lines = join_small(raw, splits.withColumn("_flight", fid), ["_path", "_split"])
+    fid = F.col("_flight")
     return lines.select(fid.alias("flight_id"),
                         (F.col("_off") + F.col("_id") - F.col("_first")).cast("long").alias("line_no"),
                         "line")

@@ -14,10 +14,9 @@ from aerolytics.plans.ordering import dense_row_number
 from aerolytics.schema import unpivot
 from aerolytics.session import join_small
 
-EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 BOM = "\ufeff"
-# Block width for time-ordered rows: 2^24 us, about 17 s of one flight.
-TIME_BLOCK_BITS = 24
+# Rows of a flight per block on average when its rows are numbered by time.
+BLOCK_ROWS = 1 << 16
 
 # The fault rules injected into the event-derived recordings, by
 # event_id divisor. Applied identically in the DuckDB oracle.
@@ -40,13 +39,25 @@ EVENT_TS_LAYOUT = {
 MIXED_FLIGHT_LAYOUTS = ("DDD:HH:mm:ss.SSSSSS", "HH:mm:ss")  # 3 of 5 events, then 2 of 5
 
 
-def _micros(ts):
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), ts)
+def _numbered_by_time(df: DataFrame, out: str = "row_no") -> DataFrame:
+    """Rows numbered by (ts, event_id), with ``elapsed_s`` since the flight's first timestamp.
 
-
-def _elapsed(df: DataFrame, keys=("flight_id",)) -> DataFrame:
-    start = df.groupBy(*keys).agg(F.min("ts").alias("_t0"))
-    return (join_small(df, start, list(keys))
+    One aggregate over the raw rows gives each flight's span and size; the span
+    is cut into as many blocks as the flight has BLOCK_ROWS, however sparse.
+    """
+    bounds = df.groupBy("flight_id").agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"),
+                                         F.count(F.lit(1)).alias("_n"))
+    d = join_small(df, bounds, ["flight_id"])
+    since = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("ts"))
+    width = F.ceil((F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("_t1")) + 1)
+                   / F.ceil(F.col("_n") / BLOCK_ROWS))
+    d = d.withColumn("elapsed_s", since / 1e6).withColumn("_block", F.floor(since / width)).drop("_t0", "_t1", "_n")
+    return dense_row_number(d, ["flight_id"], ["ts", "event_id"], F.col("_block"), out).drop("_block")
+
+
+def _elapsed(df: DataFrame) -> DataFrame:
+    start = df.groupBy("flight_id").agg(F.min("ts").alias("_t0"))
+    return (join_small(df, start, ["flight_id"])
             .withColumn("elapsed_s", F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("ts")) / 1e6)
             .drop("_t0"))
 
@@ -71,9 +82,7 @@ def events_samples(spark: SparkSession, sf_dir: str, with_nulls: bool = False,
         value = F.when(F.col("event_id") % NULL_VALUE_EVERY != 0, value)
     base = ev.select(_event_flight(per_type).alias("flight_id"), "event_id", "ts", value.alias("value"),
                      F.get_json_object("props", "$.k").cast("double").alias("k"))
-    base = dense_row_number(base, ["flight_id"], ["ts", "event_id"],
-                            F.shiftright(_micros(F.col("ts")), TIME_BLOCK_BITS))
-    base = _elapsed(base)
+    base = _numbered_by_time(base)
     return unpivot(base, {"value": "value", "k": "k"}, "flight_id", "row_no", "ts", "elapsed_s")
 
 
@@ -90,9 +99,9 @@ def lineitem_samples(spark: SparkSession, sf_dir: str, extra: bool = False) -> D
                      "l_suppkey",
                      F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
                      "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    base = dense_row_number(base, ["flight_id"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+    # The first date comes from the raw rows, before they are numbered.
+    base = dense_row_number(_elapsed(base), ["flight_id"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
                             F.shiftright(F.col("l_orderkey"), 12))
-    base = _elapsed(base)
     params = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice",
               "l_discount": "l_discount", "l_tax": "l_tax"}
     if extra:
@@ -150,8 +159,7 @@ def events_lines(spark: SparkSession, sf_dir: str, per_type: int | None = None)
     body = F.when(eid % LONG_ROW_EVERY == 0, F.concat(body, F.lit(",extra"))).otherwise(body)
     line = F.when(eid % BLANK_LINE_EVERY == 0, F.lit("  ")).otherwise(body)
     data = ev.select(_event_flight(per_type).alias("flight_id"), "ts", "event_id", line.alias("line"))
-    data = dense_row_number(data, ["flight_id"], ["ts", "event_id"],
-                            F.shiftright(_micros(F.col("ts")), TIME_BLOCK_BITS), out="_seq")
+    data = _numbered_by_time(data, out="_seq")
     data = data.select("flight_id", (F.col("_seq") + 2).alias("line_no"), "line")
     flights = ev.select(_event_flight(per_type).alias("flight_id")).distinct()
     head = flights.select("flight_id", F.explode(F.array(

@@ -3,9 +3,10 @@
 The file stream source finds new files (a file is never split across
 micro-batches); ``foreachBatch`` takes the file names of the batch (at most
 ``max_files`` of them) and runs the batch ingest on exactly those files, so
-line order and every per-flight decision see whole recordings. Output goes to
-Parquet folders (samples partitioned by flight); the stream checkpoint makes
-the sink exactly-once per batch.
+line order and every per-flight decision see whole recordings. Each batch
+overwrites its own ``batch_id=`` folder of every table, so a batch that is run
+again after a failure replaces what it had written. Files of one name in
+different batches have one flight_id in different ``batch_id`` partitions.
 """
 
 from __future__ import annotations
@@ -15,20 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from aerolytics.operators.ingest import ingest
-from aerolytics.sources.recordings import read_recordings
+from aerolytics.sources.recordings import decoded_path, read_recordings
 
 
 def _write_batch(output_dir: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        files = [r.path for r in batch.select(F.col("_metadata.file_path").alias("path")).distinct().collect()]
+        files = [r.path for r in batch.select(decoded_path(F.col("_metadata.file_path")).alias("path"))
+                 .distinct().collect()]  # at most max_files
         if not files:
             return
         spark = batch.sparkSession
         rec = ingest(read_recordings(spark, files))
-        rec.samples.write.mode("append").partitionBy("flight_id").parquet(f"{output_dir}/samples")
-        rec.parameters.write.mode("append").parquet(f"{output_dir}/parameters")
-        rec.flights.write.mode("append").parquet(f"{output_dir}/flights")
-        rec.issues.write.mode("append").parquet(f"{output_dir}/issues")
+        for table in ("samples", "parameters", "flights", "issues"):
+            getattr(rec, table).write.mode("overwrite").parquet(f"{output_dir}/{table}/batch_id={batch_id}")
     return run
 
 

@@ -44,7 +44,10 @@ def test_report_dictionaries(spark):
     s = series_samples(spark, {"f": {"a": [1.0, None, 3.0], "c": [2.0, 2.0, 2.0]}})
     lim = spark.createDataFrame([("a", 0.0, 2.0)], "parameter string, min double, max double")
     auto = report.auto_report_tables(s, lim)
-    assert set(auto) == {"overview", "describe", "missing", "limits"}
+    assert set(auto) == {"overview", "describe", "describe_timestamp", "missing", "limits"}
+    assert auto["describe_timestamp"].first()["count"] == 3
+    charts = [{"id": "c", "parameters": ["a"]}]
+    assert report.flight_report_tables(s, charts)["charts"].first().id == "c"
     assert auto["limits"].first().status == "above"
     flight = report.flight_report_tables(s)
     assert [r.parameter for r in flight["constants"].collect()] == ["c"]
