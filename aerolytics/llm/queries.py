@@ -1,4 +1,4 @@
-"""The registered training-data queries and their DuckDB twins."""
+"""The registered training-data queries; their DuckDB twins are in ``oracle``."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolytics.llm import exact, licenses, packing, pieces, pii, quality, simhash, substrings, suffixes, toxicity
 from aerolytics.llm.common import documents
+from aerolytics.llm.oracle import ORACLE
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {
-    "op4_exact_dedup": """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY t)
-SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
-FROM d JOIN g USING (t)
-""",
-}
+__all__ = ["QUERIES", "ORACLE"]

@@ -41,3 +41,14 @@ def test_stages_survive_messy_and_empty_documents(spark):
         for name, stage in corpus_pipeline.STAGES:
             rows = stage(spark, frame, SF).collect()
             assert (len(rows) > 0) == (n > 0), name
+
+
+def test_queries_with_sql_match_duckdb(spark):
+    import duckdb
+
+    from scripts.check_oracle import rows
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    from aerolytics.llm.oracle import ORACLE
+    for name, sql in ORACLE.items():
+        assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(con.execute(sql).fetchdf()), name
