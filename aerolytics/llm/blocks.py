@@ -82,41 +82,45 @@ class Keys:
         self.place = np.empty(len(order), np.int32)
         self.place[order] = np.cumsum(new) - 1
         self.high, self.low, self.high_bits = high[at], low[at], high_bits
-        self.many = np.diff(np.append(at, len(order))) > 1
+        self.counts = np.diff(np.append(at, len(order)))
+        self.many = self.counts > 1
 
     def slices(self, bits: int) -> np.ndarray:
         """Edges of 2^bits equal slices of the key range among the distinct keys."""
         tops = np.arange(1 << bits, dtype=np.uint64) << np.uint64(self.high_bits - bits)
         return np.append(np.searchsorted(self.high, tops), len(self.high))
 
-    def sent(self, a: int, b: int, with_check: bool) -> bytes:
-        """Keys a..b as byte-packed gaps, checks and one bit for those found twice in the block."""
+    def sent(self, a: int, b: int, with_check: bool, with_counts: bool) -> bytes:
+        """Keys a..b as byte-packed gaps, checks and counts if asked for, and a bit for those found twice here."""
         high = self.high[a:b]
         gaps = np.diff(high, prepend=high[:1])
         width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
         packed_gaps = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
         return b"".join([np.array([b - a, width, high[0]], "<u8").tobytes(), packed_gaps.tobytes(),
                          self.low[a:b].astype("<u4").tobytes() if with_check else b"",
+                         self.counts[a:b].astype("<u4").tobytes() if with_counts else b"",
                          np.packbits(self.many[a:b]).tobytes()])
 
 
-def _received(blob: bytes, with_check: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _received(blob: bytes, with_check: bool, with_counts: bool) -> tuple[np.ndarray, ...]:
     n, width, first = (int(x) for x in np.frombuffer(blob, "<u8", 3))
     gaps = np.zeros((n, 8), np.uint8)
     gaps[:, :width] = np.frombuffer(blob, np.uint8, n * width, 24).reshape(n, width)
     at = 24 + n * width
     low = np.frombuffer(blob, "<u4", n, at) if with_check else np.zeros(n, np.uint32)
-    many = np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, at + 4 * n * with_check), count=n)
-    return np.cumsum(gaps.view("<u8").reshape(-1)) + np.uint64(first), low, many.astype(bool)
+    at += 4 * n * with_check
+    counts = np.frombuffer(blob, "<u4", n, at) if with_counts else np.ones(n, np.uint32)
+    many = np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, at + 4 * n * with_counts), count=n)
+    return np.cumsum(gaps.view("<u8").reshape(-1)) + np.uint64(first), low, many.astype(bool), counts
 
 
-def answered(blocks: DataFrame, keys_of, slice_bits: int, with_check: bool = False, heavy: int = 1 << 30) -> DataFrame:
+def answered(blocks: DataFrame, keys_of, slice_bits: int, with_check: bool = False, heavy: int | None = None) -> DataFrame:
     """``blocks`` with ``flags``: per slice, bits that tell which of the block's keys stand elsewhere.
 
     ``keys_of(texts)`` gives a block's Keys. Every block sends each slice its
     distinct keys once, so a key held by any share of the rows adds one entry
     per block. A slice answers with a bit per key for "found again in the
-    corpus" and a bit for "found in ``heavy`` blocks or more".
+    corpus" and, if ``heavy`` is given, one for "found ``heavy`` times or more".
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,23 +128,24 @@ def answered(blocks: DataFrame, keys_of, slice_bits: int, with_check: bool = Fal
                 block_id, ids, payload = (c[r].as_py() for c in batch.columns)
                 keys = keys_of(unpacked(ids, payload))
                 edges = keys.slices(slice_bits)
-                rows = [(s, keys.sent(a, b, with_check))
+                rows = [(s, keys.sent(a, b, with_check, heavy is not None))
                         for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s for s, _ in rows], pa.int32()), pa.array([block_id] * len(rows), pa.string()),
                      pa.array([k for _, k in rows], pa.binary())], ["slice", "block_id", "keys"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_received(b, with_check) for b in pdf["keys"]]
-        high, low, many = (np.concatenate(c) for c in zip(*parts))
+        parts = [_received(b, with_check, heavy is not None) for b in pdf["keys"]]
+        high, low, many, counts = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((low, high))
         new = np.append(True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
-        holders = np.diff(np.append(np.flatnonzero(new), len(order)))[np.cumsum(new) - 1]
-        found = np.empty(len(order), np.int64)
-        found[order] = holders
+        first, of = np.flatnonzero(new), np.cumsum(new) - 1
+        holders, found = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        holders[order] = np.diff(np.append(first, len(order)))[of]
+        found[order] = np.add.reduceat(counts[order].astype(np.int64), first)[of]
         ends = np.cumsum([len(p[0]) for p in parts])
         bits = [[np.packbits(x[e - len(p[0]):e]).tobytes() for e, p in zip(ends, parts)]
-                for x in (many | (found > 1), found >= heavy)]
+                for x in (many | (holders > 1), found >= (heavy or 1 << 62))]
         return pd.DataFrame({"slice": pdf["slice"], "block_id": pdf["block_id"], "again": bits[0], "heavy": bits[1]})
 
     sent = blocks.select("block_id", "ids", "payload").mapInArrow(send, "slice int, block_id string, keys binary")

@@ -5,9 +5,12 @@ transform takes as many rounds as the longest document has bytes, each over the
 whole transform. Two steps keep the method and bound the rounds:
 
 * Every string of the repeat length holds an anchor, the smallest hash of its
-  short substrings. Equal strings have equal anchors at equal offsets, so only
-  anchors found twice in the corpus can lie in a repeat, and the text around
-  such anchors, aligned at them, is the collection (few hundred columns).
+  short substrings. Equal strings have equal anchors at equal offsets, so the
+  text around anchors, aligned at them, is the collection. The strings over an
+  anchor fall into a few cells by their start; all strings of a cell share a
+  core of several hundred bytes, and only cores found twice in the corpus go on.
+  A segment of the collection is the core, as one symbol (its 128-bit hash),
+  with the margins before and after it.
 * The collection is built column by column from the right: each round inserts
   one symbol per segment, keeps the order of all segments' suffixes and updates
   the common prefixes of neighbours from those of the round before. The symbols
@@ -15,7 +18,7 @@ whole transform. Two steps keep the method and bound the rounds:
   from sequential external column files. Suffixes of one column are all that a
   repeat can match, because of the alignment.
 
-A window whose neighbour shares the whole repeat length is removed.
+A string whose neighbour shares the whole repeat length is removed.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - gives pa.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +41,18 @@ REPEAT_BYTES = 400
 ANCHOR_BYTES = 32
 #: Window starts hashed at once.
 PIECE = 1 << 18
-#: Anchors a slice counts, and segments a task builds, on average.
-SLICE_ANCHORS = 1 << 20
-TASK_SEGMENTS = 1 << 15
-#: An anchor in so many blocks is dealt by what surrounds it, in CELLS groups.
-HEAVY_BLOCKS = 1 << 10
-CELLS = 8
+#: Cores a slice counts, and segments a task builds, on average.
+SLICE_CORES = 1 << 20
+TASK_SEGMENTS = 1 << 17
+#: Strings over an anchor by start, in so many cells.
+CELLS = 4
+#: A core found so often is dealt in finer cells of so many starts: their longer
+#: cores part what only shares the passage, and their margins are a few bytes.
+HEAVY_CORE = 1 << 11
+FINE_STARTS = 8
 # Fixed value: odd multiplier of the rolling hash (modulo 2^64).
 BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
 
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -104,6 +112,11 @@ def anchors(texts: list[bytes], repeat: int = REPEAT_BYTES, width: int = ANCHOR_
     return positions, hashes[first]
 
 
+def cells_of(first: int, last: int, starts: int) -> list[int]:
+    """First starts of cells of ``starts`` starts that cover first..last; the last cell may overlap."""
+    return [min(f, last - starts + 1) for f in range(first, last + 1, starts)]
+
+
 def column_rounds(groups: np.ndarray, low: np.ndarray, high: np.ndarray, column, width: int, starts: int,
                   repeat: int) -> Iterator[tuple[int, np.ndarray]]:
     """Right-to-left construction over aligned segments; yields (column, repeated segments).
@@ -136,57 +149,67 @@ def column_rounds(groups: np.ndarray, low: np.ndarray, high: np.ndarray, column,
             yield j, order[full[:-1] | full[1:]]
 
 
-def _repeated_starts(rows: Iterator[pa.RecordBatch], width: int, starts: int, repeat: int):
-    """Runs the rounds over all rows of a task; yields (block ids, positions, start bits).
+class _Rounds:
+    """The segments of one margin in a task: an external column file and what is needed per segment.
 
-    Segments go to an external file, column by column per batch, and each round
-    reads its column front to back; memory holds the order and the result bits.
+    Segments are written column by column per batch, and each round reads its
+    column front to back; memory holds the order and the result bits.
     """
-    meta: list[tuple] = []
-    batches: list[tuple[int, int]] = []
-    with tempfile.TemporaryFile() as file:
-        for batch in rows:
-            n = batch.num_rows
-            if not n:
-                continue
-            flat = np.zeros((n, width), np.uint8)
-            group, low, high = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4))
-            for i, segment in enumerate(batch.column(5).to_pylist()):
-                flat[i, low[i]:high[i]] = np.frombuffer(segment, np.uint8)
-            batches.append((file.tell(), n))
-            file.write(np.ascontiguousarray(flat.T).tobytes())
-            meta.append((group, batch.column(1), batch.column(2), low, high))
-        if not meta:
-            return
-        group, low, high = (np.concatenate([m[i] for m in meta]) for i in (0, 3, 4))
-        _, group = np.unique(group, return_inverse=True)
-
-        def column(j: int) -> np.ndarray:
-            parts = []
-            for offset, n in batches:
-                file.seek(offset + j * n)
-                parts.append(np.frombuffer(file.read(n), np.uint8))
-            return np.concatenate(parts)
 
-        bits = np.zeros((len(group), (starts + 7) // 8), np.uint8)
+    def __init__(self, margin: int):
+        self.margin, self.file = margin, tempfile.TemporaryFile()
+        self.batches: list[tuple[int, int]] = []
+        self.meta: list[tuple] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        n, width = batch.num_rows, 2 * self.margin
+        one, two, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "key2", "low", "high"))
+        columns = np.zeros((n, width), np.uint8)
+        for i, segment in enumerate(batch.column("segment").to_pylist()):
+            columns[i, low[i]:high[i]] = np.frombuffer(segment, np.uint8)
+        self.batches.append((self.file.tell(), n))
+        self.file.write(np.ascontiguousarray(columns.T).tobytes())
+        self.meta.append((one, two, low, high, batch.column("block_id"), batch.column("positions")))
+
+    def column(self, j: int) -> np.ndarray:
+        parts = []
+        for offset, n in self.batches:
+            self.file.seek(offset + j * n)
+            parts.append(np.frombuffer(self.file.read(n), np.uint8))
+        return np.concatenate(parts)
+
+    def repeated(self) -> Iterator[pa.RecordBatch]:
+        """Batches (block_id, positions, starts as bits) of the segments that repeat."""
+        one, two, low, high = (np.concatenate([m[i] for m in self.meta]) for i in range(4))
+        order = np.lexsort((two, one))
+        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
         # A segment that its block holds at several positions repeats as a whole.
-        many = np.flatnonzero(np.concatenate([np.array([len(p.as_py()) > 8 for p in m[2]], bool) for m in meta]))
-        for j, segments in column_rounds(group, low, high, column, width, starts, repeat):
+        many = np.concatenate([pa.compute.binary_length(m[5]).to_numpy(zero_copy_only=False) > 8 for m in self.meta])
+        starts = self.margin + 1
+        bits = np.zeros((len(group), (starts + 7) // 8), np.uint8)
+
+        def mark(j: int, segments: np.ndarray) -> None:
             bits[segments, j >> 3] |= np.uint8(1 << (j & 7))
-            whole = many[(low[many] <= j) & (j + repeat <= high[many])]
-            bits[whole, j >> 3] |= np.uint8(1 << (j & 7))
-    hit = bits.any(1)
-    done = 0
-    for m in meta:
-        n = len(m[0])
-        rows_hit = np.flatnonzero(hit[done:done + n])
-        take = pa.array(rows_hit)
-        yield m[1].take(take), m[2].take(take), [b.tobytes() for b in bits[done + rows_hit]]
-        done += n
+
+        for j, segments in column_rounds(group, low, high, self.column, 2 * self.margin, starts, self.margin):
+            mark(j, segments)
+            mark(j, np.flatnonzero(many & (low <= j) & (j + self.margin <= high)))
+        if not self.margin:  # the core is the string
+            mark(0, np.flatnonzero(many | (np.bincount(group)[group] > 1)))
+        hit, done = bits.any(1), 0
+        for m in self.meta:
+            rows = np.flatnonzero(hit[done:done + len(m[0])])
+            yield pa.RecordBatch.from_arrays(
+                [m[4].take(pa.array(rows)), m[5].take(pa.array(rows)),
+                 pa.array([b.tobytes() for b in bits[done + rows]], pa.binary())], ["block_id", "positions", "starts"])
+            done += len(m[0])
+        self.file.close()
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT_BYTES,
-                   heavy_blocks: int = HEAVY_BLOCKS) -> DataFrame:
+                   heavy: int = HEAVY_CORE) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes), kept.
 
     A byte goes if a string of ``repeat`` bytes over it starts anywhere else
@@ -199,63 +222,79 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark, width = docs.sparkSession, ANCHOR_BYTES if repeat >= 2 * ANCHOR_BYTES else max(1, repeat // 4)
     left = repeat - width  # bytes before an anchor, and the last start that holds it
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    n_anchors = 1 + 2 * n_bytes // (left + 2)
-    bits = slice_bits(spark, n_anchors, SLICE_ANCHORS)
-    cell = -(-(left + 1) // CELLS)
+    n_cores = CELLS * (1 + 2 * n_bytes // (left + 2))
+    bits = slice_bits(spark, n_cores, SLICE_CORES)
+    starts = -(-(left + 1) // CELLS)
+    firsts, fine = cells_of(0, left, starts), min(FINE_STARTS, starts)
+
+    def cores(texts: list[bytes]) -> tuple[bytes, list[tuple]]:
+        """The joined texts, and (text begin, text end, cell start, its first start, core digest) per anchor and cell."""
+        data, found = b"".join(texts), []
+        ends = np.cumsum([len(t) for t in texts])
+        at = anchors(texts, repeat, width)[0]
+        text_of = np.searchsorted(ends, at, side="right")
+        upper = ends[text_of].tolist()
+        lower = (ends - [len(t) for t in texts])[text_of].tolist()
+        digest = xxhash.xxh3_128_intdigest
+        for p, begin, end in zip(at.tolist(), lower, upper):
+            for first in firsts:
+                a = p - left + first
+                # Some string of the cell lies in the text; then its core does.
+                if max(a, begin) + repeat <= min(a + starts - 1 + repeat, end):
+                    found.append((begin, end, a, first, digest(data[a + starts - 1:a + repeat], first)))
+        return data, found
 
     def keys_of(texts: list[bytes]) -> Keys:
-        return Keys(anchors(texts, repeat, width)[1])
+        return Keys(np.array([c[4] & _MASK for c in cores(texts)[1]], np.uint64))
 
-    marked = answered(blocks, keys_of, bits, heavy=heavy_blocks)
+    marked = answered(blocks, keys_of, bits, heavy=heavy)
+    fields = ["key", "key2", "block_id", "positions", "margin", "low", "high", "segment"]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Text around anchors that stand elsewhere too: once per block and content, with all its positions."""
+        """Margins around cores that stand elsewhere too: once per block and content, with all positions."""
         for batch in batches:
             for r in range(batch.num_rows):
                 block_id, ids, payload, flags = (c[r].as_py() for c in batch.columns)
-                texts = unpacked(ids, payload)
-                at, hashes = anchors(texts, repeat, width)
-                keys = Keys(hashes)
-                again, heavy = (flagged(keys, flags, bits, name) for name in ("again", "heavy"))
-                ends = np.cumsum([len(t) for t in texts])
-                data, found = b"".join(texts), {}
-                text_of = np.searchsorted(ends, at, side="right")
-                begins = ends - [len(t) for t in texts]
-                for k in np.flatnonzero(again).tolist():
-                    p, begin, end = int(at[k]), int(begins[text_of[k]]), int(ends[text_of[k]])
-                    # Columns are counted from ``left`` bytes before the anchor.
-                    cells = [(0, left, int(hashes[k]))]
-                    if heavy[k]:
-                        cells = [(c, min(c + cell, left + 1) - 1, None) for c in range(0, left + 1, cell)]
-                    for first, last, group in cells:
-                        a = p - left + first
-                        b = p - left + last + repeat
-                        lo, hi = max(a, begin), min(b, end)
-                        if hi - lo < repeat:
+                data, of_block = cores(unpacked(ids, payload))
+                keys, found = Keys(np.array([c[4] & _MASK for c in of_block], np.uint64)), {}
+                heavy_key = flagged(keys, flags, bits, "heavy")
+                for k in np.flatnonzero(flagged(keys, flags, bits)).tolist():
+                    begin, end, cell, first, core = of_block[k]
+                    parts = [(cell, starts - 1, core)]
+                    if heavy_key[k]:
+                        parts = [(a, fine - 1, None) for a in cells_of(cell, cell + starts - 1, fine)]
+                    for a, margin, core in parts:
+                        lo, hi = max(a, begin), min(a + margin + repeat, end)
+                        if lo + repeat > hi:
                             continue
-                        if group is None:
-                            # Every string of the cell holds its core, so the core can name the group.
-                            core = data[p - left + last:p - left + first + repeat]
-                            group = xxhash.xxh64_intdigest(core, int(hashes[k]) ^ first)
-                        found.setdefault((group, lo - a, hi - a, data[lo:hi]), []).append(a)
+                        if core is None:
+                            core = xxhash.xxh3_128_intdigest(data[a + margin:a + repeat], a - cell + (first + 1 << 20))
+                        text = data[lo:a + margin] + data[a + repeat:hi]
+                        found.setdefault((core, margin, lo - a, hi - a - repeat + margin, text), []).append(a)
+                rows = list(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array([g for g, _, _, _ in found], np.uint64).view(np.int64)),
-                     pa.array([block_id] * len(found), pa.string()),
+                    [pa.array(np.array([x[0] & _MASK for x in rows], np.uint64).view(np.int64)),
+                     pa.array(np.array([x[0] >> 64 for x in rows], np.uint64).view(np.int64)),
+                     pa.array([block_id] * len(rows), pa.string()),
                      pa.array([np.array(v, "<i8").tobytes() for v in found.values()], pa.binary()),
-                     pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()),
-                     pa.array([x[3] for x in found], pa.binary())],
-                    ["key", "block_id", "positions", "low", "high", "segment"])
+                     *[pa.array([x[i] for x in rows], pa.int32()) for i in (1, 2, 3)],
+                     pa.array([x[4] for x in rows], pa.binary())], fields)
 
     def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block_id, positions, start_bits in _repeated_starts(batches, left + repeat, left + 1, repeat):
-            yield pa.RecordBatch.from_arrays([block_id, positions, pa.array(start_bits, pa.binary())],
-                                             ["block_id", "positions", "starts"])
+        by_margin: dict[int, _Rounds] = {}
+        for batch in batches:
+            margins = batch.column("margin").to_numpy(zero_copy_only=False)
+            for m in np.unique(margins).tolist():
+                by_margin.setdefault(m, _Rounds(m)).add(batch.take(pa.array(np.flatnonzero(margins == m))))
+        for group in by_margin.values():
+            yield from group.repeated()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_anchors // TASK_SEGMENTS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_cores // TASK_SEGMENTS)
     found = (marked.where("flags is not null").select("block_id", "ids", "payload", "flags")
-             .mapInArrow(segments, "key long, block_id string, positions binary, low int, high int, segment binary"))
+             .mapInArrow(segments, "key long, key2 long, block_id string, positions binary, margin int, low int, "
+                                   "high int, segment binary"))
     repeats = found.repartition(parts, "key").mapInArrow(rounds, "block_id string, positions binary, starts binary")
-    # A block's list is bounded by its anchors.
+    # A block's list is bounded by its anchors and cells.
     per_block = repeats.groupBy("block_id").agg(F.collect_list(F.struct("positions", "starts")).alias("hits"))
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

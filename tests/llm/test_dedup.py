@@ -161,13 +161,13 @@ def brute_bytes(rows, repeat):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("repeat, block_bytes, heavy", [(400, 8 << 20, 1 << 10), (400, 3000, 2), (40, 20_000, 2)])
+@pytest.mark.parametrize("repeat, block_bytes, heavy", [(400, 8 << 20, 1 << 11), (400, 3000, 3), (40, 20_000, 2)])
 def test_byte_repeats_match_brute_force(spark, monkeypatch, repeat, block_bytes, heavy):
     monkeypatch.setattr(blocks.packed, "__defaults__", (block_bytes,))
     monkeypatch.setattr(suffixes, "PIECE", 1 << 12)
     rows = [r for r in messy_rows() if r[0] != 10]  # brute force holds every window
     docs = messy(spark).where("doc_id is null or doc_id <> 10")
-    got = suffixes.repeated_spans(docs, repeat=repeat, heavy_blocks=heavy)
+    got = suffixes.repeated_spans(docs, repeat=repeat, heavy=heavy)
     assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, repeat)
     for r in got.collect():
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
