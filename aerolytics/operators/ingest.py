@@ -31,7 +31,7 @@ from aerolytics.functions.text import (ELAPSED_COLUMN, TIMESTAMP_COLUMN, column_
 from aerolytics.functions.timestamps import TS_FORMATS, with_timestamp
 from aerolytics.plans.quantiles import quantile_columns
 from aerolytics.plans.ordering import ROW_BLOCK_BITS, dense_row_number, keep_not_null, previous_values
-from aerolytics.session import BROADCAST_MAX_ROWS, materialize, materialize_counted
+from aerolytics.session import materialize, materialize_counted
 
 # Share thresholds (strictly greater than) for a timestamp format
 # and for a numeric column; minimum number of lines of a recording.
@@ -40,6 +40,9 @@ NUMERIC_VALID_SHARE = 0.8
 MIN_LINES = 3
 BOM = "\ufeff"
 NF = len(TS_FORMATS)
+# A decision table is broadcast up to this size, at so many bytes per row or nested entry.
+BROADCAST_MAX_BYTES = 128 << 20
+ROW_BYTES = 100
 
 
 @dataclass
@@ -69,10 +72,17 @@ class Recording:
         return _issues(self.head, p["params"], p["rows"], self.samples)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Materialise a decision table and mark it for broadcast if its size allows."""
+def _small(df: DataFrame, nested: str | None = None) -> DataFrame:
+    """Materialise a decision table and mark it for broadcast if its size allows.
+
+    ``nested`` names an array column whose entries count too: a table of few
+    rows may hold long column lists.
+    """
     df, n = materialize_counted(df)
-    return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
+    size = n * ROW_BYTES
+    if nested and size <= BROADCAST_MAX_BYTES:
+        size += (df.agg(F.sum(F.size(nested))).first()[0] or 0) * ROW_BYTES
+    return F.broadcast(df) if size <= BROADCAST_MAX_BYTES else df
 
 
 def _prepared(lines: DataFrame) -> DataFrame:
@@ -158,12 +168,11 @@ def ingest(lines: DataFrame) -> Recording:
     layout = (params.filter(F.col("position") > 0)
               .groupBy("flight_id")
               .agg(F.array_sort(F.collect_list(F.struct("position", "parameter", "is_numeric"))).alias("layout")))
-    head = _small(fl.join(dup_flights, "flight_id", "left")
-                  .withColumn("refused", refusal)
-                  .join(layout, "flight_id", "left"))
+    head = _small(fl.join(dup_flights, "flight_id", "left").withColumn("refused", refusal))
+    layouts = _small(layout, "layout")
 
     # pass 3: typed samples
-    r = L.join(head.select("flight_id", "h0", "hl", "n_cols", "fmt", "t0", "layout", "refused"), "flight_id")
+    r = L.join(head.select("flight_id", "h0", "hl", "n_cols", "fmt", "t0", "refused"), "flight_id")
     body = (F.col("line_no") >= F.col("h0") + 2) & (F.col("line_no") <= F.col("hl")) & ~F.col("blank")
     rows = r.filter(body & F.col("n_cols").isNotNull())
     cells = split_cells(F.col("line"))
@@ -171,15 +180,17 @@ def ingest(lines: DataFrame) -> Recording:
     fixed = (F.when(n > F.col("n_cols"), F.slice(cells, 1, F.col("n_cols")))
              .when(n < F.col("n_cols"), F.concat(cells, F.array_repeat(F.lit(""), F.col("n_cols") - n)))
              .otherwise(cells))
-    rows = rows.select("flight_id", "line_no", "line", "h0", "fmt", "t0", "layout", "refused",
-                       F.size(cells).alias("n_raw"), "n_cols", fixed.alias("cells"))
-    cell_table = rows.select("flight_id", "line_no", F.posexplode("cells").alias("position", "cell"))
+    cell_table = rows.select("flight_id", "line_no", F.posexplode(fixed).alias("position", "cell"))
 
+    # The line itself goes through the numbering shuffle; cells and column lists come after it.
     first_cell = py_strip(F.substring_index(F.col("line"), ",", 1))
-    kept = with_timestamp(rows.filter(F.col("refused").isNull()).withColumn("_c0", first_cell), "_c0")
+    kept = rows.filter(F.col("refused").isNull()).select("flight_id", "line_no", "line", "fmt", first_cell.alias("_c0"))
+    kept = with_timestamp(kept, "_c0")
     kept = kept.withColumn("ts", F.when(F.col("ts_shape") == F.col("fmt"), F.col("ts_any")))
-    kept = keep_not_null(kept.drop("_c0", "ts_shape", "ts_any"), "ts")
+    kept = keep_not_null(kept.drop("_c0", "ts_shape", "ts_any", "fmt"), "ts")
     kept = dense_row_number(kept, ["flight_id"], ["line_no"], F.shiftright(F.col("line_no"), ROW_BLOCK_BITS))
+    kept = (kept.join(head.select("flight_id", "t0", "n_cols"), "flight_id").join(layouts, "flight_id")
+            .withColumn("cells", fixed))
     kept = kept.withColumn("elapsed_s", F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("ts")) / 1e6)
     per_cell = F.transform(F.col("layout"), lambda p: F.struct(
         p["parameter"].alias("parameter"), p["is_numeric"].alias("is_numeric"),
@@ -201,7 +212,7 @@ def ingest(lines: DataFrame) -> Recording:
                   .select("flight_id", "position", "parameter", "name", "unit", "is_numeric", "n_rows",
                           F.when(F.col("is_numeric"), F.col("num_ok")).otherwise(F.col("n_rows")).alias("n_valid")))
     return Recording(samples=samples, parameters=parameters, cells=cell_table, head=head,
-                     _parts={"accepted": accepted, "kept": kept, "params": params, "rows": rows})
+                     _parts={"accepted": accepted, "kept": kept, "params": params, "rows": rows.withColumn("n_raw", n)})
 
 
 def _flights(accepted: DataFrame, kept: DataFrame) -> DataFrame:
