@@ -8,10 +8,13 @@ import tempfile
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-# Largest side (rows) that join_small broadcasts; above it the join shuffles
-# and AQE's skew-join splitting handles a hot key.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest side (estimated bytes) that join_small broadcasts; above it the join
+# shuffles and AQE's skew-join splitting handles a hot key.
+BROADCAST_MAX_BYTES = 128 << 20
+# Estimated bytes of a row besides its columns, of a string and of a nested value.
+ROW_BYTES, STRING_BYTES, NESTED_BYTES = 32, 64, 512
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -92,14 +95,24 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return stored, n
 
 
+def row_bytes(schema: StructType) -> int:
+    """Estimated size of one row: fixed-width columns count 8 bytes."""
+    def width(kind) -> int:
+        if isinstance(kind, (ArrayType, MapType, StructType)):
+            return NESTED_BYTES
+        return STRING_BYTES if isinstance(kind, (StringType, BinaryType)) else 8
+
+    return ROW_BYTES + sum(width(f.dataType) for f in schema.fields)
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS, stored: bool = False,
+               max_bytes: int = BROADCAST_MAX_BYTES, stored: bool = False,
                n_rows: int | None = None) -> DataFrame:
     """Join a derived, normally small table onto big data.
 
     The small side is materialised and counted; it is broadcast only when its
-    row count is within ``max_rows``. Above that the plain (shuffle) join is
-    used and AQE splits a skewed key. ``stored=True`` skips materialising a
+    rows times the estimated row size are within ``max_bytes``. Above that the
+    plain (shuffle) join is used and AQE splits a skewed key. ``stored=True`` skips materialising a
     side that is already stored; ``n_rows`` gives its known row count.
     """
     if n_rows is not None:
@@ -108,6 +121,6 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
         side, n = small, small.count()
     else:
         side, n = materialize_counted(small)
-    if n <= max_rows:
+    if n * row_bytes(side.schema) <= max_bytes:
         side = F.broadcast(side)
     return big.join(side, on, how)
