@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated results; no other column is read.
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
-    return (rows.join(_components(rows, max_bits), "fp")
+    # Stored, so that the join is of two plain exchanges, whose large partitions Spark splits.
+    return (rows.join(stored(_components(rows, max_bits), "components"), "fp")
             .select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id"))
 
 
