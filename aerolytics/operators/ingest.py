@@ -246,8 +246,10 @@ def _issues(head: DataFrame, params: DataFrame, rows: DataFrame, samples: DataFr
         "flight_id", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("column"),
         F.col("refused").alias("code"), F.lit(1).cast("long").alias("count"))
     line_num = F.col("line_no") - F.col("h0") + 1
-    extra = _issue(rows.filter(F.col("n_raw") > F.col("n_cols")), "EXTRA_COLUMNS", line_no=line_num)
-    missing = _issue(rows.filter(F.col("n_raw") < F.col("n_cols")), "MISSING_COLUMNS", line_no=line_num)
+    width_code = F.when(F.col("n_raw") > F.col("n_cols"), "EXTRA_COLUMNS").otherwise("MISSING_COLUMNS")
+    widths = rows.filter(F.col("n_raw") != F.col("n_cols")).select(
+        "flight_id", line_num.cast("long").alias("line_no"), F.lit(None).cast("string").alias("column"),
+        width_code.alias("code"), F.lit(1).cast("long").alias("count"))
     h = head.filter(F.col("refused").isNull() | (F.col("refused") == "DUPLICATE_COLUMN"))
     bad_ts = _issue(h.filter(F.col("n_kept") < F.col("n_rows")), "INVALID_TIMESTAMP",
                     count=F.col("n_rows") - F.col("n_kept"))
@@ -258,5 +260,5 @@ def _issues(head: DataFrame, params: DataFrame, rows: DataFrame, samples: DataFr
     as_text = _issue(p.filter(~F.col("is_numeric")), "KEPT_AS_TEXT", column=F.col("parameter"),
                      count=F.col("n_rows") - F.col("num_ok"))
     from aerolytics.operators.quality import quality_issues
-    return (refused.unionByName(extra).unionByName(missing).unionByName(bad_ts)
+    return (refused.unionByName(widths).unionByName(bad_ts)
             .unionByName(non_numeric).unionByName(as_text).unionByName(quality_issues(samples)))

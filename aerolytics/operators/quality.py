@@ -95,14 +95,16 @@ def quality_issues(samples: DataFrame) -> DataFrame:
                          count.cast("long").alias("count"))
 
     dup = duplicate_timestamps(samples).filter(F.col("duplicates") > 0)
-    v = variety(samples)
-    empty = empty_parameters(samples)
-    return (issue(dup, "DUPLICATE_TIMESTAMPS", F.lit(None), F.col("duplicates"))
-            .unionByName(issue(v.filter(F.col("status") == "constant"), "CONSTANT", F.col("parameter"),
-                               F.col("n_distinct")))
-            .unionByName(issue(v.filter(F.col("status") == "low_variety"), "LOW_VARIETY", F.col("parameter"),
-                               F.col("n_distinct")))
-            .unionByName(issue(empty, "EMPTY_COLUMN", F.col("parameter"), F.lit(0))))
+    # One aggregate tells empty, constant and low-variety parameters apart; a parameter has at most one of these.
+    per = numeric(samples).groupBy("flight_id", "parameter").agg(
+        F.count_distinct("value").alias("nd"), F.count(F.lit(1)).alias("n"), F.count("value").alias("nv"))
+    code = (F.when(F.col("nv") == 0, F.lit("EMPTY_COLUMN")).when(F.col("parameter") == ELAPSED_COLUMN, None)
+            .when(F.col("nd") == 1, F.lit("CONSTANT"))
+            .when(F.col("nd").cast("double") < F.col("n").cast("double") * F.lit(LOW_VARIETY_SHARE), F.lit("LOW_VARIETY")))
+    found = per.withColumn("code", code).filter(F.col("code").isNotNull()).select(
+        "flight_id", F.lit(None).cast("long").alias("line_no"), F.col("parameter").alias("column"), "code",
+        F.col("nd").cast("long").alias("count"))
+    return issue(dup, "DUPLICATE_TIMESTAMPS", F.lit(None), F.col("duplicates")).unionByName(found)
 
 
 __all__ = ["empty_parameters", "drop_empty", "duplicate_timestamps", "variety", "constant_parameters",
