@@ -22,11 +22,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolytics.functions.numbers import parse_number, safe_ratio
-from aerolytics.functions.text import (ELAPSED_COLUMN, TIMESTAMP_COLUMN, column_name, py_strip,
+from aerolytics.functions.text import (ELAPSED_COLUMN, column_name, py_strip,
                                        split_cells)
 from aerolytics.functions.timestamps import TS_FORMATS, with_timestamp
 from aerolytics.plans.quantiles import quantile_columns
