@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - gives pa.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,7 +186,7 @@ class _Rounds:
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         # A segment that its block holds at several positions repeats as a whole.
-        many = np.concatenate([pa.compute.binary_length(m[5]).to_numpy(zero_copy_only=False) > 8 for m in self.meta])
+        many = np.concatenate([pc.binary_length(m[5]).to_numpy(zero_copy_only=False) > 8 for m in self.meta])
         starts = self.margin + 1
         bits = np.zeros((len(group), (starts + 7) // 8), np.uint8)
 
