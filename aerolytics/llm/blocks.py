@@ -36,7 +36,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK
             lengths = np.array([len(t) for t in texts], "<i8")
             payload = compress(lengths.tobytes() + b"".join(texts))
             return pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([int(lengths.sum())], pa.int64()),
+                [pa.array([uuid.uuid4().int >> 65]), pa.array([int(lengths.sum())], pa.int64()),
                  pa.array([ids], pa.list_(kind)), pa.array([payload], pa.binary())],
                 ["block_id", "n_bytes", "ids", "payload"])
 
@@ -54,7 +54,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK
         if ids:
             yield block(ids, texts)
 
-    return stored(source.mapInArrow(pack, f"block_id string, n_bytes long, ids array<{id_type.simpleString()}>, "
+    return stored(source.mapInArrow(pack, f"block_id long, n_bytes long, ids array<{id_type.simpleString()}>, "
                                           "payload binary"), "blocks")
 
 
@@ -131,7 +131,7 @@ def answered(blocks: DataFrame, keys_of, slice_bits: int, with_check: bool = Fal
                 rows = [(s, keys.sent(a, b, with_check, heavy is not None))
                         for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _ in rows], pa.int32()), pa.array([block_id] * len(rows), pa.string()),
+                    [pa.array([s for s, _ in rows], pa.int32()), pa.array([block_id] * len(rows), pa.int64()),
                      pa.array([k for _, k in rows], pa.binary())], ["slice", "block_id", "keys"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,8 +148,8 @@ def answered(blocks: DataFrame, keys_of, slice_bits: int, with_check: bool = Fal
                 for x in (many | (holders > 1), found >= (heavy or 1 << 62))]
         return pd.DataFrame({"slice": pdf["slice"], "block_id": pdf["block_id"], "again": bits[0], "heavy": bits[1]})
 
-    sent = blocks.select("block_id", "ids", "payload").mapInArrow(send, "slice int, block_id string, keys binary")
-    answers = sent.groupBy("slice").applyInPandas(count, "slice int, block_id string, again binary, heavy binary")
+    sent = blocks.select("block_id", "ids", "payload").mapInArrow(send, "slice int, block_id long, keys binary")
+    answers = sent.groupBy("slice").applyInPandas(count, "slice int, block_id long, again binary, heavy binary")
     # At most one entry per slice, so a block's list is as long as there are slices.
     flags = answers.groupBy("block_id").agg(F.collect_list(F.struct("slice", "again", "heavy")).alias("flags"))
     return blocks.join(flags, "block_id", "left")

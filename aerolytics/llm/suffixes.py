@@ -45,7 +45,7 @@ PIECE = 1 << 18
 SLICE_CORES = 1 << 20
 TASK_SEGMENTS = 1 << 17
 #: Strings over an anchor by start, in so many cells.
-CELLS = 4
+CELLS = 2
 #: A core found so often is dealt in finer cells of so many starts: their longer
 #: cores part what only shares the passage, and their margins are a few bytes.
 HEAVY_CORE = 1 << 11
@@ -149,6 +149,15 @@ def column_rounds(groups: np.ndarray, low: np.ndarray, high: np.ndarray, column,
             yield j, order[full[:-1] | full[1:]]
 
 
+def _shaped(margin: int, low: int, high: int) -> int:
+    """Margin and the first and last column of a segment in one number."""
+    return margin << 40 | low << 20 | high
+
+
+def _unshaped(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return shape >> 40, shape >> 20 & 0xFFFFF, shape & 0xFFFFF
+
+
 class _Rounds:
     """The segments of one margin in a task: an external column file and what is needed per segment.
 
@@ -163,7 +172,8 @@ class _Rounds:
 
     def add(self, batch: pa.RecordBatch) -> None:
         n, width = batch.num_rows, 2 * self.margin
-        one, two, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "key2", "low", "high"))
+        one, two, shape = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "key2", "shape"))
+        _, low, high = _unshaped(shape)
         columns = np.zeros((n, width), np.uint8)
         for i, segment in enumerate(batch.column("segment").to_pylist()):
             columns[i, low[i]:high[i]] = np.frombuffer(segment, np.uint8)
@@ -248,7 +258,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return Keys(np.array([c[4] & _MASK for c in cores(texts)[1]], np.uint64))
 
     marked = answered(blocks, keys_of, bits, heavy=heavy)
-    fields = ["key", "key2", "block_id", "positions", "margin", "low", "high", "segment"]
+    fields = ["key", "key2", "block_id", "positions", "shape", "segment"]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Margins around cores that stand elsewhere too: once per block and content, with all positions."""
@@ -270,20 +280,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         if core is None:
                             core = xxhash.xxh3_128_intdigest(data[a + margin:a + repeat], a - cell + (first + 1 << 20))
                         text = data[lo:a + margin] + data[a + repeat:hi]
-                        found.setdefault((core, margin, lo - a, hi - a - repeat + margin, text), []).append(a)
+                        found.setdefault((core, _shaped(margin, lo - a, hi - a - repeat + margin), text), []).append(a)
                 rows = list(found)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array([x[0] & _MASK for x in rows], np.uint64).view(np.int64)),
                      pa.array(np.array([x[0] >> 64 for x in rows], np.uint64).view(np.int64)),
-                     pa.array([block_id] * len(rows), pa.string()),
+                     pa.array([block_id] * len(rows), pa.int64()),
                      pa.array([np.array(v, "<i8").tobytes() for v in found.values()], pa.binary()),
-                     *[pa.array([x[i] for x in rows], pa.int32()) for i in (1, 2, 3)],
-                     pa.array([x[4] for x in rows], pa.binary())], fields)
+                     pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], fields)
 
     def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_margin: dict[int, _Rounds] = {}
         for batch in batches:
-            margins = batch.column("margin").to_numpy(zero_copy_only=False)
+            margins = _unshaped(batch.column("shape").to_numpy(zero_copy_only=False))[0]
             for m in np.unique(margins).tolist():
                 by_margin.setdefault(m, _Rounds(m)).add(batch.take(pa.array(np.flatnonzero(margins == m))))
         for group in by_margin.values():
@@ -291,9 +300,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_cores // TASK_SEGMENTS)
     found = (marked.where("flags is not null").select("block_id", "ids", "payload", "flags")
-             .mapInArrow(segments, "key long, key2 long, block_id string, positions binary, margin int, low int, "
-                                   "high int, segment binary"))
-    repeats = found.repartition(parts, "key").mapInArrow(rounds, "block_id string, positions binary, starts binary")
+             .mapInArrow(segments, "key long, key2 long, block_id long, positions binary, shape long, segment binary"))
+    repeats = found.repartition(parts, "key").mapInArrow(rounds, "block_id long, positions binary, starts binary")
     # A block's list is bounded by its anchors and cells.
     per_block = repeats.groupBy("block_id").agg(F.collect_list(F.struct("positions", "starts")).alias("hits"))
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
