@@ -10,6 +10,7 @@ that the packing has for that length.
 from __future__ import annotations
 
 import bisect
+import heapq
 import json
 import zlib
 from collections import Counter
@@ -25,8 +26,6 @@ from aerolytics.llm.common import stored, texts
 
 MAX_TOKENS = 1024
 END_ID = 2
-#: Rounds of the local search; every round changes whole classes of bins.
-SEARCH_ROUNDS = 4000
 #: Pieces of one length that a numbering window holds on average.
 SHARD_PIECES = 1 << 18
 
@@ -181,42 +180,145 @@ def _changed(pattern: tuple, out: tuple, into: tuple) -> tuple:
     return tuple(sorted([*left, *into], reverse=True))
 
 
-def local_search(bins: Counter, capacity: int, rounds: int = SEARCH_ROUNDS) -> Counter:
+class _Parts:
+    """What the underfull classes can part with: no piece, one or two, by size and by the rest that stays.
+
+    A part of size s and rest r against one of size t and rest q raises the
+    squared fill by 2 (s - t) (q - r); it fits the taker if q + s <= capacity.
+    So per rest only the least size counts of takers, per size the least rest of givers.
+    """
+
+    #: Pieces given -> pieces taken.
+    TAKES = {1: (0, 1, 2), 2: (1,)}
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.classes: dict[tuple[int, int, int], dict[tuple, tuple]] = {}
+        self.sizes = [[[] for _ in range(capacity + 1)] for _ in range(3)]
+        self.rests = [[[] for _ in range(capacity + 1)] for _ in range(3)]
+        self.least_size = np.full((3, capacity + 1), capacity + 1)
+        self.least_rest = np.full((3, capacity + 1), capacity + 1)
+        self.steps = np.arange(1, capacity + 1)
+
+    @staticmethod
+    def of(pattern: tuple) -> dict[tuple[int, int], tuple]:
+        """(pieces, size) -> one part of that kind."""
+        pairs = {(2, x + y): (x, y) for i, x in enumerate(pattern) for y in pattern[i + 1:]}
+        return {(0, 0): (), **{(1, x): (x,) for x in pattern}, **pairs}
+
+    def add(self, pattern: tuple) -> None:
+        fill = sum(pattern)
+        for (k, s), part in self.of(pattern).items():
+            r = fill - s
+            same = self.classes.setdefault((k, s, r), {})
+            if not same:
+                bisect.insort(self.sizes[k][r], s)
+                self.least_size[k, r] = self.sizes[k][r][0]
+                bisect.insort(self.rests[k][s], r)
+                self.least_rest[k, s] = self.rests[k][s][0]
+            same[pattern] = part
+
+    def drop(self, pattern: tuple) -> None:
+        fill, none = sum(pattern), self.capacity + 1
+        for k, s in self.of(pattern):
+            r = fill - s
+            same = self.classes[k, s, r]
+            del same[pattern]
+            if not same:
+                del self.classes[k, s, r]
+                for lists, least, at, v in ((self.sizes, self.least_size, r, s), (self.rests, self.least_rest, s, r)):
+                    found = lists[k][at]
+                    del found[bisect.bisect_left(found, v)]
+                    least[k, at] = found[0] if found else none
+
+    def best_exchange(self, pattern: tuple):
+        """The exchange of this class, as giver or taker, that raises the squared fill most.
+
+        (giver, taker, given, taken), or None if no class has one with it.
+        """
+        fill = sum(pattern)
+        room = self.capacity - fill
+        steps, best, found = self.steps[:room], 0, None
+        for (k, s), part in self.of(pattern).items():
+            r = fill - s
+            for other in self.TAKES.get(k, ()):  # as giver: least sizes over the rests r + 1, r + 2, ...
+                gains = (s - self.least_size[other, r + 1:r + 1 + room]) * steps
+                at = int(gains.argmax())
+                if gains[at] > best:
+                    q = r + 1 + at
+                    best, found = gains[at], (True, part, (other, int(self.least_size[other, q]), q))
+            for other in self.TAKES:  # as taker: least rests over the sizes s + 1, s + 2, ...
+                if k in self.TAKES[other]:
+                    gains = (r - self.least_rest[other, s + 1:s + 1 + room]) * steps
+                    at = int(gains.argmax())
+                    if gains[at] > best:
+                        t = s + 1 + at
+                        best, found = gains[at], (False, part, (other, t, int(self.least_rest[other, t])))
+        if found is None:
+            return None
+        gives, part, key = found
+        partner, back = next(iter(self.classes[key].items()))
+        return (pattern, partner, part, back) if gives else (partner, pattern, back, part)
+
+
+def local_search(bins: Counter, capacity: int) -> Counter:
     """Exchanges between underfull bins until none raises the squared fill.
 
-    The emptiest class gives to the others, fullest first; a change is applied
-    to as many bins as both classes have. Bins whose pieces are all gone vanish.
+    Every class is held against all others, the emptiest first, and again only
+    after it was made anew or became a class of two bins; so when none is left
+    to look at, no two bins have an exchange. A change is applied to as many
+    bins as both classes have. Bins whose pieces are all gone vanish.
     Stops at the lower bound ceil(tokens / capacity), which cannot be beaten.
     """
     bins = Counter({p: n for p, n in bins.items() if p and n})
     least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
     total = sum(bins.values())
-    stuck: set[tuple] = set()
-    for _ in range(rounds):
-        under = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
-        givers = [p for p in under if p not in stuck]
-        if total <= least or not givers:
-            break
-        giver = givers[0]
-        for taker in reversed(under):
-            if taker == giver and bins[giver] < 2:
-                continue
-            change = _best_exchange(giver, taker, capacity)
-            if change is None:
-                continue
-            n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-            given, taken = change
-            bins.subtract({giver: n, taker: n} if taker != giver else {giver: 2 * n})
-            for new in (_changed(giver, given, taken), _changed(taker, taken, given)):
-                if new:
-                    bins[new] += n
-                else:
-                    total -= n
-            bins = Counter({p: k for p, k in bins.items() if k})
-            stuck.clear()
-            break
-        else:
-            stuck.add(giver)
+    if total <= least:
+        return bins
+    parts = _Parts(capacity)
+    for p in bins:
+        if sum(p) < capacity:
+            parts.add(p)
+    waiting = [(sum(p), p) for p in bins if sum(p) < capacity]
+    heapq.heapify(waiting)
+
+    def change(pattern: tuple, n: int) -> None:
+        before, now = bins[pattern], bins[pattern] + n
+        bins[pattern] = now
+        if not now:
+            del bins[pattern]
+        fill = sum(pattern)
+        if fill < capacity:
+            if not before:
+                parts.add(pattern)
+            elif not now:
+                parts.drop(pattern)
+            if n > 0 and before < 2:
+                heapq.heappush(waiting, (fill, pattern))
+
+    while waiting and total > least:
+        fill, pattern = heapq.heappop(waiting)
+        if pattern not in bins:
+            continue
+        alone = bins[pattern] == 1
+        if alone:  # one bin has no exchange with itself
+            parts.drop(pattern)
+        found = parts.best_exchange(pattern)
+        if alone:
+            parts.add(pattern)
+        if found is None:
+            continue
+        giver, taker, given, taken = found
+        n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
+        change(giver, -n)
+        change(taker, -n)
+        for new in (_changed(giver, given, taken), _changed(taker, taken, given)):
+            if new:
+                change(new, n)
+            else:
+                total -= n
+        if pattern in bins:
+            heapq.heappush(waiting, (fill, pattern))
     return bins
 
 

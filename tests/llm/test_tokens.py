@@ -150,6 +150,16 @@ def test_local_search_moves_and_exchanges_empty_a_bin():
     assert packing._best_exchange((3, 2), (6, 1), 10) is not None
 
 
+def test_local_search_leaves_no_exchange():
+    rng = random.Random(1)
+    counts = Counter(min(1024, int(rng.lognormvariate(math.log(400), 0.6)) + 1) for _ in range(3000))
+    found = packing.local_search(packing.best_fit(dict(counts), 1024), 1024)
+    assert sum(found.values()) > -(-sum(x * n for x, n in counts.items()) // 1024)
+    under = [p for p in found if sum(p) < 1024]
+    assert [(g, t) for g in under for t in under
+            if (g != t or found[g] > 1) and packing._best_exchange(g, t, 1024) is not None] == []
+
+
 def test_packed_documents_are_whole_and_gapless(spark):
     docs = messy(spark)
     out = packing.pack_documents(docs, max_tokens=64, keep_ids=False).collect()
