@@ -105,14 +105,19 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    """Proposals may run into following capitals: shorten until mod-97 holds."""
+    """Proposals may run into following capitals: shorten until mod-97 holds.
+
+    The search goes on at the end of a confirmed span, or behind the start of a
+    proposal of which no part is confirmed: another may begin inside either.
+    """
     at = 0
     while m := _IBAN.search(text, at):
         end = m.end()
-        at = end
+        at = m.start() + 1
         while end - m.start() >= 15:
             if text[m.start():end][-1] != " " and mod97_ok(text[m.start():end]):
                 yield m.start(), end
+                at = end
                 break
             cut = text.rfind(" ", m.start(), end)
             if cut < 0:

@@ -155,6 +155,18 @@ def test_pii_added_kinds_context_and_redaction(spark):
     assert bag(pii.redact(docs), *docs.columns) == bag(docs, *docs.columns)
 
 
+@pytest.mark.parametrize("text,ibans,clean", [
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32",
+     ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"], "[IBAN] [IBAN]"),
+    ("REF RE20 2024 0001 IBAN DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"],
+     "REF RE20 2024 0001 IBAN [IBAN]")])
+def test_pii_ibans_inside_longer_proposals(text, ibans, clean):
+    spans = [s for s in pii.find_spans(text) if s["kind"] == "iban"]
+    assert [text[s["start"]:s["end"]] for s in spans] == ibans
+    assert pii.redact_text(text, spans) == clean
+    pii.find_spans("RE20 2024 0001 " * 20_000)
+
+
 def test_pii_is_linear_on_endless_runs():
     for text in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "@" * 100_000, "A1" * 100_000):
         pii.find_spans(text)
