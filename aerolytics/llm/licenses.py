@@ -3,11 +3,14 @@
 The templates' words form one suffix automaton. A file streams through it and
 every position knows the longest run of words ending there that stands in some
 template. Long runs are placed on the templates they come from, chained in
-order, and the covered share of a template is its score.
+order, and the covered share of a template is a chain's score. Every notice of
+a text that is covered enough gives a span, however often its template occurs.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,38 +150,56 @@ class LicenseScanner:
             matches.append(last)
         covered = self._chains(matches)
         base = {self.phrases[k][1] for _, k in places}
-        added = {self.templates[t][1] for t, (share, _, _) in covered.items() if share >= MIN_COVERAGE}
-        score = max([1.0 if places else 0.0, *(share for share, _, _ in covered.values())])
+        added = {self.templates[t][1] for t, (_, spans) in covered.items() if spans}
+        score = max([1.0 if places else 0.0, *(share for share, _ in covered.values())])
         return {"n_words": len(words), "n_base": len(places),
                 "first_word": min((p for p, _ in places), default=None),
                 "last_word": max((p for p, _ in places), default=None),
                 "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | added)),
                 "score": score,
                 "spans": [{"label": self.templates[t][1], "start": a, "end": b, "coverage": share}
-                          for t, (share, a, b) in sorted(covered.items()) if share >= MIN_COVERAGE]}
-
-    def _chains(self, matches: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
-        """Best chain per template: covered share, first and last word of the text span."""
-        # Per template: text start, text end, template end, covered words.
-        open_: dict[int, list[int]] = {}
-        best: dict[int, tuple[float, int, int]] = {}
+                          for t, (_, spans) in sorted(covered.items()) for share, a, b in spans]}
+
+    def _chains(self, matches: list[tuple[int, int, int]]) -> dict[int, tuple[float, list[tuple[float, int, int]]]]:
+        """Per template: share of its best chain, and (share, first, last word) of every covered span.
+
+        Every match extends the chain that then covers most, or starts one. Of
+        the chains covered enough, those that share words of the text with a
+        better one (greater share, then shorter) are left out.
+        """
+        # Per template, by text end: text start, text end, template end, covered words.
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}
+        best: dict[int, float] = {}
+        enough: dict[int, list[tuple[float, int, int]]] = {}
         offset = len(self.phrases)
         for end, state, run in matches:
             for seq, seq_end in sorted(self.automaton.ends[state]):
                 t = seq - offset
                 if t < 0:
                     continue
-                chain = open_.get(t, [0, -MAX_GAP - 1, 0, 0])
-                # Words that text or template has already given to the chain count once.
-                new = min(run, end - chain[1], seq_end - chain[2])
-                if new > 0 and end - new - chain[1] <= MAX_GAP and seq_end - new - chain[2] <= MAX_GAP:
-                    open_[t] = chain = [chain[0], end, seq_end, chain[3] + new]
-                elif run >= chain[3] or end - run - chain[1] > MAX_GAP:
-                    open_[t] = chain = [end - run, end, seq_end, run]
-                share = round(min(1.0, chain[3] / len(self.templates[t][0])), 6)
-                if share > best.get(t, (0.0, 0, 0))[0]:
-                    best[t] = (share, chain[0], chain[1])
-        return best
+                # Runs start later and later, so a chain past the gap stays closed.
+                chains = [c for c in open_.get(t, ()) if end - run - c[1] <= MAX_GAP]
+                start, covered = end - run, run
+                for first, last, place, words in chains:
+                    # Words that text or template has already given to the chain count once.
+                    new = min(run, end - last, seq_end - place)
+                    if (new > 0 and end - new - last <= MAX_GAP and seq_end - new - place <= MAX_GAP
+                            and (words + new, first) > (covered, start)):
+                        start, covered = first, words + new
+                open_[t] = [*chains, (start, end, seq_end, covered)]
+                share = round(min(1.0, covered / len(self.templates[t][0])), 6)
+                best[t] = max(best.get(t, 0.0), share)
+                if share >= MIN_COVERAGE:
+                    enough.setdefault(t, []).append((share, start, end))
+        out = {}
+        for t, share in best.items():
+            taken: list[tuple[int, int, float]] = []
+            for s, a, b in sorted(enough.get(t, ()), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+                at = bisect.bisect_left(taken, (a,))
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                    taken.insert(at, (a, b, s))
+            out[t] = share, [(s, a, b) for a, b, s in taken]
+        return out
 
 
 _FIELDS = {"n_words": ("long", pa.int64()), "n_base": ("long", pa.int64()), "first_word": ("long", pa.int64()),

@@ -101,6 +101,23 @@ def test_license_templates_are_found_through_small_edits():
     assert scanner.scan(None)["score"] == 0.0
 
 
+def test_license_spans_of_every_notice():
+    scanner = licenses.LicenseScanner()
+    mit = licenses.TEMPLATES[0][1].split()
+    changed = [*mit[:25], "else", *mit[26:]]
+    text = " ".join([*["x"] * 40, *mit, *["x"] * 40, *changed, *["x"] * 40, *mit])
+    n = len(mit)
+    assert [(s["start"], s["end"], s["coverage"]) for s in scanner.scan(text.encode())["spans"]] == [
+        (40, 40 + n, 1.0), (80 + n, 80 + 2 * n, round((n - 1) / n, 6)), (120 + 2 * n, 120 + 3 * n, 1.0)]
+    # Side by side, and behind a longer part of the same notice.
+    for before, at in ((mit, n), (mit[:30], 30), (mit[:30] + ["x"] * 5, 35), (mit[20:50] + ["x"] * 5, 35)):
+        found = scanner.scan(" ".join(before + changed).encode())
+        assert found["labels"] == "mit"
+        assert (at, at + n) in [(s["start"], s["end"]) for s in found["spans"]]
+    many = scanner.scan(" ".join(mit * 3000).encode())["spans"]
+    assert [s["start"] for s in many] == list(range(0, 3000 * n, n))
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
