@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from aerolytics.llm.common import fold_words, raw_bytes, stored
 
-#: Labelled rows the models are fitted on at most.
+#: Labelled rows the models are fitted on at most; equal rows are one row with a weight.
 SAMPLE_ROWS = 12000
 #: Terms considered at most (those furthest off in any category) and their least document count.
 CANDIDATE_TERMS = 4096
@@ -78,31 +78,41 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _telling_terms(presence: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _counts(presence: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted column sums, in slices: only these are widened to doubles."""
+    return sum((weight[i:i + 1024] @ presence[i:i + 1024] for i in range(0, len(weight), 1024)),
+               np.zeros(presence.shape[1]))
+
+
+def _telling_terms(presence: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Columns whose count among the positives deviates from chance by MIN_Z errors."""
-    n, p = len(y), y.mean()
-    df = presence.sum(0, dtype=np.float64)
-    hits = presence[y > 0].sum(0, dtype=np.float64)
+    n, p = weight.sum(), np.average(y, weights=weight)
+    df = _counts(presence, weight)
+    hits = _counts(presence[y > 0], weight[y > 0])
     error = np.sqrt(np.maximum(df * p * (1 - p) * (1 - df / n), 1e-9))
     z = np.where((df >= MIN_DOCUMENTS) & (df < n), np.abs(hits - df * p) / error, 0)
     found = np.flatnonzero(z >= MIN_Z)
     return np.sort(found[np.argsort(-z[found], kind="stable")[:MAX_TERMS]])
 
 
-def fit_linear(presence: np.ndarray, rest: np.ndarray, y: np.ndarray) -> LinearModel:
-    """Ridge logistic regression by Newton steps; one class only gives its constant."""
-    mean, scale = rest.mean(0), np.maximum(rest.std(0), 1e-6)
+def fit_linear(presence: np.ndarray, rest: np.ndarray, y: np.ndarray, weight: np.ndarray) -> LinearModel:
+    """Ridge logistic regression by Newton steps; one class only gives its constant.
+
+    A row of weight n counts as n equal rows.
+    """
+    mean = np.average(rest, axis=0, weights=weight)
+    scale = np.maximum(np.sqrt(np.average((rest - mean) ** 2, axis=0, weights=weight)), 1e-6)
     if y.min() == y.max():
         return LinearModel(np.empty(0, int), np.empty(0), mean, scale, np.zeros(rest.shape[1]),
                            12.0 if y.max() > 0 else -12.0)
-    terms = _telling_terms(presence, y)
+    terms = _telling_terms(presence, y, weight)
     x = np.column_stack([presence[:, terms].astype(np.float64), (rest - mean) / scale, np.ones(len(y))])
     ridge = np.append(np.full(x.shape[1] - 1, RIDGE), 1e-6)
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge),
-                               x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(ridge),
+                               x.T @ (weight * (y - p)) - ridge * w)
         w += step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -138,7 +148,7 @@ class ChainModel:
 
 
 def fit_chain(vocabulary: dict[bytes, int], presence: np.ndarray, dense: np.ndarray, labels: np.ndarray,
-              folds: np.ndarray, categories: list[str]) -> ChainModel:
+              folds: np.ndarray, categories: list[str], weight: np.ndarray) -> ChainModel:
     """Fits the chain; probabilities handed on in training come from the other folds' models."""
     chain, rest = ChainModel(vocabulary, categories), dense
     for c in range(len(categories)):
@@ -147,19 +157,22 @@ def fit_chain(vocabulary: dict[bytes, int], presence: np.ndarray, dense: np.ndar
         for k in range(FOLDS):
             held = folds == k
             if held.any():
-                model = fit_linear(presence[~held], rest[~held], y[~held]) if (~held).any() else None
-                honest[held] = model.predict(presence[held], rest[held]) if model else y.mean()
-        chain.models.append(fit_linear(presence, rest, y))
+                model = (fit_linear(presence[~held], rest[~held], y[~held], weight[~held]) if (~held).any() else None)
+                honest[held] = (model.predict(presence[held], rest[held]) if model
+                                else np.average(y, weights=weight))
+        chain.models.append(fit_linear(presence, rest, y, weight))
         rest = np.column_stack([rest, honest])
     return chain
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int,
                     categories=CATEGORIES) -> DataFrame:
-    """At most ``rows`` labelled documents, the first by a hash of their id: id, text, y.
+    """At most ``rows`` labelled documents, the first by a hash of their id: id, text, y, n.
 
     Rows with a null id, text or label take no part. Repeated ids in either
-    table give the rows that a join gives.
+    table give the rows that a join gives; equal ones are one row, ``n`` times.
+    If ids repeat with more than ``rows`` different rows, the first by a hash
+    of the whole row stay.
     """
     y = F.array(*[F.expr(sql).cast("double") for _, sql in categories])
     chosen = (labels.select(F.col(f"`{id_col}`").alias("doc_id"), y.alias("y"))
@@ -167,24 +180,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     # Broadcast of at most ``rows`` ids.
-    return text.where("text is not null").join(F.broadcast(chosen), "doc_id")
+    joined = text.where("text is not null").join(F.broadcast(chosen), "doc_id")
+    different = stored(joined.groupBy("doc_id", "text", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+                       .withColumn("h", F.xxhash64("doc_id", "text", "y")), "labelled")
+    if different.count() > rows:
+        last = different.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+        different = different.where(F.col("h") <= last)
+    return different.drop("h")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           rows: int = SAMPLE_ROWS, categories=CATEGORIES) -> ChainModel:
     """The chain fitted on a bounded sample; without labelled rows it gives probability ~0."""
-    sample = stored(labelled_sample(docs, labels, id_col, text_col, rows, categories), "labelled")
+    sample = labelled_sample(docs, labels, id_col, text_col, rows, categories)
 
     @F.arrow_udf("array<binary>")
     def distinct_terms(column: pa.Array) -> pa.Array:
         return pa.array([sorted(terms_of(set(fold_words(t)))) for t in raw_bytes(column)], pa.list_(pa.binary()))
 
     k = range(len(categories))
-    total = sample.agg(F.count(F.lit(1)).alias("rows"),
-                       *[F.sum(F.get("y", F.lit(i))).alias(f"all{i}") for i in k]).first()
-    per_term = (sample.select("y", F.explode(distinct_terms("text")).alias("term")).groupBy("term")
-                .agg(F.count(F.lit(1)).cast("double").alias("n"),
-                     *[F.sum(F.get("y", F.lit(i))).alias(f"hits{i}") for i in k])
+    total = sample.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("rows"),
+                       *[F.sum(F.get("y", F.lit(i)) * F.col("n")).alias(f"all{i}") for i in k]).first()
+    per_term = (sample.select("y", "n", F.explode(distinct_terms("text")).alias("term")).groupBy("term")
+                .agg(F.sum("n").alias("n"),
+                     *[F.sum(F.get("y", F.lit(i)) * F.col("n")).alias(f"hits{i}") for i in k])
                 .where(F.col("n") >= MIN_DOCUMENTS))
 
     def off(i: int) -> Column:
@@ -206,8 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         "dense": dense_features(text, words, len(distinct))})
         return pa.array(out, pa.struct([("present", pa.list_(pa.int32())), ("dense", pa.list_(pa.float64()))]))
 
-    found = (sample.select(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).alias("fold"), "y",
-                           features("text").alias("f"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect())
+    found = (sample.select(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).alias("fold"), "y", "n",
+                           features("text").alias("f"), "doc_id", F.xxhash64("text", "y").alias("h"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id", "h").collect())
     presence = np.zeros((len(found), max(1, len(vocabulary))), np.uint8)
     for r, row in enumerate(found):
         presence[r, row["f"]["present"]] = 1
@@ -216,7 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         never = LinearModel(np.empty(0, int), np.empty(0), np.zeros(0), np.ones(0), np.zeros(0), -12.0)
         return ChainModel({}, names, [never] * len(names))
     return fit_chain(vocabulary, presence, np.array([r["f"]["dense"] for r in found]),
-                     np.array([r["y"] for r in found]), np.array([r["fold"] for r in found]), names)
+                     np.array([r["y"] for r in found]), np.array([r["fold"] for r in found]), names,
+                     np.array([r["n"] for r in found]))
 
 
 def probabilities(text: Column, model: ChainModel) -> Column:

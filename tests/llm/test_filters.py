@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from aerolytics.llm import licenses, pii, quality, toxicity
@@ -228,3 +229,34 @@ def test_toxicity_edges(spark):
     assert toxicity.drop_toxic(messy(spark), other).count() == len(messy_rows())
     # Labelled rows with null, blank, repeated and very long texts can be trained on.
     assert toxicity.toxicity_report(messy(spark), labels.unionByName(labels)).where("doc_id < 4 and kept").count() == 3
+
+
+def test_toxicity_sample_is_bounded_after_the_join(spark):
+    docs, labels = labelled(spark, 100)
+    one = docs.where("doc_id = 3")
+    copies = docs.unionByName(one.crossJoin(spark.range(500)).select(docs.columns))
+    sample = toxicity.labelled_sample(copies, labels, "doc_id", "text", 120)
+    assert dict(bag(sample, "doc_id", "n")) == {i: 501.0 if i == 3 else 1.0 for i in range(100)}
+    # One id with many texts: the bound holds, and every id may still come in.
+    texts = docs.unionByName(one.crossJoin(spark.range(500)).selectExpr(
+        "doc_id", "concat(text, ' ', id) text", *docs.columns[2:]))
+    sample = toxicity.labelled_sample(texts, labels, "doc_id", "text", 120)
+    assert sample.count() == 120 and sample.where("doc_id <> 3").count() > 5
+
+
+def test_toxicity_weights_count_as_equal_rows(spark):
+    docs, labels = labelled(spark, 200)
+    few = docs.where("doc_id % 3 = 0")
+    twice = labels.unionByName(labels)  # every row of the join twice
+    texts = [r["text"].encode() for r in few.collect()]
+    assert (toxicity.train(docs.unionByName(docs), labels).score(texts)
+            == pytest.approx(toxicity.train(docs, twice).score(texts), abs=1e-9))
+    rng = np.random.default_rng(3)
+    presence, rest = rng.integers(0, 2, (300, 40), np.uint8), rng.normal(size=(300, 4))
+    y = ((presence[:, 0] + presence[:, 1] + rng.random(300)) > 1.5).astype(float)
+    weight = rng.integers(1, 5, 300)
+    again = np.repeat(np.arange(300), weight)
+    model = toxicity.fit_linear(presence, rest, y, weight.astype(float))
+    plain = toxicity.fit_linear(presence[again], rest[again], y[again], np.ones(len(again)))
+    assert len(model.terms) and model.terms.tolist() == plain.terms.tolist()
+    assert model.predict(presence, rest) == pytest.approx(plain.predict(presence, rest), abs=1e-8)
