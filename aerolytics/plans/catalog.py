@@ -21,7 +21,7 @@ from aerolytics.operators import (corr, export, ingest, limits, ordered, outlier
 from aerolytics.plans.quantiles import quantile_columns
 from aerolytics.session import checkpoint_dir, materialize
 from aerolytics.sources import tables
-from aerolytics.sources.recordings import read_recordings
+from aerolytics.sources.recordings import read_recordings, write_recordings
 
 # The limits table the limit-check query uses.
 QUERY_LIMITS = [("value", 0.0, 250.0), ("k", 10.0, 99.0), ("Elapsed Time (s)", 0.0, 3.0e6),
@@ -398,7 +398,7 @@ def q_auto_report(spark, sf):
 
 
 def q_ingest_files(spark, sf):
-    """The event recordings written as files, one per flight, and read back from disk.
+    """The event recordings written as files, in parts per flight, and read back from disk.
 
     One folder name holds a space; its recording is too short and is refused,
     which the result shows as a row with the refusal as parameter.
@@ -407,10 +407,9 @@ def q_ingest_files(spark, sf):
     short = spark.createDataFrame([("too short", 0, "Description,A"), ("too short", 1, "EU,-")],
                                   "flight_id string, line_no long, line string")
     lines = tables.events_lines(spark, sf).unionByName(short)
-    (lines.repartition("flight_id").sortWithinPartitions("flight_id", "line_no")  # a file has one writer
-     .select("flight_id", "line").write.partitionBy("flight_id").text(path))
-    rec = ingest.ingest(read_recordings(spark, path, flight_id_from="path"))
-    folder = F.regexp_extract("flight_id", "flight_id=([^/]+)/", 1)
+    write_recordings(lines, path)
+    rec = ingest.ingest(read_recordings(spark, path, flight_id_from="parts"))
+    folder = F.regexp_extract("flight_id", "flight_id=([^/]+)", 1)
     samples = _rounded(rec.samples, {"elapsed_s": 6, "value": 6})
     refused = rec.issues.filter(F.col("code") == "TOO_FEW_LINES").select("flight_id", F.col("code").alias("parameter"))
     return (samples.unionByName(refused, allowMissingColumns=True).withColumn("flight_id", folder))

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from aerolytics.session import join_small
 
 
+#: Lines of a written part: 2^20, as in the exports.
+PART_BITS = 20
+
+
 def decoded_path(path: Column) -> Column:
     """A file path as it is on disk; the metadata column gives it URL-encoded."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
@@ -31,7 +35,9 @@ def read_recordings(spark: SparkSession, paths: str | Sequence[str],
 
     ``flight_id_from``: ``"name"`` uses the file name without extension, but the
     path for files that share a name with another one read here; ``"path"``
-    always the full path. Both are decoded (a space is a space).
+    always the full path; ``"parts"`` the path of the folder over ``part=0``,
+    ``part=1``, ..., whose files in this order are one recording (see
+    ``write_recordings``). All are decoded (a space is a space).
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -42,11 +48,14 @@ def read_recordings(spark: SparkSession, paths: str | Sequence[str],
                    F.col("value").alias("line")))
     splits = raw.groupBy("_path", "_split").agg(F.min("_id").alias("_first"),
                                                 F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    fid, part = F.col("_path"), F.lit(0)
+    if flight_id_from == "parts":
+        fid = F.regexp_extract("_path", r"^(.*)/part=\d+/[^/]*$", 1)
+        part = F.regexp_extract("_path", r"/part=(\d+)/[^/]*$", 1).cast("long")
+    before = Window.partitionBy(fid).orderBy(part, "_path", "_split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_path", "_split", "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    fid = F.col("_path")
-    if flight_id_from != "path":
+    if flight_id_from == "name":
         # One row per input split: a name that several files have names none of them.
         name = F.regexp_extract(F.col("_path"), r"([^/]+?)(\.[^./]*)?$", 1)
         paths = splits.groupBy(name.alias("_name")).agg(F.count_distinct("_path").alias("_paths"))
@@ -59,6 +68,18 @@ def read_recordings(spark: SparkSession, paths: str | Sequence[str],
                         "line")
 
 
+def write_recordings(lines: DataFrame, path: str, part_bits: int = PART_BITS) -> None:
+    """Writes ``lines`` below ``path`` as ``flight_id=.../part=...``, one file per 2^part_bits lines.
+
+    A file has one writer, so parts and not recordings are dealt to the tasks:
+    a long recording is spread like many short ones. ``read_recordings`` with
+    ``flight_id_from="parts"`` puts the parts together.
+    """
+    (lines.withColumn("part", F.shiftright("line_no", part_bits)).repartition("flight_id", "part")
+     .sortWithinPartitions("flight_id", "part", "line_no")
+     .select("flight_id", "part", "line").write.partitionBy("flight_id", "part").text(path))
+
+
 def lines_from_text(spark: SparkSession, recordings: dict[str, str]) -> DataFrame:
     """Small in-memory recordings (flight_id -> file text) as ``lines``.
 

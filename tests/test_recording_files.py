@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aerolytics.operators import export, outliers, spectrum
 from aerolytics.operators.ingest import ingest
 from aerolytics.plans.quantiles import quantile_columns
-from aerolytics.sources.recordings import lines_from_text, read_recordings
+from aerolytics.sources.recordings import lines_from_text, read_recordings, write_recordings
 from tests.helpers import series_samples
 
 TEXT = "Description,A\nEU,deg\n001:00:00:00.0,{}\n001:00:00:01.0,2\n"
@@ -27,6 +27,16 @@ def test_files_of_one_name_stay_apart_and_names_are_decoded(spark, tmp_path):
     assert first["my flight+1"] == 7.0 and sorted(first.values()) == [1.0, 5.0, 7.0]
 
 
+def test_a_long_recording_is_written_in_parts_and_read_as_one(spark, tmp_path):
+    rows = [(f, i, f"{f} line {i}" if i % 9 else "") for f, n in (("long one", 100), ("b", 3)) for i in range(n)]
+    lines = spark.createDataFrame(rows, "flight_id string, line_no long, line string").repartition(3)
+    write_recordings(lines, str(tmp_path / "r"), part_bits=3)
+    sizes = {str(p.parent.relative_to(tmp_path / "r")): p.read_text().count("\n") for p in (tmp_path / "r").rglob("*.txt")}
+    assert len(sizes) == 14 and max(sizes.values()) == 8 and sum(sizes.values()) == 103
+    back = read_recordings(spark, str(tmp_path / "r"), flight_id_from="parts").collect()
+    assert sorted((r.flight_id.split("flight_id=")[1], r.line_no, r.line) for r in back) == sorted(rows)
+
+
 def test_exports_keep_own_columns_order_and_mixed_kinds(spark, tmp_path):
     rec = ingest(lines_from_text(spark, {
         "fA": "Description,Z,M\nEU,-,-\n1:00:00:00.0,1,2.5\n1:00:00:01.0,3,4.5\n",
