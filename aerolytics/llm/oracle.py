@@ -65,8 +65,62 @@ SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(t) AS
 FROM d JOIN g USING (t)
 """
 
+# crc32 of the decimal id bit by bit; a rebuilt conversation is the list of its
+# turns, a node the first d of them; subtrees by joining nodes to their prefixes.
+PREFIX_TRIE = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p,
+                  {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS said
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(said ORDER BY p) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 20 AS first,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1),
+                 lambda i: ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT)),
+                 lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                     lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295::BIGINT) % 4 AS h FROM own),
+built AS (SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+          FROM h a LEFT JOIN own b ON b.conv_id = a.first),
+path AS (SELECT conv_id, len(turns) AS length, unnest(range(0, len(turns) + 1)) AS d, turns FROM built),
+keyed AS (SELECT conv_id, length, d, CASE WHEN d > 0 THEN turns[d].x END AS said, turns[1:d]::VARCHAR AS k,
+                 CASE WHEN d > 0 THEN turns[1:d - 1]::VARCHAR END AS up FROM path),
+node AS (SELECT k, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n,
+                coalesce(len(regexp_extract_all(any_value(said), '[^\x20\x09-\x0D]+')), 0) AS words,
+                coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE length = d), '') AS ends
+         FROM keyed GROUP BY k),
+child AS (SELECT up AS k, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY up),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (k)),
+under AS (SELECT DISTINCT a.k AS top, b.k, b.words, b.n, b.n_children
+          FROM keyed b0 JOIN keyed a0 ON a0.conv_id = b0.conv_id AND a0.d <= b0.d
+          JOIN full_node a ON a.k = a0.k JOIN full_node b ON b.k = b0.k),
+sums AS (SELECT top AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n - 1) * words) AS saved FROM under GROUP BY top)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_node f JOIN sums s USING (k) LEFT JOIN node p ON p.k = f.up
+"""
+
+_KEPT = """v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, p AS c
+  FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8)"""
+_NEAREST = """a{t} AS MATERIALIZED (SELECT i, any_value(vec_id) AS vec_id, any_value(p) AS p, min({{'d': d, 'k': k}}) AS m
+  FROM (SELECT v.*, k, list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{t})
+  GROUP BY i)"""
+_MOVED = """c{n} AS MATERIALIZED (SELECT c{t}.k, coalesce(u.c, c{t}.c) AS c FROM c{t} LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c
+    FROM (SELECT m.k AS k, j, sum(p[j]) AS s, count(*) AS n FROM a{t}, range(1, 65) r(j) GROUP BY m.k, j) GROUP BY k) u
+  ON u.k = c{t}.k)"""
+CENTROIDS = "WITH " + ",\n".join([_KEPT] + [x for t in range(10) for x in (_NEAREST.format(t=t), _MOVED.format(t=t, n=t + 1))]
+                                + [_NEAREST.format(t=10)]) + """
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
+       CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON c10.k = a10.m.k
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op3_quality_rules": QUALITY_RULES,
     "op4_exact_dedup": EXACT_DEDUP,
+    "op11_conversation_prefix_trie": PREFIX_TRIE,
+    "op12_centroid_clustering": CENTROIDS,
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolytics.llm import exact, licenses, packing, pieces, pii, quality, simhash, substrings, suffixes, toxicity
+from aerolytics.llm import (centroids, exact, jaccard, licenses, packing, pieces, pii, prefixes, quality, simhash,
+                            substrings, suffixes, toxicity)
 from aerolytics.llm.common import documents
 from aerolytics.llm.oracle import ORACLE
 
@@ -55,6 +56,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir)).withColumn("length", F.col("length").cast("long"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), shingle_words=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -66,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 __all__ = ["QUERIES", "ORACLE"]
