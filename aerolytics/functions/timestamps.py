@@ -34,8 +34,7 @@ SHAPES = [
 ]
 
 # The range a nanosecond timestamp can hold.
-_TS_MIN = "1677-09-21 00:12:43.145225"
-_TS_MAX = "2262-04-11 23:47:16.854775"
+TS_RANGE = ("1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775")
 
 
 def timestamp_shape(c: Column) -> Column:
@@ -80,7 +79,7 @@ def timestamp_from_tokens(tokens: Column, shape: Column) -> Column:
     frac = F.when(shape == 1, _fraction_us(F.get(tokens, 6))).otherwise(F.lit(0))
     dt = F.timestamp_add("MICROSECOND", _clock(hh, mi, ss, frac), day)
     dt_ok = (mo >= 1) & (mo <= 12) & (dd >= 1) & (dd <= 31) & _clock_ok(hh, mi, ss)
-    in_range = (dt >= F.expr(f"TIMESTAMP_NTZ'{_TS_MIN}'")) & (dt <= F.expr(f"TIMESTAMP_NTZ'{_TS_MAX}'"))
+    in_range = (dt >= F.expr(f"TIMESTAMP_NTZ'{TS_RANGE[0]}'")) & (dt <= F.expr(f"TIMESTAMP_NTZ'{TS_RANGE[1]}'"))
     date_time = F.when(dt_ok & day.isNotNull() & in_range, dt)
     # time of day
     th, tm, ts = t(0), t(1), t(2)

@@ -2,9 +2,13 @@
 
 Every flight is written with its own columns in file order; no list of columns
 over all flights exists anywhere, and a parameter that is text in one flight and
-a number in another keeps both. Writers are distributed: a flight is cut into
-parts of PART_ROWS rows, each one self-contained file below
-``flight_id=.../part=...``. Nothing is collected on the driver.
+a number in another keeps both. One small table, a row per flight and column,
+is read from the samples first; it gives the column lists, the metadata and the
+file layout: a flight is cut into parts of about ``FILE_BYTES``, every part is
+one self-contained file below ``flight_id=.../part=...``, and parts are dealt to
+as many tasks as the whole has such sizes, small flights together. So files
+number at most the flights plus the bytes by the target, and cells are shuffled
+once, by part. Nothing is collected on the driver.
 """
 
 from __future__ import annotations
@@ -12,22 +16,25 @@ from __future__ import annotations
 import datetime as _dt
 import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from aerolytics.functions.text import ELAPSED_COLUMN, TIMESTAMP_COLUMN
 from aerolytics.operators.ordered import sampling
 from aerolytics.operators.quality import missing_summary
 from aerolytics.operators.stats import describe
 from aerolytics.schema import numeric
-from aerolytics.session import join_small
+from aerolytics.session import join_small, materialize_counted
 
 # Formats really written, and the CSV metadata title.
 EXPORT_FORMATS = ["csv", "json", "parquet"]
 CSV_TITLE = "Flight Data Export"
-# Rows of a flight in one file, as a power of two.
-PART_BITS = 20
+# Bytes of a file, and of a written cell, assumed for the layout.
+FILE_BYTES, CELL_BYTES = 128 << 20, 24
 CSV_TIME, JSON_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -47,25 +54,58 @@ def _placed(samples: DataFrame, parameters: DataFrame | None) -> DataFrame:
                                           position.alias("position"), F.col("parameter").alias("name")))
 
 
+@dataclass
+class Layout:
+    """What the files of an export follow from; ``flights`` has one row per flight."""
+
+    flights: DataFrame  # flight_id, columns, n_columns, data_points, duration_s, part_rows
+    n_flights: int
+    n_tasks: int
+
+
+def file_layout(samples: DataFrame, parameters: DataFrame | None = None, file_bytes: int = FILE_BYTES) -> Layout:
+    """One scan of the samples: each flight's columns in order, its size, and how many rows make a file."""
+    is_el = F.col("place")["last"]
+    per = _placed(samples, parameters).groupBy("flight_id", "place").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("place")["last"], F.col("value"))).alias("last"),
+        F.max("row_no").alias("last_row"))
+    names = F.transform(F.array_sort(F.collect_list("place")), lambda p: p["name"])
+    n_bytes = F.sum("n") * CELL_BYTES
+    files = F.ceil(n_bytes / file_bytes)
+    flights, n = materialize_counted(per.groupBy("flight_id").agg(
+        names.alias("columns"), F.count_if(~is_el).alias("n_parameters"),
+        F.coalesce(F.sum(F.when(is_el, F.col("n"))), F.lit(0)).alias("data_points"), F.max("last").alias("duration_s"),
+        n_bytes.alias("n_bytes"), F.ceil((F.max("last_row") + 1) / files).alias("part_rows")))
+    total = flights.agg(F.sum("n_bytes")).first()[0] or 0
+    return Layout(flights, n, max(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes)))
+
+
 def column_lists(samples: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
     """(flight_id, columns): the parameter names of each flight in column order."""
-    names = _placed(samples, parameters).groupBy("flight_id", "place").agg(F.lit(1).alias("_one"))
-    ordered = F.transform(F.array_sort(F.collect_list("place")), lambda p: p["name"])
-    return names.groupBy("flight_id").agg(ordered.alias("columns"))
+    return file_layout(samples, parameters).flights.select("flight_id", "columns")
 
 
-def records(samples: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+def records(samples: DataFrame, parameters: DataFrame | None = None, layout: Layout | None = None) -> DataFrame:
     """One row per (flight, row): Timestamp and the row's cells in column order.
 
     ``cells`` is array<struct<parameter, text, value>>; its length is the row's
-    own number of columns. Grouping by (flight, row) spreads a large flight.
+    own number of columns. Grouping by (flight, row) spreads a large flight;
+    with a ``layout`` the rows also have ``part`` and lie together by part, in
+    order, after the same single shuffle.
     """
     cell = F.struct("place", "parameter", "text", "value")
-    rows = (_placed(samples, parameters).groupBy("flight_id", "row_no")
-            .agg(F.first("ts").alias(TIMESTAMP_COLUMN), F.array_sort(F.collect_list(cell)).alias("_c")))
+    s, keys = _placed(samples, parameters), ["flight_id", "row_no"]
+    if layout is not None:
+        keys = ["flight_id", "part", "row_no"]
+        s = join_small(s, layout.flights.select("flight_id", "part_rows"), "flight_id", n_rows=layout.n_flights)
+        s = s.withColumn("part", F.floor(F.col("row_no") / F.col("part_rows")).cast("long")).repartition(
+            layout.n_tasks, "flight_id", "part")
+    rows = s.groupBy(*keys).agg(F.first("ts").alias(TIMESTAMP_COLUMN), F.array_sort(F.collect_list(cell)).alias("_c"))
+    if layout is not None:
+        rows = rows.sortWithinPartitions(*keys)
     cells = F.transform("_c", lambda c: F.struct(c["parameter"].alias("parameter"), c["text"].alias("text"),
                                                  c["value"].alias("value")))
-    return rows.select("flight_id", "row_no", TIMESTAMP_COLUMN, cells.alias("cells"))
+    return rows.select(*keys, TIMESTAMP_COLUMN, cells.alias("cells"))
 
 
 def _json_string(c: Column) -> Column:
@@ -79,28 +119,35 @@ def _csv_cell(c: Column) -> Column:
 
 
 def _write_lines(lines: DataFrame, path: str) -> None:
-    """Lines (flight_id, row_no, line), a header at row -1 of each part, as one file per flight and part."""
-    (lines.repartition("flight_id", "part").sortWithinPartitions("flight_id", "part", "row_no")
-     .select("flight_id", "part", "line").write.mode("overwrite").partitionBy("flight_id", "part").text(path))
+    """Lines (flight_id, part, line), lying together by part, as one file per flight and part."""
+    lines.select("flight_id", "part", "line").write.mode("overwrite").partitionBy("flight_id", "part").text(path)
+
+
+@F.pandas_udf(StringType())
+def _two_decimals(v: pd.Series) -> pd.Series:
+    """The number with two decimals, rounded from its exact binary value (one row per flight)."""
+    return v.map(lambda x: None if pd.isna(x) else f"{x:.2f}")
 
 
-def export_metadata(samples: DataFrame, export_date: str | None = None, n_charts: int = 0) -> DataFrame:
+def _metadata(layout: Layout, export_date: str | None, n_charts: int) -> DataFrame:
+    """Per flight, from the layout's table alone: date, points, parameters (columns - 2), columns (all), duration."""
+    export_date = export_date or _dt.datetime.now().isoformat()
+    return layout.flights.select(
+        "flight_id", F.lit(export_date).alias("export_date"), "data_points", "n_parameters",
+        (F.col("n_parameters") + 2).alias("n_columns"), "duration_s", _two_decimals("duration_s").alias("duration_text"),
+        F.lit(n_charts).alias("charts_count"))
+
+
+def export_metadata(samples: DataFrame, export_date: str | None = None, n_charts: int = 0,
+                    layout: Layout | None = None) -> DataFrame:
     """Per flight: export date, points, parameters (columns - 2), columns
     (all), duration (s, max elapsed), sampling rate (1 / median gap, no
-    guard), chart count (B1, B4-B6)."""
-    export_date = export_date or _dt.datetime.now().isoformat()
-    is_el = F.col("parameter") == ELAPSED_COLUMN
-    base = samples.groupBy("flight_id").agg(
-        F.count_if(is_el).alias("data_points"),
-        F.count_distinct(F.when(~is_el, F.col("parameter"))).alias("_p"),
-        F.max(F.when(is_el, F.col("value"))).alias("duration_s"))
+    guard), chart count (B5, B6)."""
     rate = sampling(samples).select("flight_id", F.try_divide(F.lit(1.0), F.col("median_interval_s"))
                                     .alias("sampling_rate_hz"))
-    return (base.join(rate, "flight_id", "left")
-            .select("flight_id", F.lit(export_date).alias("export_date"), "data_points",
-                    F.col("_p").alias("n_parameters"), (F.col("_p") + 2).alias("n_columns"),
-                    "duration_s", F.format_number(F.col("duration_s"), 2).alias("duration_text"),
-                    "sampling_rate_hz", F.lit(n_charts).alias("charts_count")))
+    return (_metadata(layout or file_layout(samples), export_date, n_charts).join(rate, "flight_id", "left")
+            .select("flight_id", "export_date", "data_points", "n_parameters", "n_columns", "duration_s", "duration_text",
+                    "sampling_rate_hz", "charts_count"))
 
 
 def validate_export(samples: DataFrame) -> DataFrame:
@@ -138,21 +185,22 @@ def export_csv(samples: DataFrame, path: str, include_metadata: bool = True,
                export_date: str | None = None, parameters: DataFrame | None = None) -> None:
     """CSV per flight under ``path/data`` (B1, B2): a header and one line per
     row, missing cells empty; the metadata head as ``path/metadata`` (JSON lines)."""
-    part = F.shiftright("row_no", PART_BITS).alias("part")
-    columns = column_lists(samples, parameters)
-    rows = join_small(records(samples, parameters), columns, ["flight_id"])
+    layout = file_layout(samples, parameters)
+    rows = join_small(records(samples, parameters, layout), layout.flights.select("flight_id", "columns"), ["flight_id"],
+                      n_rows=layout.n_flights)
     cells = F.map_from_entries(F.transform("cells", lambda c: F.struct(
         c["parameter"], F.coalesce(_csv_cell(c["text"]), c["value"].cast("string"), F.lit("")))))
     body = F.transform("columns", lambda n: F.coalesce(F.try_element_at(F.col("_cells"), n), F.lit("")))
-    data = (rows.withColumn("_cells", cells)
-            .select("flight_id", part, "row_no", F.concat_ws(
-                ",", F.date_format(TIMESTAMP_COLUMN, CSV_TIME), F.concat_ws(",", body)).alias("line")))
-    head = join_small(rows.select("flight_id", part).distinct(), columns, ["flight_id"]).select(
-        "flight_id", "part", F.lit(-1).cast("long").alias("row_no"),
-        F.concat_ws(",", F.lit(TIMESTAMP_COLUMN), F.concat_ws(",", F.transform("columns", _csv_cell))).alias("line"))
-    _write_lines(data.unionByName(head), f"{path}/data")
+    head = F.concat_ws(",", F.lit(TIMESTAMP_COLUMN), F.concat_ws(",", F.transform("columns", _csv_cell)))
+    # The part's first line brings the header; the rows lie by part already.
+    first = F.row_number().over(Window.partitionBy("flight_id", "part").orderBy("row_no")) == 1
+    data = rows.withColumn("_cells", cells).select("flight_id", "part", "row_no", first.alias("first"), head.alias("head"), F.concat_ws(
+        ",", F.date_format(TIMESTAMP_COLUMN, CSV_TIME), F.concat_ws(",", body)).alias("line"))
+    data = data.select("flight_id", "part", F.explode(
+        F.when(F.col("first"), F.array("head", "line")).otherwise(F.array("line"))).alias("line"))
+    _write_lines(data, f"{path}/data")
     if include_metadata:
-        (export_metadata(samples, export_date).withColumn("title", F.lit(CSV_TITLE))
+        (_metadata(layout, export_date, 0).withColumn("title", F.lit(CSV_TITLE))
          .write.mode("overwrite").json(f"{path}/metadata"))
 
 
@@ -160,15 +208,15 @@ def export_json(samples: DataFrame, path: str, export_date: str | None = None, c
                 parameters: DataFrame | None = None) -> None:
     """JSON records per flight with ISO dates and explicit nulls (B3, B4);
     ``path/metadata`` holds the metadata with column list and chart configurations."""
+    layout = file_layout(samples, parameters)
     pairs = F.transform("cells", lambda c: F.concat(_json_string(c["parameter"]), F.lit(":"), F.when(
         c["text"].isNotNull(), _json_string(c["text"])).otherwise(F.coalesce(c["value"].cast("string"), F.lit("null")))))
     stamp = F.concat(F.lit(f'"{TIMESTAMP_COLUMN}":"'), F.date_format(TIMESTAMP_COLUMN, JSON_TIME), F.lit('"'))
-    lines = records(samples, parameters).select(
-        "flight_id", F.shiftright("row_no", PART_BITS).alias("part"), "row_no",
-        F.concat(F.lit("{"), F.concat_ws(",", stamp, F.concat_ws(",", pairs)), F.lit("}")).alias("line"))
+    lines = records(samples, parameters, layout).select(
+        "flight_id", "part", F.concat(F.lit("{"), F.concat_ws(",", stamp, F.concat_ws(",", pairs)), F.lit("}")).alias("line"))
     _write_lines(lines, f"{path}/data")
     configurations = F.lit(json.dumps([dict(c, parameters=list(c.get("parameters", ()))) for c in charts]))
-    (export_metadata(samples, export_date, len(charts)).join(column_lists(samples, parameters), "flight_id")
+    (_metadata(layout, export_date, len(charts)).join(layout.flights.select("flight_id", "columns"), "flight_id")
      .withColumn("columns", F.concat(F.array(F.lit(TIMESTAMP_COLUMN)), F.col("columns")))
      .withColumn("charts", configurations).write.mode("overwrite").json(f"{path}/metadata"))
 
@@ -186,11 +234,13 @@ def export_bundle(samples: DataFrame, path: str, charts: Sequence = (), export_d
     """The workbook's four tables as Parquet folders (B5): flight data (records
     in column order), statistics (describe of numeric columns, elapsed
     included), metadata, chart configurations."""
-    (records(samples, parameters).write.mode("overwrite").partitionBy("flight_id").parquet(f"{path}/flight_data"))
+    layout = file_layout(samples, parameters)
+    (records(samples, parameters, layout).drop("part").write.mode("overwrite").partitionBy("flight_id")
+     .parquet(f"{path}/flight_data"))
     describe(samples).write.mode("overwrite").parquet(f"{path}/statistics")
-    export_metadata(samples, export_date, len(charts)).write.mode("overwrite").parquet(f"{path}/metadata")
+    export_metadata(samples, export_date, len(charts), layout).write.mode("overwrite").parquet(f"{path}/metadata")
     chart_table(samples.sparkSession, charts).write.mode("overwrite").parquet(f"{path}/chart_configurations")
 
 
 __all__ = ["export_formats", "records", "column_lists", "export_metadata", "validate_export", "export_csv",
-           "export_json", "export_bundle", "chart_table", "numeric", "TIMESTAMP_COLUMN"]
+           "export_json", "export_bundle", "file_layout", "chart_table", "numeric", "TIMESTAMP_COLUMN"]

@@ -1,17 +1,21 @@
 """Ingest: recording text lines -> typed long samples.
 
 Input ``lines(flight_id, line_no, line)``, one recording per flight_id, in
-file order by line_no. Three passes over the input, each a plain scan:
-
-1. per-flight bounds: first / last non-blank line (the text is trimmed as a
-   whole, so the header is the first non-blank line);
-2. one aggregate by ``(flight_id, position)`` over every cell: the two header
-   cells, and for each of the five timestamp formats the count / min / max of
-   parsed timestamps (position 0) and the count of numeric cells on rows whose
-   timestamp parses (other positions). Every per-flight decision - format,
-   column names, numeric or text, refusal - is read from this small table;
-3. the typed samples: the chosen format only, rows without a timestamp
-   dropped, ``row_no`` dense in file order over the kept rows.
+file order by line_no. Two passes over the input, each a plain scan:
+
+1. every split of the input gives a small mergeable state (``ingest_state``):
+   its lines' range per flight; per flight and cell position the count, least
+   and largest timestamp of each of the five formats (position 0) and the count
+   of numeric cells on rows whose timestamp parses (other positions); and the
+   few lines that may be the header (the text is trimmed as a whole, so the
+   header is the first non-blank line). Every per-flight decision - format,
+   column names, numeric or text, refusal - is read from the merged state;
+2. the typed samples: the chosen format only, rows without a timestamp
+   dropped, ``row_no`` dense in file order over the kept rows. The splits'
+   counts of kept rows number them where they lie; lines that do not lie in
+   file order, or whose splits are too many to broadcast, are numbered by a
+   shuffle instead. Lines that come out of a shuffle are not stable between two
+   passes and go the second way.
 
 Flights that the reference would refuse as a whole (too few lines, no data
 rows, no timestamp, a column name twice) yield no samples and an issue row.
@@ -19,19 +23,21 @@ rows, no timestamp, a column name twice) yield no samples and an issue row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolytics.functions.numbers import parse_number, safe_ratio
 from aerolytics.functions.text import (ELAPSED_COLUMN, column_name, py_strip,
                                        split_cells)
 from aerolytics.functions.timestamps import TS_FORMATS, with_timestamp
-from aerolytics.plans.quantiles import quantile_columns
+from aerolytics.operators.ingest_state import line_state, split_state
 from aerolytics.plans.ordering import ROW_BLOCK_BITS, dense_row_number, keep_not_null, previous_values
-from aerolytics.session import materialize, materialize_counted
+from aerolytics.plans.quantiles import quantile_columns
+from aerolytics.session import materialize
 
 # Share thresholds (strictly greater than) for a timestamp format
 # and for a numeric column; minimum number of lines of a recording.
@@ -47,7 +53,7 @@ ROW_BYTES = 100
 
 @dataclass
 class Recording:
-    """Result of ingest: lazy DataFrames over the three passes.
+    """Result of ingest: lazy DataFrames over the two passes.
 
     ``flights`` (needs the median row gap) and ``issues`` are built on first
     access, so a caller that only reads samples pays for neither.
@@ -69,61 +75,107 @@ class Recording:
     def issues(self) -> DataFrame:
         """flight_id, line_no, column, code, count"""
         p = self._parts
-        return _issues(self.head, p["params"], p["rows"], self.samples)
+        return _issues(self.head, p["params"], p["rows"], self.samples, p["kept"])
 
 
-def _small(df: DataFrame, nested: str | None = None) -> DataFrame:
-    """Materialise a decision table and mark it for broadcast if its size allows.
+def _small(df: DataFrame, nested: str) -> tuple[DataFrame, bool]:
+    """Materialise a decision table, mark it for broadcast if its size allows, and tell whether it does.
 
-    ``nested`` names an array column whose entries count too: a table of few
-    rows may hold long column lists.
+    The entries of the array column ``nested`` count too: a table of few rows
+    may hold long column lists.
     """
-    df, n = materialize_counted(df)
-    size = n * ROW_BYTES
-    if nested and size <= BROADCAST_MAX_BYTES:
-        size += (df.agg(F.sum(F.size(nested))).first()[0] or 0) * ROW_BYTES
-    return F.broadcast(df) if size <= BROADCAST_MAX_BYTES else df
+    df = materialize(df)
+    n, entries = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col(nested).isNotNull(), F.size(nested))), F.lit(0))).first()
+    small = (n + entries) * ROW_BYTES <= BROADCAST_MAX_BYTES
+    return (F.broadcast(df) if small else df), small
 
 
 def _prepared(lines: DataFrame) -> DataFrame:
     line = F.when(F.col("line_no") == 0, F.regexp_replace("line", "^" + BOM, "")).otherwise(F.col("line"))
-    return (lines.select("flight_id", F.col("line_no").cast("long").alias("line_no"), line.alias("line"))
+    return (lines.filter(F.col("flight_id").isNotNull())
+            .select("flight_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce(line, F.lit("")).alias("line"))
             .withColumn("blank", py_strip(F.col("line")) == ""))
 
 
+def _in_order(runs: DataFrame) -> tuple[bool, int]:
+    """Whether every partition holds each recording as one ascending run, runs do not overlap; and their number."""
+    before = Window.partitionBy("flight_id").orderBy("line_no", "part")
+    r = runs.withColumn("apart", F.coalesce(F.lag("last_no").over(before) < F.col("line_no"), F.lit(True))).agg(
+        F.bool_and(F.col("ordered") & F.col("apart")).alias("ok"), F.count(F.lit(1)).alias("n")).first()
+    return bool(r["ok"]), r["n"]
+
+
+def _reads_in_place(df: DataFrame) -> bool:
+    """Whether the rows reach a task without a shuffle, so that two passes meet the same partitions."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.search(r"(?<!Broadcast)Exchange|Coalesce|AQEShuffleRead", plan) is None
+
+
+def _numbered_in_place(kept: DataFrame, runs: DataFrame, counts: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``row_no`` of kept lines from the counts of their splits: no line leaves its task.
+
+    A line's place among the kept lines of its partition, less those of the
+    recordings before it there, plus those of the recording's earlier splits.
+    A line outside the range its split had in the first pass stops the query.
+    """
+    r = (runs.join(accepted, "flight_id").join(counts, ["part", "flight_id"], "left")
+         .withColumn("n", F.coalesce(_pick("cnt"), F.lit(0))))
+    before = lambda key, order: (Window.partitionBy(key).orderBy(order)
+                                 .rowsBetween(Window.unboundedPreceding, -1))
+    r = r.select("part", "flight_id", F.col("line_no").alias("first_no"), "last_no",
+                 F.coalesce(F.sum("n").over(before("flight_id", "line_no")), F.lit(0)).alias("offset"),
+                 F.coalesce(F.sum("n").over(before("part", "seq")), F.lit(0)).alias("start"))
+    k = kept.withColumn("_id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("_id", 33).cast("int"))
+    k = k.join(F.broadcast(r), ["part", "flight_id"], "left")
+    moved = F.raise_error(F.lit("lines lie in other partitions than in the first pass: store them before ingest"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) - F.col("start")
+    ok = (F.col("line_no") >= F.col("first_no")) & (F.col("line_no") <= F.col("last_no")) & (place >= 0)
+    return k.withColumn("row_no", F.when(F.coalesce(ok, F.lit(False)), F.col("offset") + place)
+                        .otherwise(moved.cast("long"))).drop("_id", "part", "first_no", "last_no", "offset", "start")
+
+
+def _pick(prefix: str):
+    """The column of the chosen timestamp format."""
+    e = F.col(f"{prefix}{NF - 1}")
+    for i in reversed(range(NF - 1)):
+        e = F.when(F.col("fmt") == i, F.col(f"{prefix}{i}")).otherwise(e)
+    return e
+
+
 def ingest(lines: DataFrame) -> Recording:
     """Parse recording lines into typed samples; see the module notes."""
     L = _prepared(lines)
-
-    # pass 1: bounds of the trimmed text
-    bounds = _small(L.groupBy("flight_id").agg(
-        F.min(F.when(~F.col("blank"), F.col("line_no"))).alias("h0"),
-        F.max(F.when(~F.col("blank"), F.col("line_no"))).alias("hl"))
+    in_place = _reads_in_place(L)
+
+    # pass 1: what each split knows, then per flight
+    state = materialize(split_state(L))
+    kind = F.col("kind")
+    bounds = (state.groupBy("flight_id").agg(
+        F.min(F.when((kind == "line") & ~F.col("blank"), F.col("line_no"))).alias("h0"),
+        F.max(F.when(kind == "end", F.col("line_no"))).alias("hl"))
         .withColumn("too_few", F.col("h0").isNull() | (F.col("hl") - F.col("h0") + 1 < MIN_LINES)))
-
-    # pass 2: one aggregate by (flight, position)
-    t = L.join(bounds.filter(~F.col("too_few")).select("flight_id", "h0", "hl"), "flight_id")
-    t = t.filter((F.col("line_no") >= F.col("h0")) & (F.col("line_no") <= F.col("hl")))
-    role = (F.when(F.col("line_no") == F.col("h0"), F.lit("h1"))
-            .when(F.col("line_no") == F.col("h0") + 1, F.lit("h2"))
-            .when(~F.col("blank"), F.lit("d")))
-    t = t.withColumn("role", role).filter(F.col("role").isNotNull())
-    raw = F.split(F.col("line"), ",", -1)
-    t = t.select("flight_id", "role", raw.alias("raw"),
-                 F.when(F.col("role") == "d", py_strip(F.get(raw, 0))).alias("ts_cell"))
-    t = with_timestamp(t, "ts_cell")
-    c = t.select("flight_id", "role", "ts_shape", "ts_any", F.posexplode("raw").alias("pos", "cell"))
-    is_d = F.col("role") == "d"
-    num_ok = parse_number(py_strip(F.col("cell"))).isNotNull()
-    aggs = [F.max(F.when(F.col("role") == "h1", F.col("cell"))).alias("h1"),
-            F.max(F.when(F.col("role") == "h2", F.col("cell"))).alias("h2"),
-            F.count_if(is_d).alias("n_data")]
+    loose = (state.filter(kind == "line").select("part", "flight_id", "line_no", "blank", "line")
+             .join(bounds.filter(~F.col("too_few")).select("flight_id", "h0"), "flight_id"))
+    header = loose.filter(F.col("line_no") <= F.col("h0") + 1).filter(F.col("line_no") >= F.col("h0"))
+    is_h1 = F.col("line_no") == F.col("h0")
+    header = (header.select("flight_id", is_h1.alias("first"), F.posexplode(F.split("line", ",", -1)).alias("pos", "cell"))
+              .groupBy("flight_id", F.col("pos").cast("long").alias("pos"))
+              .agg(F.max(F.when(F.col("first"), F.col("cell"))).alias("h1"),
+                   F.max(F.when(~F.col("first"), F.col("cell"))).alias("h2")))
+    # Lines that a split kept back and that are no header after all are counted like the others.
+    late = line_state(loose.filter((F.col("line_no") > F.col("h0") + 1) & ~F.col("blank")))
+    cell_rows = materialize(state.filter(kind == "cell").unionByName(late))
+    sums = [F.sum("n_data").alias("n_data")]
     for i in range(NF):
-        ok_i = is_d & (F.col("ts_shape") == i) & F.col("ts_any").isNotNull()
-        ts = F.when(ok_i & (F.col("pos") == 0), F.col("ts_any"))
-        aggs += [F.count(ts).alias(f"cnt{i}"), F.min(ts).alias(f"min{i}"), F.max(ts).alias(f"max{i}"),
-                 F.count_if(ok_i & (F.col("pos") > 0) & num_ok).alias(f"num{i}")]
-    cols = materialize(c.groupBy("flight_id", "pos").agg(*aggs))
+        sums += [F.sum(f"cnt{i}").alias(f"cnt{i}"), F.min(f"min{i}").alias(f"min{i}"), F.max(f"max{i}").alias(f"max{i}"),
+                 F.sum(f"num{i}").alias(f"num{i}")]
+    counts = cell_rows.groupBy("flight_id", "pos").agg(*sums)
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ["n_data", *[f"{p}{i}" for p in ("cnt", "num") for i in range(NF)]]]
+    times = [F.timestamp_add("MICROSECOND", F.col(f"{p}{i}"), epoch).alias(f"{p}{i}") for p in ("min", "max") for i in range(NF)]
+    cols = (counts.join(header, ["flight_id", "pos"], "full")
+            .join(bounds.filter(~F.col("too_few")).select("flight_id"), "flight_id", "left_semi")
+            .select("flight_id", "pos", "h1", "h2", *counted, *times))
 
     # per-flight decisions
     n_rows = F.col("n_rows").cast("double")
@@ -131,12 +183,6 @@ def ingest(lines: DataFrame) -> Recording:
     for i in reversed(range(NF - 1)):
         fmt = F.when(F.col(f"cnt{i}").cast("double") > n_rows * F.lit(TS_VALID_SHARE), F.lit(i)).otherwise(fmt)
 
-    def pick(prefix):
-        e = F.col(f"{prefix}{NF - 1}")
-        for i in reversed(range(NF - 1)):
-            e = F.when(F.col("fmt") == i, F.col(f"{prefix}{i}")).otherwise(e)
-        return e
-
     at0 = cols.filter(F.col("pos") == 0).select("flight_id", F.col("n_data").alias("n_rows"),
                                               *[f"cnt{i}" for i in range(NF)],
                                               *[f"min{i}" for i in range(NF)],
@@ -146,13 +192,13 @@ def ingest(lines: DataFrame) -> Recording:
     fl = (bounds.join(widths, "flight_id", "left").join(at0, "flight_id", "left")
           .withColumn("n_rows", F.coalesce(F.col("n_rows"), F.lit(0)))
           .withColumn("fmt", fmt)
-          .withColumn("n_kept", pick("cnt"))
-          .withColumn("t0", pick("min"))
-          .withColumn("t1", pick("max"))
+          .withColumn("n_kept", _pick("cnt"))
+          .withColumn("t0", _pick("min"))
+          .withColumn("t1", _pick("max"))
           .select("flight_id", "h0", "hl", "too_few", "n_cols", "n_rows", "fmt", "n_kept", "t0", "t1"))
     params = (cols.join(fl.select("flight_id", "n_cols", "fmt", "n_kept"), "flight_id")
               .filter(F.col("pos") < F.col("n_cols"))
-              .withColumn("num_ok", pick("num"))
+              .withColumn("num_ok", _pick("num"))
               .select("flight_id", F.col("pos").cast("int").alias("position"),
                       column_name(F.col("h1"), F.coalesce(F.col("h2"), F.lit("")), F.col("pos")).alias("parameter"),
                       py_strip(F.col("h1")).alias("name"), py_strip(F.col("h2")).alias("unit"),
@@ -168,10 +214,16 @@ def ingest(lines: DataFrame) -> Recording:
     layout = (params.filter(F.col("position") > 0)
               .groupBy("flight_id")
               .agg(F.array_sort(F.collect_list(F.struct("position", "parameter", "is_numeric"))).alias("layout")))
-    head = _small(fl.join(dup_flights, "flight_id", "left").withColumn("refused", refusal))
-    layouts = _small(layout, "layout")
+    head, small = _small(fl.join(dup_flights, "flight_id", "left").withColumn("refused", refusal)
+                         .join(layout, "flight_id", "left"), "layout")
+    accepted = head.filter(F.col("refused").isNull())
+    runs = state.filter(kind == "run").select("part", "flight_id", "line_no", "last_no", "seq", "ordered")
+    in_place = in_place and small
+    if in_place:
+        in_place, n_runs = _in_order(runs)
+        in_place = in_place and n_runs * ROW_BYTES <= BROADCAST_MAX_BYTES
 
-    # pass 3: typed samples
+    # pass 2: typed samples
     r = L.join(head.select("flight_id", "h0", "hl", "n_cols", "fmt", "t0", "refused"), "flight_id")
     body = (F.col("line_no") >= F.col("h0") + 2) & (F.col("line_no") <= F.col("hl")) & ~F.col("blank")
     rows = r.filter(body & F.col("n_cols").isNotNull())
@@ -182,15 +234,20 @@ def ingest(lines: DataFrame) -> Recording:
              .otherwise(cells))
     cell_table = rows.select("flight_id", "line_no", F.posexplode(fixed).alias("position", "cell"))
 
-    # The line itself goes through the numbering shuffle; cells and column lists come after it.
     first_cell = py_strip(F.substring_index(F.col("line"), ",", 1))
     kept = rows.filter(F.col("refused").isNull()).select("flight_id", "line_no", "line", "fmt", first_cell.alias("_c0"))
     kept = with_timestamp(kept, "_c0")
     kept = kept.withColumn("ts", F.when(F.col("ts_shape") == F.col("fmt"), F.col("ts_any")))
     kept = keep_not_null(kept.drop("_c0", "ts_shape", "ts_any", "fmt"), "ts")
-    kept = dense_row_number(kept, ["flight_id"], ["line_no"], F.shiftright(F.col("line_no"), ROW_BLOCK_BITS))
-    kept = (kept.join(head.select("flight_id", "t0", "n_cols"), "flight_id").join(layouts, "flight_id")
-            .withColumn("cells", fixed))
+    if in_place:
+        per_split = (cell_rows.filter(F.col("pos") == 0).groupBy("part", "flight_id")
+                     .agg(*[F.sum(f"cnt{i}").alias(f"cnt{i}") for i in range(NF)]))
+        kept = _numbered_in_place(kept, runs, per_split, accepted.select("flight_id", "fmt"))
+    else:
+        # Lines out of order, or too many splits for a broadcast: the line itself passes the
+        # numbering shuffle; cells and column lists come after it.
+        kept = dense_row_number(kept, ["flight_id"], ["line_no"], F.shiftright(F.col("line_no"), ROW_BLOCK_BITS))
+    kept = kept.join(head.select("flight_id", "t0", "n_cols", "layout"), "flight_id").withColumn("cells", fixed)
     kept = kept.withColumn("elapsed_s", F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("ts")) / 1e6)
     per_cell = F.transform(F.col("layout"), lambda p: F.struct(
         p["parameter"].alias("parameter"), p["is_numeric"].alias("is_numeric"),
@@ -206,7 +263,6 @@ def ingest(lines: DataFrame) -> Recording:
         F.when(F.col("p.parameter") == ELAPSED_COLUMN, F.col("elapsed_s"))
         .when(F.col("p.is_numeric"), parse_number(F.col("p.cell"))).alias("value"))
 
-    accepted = head.filter(F.col("refused").isNull())
     parameters = (params.join(accepted.select("flight_id"), "flight_id", "left_semi")
                   .filter(F.col("position") > 0)
                   .select("flight_id", "position", "parameter", "name", "unit", "is_numeric", "n_rows",
@@ -240,7 +296,7 @@ def _issue(df: DataFrame, code: str, line_no=None, column=None, count=None) -> D
                      (count if count is not None else F.lit(1)).cast("long").alias("count"))
 
 
-def _issues(head: DataFrame, params: DataFrame, rows: DataFrame, samples: DataFrame) -> DataFrame:
+def _issues(head: DataFrame, params: DataFrame, rows: DataFrame, samples: DataFrame, kept: DataFrame) -> DataFrame:
     """Data faults as rows; counts are results, wording is not kept."""
     refused = head.filter(F.col("refused").isNotNull()).select(
         "flight_id", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("column"),
@@ -261,4 +317,4 @@ def _issues(head: DataFrame, params: DataFrame, rows: DataFrame, samples: DataFr
                      count=F.col("n_rows") - F.col("num_ok"))
     from aerolytics.operators.quality import quality_issues
     return (refused.unionByName(widths).unionByName(bad_ts)
-            .unionByName(non_numeric).unionByName(as_text).unionByName(quality_issues(samples)))
+            .unionByName(non_numeric).unionByName(as_text).unionByName(quality_issues(samples, kept)))

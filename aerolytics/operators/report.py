@@ -1,7 +1,8 @@
 """Report contents (D13, D14) as named DataFrames, and a long form of them.
 
 The HTML pages are not built. One aggregate per (flight, parameter) is computed
-and stored when a report is asked for; its short sections are read from there.
+and stored when a report is asked for; its sections are read from there, but for
+the quartiles, which take a second scan.
 """
 
 from __future__ import annotations
@@ -14,23 +15,7 @@ from pyspark.sql import functions as F
 from aerolytics.functions.text import ELAPSED_COLUMN, TIMESTAMP_COLUMN
 from aerolytics.operators.export import chart_table
 from aerolytics.operators.limits import limit_check
-from aerolytics.operators.stats import describe
-from aerolytics.session import materialize
-
-
-def parameter_summary(samples: DataFrame) -> DataFrame:
-    """One row per (flight, parameter): all that the short report sections need, from one scan.
-
-    Stored, as every section reads it; it has as many rows as there are columns
-    over all flights.
-    """
-    v = F.col("value")
-    return materialize(samples.groupBy("flight_id", "parameter").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n_valid"),
-        F.count_if(v.isNull() & F.col("text").isNull()).alias("missing"),
-        F.count_if(F.col("text").isNull()).alias("n_numeric"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min_by(v, "row_no").alias("first_value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+from aerolytics.operators.stats import describe, parameter_summary
 
 
 def _sections(summary: DataFrame) -> dict[str, DataFrame]:
@@ -66,11 +51,11 @@ def auto_report_tables(samples: DataFrame, limits: DataFrame | None = None,
     """Automatic report: overview, describe (numbers and the timestamp), missing
     note, limit findings, chart list (D13)."""
     summary = parameter_summary(samples)
-    parts = _sections(summary)
-    out = {"overview": parts["overview"], "describe": describe(samples),
-           "describe_timestamp": describe_timestamp(summary), "missing": parts["missing"]}
+    parts = _sections(summary.table)
+    out = {"overview": parts["overview"], "describe": describe(samples, summary=summary),
+           "describe_timestamp": describe_timestamp(summary.table), "missing": parts["missing"]}
     if limits is not None:
-        out["limits"] = limit_check(samples, limits)
+        out["limits"] = limit_check(samples, limits, summary)
     if charts:
         out["charts"] = chart_table(samples.sparkSession, charts)
     return out
@@ -78,19 +63,30 @@ def auto_report_tables(samples: DataFrame, limits: DataFrame | None = None,
 
 def flight_report_tables(samples: DataFrame, charts: Sequence[dict] = ()) -> dict[str, DataFrame]:
     """Flight report: overview, statistics, missing note, constants, chart list."""
-    out = _sections(parameter_summary(samples))
+    out = _sections(parameter_summary(samples).table)
     if charts:
         out["charts"] = chart_table(samples.sparkSession, charts)
     return out
 
 
-def auto_report_long(samples: DataFrame, limits: DataFrame) -> DataFrame:
+def _with_charts(sections: DataFrame, flights: DataFrame, charts: Sequence[dict]) -> DataFrame:
+    """``sections`` and the chart list of every flight: key is type and title, value the number of parameters."""
+    if not charts:
+        return sections
+    entries = F.array(*[F.struct(F.lit(f"{c.get('type', '')}|{c.get('title', '')}").alias("key"),
+                                 F.lit(float(len(c.get("parameters", ())))).alias("value")) for c in charts])
+    listed = flights.select("flight_id", F.explode(entries).alias("c")).select(
+        "flight_id", F.lit("charts").alias("section"), "c.key", F.lit("n_parameters").alias("field"), "c.value")
+    return sections.unionByName(listed)
+
+
+def auto_report_long(samples: DataFrame, limits: DataFrame, charts: Sequence[dict] = ()) -> DataFrame:
     """Automatic report as rows (flight_id, section, key, field, value); times as seconds since 1970."""
-    t = auto_report_tables(samples, limits)
+    t = auto_report_tables(samples, limits, charts)
     epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
     ts = t["describe_timestamp"].select("flight_id", "parameter", "count", *[
         (F.timestamp_diff("MICROSECOND", epoch, F.col(c)) / 1e6).alias(c) for c in ("first", "last")])
-    return (_long(t["overview"], "overview", [], ["n_points", "n_parameters", "duration_min"])
+    out = (_long(t["overview"], "overview", [], ["n_points", "n_parameters", "duration_min"])
             .unionByName(_long(t["describe"], "describe", ["parameter"],
                                ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]))
             .unionByName(_long(ts, "describe", ["parameter"], ["count", "first", "last"]))
@@ -98,6 +94,7 @@ def auto_report_long(samples: DataFrame, limits: DataFrame) -> DataFrame:
                                "missing", [], ["any_missing", "n_columns_with_missing"]))
             .unionByName(_long(t["limits"].filter(F.col("parameter").isNotNull()), "limits", ["parameter", "status"],
                                ["min_value", "max_value"])))
+    return _with_charts(out, t["overview"], charts)
 
 
 def _long(df: DataFrame, section: str, key_cols: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
@@ -109,11 +106,12 @@ def _long(df: DataFrame, section: str, key_cols: Sequence[str], value_cols: Sequ
                      F.explode(cells).alias("c")).select("flight_id", "section", "key", "c.field", "c.value")
 
 
-def report_long(samples: DataFrame) -> DataFrame:
+def report_long(samples: DataFrame, charts: Sequence[dict] = ()) -> DataFrame:
     """Flight report as rows (flight_id, section, key, field, value)."""
-    t = flight_report_tables(samples)
-    return (_long(t["overview"], "overview", [], ["n_points", "n_parameters", "duration_min"])
+    t = flight_report_tables(samples, charts)
+    out = (_long(t["overview"], "overview", [], ["n_points", "n_parameters", "duration_min"])
             .unionByName(_long(t["statistics"], "statistics", ["parameter"], ["mean", "std", "min", "max", "range"]))
             .unionByName(_long(t["missing"].withColumn("any_missing", F.col("any_missing").cast("int")),
                                "missing", [], ["any_missing", "n_columns_with_missing"]))
             .unionByName(_long(t["constants"], "constants", ["parameter"], ["first_value"])))
+    return _with_charts(out, t["overview"], charts)

@@ -28,6 +28,10 @@ QUERY_LIMITS = [("value", 0.0, 250.0), ("k", 10.0, 99.0), ("Elapsed Time (s)", 0
                 ("absent parameter", 0.0, 1.0)]
 INFINITE_VALUE_EVERY = 500
 MIXED_TEXT_FLIGHTS = ["click", "error"]
+QUERY_CHARTS = [
+    {"id": "c1", "title": "Values", "type": "line", "parameters": ("value", "k"), "x_axis": "Elapsed Time (s)"},
+    {"id": "c2", "title": "Key", "type": "bar", "parameters": ("k",), "x_axis": "Timestamp"},
+]
 EXPORT_DATE = "2024-02-01T00:00:00"
 VALID_REQUEST = ["VALUE (deg)", "NOTE", "ALTITUDE (ft)", "K"]
 
@@ -60,6 +64,14 @@ def li_extra(spark, sf):
     return tables.lineitem_samples(spark, sf, extra=True)
 
 
+def ev_unordered(spark, sf, with_nulls=False):
+    return tables.events_samples(spark, sf, with_nulls=with_nulls, numbered=False)
+
+
+def li_unordered(spark, sf):
+    return tables.lineitem_samples(spark, sf, numbered=False)
+
+
 _INGEST_CACHE: dict = {}
 
 
@@ -127,35 +139,35 @@ def q_empty_columns(spark, sf):
 
 
 def q_overview(spark, sf):
-    return _rounded(stats.overview(ev(spark, sf)), {"duration_min": 6})
+    return _rounded(stats.overview(ev_unordered(spark, sf)), {"duration_min": 6})
 
 
 def q_describe(spark, sf):
-    return _rounded(stats.describe(li(spark, sf)),
+    return _rounded(stats.describe(li_unordered(spark, sf)),
                     {c: 4 for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
 
 
 def q_statistics(spark, sf):
-    out = stats.statistics(ev_null(spark, sf), ["value", "k", "absent"])
+    out = stats.statistics(ev_unordered(spark, sf, True), ["value", "k", "absent"])
     return _rounded(out, {c: 6 for c in ("mean", "std", "min", "max", "median", "q25", "q75", "range",
                                          "skewness", "kurtosis")})
 
 
 def q_ranges(spark, sf):
-    return _rounded(stats.ranges(li(spark, sf)), {"min": 4, "max": 4, "mean": 4, "std": 4})
+    return _rounded(stats.ranges(li_unordered(spark, sf)), {"min": 4, "max": 4, "mean": 4, "std": 4})
 
 
 def q_report_statistics(spark, sf):
-    return _rounded(stats.report_statistics(li(spark, sf)),
+    return _rounded(stats.report_statistics(li_unordered(spark, sf)),
                     {"min": 4, "max": 4, "mean": 4, "std": 4, "range": 4})
 
 
 def q_missing_values(spark, sf):
-    return quality.missing_values(ev_null(spark, sf))
+    return quality.missing_values(ev_unordered(spark, sf, True))
 
 
 def q_missing_summary(spark, sf):
-    return quality.missing_summary(ev_null(spark, sf))
+    return quality.missing_summary(ev_unordered(spark, sf, True))
 
 
 def q_correlation_matrix(spark, sf):
@@ -172,7 +184,7 @@ def _limits_df(spark):
 
 
 def q_limit_check(spark, sf):
-    out = limits.limit_check(ev(spark, sf), _limits_df(spark))
+    out = limits.limit_check(ev_unordered(spark, sf), _limits_df(spark))
     return _rounded(out, {"min_value": 6, "max_value": 6})
 
 
@@ -227,7 +239,7 @@ def q_fft_large(spark, sf):
 
 def q_quantiles_large(spark, sf):
     """Quartiles by histogram refinement, forced for every group above 500 values."""
-    out = quantile_columns(li(spark, sf), ["flight_id", "parameter"], "value", [0.25, 0.5, 0.75],
+    out = quantile_columns(li_unordered(spark, sf), ["flight_id", "parameter"], "value", [0.25, 0.5, 0.75],
                            ["q25", "q50", "q75"], final_rows=500)
     return _rounded(out, {c: 4 for c in ("q25", "q50", "q75")})
 
@@ -362,7 +374,7 @@ def q_export_csv(spark, sf):
     names = raw.filter(head).select("flight_id", "part", F.col("c").alias("names"))
     rows = raw.filter(~head).join(names, ["flight_id", "part"])
     cells = rows.select("flight_id", F.get("c", F.lit(0)).alias("stamp"),
-                        F.explode(F.slice(F.arrays_zip("names", "c"), 2, 100_000)).alias("z"))
+                        F.explode(F.slice(F.arrays_zip("names", "c"), F.lit(2), F.size("names"))).alias("z"))
     return _cell_parts(cells.select("flight_id", "stamp", F.col("z.names").alias("parameter"), F.col("z.c").alias("cell")))
 
 
@@ -383,6 +395,30 @@ def q_export_json_mixed(spark, sf):
     return _cell_parts(cells.withColumn("cell", F.coalesce("cell", F.lit(""))))
 
 
+def q_export_plain_csv(spark, sf):
+    """The CSV export without metadata: lines and bytes of each flight's files, and whether metadata was written."""
+    path = _export_folder(spark)
+    export.export_csv(ev_null(spark, sf), path, False)
+    raw = spark.read.text(f"{path}/data")
+    head = F.col("value").startswith("Timestamp,")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return raw.groupBy("flight_id").agg(F.count_if(~head).alias("n_rows"), F.max(F.when(head, F.col("value"))).alias("header"),
+                                        F.lit(there).alias("metadata"))
+
+
+def q_export_json_metadata(spark, sf):
+    """The metadata of the JSON export read back, column list and chart configurations included."""
+    path = _export_folder(spark)
+    export.export_json(ev_mixed(spark, sf), path, EXPORT_DATE, QUERY_CHARTS)
+    meta = spark.read.json(f"{path}/metadata")
+    chart = F.from_json("charts", "array<struct<id string, title string, type string, parameters array<string>>>")
+    charts = F.transform(chart, lambda c: F.concat_ws(":", c["id"], c["type"], c["title"], F.concat_ws("+", c["parameters"])))
+    return meta.select("flight_id", "export_date", "data_points", "n_parameters", "n_columns", rnd("duration_s").alias("duration_s"),
+                       "duration_text", "charts_count", F.concat_ws("|", "columns").alias("columns"),
+                       F.concat_ws("|", charts).alias("charts"))
+
+
 def q_export_bundle(spark, sf):
     """The bundle's flight data read back."""
     path = _export_folder(spark)
@@ -394,7 +430,7 @@ def q_export_bundle(spark, sf):
 
 
 def q_auto_report(spark, sf):
-    return _rounded(report.auto_report_long(ev_null(spark, sf), _limits_df(spark)), {"value": 4})
+    return _rounded(report.auto_report_long(ev_null(spark, sf), _limits_df(spark), QUERY_CHARTS), {"value": 4})
 
 
 def q_ingest_files(spark, sf):
@@ -416,7 +452,7 @@ def q_ingest_files(spark, sf):
 
 
 def q_report_tables(spark, sf):
-    return _rounded(report.report_long(li_extra(spark, sf)), {"value": 4})
+    return _rounded(report.report_long(li_extra(spark, sf), QUERY_CHARTS), {"value": 4})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -468,7 +504,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_export": q_validate_export,
     "export_roundtrip": q_export_roundtrip,
     "export_csv": q_export_csv,
+    "export_plain_csv": q_export_plain_csv,
     "export_json_mixed": q_export_json_mixed,
+    "export_json_metadata": q_export_json_metadata,
     "export_bundle": q_export_bundle,
     "auto_report": q_auto_report,
     "ingest_files": q_ingest_files,

@@ -564,7 +564,7 @@ b AS (SELECT flight_id, count(*) FILTER (WHERE parameter = {EL}) AS data_points,
              count(DISTINCT parameter) FILTER (WHERE parameter <> {EL}) AS np,
              max(value) FILTER (WHERE parameter = {EL}) AS duration_s FROM ev GROUP BY 1)
 SELECT b.flight_id, {_q(catalog.EXPORT_DATE)} AS export_date, data_points, np AS n_parameters, np + 2 AS n_columns,
-       {R('duration_s')} AS duration_s, format('{{:,.2f}}', duration_s) AS duration_text,
+       {R('duration_s')} AS duration_s, format('{{:.2f}}', duration_s) AS duration_text,
        {R('1.0 / nullif(med.m, 0)', 12)} AS sampling_rate_hz, 0 AS charts_count
 FROM b LEFT JOIN med USING (flight_id)"""
 
@@ -598,6 +598,18 @@ SELECT flight_id, strftime(ts, '{stamp}') AS stamp, parameter, text, {R('value')
 EXPORT_CSV = _mixed("%Y-%m-%d %H:%M:%S.%f")
 EXPORT_JSON = _mixed("%Y-%m-%dT%H:%M:%S.%f")
 
+EXPORT_PLAIN_CSV = EV(True) + """
+SELECT flight_id, count(*) AS n_rows, 'Timestamp,k,value,Elapsed Time (s)' AS header, false AS metadata FROM ev_base GROUP BY 1"""
+
+EXPORT_JSON_METADATA = EV(True) + f""",
+b AS (SELECT flight_id, count(*) AS data_points, max(elapsed_s) AS duration_s, flight_id = 'click' AS more FROM ev_base GROUP BY 1)
+SELECT flight_id, {_q(catalog.EXPORT_DATE)} AS export_date, data_points, CASE WHEN more THEN 4 ELSE 3 END AS n_parameters,
+       CASE WHEN more THEN 6 ELSE 5 END AS n_columns, {R('duration_s')} AS duration_s,
+       format('{{:.2f}}', duration_s) AS duration_text, 2 AS charts_count,
+       'Timestamp|k|mixed, kind|' || CASE WHEN more THEN 'only_click|' ELSE '' END || 'value|Elapsed Time (s)' AS columns,
+       'c1:line:Values:value+k|c2:bar:Key:k' AS charts
+FROM b"""
+
 INGEST_FILES = INGEST_SAMPLES + """
 UNION ALL SELECT 'too short', NULL, NULL, NULL, 'TOO_FEW_LINES', NULL, NULL"""
 
@@ -635,7 +647,9 @@ u AS (
   UNION ALL SELECT flight_id, 'missing', '', 'any_missing', CAST(any_missing AS DOUBLE) FROM ms
   UNION ALL SELECT flight_id, 'missing', '', 'n_columns_with_missing', CAST(nm AS DOUBLE) FROM ms
   UNION ALL SELECT flight_id, 'limits', parameter || '|' || status, 'min_value', min FROM st
-  UNION ALL SELECT flight_id, 'limits', parameter || '|' || status, 'max_value', max FROM st)
+  UNION ALL SELECT flight_id, 'limits', parameter || '|' || status, 'max_value', max FROM st
+  UNION ALL SELECT flight_id, 'charts', 'line|Values', 'n_parameters', 2.0 FROM ov
+  UNION ALL SELECT flight_id, 'charts', 'bar|Key', 'n_parameters', 1.0 FROM ov)
 SELECT flight_id, section, key, field, {R('value', 4)} AS value FROM u"""
 
 REPORT = LI(True) + f""",
@@ -662,7 +676,9 @@ u AS (
   UNION ALL SELECT flight_id, 'statistics', parameter, 'range', range FROM st
   UNION ALL SELECT flight_id, 'missing', '', 'any_missing', CAST(any_missing AS DOUBLE) FROM ms
   UNION ALL SELECT flight_id, 'missing', '', 'n_columns_with_missing', CAST(n_columns_with_missing AS DOUBLE) FROM ms
-  UNION ALL SELECT flight_id, 'constants', parameter, 'first_value', first_value FROM cs)
+  UNION ALL SELECT flight_id, 'constants', parameter, 'first_value', first_value FROM cs
+  UNION ALL SELECT flight_id, 'charts', 'line|Values', 'n_parameters', 2.0 FROM ov
+  UNION ALL SELECT flight_id, 'charts', 'bar|Key', 'n_parameters', 1.0 FROM ov)
 SELECT flight_id, section, key, field, {R('value', 4)} AS value FROM u"""
 
 
@@ -715,7 +731,9 @@ ORACLE: dict[str, str] = {
     "spectrum_dispatch": SPECTRUM_DISPATCH,
     "series_scatter_xy": SERIES_SCATTER_XY,
     "export_csv": EXPORT_CSV,
+    "export_plain_csv": EXPORT_PLAIN_CSV,
     "export_json_mixed": EXPORT_JSON,
+    "export_json_metadata": EXPORT_JSON_METADATA,
     "export_bundle": EXPORT_CSV,
     "auto_report": AUTO_REPORT,
     "ingest_files": INGEST_FILES,

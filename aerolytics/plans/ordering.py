@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolytics.session import join_small, materialize
+
 ROW_BLOCK_BITS = 16  # 65,536 rows per block for dense row numbers
 
 
@@ -44,6 +46,30 @@ def dense_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column
             .drop("_dr_blk", "_dr_off", "_dr_r", "_dr_one"))
 
 
+def range_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no",
+                     block_rows: int = 1 << ROW_BLOCK_BITS) -> DataFrame:
+    """Stored ``df`` in order, with ``out`` = 0-based position of each row within ``keys`` by ``order``.
+
+    Blocks of equal depth: the rows are cut where a sample of their keys and
+    order says, into as many ranges as they have ``block_rows``, so neither a
+    burst in the order nor a long key fills a task. A range's rows are numbered
+    as they lie; a table of one row per range and key gives each its offset.
+    ``order`` should have no ties, which a range cannot part.
+    """
+    keys, order = list(keys), list(order)
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // block_rows))
+    # Stored, because a second run may sample and cut elsewhere.
+    rows = materialize(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+                       .withColumn("_rn_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_rn_part", F.shiftright("_rn_id", 33))
+    per = rows.groupBy(*keys, "_rn_part").agg(F.min("_rn_id").alias("_rn_first"), F.count(F.lit(1)).alias("_rn_n"))
+    before = Window.partitionBy(*keys).orderBy("_rn_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_rn_part", (F.coalesce(F.sum("_rn_n").over(before), F.lit(0)) - F.col("_rn_first")).alias("_rn_shift"))
+    return (join_small(rows, per, [*keys, "_rn_part"]).withColumn(out, F.col("_rn_id") + F.col("_rn_shift"))
+            .drop("_rn_id", "_rn_part", "_rn_shift"))
+
+
 def keep_not_null(df: DataFrame, col: str) -> DataFrame:
     """Keep the rows where ``col`` is not NULL, evaluating ``col`` once.
 

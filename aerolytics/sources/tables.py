@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolytics.plans.ordering import dense_row_number
+from aerolytics.plans.ordering import dense_row_number, range_row_number
 from aerolytics.schema import unpivot
 from aerolytics.session import join_small
 
 BOM = "\ufeff"
-# Rows of a flight per block on average when its rows are numbered by time.
-BLOCK_ROWS = 1 << 16
 
 # The fault rules injected into the event-derived recordings, by
 # event_id divisor. Applied identically in the DuckDB oracle.
@@ -40,19 +38,8 @@ MIXED_FLIGHT_LAYOUTS = ("DDD:HH:mm:ss.SSSSSS", "HH:mm:ss")  # 3 of 5 events, the
 
 
 def _numbered_by_time(df: DataFrame, out: str = "row_no") -> DataFrame:
-    """Rows numbered by (ts, event_id), with ``elapsed_s`` since the flight's first timestamp.
-
-    One aggregate over the raw rows gives each flight's span and size; the span
-    is cut into as many blocks as the flight has BLOCK_ROWS, however sparse.
-    """
-    bounds = df.groupBy("flight_id").agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"),
-                                         F.count(F.lit(1)).alias("_n"))
-    d = join_small(df, bounds, ["flight_id"])
-    since = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("ts"))
-    width = F.ceil((F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("_t1")) + 1)
-                   / F.ceil(F.col("_n") / BLOCK_ROWS))
-    d = d.withColumn("elapsed_s", since / 1e6).withColumn("_block", F.floor(since / width)).drop("_t0", "_t1", "_n")
-    return dense_row_number(d, ["flight_id"], ["ts", "event_id"], F.col("_block"), out).drop("_block")
+    """Rows numbered by (ts, event_id), with ``elapsed_s`` since the flight's first timestamp."""
+    return _elapsed(range_row_number(df, ["flight_id"], ["ts", "event_id"], out))
 
 
 def _elapsed(df: DataFrame) -> DataFrame:
@@ -70,11 +57,12 @@ def _event_flight(per_type: int | None):
 
 
 def events_samples(spark: SparkSession, sf_dir: str, with_nulls: bool = False,
-                   per_type: int | None = None) -> DataFrame:
+                   per_type: int | None = None, numbered: bool = True) -> DataFrame:
     """``events`` as recordings: flight = event_type, rows by (ts, event_id).
 
     Parameters ``value`` and ``k`` (from props). ``with_nulls`` blanks
-    ``value`` on every NULL_VALUE_EVERY-th event_id.
+    ``value`` on every NULL_VALUE_EVERY-th event_id. Without ``numbered`` the rows
+    keep a null ``row_no``: operators that ask for no order need no shuffle.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     value = F.col("value")
@@ -82,17 +70,17 @@ def events_samples(spark: SparkSession, sf_dir: str, with_nulls: bool = False,
         value = F.when(F.col("event_id") % NULL_VALUE_EVERY != 0, value)
     base = ev.select(_event_flight(per_type).alias("flight_id"), "event_id", "ts", value.alias("value"),
                      F.get_json_object("props", "$.k").cast("double").alias("k"))
-    base = _numbered_by_time(base)
+    base = _numbered_by_time(base) if numbered else _elapsed(base).withColumn("row_no", F.lit(None).cast("long"))
     return unpivot(base, {"value": "value", "k": "k"}, "flight_id", "row_no", "ts", "elapsed_s")
 
 
-def lineitem_samples(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
+def lineitem_samples(spark: SparkSession, sf_dir: str, extra: bool = False, numbered: bool = True) -> DataFrame:
     """``lineitem`` as recordings: flight = l_returnflag, rows by (l_orderkey,
     l_linenumber, l_partkey, l_suppkey).
 
     Four parameters: quantity, extended price, discount, tax. ``extra`` adds a
     constant parameter ``one`` and ``tax_gaps`` = l_tax, missing on line 3 of
-    each order.
+    each order. Without ``numbered`` the rows keep a null ``row_no``.
     """
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     base = li.select(F.col("l_returnflag").alias("flight_id"), "l_orderkey", "l_linenumber", "l_partkey",
@@ -100,8 +88,12 @@ def lineitem_samples(spark: SparkSession, sf_dir: str, extra: bool = False) -> D
                      F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
                      "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     # The first date comes from the raw rows, before they are numbered.
-    base = dense_row_number(_elapsed(base), ["flight_id"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
-                            F.shiftright(F.col("l_orderkey"), 12))
+    base = _elapsed(base)
+    if numbered:
+        base = dense_row_number(base, ["flight_id"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                                F.shiftright(F.col("l_orderkey"), 12))
+    else:
+        base = base.withColumn("row_no", F.lit(None).cast("long"))
     params = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice",
               "l_discount": "l_discount", "l_tax": "l_tax"}
     if extra:
