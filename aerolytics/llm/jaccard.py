@@ -137,7 +137,8 @@ def best_matches(n: int, frequencies: list[int], percent: int, most: int = MAX_M
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """Stored list entries (token, node, n, copies, level, matches): ``level`` is the least l whose prefix has the token."""
     tokens = sets.select("node", "n", "copies", F.explode("shared").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Stored, so that the join is of two plain exchanges, whose large partitions Spark splits (here and below).
+    often = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
     ranked = (tokens.join(often, "token").groupBy("node", "n", "copies")
               .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")))  # one set
 
@@ -167,7 +168,7 @@ def _homes(sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     The leader of a list is its set with most copies; a set takes the leader it
     meets most often. ``covered`` sets link to it; ``delta`` is the difference.
     """
-    leaders = entries.groupBy("token").agg(F.max(F.struct("copies", "node", "n")).alias("top"))
+    leaders = stored(entries.groupBy("token").agg(F.max(F.struct("copies", "node", "n")).alias("top")), "leaders")
     met = (entries.join(leaders, "token").where((F.col("node") != F.col("top.node")) & _fits("n", "top.n", percent))
            .groupBy("node", F.col("top.node").alias("home")).agg(F.count(F.lit(1)).alias("times")))
     asked = met.groupBy("node").agg(F.max(F.struct("times", "home")).alias("m")).select("node", F.col("m.home").alias("home"))
@@ -265,8 +266,9 @@ def _far_links(sets: DataFrame, entries: DataFrame, homes: DataFrame, labels: Da
              .withColumns({"label": F.coalesce("label", "node"), "home": F.coalesce("home", "node")}))
     known = stored(known.select("token", "node", "n", "level", "matches", "label", "home"), "labelled")
     parts = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
-    lists = (parts.groupBy("token").agg(F.sum("m").alias("g"), F.max(F.struct("m", "label")).alias("top"))
-             .where("g > top.m").select("token", F.col("top.label").alias("main"), F.ceil(F.col("g") / LIST_ENTRIES).alias("parts")))
+    lists = stored(parts.groupBy("token").agg(F.sum("m").alias("g"), F.max(F.struct("m", "label")).alias("top"))
+                   .where("g > top.m").select("token", F.col("top.label").alias("main"),
+                                              F.ceil(F.col("g") / LIST_ENTRIES).alias("parts")), "lists")
     cut = known.join(lists, "token")
     left = (cut.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
             .drop("main", "parts").alias("x"))
