@@ -12,10 +12,10 @@ file order by line_no. Two passes over the input, each a plain scan:
    column names, numeric or text, refusal - is read from the merged state;
 2. the typed samples: the chosen format only, rows without a timestamp
    dropped, ``row_no`` dense in file order over the kept rows. The splits'
-   counts of kept rows number them where they lie; lines that do not lie in
-   file order, or whose splits are too many to broadcast, are numbered by a
-   shuffle instead. Lines that come out of a shuffle are not stable between two
-   passes and go the second way.
+   counts of kept rows number them where they lie. Lines that do not lie in
+   file order, or come out of a shuffle and so may lie elsewhere in the second
+   pass, are first sorted and stored, once; if splits or flights are too many to
+   broadcast, a shuffle numbers the rows.
 
 Flights that the reference would refuse as a whole (too few lines, no data
 rows, no timestamp, a column name twice) yield no samples and an issue row.
@@ -23,7 +23,6 @@ rows, no timestamp, a column name twice) yield no samples and an issue row.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -106,9 +105,22 @@ def _in_order(runs: DataFrame) -> tuple[bool, int]:
 
 
 def _reads_in_place(df: DataFrame) -> bool:
-    """Whether the rows reach a task without a shuffle, so that two passes meet the same partitions."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return re.search(r"(?<!Broadcast)Exchange|Coalesce|AQEShuffleRead", plan) is None
+    """Whether the rows reach a task without a shuffle, so that two passes meet the same partitions.
+
+    Shuffles that only build a broadcast table do not move the rows.
+    """
+    def moved(plan) -> bool:
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return moved(plan.executedPlan())
+        if name.startswith("BroadcastExchange"):
+            return False
+        if name.startswith(("Exchange", "Coalesce", "AQEShuffleRead", "ShuffleQueryStage")):
+            return True
+        children = plan.children()
+        return any(moved(children.apply(i)) for i in range(children.size()))
+
+    return not moved(df._jdf.queryExecution().executedPlan())
 
 
 def _numbered_in_place(kept: DataFrame, runs: DataFrame, counts: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -144,12 +156,22 @@ def _pick(prefix: str):
 
 def ingest(lines: DataFrame) -> Recording:
     """Parse recording lines into typed samples; see the module notes."""
-    L = _prepared(lines)
-    in_place = _reads_in_place(L)
+    L, kind = _prepared(lines), F.col("kind")
 
     # pass 1: what each split knows, then per flight
-    state = materialize(split_state(L))
-    kind = F.col("kind")
+    def read_splits():
+        state = materialize(split_state(L))
+        return state, state.filter(kind == "run").select("part", "flight_id", "line_no", "last_no", "seq", "ordered")
+
+    ordered = _reads_in_place(L)
+    if ordered:
+        state, runs = read_splits()
+        ordered, n_runs = _in_order(runs)
+    if not ordered:
+        # Lines from a shuffle, or not in file order: sorted into ranges of lines and stored, once.
+        L = materialize(L.repartitionByRange("flight_id", "line_no").sortWithinPartitions("flight_id", "line_no"))
+        state, runs = read_splits()
+        n_runs = runs.count()
     bounds = (state.groupBy("flight_id").agg(
         F.min(F.when((kind == "line") & ~F.col("blank"), F.col("line_no"))).alias("h0"),
         F.max(F.when(kind == "end", F.col("line_no"))).alias("hl"))
@@ -217,11 +239,7 @@ def ingest(lines: DataFrame) -> Recording:
     head, small = _small(fl.join(dup_flights, "flight_id", "left").withColumn("refused", refusal)
                          .join(layout, "flight_id", "left"), "layout")
     accepted = head.filter(F.col("refused").isNull())
-    runs = state.filter(kind == "run").select("part", "flight_id", "line_no", "last_no", "seq", "ordered")
-    in_place = in_place and small
-    if in_place:
-        in_place, n_runs = _in_order(runs)
-        in_place = in_place and n_runs * ROW_BYTES <= BROADCAST_MAX_BYTES
+    in_place = small and n_runs * ROW_BYTES <= BROADCAST_MAX_BYTES
 
     # pass 2: typed samples
     r = L.join(head.select("flight_id", "h0", "hl", "n_cols", "fmt", "t0", "refused"), "flight_id")
@@ -244,8 +262,8 @@ def ingest(lines: DataFrame) -> Recording:
                      .agg(*[F.sum(f"cnt{i}").alias(f"cnt{i}") for i in range(NF)]))
         kept = _numbered_in_place(kept, runs, per_split, accepted.select("flight_id", "fmt"))
     else:
-        # Lines out of order, or too many splits for a broadcast: the line itself passes the
-        # numbering shuffle; cells and column lists come after it.
+        # Too many splits or flights for a broadcast: the line itself passes the numbering
+        # shuffle; cells and column lists come after it.
         kept = dense_row_number(kept, ["flight_id"], ["line_no"], F.shiftright(F.col("line_no"), ROW_BLOCK_BITS))
     kept = kept.join(head.select("flight_id", "t0", "n_cols", "layout"), "flight_id").withColumn("cells", fixed)
     kept = kept.withColumn("elapsed_s", F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("ts")) / 1e6)

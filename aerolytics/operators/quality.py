@@ -114,7 +114,8 @@ def low_variety(samples: DataFrame) -> DataFrame:
         return (j.filter(F.pmod(F.xxhash64("value"), F.lit(slots)) < F.col("looked")).groupBy(*keys, "looked")
                 .agg(F.count_distinct("value").alias("seen")))
 
-    found = materialize(distinct(asked).join(per.select(*keys, "n_rows"), keys)
+    found = materialize(asked.join(per.select(*keys, "n_rows"), keys).join(distinct(asked).drop("looked"), keys, "left")
+                        .withColumn("seen", F.coalesce("seen", F.lit(0)))
                         .withColumn("proven", F.col("seen").cast("double") >= F.col("n_rows").cast("double") * F.lit(share)))
     exact = found.filter((F.col("looked") >= slots)).select(*keys, "seen")
     doubt = found.filter((F.col("looked") < slots) & ~F.col("proven")).select(*keys, F.lit(slots).cast("long").alias("looked"))

@@ -1,7 +1,6 @@
 """Ingest from split state: numbering in place, its fallback, and the Python parsers against the column expressions."""
 
 import random
-import re
 
 import pyarrow as pa
 import pytest
@@ -10,8 +9,9 @@ from pyspark.sql import functions as F
 
 from aerolytics.functions.numbers import parse_number
 from aerolytics.functions.timestamps import with_timestamp
+from aerolytics.operators import ingest as ingest_module
 from aerolytics.operators import ingest_state
-from aerolytics.operators.ingest import ingest
+from aerolytics.operators.ingest import _reads_in_place, ingest
 from aerolytics.plans.ordering import range_row_number
 from aerolytics.sources.recordings import read_recordings
 from tests.helpers import rows_by
@@ -39,7 +39,7 @@ def by_hand(lines):
 def files(spark, tmp_path_factory):
     """Recordings of several splits each (the session cuts files at 256 bytes), one of them most of the rows."""
     folder = tmp_path_factory.mktemp("rec")
-    texts = {"hot": recording(1500, 1), "small": recording(9, 2), "mid": recording(120, 3)}
+    texts = {"hot": recording(250, 1), "small": recording(9, 2), "mid": recording(60, 3)}
     for name, lines in texts.items():
         (folder / f"{name}.csv").write_text("\n".join(["", " "] + lines + [""]))
     return read_recordings(spark, str(folder)), texts
@@ -51,19 +51,26 @@ def test_rows_are_numbered_where_they_lie(spark, files):
     for name, text in texts.items():
         got = sorted((r.row_no, r.value) for r in rec.samples.where((F.col("flight_id") == name) & F.col("parameter").startswith("A")).collect())
         assert got == by_hand(text)
-    plan = rec.samples._jdf.queryExecution().executedPlan().toString()
-    assert not re.search(r"(?<!Broadcast)Exchange", plan), "no line passes a shuffle"
+    assert _reads_in_place(rec.samples), "no line passes a shuffle"
 
 
 def test_scattered_lines_give_the_same_samples(spark, files):
     lines, _ = files
     in_place, shuffled = ingest(lines).samples, ingest(lines.repartition(5)).samples
-    assert "Exchange hashpartitioning" in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert not _reads_in_place(lines.repartition(5)) and _reads_in_place(shuffled)
     assert rows_by(in_place, *COLUMNS) == rows_by(shuffled, *COLUMNS)
     stored = spark.createDataFrame(lines.orderBy(F.rand(1)).collect(), lines.schema)  # a plain scan, out of order
     assert rows_by(ingest(stored).samples, *COLUMNS) == rows_by(in_place, *COLUMNS)
 
 
+def test_numbering_beyond_the_broadcast_bound(spark, files, monkeypatch):
+    lines, _ = files
+    want = rows_by(ingest(lines).samples, *COLUMNS)
+    monkeypatch.setattr(ingest_module, "BROADCAST_MAX_BYTES", 0)
+    shuffled = ingest(lines).samples
+    assert not _reads_in_place(shuffled) and rows_by(shuffled, *COLUMNS) == want
+
+
 def test_null_flights_and_lines_are_left_out(spark):
     rows = [("f", 0, "Description,A"), ("f", 1, "EU,-"), ("f", 2, None), ("f", 3, "1:00:00:00.0,4"), (None, 0, "x"), (None, 3, None)]
     rec = ingest(spark.createDataFrame(rows, "flight_id string, line_no long, line string"))
