@@ -36,7 +36,7 @@ from aerolytics.functions.timestamps import TS_FORMATS, with_timestamp
 from aerolytics.operators.ingest_state import line_state, split_state
 from aerolytics.plans.ordering import ROW_BLOCK_BITS, dense_row_number, keep_not_null, previous_values
 from aerolytics.plans.quantiles import quantile_columns
-from aerolytics.session import materialize
+from aerolytics.session import materialize, materialize_counted
 
 # Share thresholds (strictly greater than) for a timestamp format
 # and for a numeric column; minimum number of lines of a recording.
@@ -48,6 +48,8 @@ NF = len(TS_FORMATS)
 # A decision table is broadcast up to this size, at so many bytes per row or nested entry.
 BROADCAST_MAX_BYTES = 128 << 20
 ROW_BYTES = 100
+# State rows that one task merges.
+ONE_TASK_ROWS = 1 << 16
 
 
 @dataclass
@@ -160,17 +162,20 @@ def ingest(lines: DataFrame) -> Recording:
 
     # pass 1: what each split knows, then per flight
     def read_splits():
-        state = materialize(split_state(L))
-        return state, state.filter(kind == "run").select("part", "flight_id", "line_no", "last_no", "seq", "ordered")
+        state, n = materialize_counted(split_state(L))
+        # Few rows of state are merged in one task, without a shuffle.
+        few = n <= ONE_TASK_ROWS
+        state = state.coalesce(1) if few else state
+        return few, state, state.filter(kind == "run").select("part", "flight_id", "line_no", "last_no", "seq", "ordered")
 
     ordered = _reads_in_place(L)
     if ordered:
-        state, runs = read_splits()
+        few, state, runs = read_splits()
         ordered, n_runs = _in_order(runs)
     if not ordered:
         # Lines from a shuffle, or not in file order: sorted into ranges of lines and stored, once.
         L = materialize(L.repartitionByRange("flight_id", "line_no").sortWithinPartitions("flight_id", "line_no"))
-        state, runs = read_splits()
+        few, state, runs = read_splits()
         n_runs = runs.count()
     bounds = (state.groupBy("flight_id").agg(
         F.min(F.when((kind == "line") & ~F.col("blank"), F.col("line_no"))).alias("h0"),
@@ -186,7 +191,8 @@ def ingest(lines: DataFrame) -> Recording:
                    F.max(F.when(~F.col("first"), F.col("cell"))).alias("h2")))
     # Lines that a split kept back and that are no header after all are counted like the others.
     late = line_state(loose.filter((F.col("line_no") > F.col("h0") + 1) & ~F.col("blank")))
-    cell_rows = materialize(state.filter(kind == "cell").unionByName(late))
+    cell_rows = state.filter(kind == "cell").unionByName(late)
+    cell_rows = cell_rows.coalesce(1) if few else cell_rows
     sums = [F.sum("n_data").alias("n_data")]
     for i in range(NF):
         sums += [F.sum(f"cnt{i}").alias(f"cnt{i}"), F.min(f"min{i}").alias(f"min{i}"), F.max(f"max{i}").alias(f"max{i}"),
@@ -198,6 +204,8 @@ def ingest(lines: DataFrame) -> Recording:
     cols = (counts.join(header, ["flight_id", "pos"], "full")
             .join(bounds.filter(~F.col("too_few")).select("flight_id"), "flight_id", "left_semi")
             .select("flight_id", "pos", "h1", "h2", *counted, *times))
+    cols = materialize(cols)
+    cols = cols.coalesce(1) if few else cols
 
     # per-flight decisions
     n_rows = F.col("n_rows").cast("double")
