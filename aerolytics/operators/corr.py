@@ -5,9 +5,11 @@ whether it is constant (small table, joined back with a size check). Samples
 are dealt by (flight, row block) - a big flight spreads over all tasks - and
 sorted by row. ``mapInPandas`` adds up moment matrices with NumPy (counts,
 sums, sums of squares and cross products over rows where both values exist, on
-mean-shifted values) and emits one upper triangle per flight and partition; a
-final ``groupBy(flight, i, j).sum`` adds those up. Work is linear in rows; no
-row pairs are ever formed.
+mean-shifted values) and emits them as binary tiles of ``TILE`` x ``TILE``
+parameters, the upper triangle of tiles per flight and partition. Tiles are
+dealt by (flight, tile), sorted, and added up one after another, so a task holds
+two tiles at a time; only the sums become rows. Work is linear in rows; no row
+pairs are ever formed.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from aerolytics.plans.ordering import ROW_BLOCK_BITS
 from aerolytics.schema import numeric
 from aerolytics.session import join_small, materialize_counted
 
+_TILES = "flight_id string, ti int, tj int, rows int, columns int, sums binary"
 _MOMENTS = ("flight_id string, i int, j int, n double, sx double, sy double, sxx double, "
             "syy double, sxy double")
+#: Parameters along the side of a tile.
+TILE = 128
 # Relative size under which a variance over the common rows counts as zero.
 _ZERO_VARIANCE = 1e-13
 # Rows of one flight turned into a dense block at once.
@@ -40,15 +45,48 @@ def _moments(x: np.ndarray) -> np.ndarray:
     return np.stack([mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0])
 
 
-def _moment_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by flight and row -> one upper triangle of sums per flight and partition."""
+def _tiles(fid: str, total: np.ndarray, tile: int | None = None) -> pd.DataFrame:
+    """The upper triangle of tiles of a flight's moment matrices: n, sx, sy, sxx, syy, sxy of each pair."""
+    n, sx, sxx, sxy = total
+    tile, out = tile or TILE, []
+    for a in range(0, n.shape[0], tile):
+        for b in range(a, n.shape[0], tile):
+            i, j = slice(a, a + tile), slice(b, b + tile)
+            sums = np.stack([n[i, j], sx[i, j], sx[j, i].T, sxx[i, j], sxx[j, i].T, sxy[i, j]])
+            out.append((fid, a // tile, b // tile, sums.shape[1], sums.shape[2], sums.astype(np.float64).tobytes()))
+    return pd.DataFrame(out, columns=["flight_id", "ti", "tj", "rows", "columns", "sums"])
+
+
+def _added_tiles(batches: Iterator[pd.DataFrame], tile: int) -> Iterator[pd.DataFrame]:
+    """Tiles sorted by flight and place -> their sums as one row per pair."""
+    key, total = None, None
+
+    def pairs() -> pd.DataFrame:
+        i, j = np.indices(total.shape[1:])
+        i, j = i + key[1] * tile, j + key[2] * tile
+        upper = i <= j
+        cells = dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), (t[upper] for t in total)))
+        return pd.DataFrame({"flight_id": key[0], "i": i[upper].astype(np.int32), "j": j[upper].astype(np.int32), **cells})
+
+    for pdf in batches:
+        for fid, ti, tj, rows, columns, sums in pdf.itertuples(index=False, name=None):
+            part = np.frombuffer(sums, np.float64).reshape(6, rows, columns)
+            if key == (fid, ti, tj):
+                total += part
+                continue
+            if key is not None:
+                yield pairs()
+            key, total = (fid, ti, tj), part.copy()
+    if key is not None:
+        yield pairs()
+
+
+def _moment_batches(batches: Iterator[pd.DataFrame], tile: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by flight and row -> the tiles of one flight after another."""
     fid, total, held = None, None, None
 
     def emitted() -> pd.DataFrame:
-        i, j = np.triu_indices(total.shape[1])
-        n, sx, sxx, sxy = total
-        return pd.DataFrame({"flight_id": fid, "i": i.astype(np.int32), "j": j.astype(np.int32), "n": n[i, j],
-                             "sx": sx[i, j], "sy": sx[j, i], "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
+        return _tiles(fid, total, tile)
 
     def add(g: pd.DataFrame) -> None:
         nonlocal total
@@ -108,9 +146,10 @@ def correlation(samples: DataFrame, parameters: Sequence[str] | None = None) ->
     rows = (v.select("flight_id", "row_no", "idx", (F.col("value") - F.col("mean")).alias("v"), "p")
             .repartition("flight_id", F.shiftright("row_no", ROW_BLOCK_BITS))
             .sortWithinPartitions("flight_id", "row_no"))
-    mom = (rows.mapInPandas(_moment_batches, _MOMENTS)
-           .groupBy("flight_id", "i", "j")
-           .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
+    tile = TILE
+    mom = (rows.mapInPandas(lambda b: _moment_batches(b, tile), _TILES)
+           .repartition("flight_id", "ti", "tj").sortWithinPartitions("flight_id", "ti", "tj")
+           .mapInPandas(lambda b: _added_tiles(b, tile), _MOMENTS))
     names = per.select("flight_id", "idx", "parameter", "constant")
     xs = names.withColumnRenamed("idx", "i").withColumnRenamed("parameter", "x").withColumnRenamed("constant", "cx")
     ys = names.withColumnRenamed("idx", "j").withColumnRenamed("parameter", "y").withColumnRenamed("constant", "cy")

@@ -1,17 +1,18 @@
 """Spectra (S1-S3): FFT amplitude spectrum and Welch power spectral density.
 
-Welch is fully partitioned: each sample belongs to at most two segments of at
-most 256 samples; segments are assembled by ``groupBy(flight, parameter,
-segment)`` and transformed a whole Arrow batch at a time with NumPy
-(one ``rfft`` over a 2-D block), then averaged per bin by Spark.
+Welch is fully partitioned: a block of ``WELCH_BLOCK`` segments takes its own
+samples and the head of the next block's (one segment less a step), so nearly
+every sample is shuffled once; a block is one array, transformed with one 2-D
+``rfft`` and summed over its segments before Spark adds up the blocks.
 
 The FFT spectrum needs the whole series. Series up to FFT_SINGLE_TASK_MAX
 points run as one ``applyInPandas`` group each. Longer series use Bluestein's
 chirp transform (any length n becomes a circular convolution of power-of-two
-length M >= 2n-1), and every length-M transform is the four-step Cooley-Tukey
-decomposition M = M1 * M2: FFTs over groups of M1 points, a twiddle
-multiplication, FFTs over groups of M2 points - so no task holds more than
-about 2*sqrt(M) points of one series.
+length M >= 2n-1) on a grid of M = M1 * M2 points. Tasks hold tiles of whole
+columns or rows, and tiles are exchanged as binary arrays: columns (forward
+transform over j1), rows (over k2, product with the filter, inverse over k2),
+columns (inverse over the rest). A task holds about FFT_TASK_POINTS points, or
+one column or row where that is longer: about sqrt(M).
 """
 
 from __future__ import annotations
@@ -30,12 +31,16 @@ from aerolytics.session import join_small, materialize_counted
 # Welch defaults (segment length, half overlap, periodic Hann,
 # constant detrend, density scaling, one-sided).
 WELCH_SEGMENT = 256
+# Segments that one block of samples holds.
+WELCH_BLOCK = 64
 SPECTRUM_SCHEMA = "flight_id string, parameter string, bin long, frequency_hz double, amplitude double"
 # Longest series one task transforms whole (points); longer ones are distributed.
 FFT_SINGLE_TASK_MAX = 1 << 22
 # Longest series the distributed transform takes (exact 64-bit chirp angles), and their limb.
 FFT_MAX = 1 << 41
 FFT_LIMB = 1 << 20
+# Points of a transform that one task holds (more only where a single row or column is longer).
+FFT_TASK_POINTS = 1 << 18
 _KEYS = ["flight_id", "parameter"]
 
 
@@ -85,10 +90,8 @@ def fft_spectrum(samples: DataFrame, parameters: Sequence[str] | None = None,
 
 # --- distributed transform ----------------------------------------------------
 
-_STAGE1 = ("flight_id string, parameter string, j2 long, k1 long, n long, m1 long, m2 long, "
-           "are double, aim double, bre double, bim double")
-_STAGE2 = "flight_id string, parameter string, idx long, n long, m1 long, m2 long, re double, aim double"
-_FINAL = SPECTRUM_SCHEMA
+_TILES = ("flight_id string, parameter string, n long, m1 long, m2 long, wide long, tall long, dt double, "
+          "column_tile long, row_tile long, points binary")
 
 
 def _square_mod(j, m):
@@ -107,67 +110,79 @@ def _chirp_angle(j: np.ndarray, n: int) -> np.ndarray:
     return np.pi * _square_mod(np.mod(j, 2 * n).astype(np.int64), 2 * n).astype(np.float64) / n
 
 
-def _four_step_first(pdf: pd.DataFrame, two: bool) -> pd.DataFrame:
-    """Group of one j2 column: FFT over j1, times the twiddle factor."""
-    n, m1, m2 = (int(pdf[c].iloc[0]) for c in ("n", "m1", "m2"))
-    m = m1 * m2
-    j2 = int(pdf["j2"].iloc[0])
-    a = np.zeros(m1, dtype=np.complex128)
-    a[pdf["j1"].to_numpy(dtype=np.int64)] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-    k1 = np.arange(m1, dtype=np.int64)
-    tw = np.exp(-2j * np.pi * np.mod(j2 * k1, m) / m)
-    ya = np.fft.fft(a) * tw
-    out = {"flight_id": pdf["flight_id"].iloc[0], "parameter": pdf["parameter"].iloc[0], "j2": j2, "k1": k1,
-           "n": n, "m1": m1, "m2": m2, "are": ya.real, "aim": ya.imag}
-    if two:
-        # chirp b_j = exp(+i pi j^2 / n) for j < n and its mirror for j > m - n
-        j = j2 + m2 * k1  # indices of this column, k1 plays j1 here
-        b = np.zeros(m1, dtype=np.complex128)
-        lo = j < n
-        b[lo] = np.exp(1j * _chirp_angle(j[lo], n))
-        hi = j > m - n
-        b[hi] = np.exp(1j * _chirp_angle(m - j[hi], n))
-        yb = np.fft.fft(b) * tw
-        out["bre"], out["bim"] = yb.real, yb.imag
-    else:
-        out["bre"] = out["bim"] = np.zeros(m1)
-    return pd.DataFrame(out)
-
-
-def _four_step_second_product(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Group of one k1 row: FFT over j2 for both signals, then conj(A * B)."""
-    n, m1, m2 = (int(pdf[c].iloc[0]) for c in ("n", "m1", "m2"))
-    k1 = int(pdf["k1"].iloc[0])
-    order = pdf["j2"].to_numpy(dtype=np.int64)
-    a = np.zeros(m2, dtype=np.complex128)
-    b = np.zeros(m2, dtype=np.complex128)
-    a[order] = pdf["are"].to_numpy() + 1j * pdf["aim"].to_numpy()
-    b[order] = pdf["bre"].to_numpy() + 1j * pdf["bim"].to_numpy()
-    c = np.conj(np.fft.fft(a) * np.fft.fft(b))
-    k2 = np.arange(m2, dtype=np.int64)
-    return pd.DataFrame({"flight_id": pdf["flight_id"].iloc[0], "parameter": pdf["parameter"].iloc[0],
-                         "idx": k1 + m1 * k2, "n": n, "m1": m1, "m2": m2, "re": c.real, "aim": c.imag})
-
-
-def _four_step_second_final(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Group of one k1 row of FFT(conj C): finish the inverse, apply the
-    output chirp, keep bins k < n//2 as amplitudes."""
-    n, m1, m2 = (int(pdf[c].iloc[0]) for c in ("n", "m1", "m2"))
-    m = m1 * m2
-    k1 = int(pdf["k1"].iloc[0])
-    order = pdf["j2"].to_numpy(dtype=np.int64)
-    a = np.zeros(m2, dtype=np.complex128)
-    a[order] = pdf["are"].to_numpy() + 1j * pdf["aim"].to_numpy()
-    conv = np.conj(np.fft.fft(a)) / m
-    k = k1 + m1 * np.arange(m2, dtype=np.int64)
+def _twiddle(rows: np.ndarray, columns: np.ndarray, m: int) -> np.ndarray:
+    """exp(-2 pi i r c / m) for every row and column number, the product reduced in integers."""
+    return np.exp(-2j * np.pi * ((rows[:, None] * columns[None, :]) % m) / m)
+
+
+def _row_tiles(pdf: pd.DataFrame, grids: list[np.ndarray], names: dict) -> pd.DataFrame:
+    """A column tile's grids cut into row tiles, one binary row each, for the transposition."""
+    tall = int(pdf["tall"].iloc[0])
+    rows = range(grids[0].shape[0] // tall)
+    cut = [b"".join(np.ascontiguousarray(g[r * tall:(r + 1) * tall]).tobytes() for g in grids) for r in rows]
+    return pd.DataFrame({**names, "row_tile": list(rows), "points": cut})
+
+
+def _same(pdf: pd.DataFrame) -> dict:
+    """The columns that are alike in all rows of a group."""
+    return {c: pdf[c].iloc[0] for c in (*_KEYS, "n", "m1", "m2", "wide", "tall", "dt")}
+
+
+def _chirped_columns(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A tile of columns j2 of the series and of the chirp filter: FFT over j1, times the twiddle factor."""
+    one = _same(pdf)
+    n, m1, m2, wide = (int(one[c]) for c in ("n", "m1", "m2", "wide"))
+    tile, m = int(pdf["column_tile"].iloc[0]), m1 * m2
+    a = np.zeros((m1, wide), np.complex128)
+    cells = [c for c in pdf["cells"] if c is not None and len(c)]
+    if cells:
+        j = np.concatenate([[x["row_no"] for x in c] for c in cells]).astype(np.int64)
+        v = np.concatenate([[x["value"] for x in c] for c in cells]).astype(np.float64)
+        a[j // m2, j % m2 - tile * wide] = v * np.exp(-1j * _chirp_angle(j, n))
+    j2 = tile * wide + np.arange(wide, dtype=np.int64)
+    j = np.arange(m1, dtype=np.int64)[:, None] * m2 + j2[None, :]
+    from_end = np.minimum(j, m - j)  # the filter is even; it is zero away from both ends
+    b = np.where(from_end < n, np.exp(1j * _chirp_angle(np.where(from_end < n, from_end, 0), n)), 0)
+    turn = _twiddle(np.arange(m1, dtype=np.int64), j2, m)
+    return _row_tiles(pdf, [np.fft.fft(a, axis=0) * turn, np.fft.fft(b, axis=0) * turn], {**one, "column_tile": tile})
+
+
+def _joined(pdf: pd.DataFrame, order: str, shape: tuple[int, int], axis: int, n_grids: int) -> list[np.ndarray]:
+    """The grids of a group from its tiles, side by side along ``axis``."""
+    parts = [np.frombuffer(p, np.complex128).reshape(n_grids, *shape) for p in pdf.sort_values(order)["points"]]
+    return list(np.concatenate(parts, axis=axis + 1))
+
+
+def _convolved_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A tile of rows k1: finish both transforms over k2, multiply, and begin the inverse over k2 where it lies.
+
+    Bin k1 + M1 k2 is the point (k1, k2) of a transform whose inner sums run
+    over k2, so the product needs no transposition before the inverse.
+    """
+    one = _same(pdf)
+    m1, m2, wide, tall = (int(one[c]) for c in ("m1", "m2", "wide", "tall"))
+    tile = int(pdf["row_tile"].iloc[0])
+    xa, xb = (np.fft.fft(g, axis=1) for g in _joined(pdf, "column_tile", (tall, wide), 1, 2))
+    rows = tile * tall + np.arange(tall, dtype=np.int64)
+    y = np.fft.fft(np.conj(xa * xb), axis=1) * _twiddle(rows, np.arange(m2, dtype=np.int64), m1 * m2)
+    cut = [np.ascontiguousarray(y[:, c * wide:(c + 1) * wide]).tobytes() for c in range(m2 // wide)]
+    return pd.DataFrame({**one, "column_tile": range(m2 // wide), "row_tile": tile, "points": cut})
+
+
+def _amplitudes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A tile of columns of the inverse: finish it over the rows, apply the output chirp, keep bins below n // 2."""
+    one = _same(pdf)
+    n, m1, m2, wide, tall = (int(one[c]) for c in ("n", "m1", "m2", "wide", "tall"))
+    tile = int(pdf["column_tile"].iloc[0])
+    grid = np.fft.fft(_joined(pdf, "row_tile", (tall, wide), 0, 1)[0], axis=0)
+    used = min(m1, (n // 2 - 1) // m2 + 1) if n > 1 else 0
+    k = np.arange(used, dtype=np.int64)[:, None] * m2 + tile * wide + np.arange(wide, dtype=np.int64)[None, :]
     keep = k < n // 2
-    k = k[keep]
-    x = conv[keep] * np.exp(-1j * _chirp_angle(k, n))
-    dt = np.float64(pdf["dt"].iloc[0])
+    x = np.conj(grid[:used])[keep] / (m1 * m2) * np.exp(-1j * _chirp_angle(k[keep], n))
     with np.errstate(all="ignore"):
-        freq = k * (1.0 / (n * dt))
-    return pd.DataFrame({"flight_id": pdf["flight_id"].iloc[0], "parameter": pdf["parameter"].iloc[0],
-                         "bin": k, "frequency_hz": freq, "amplitude": 2.0 / n * np.abs(x)})
+        freq = k[keep] * (1.0 / (n * np.float64(one["dt"])))
+    return pd.DataFrame({"flight_id": one["flight_id"], "parameter": one["parameter"],
+                         "bin": k[keep], "frequency_hz": freq, "amplitude": 2.0 / n * np.abs(x)})
 
 
 def _sizes(info: DataFrame) -> DataFrame:
@@ -176,7 +191,9 @@ def _sizes(info: DataFrame) -> DataFrame:
     info = info.withColumn("n", F.when(F.col("n") <= FFT_MAX, F.col("n")).otherwise(F.raise_error(
         F.lit(f"FFT of a series longer than {FFT_MAX} points"))))
     return (info.withColumn("m1", F.pow(F.lit(2.0), F.floor(m / 2)).cast("long"))
-            .withColumn("m2", F.pow(F.lit(2.0), m - F.floor(m / 2)).cast("long")))
+            .withColumn("m2", F.pow(F.lit(2.0), m - F.floor(m / 2)).cast("long"))
+            .withColumn("wide", F.greatest(F.lit(1), F.least("m2", F.floor(F.lit(FFT_TASK_POINTS) / F.col("m1")))).cast("long"))
+            .withColumn("tall", F.greatest(F.lit(1), F.least("m1", F.floor(F.lit(FFT_TASK_POINTS) / F.col("m2")))).cast("long")))
 
 
 def _bin_frequency():
@@ -188,52 +205,40 @@ def _bin_frequency():
 
 def _bluestein_spectrum(s: DataFrame, large: DataFrame, n_info: int) -> DataFrame:
     sizes = _sizes(large).withColumn("dt", (F.col("e1") - F.col("e0")) / (F.col("n") - 1).cast("double"))
-    d = join_small(s, sizes.select(*_KEYS, "n", "m1", "m2", "n_null"), _KEYS, n_rows=n_info)
-    d = d.filter(F.col("n_null") == 0)
-    angle = F.lit(np.pi) * _square_mod(F.col("row_no"), 2 * F.col("n")).cast("double") / F.col("n")
-    a = d.select(*_KEYS, "n", "m1", "m2", F.pmod(F.col("row_no"), F.col("m2")).alias("j2"),
-                 F.floor(F.col("row_no") / F.col("m2")).alias("j1"),
-                 (F.col("value") * F.cos(angle)).alias("re"), (-F.col("value") * F.sin(angle)).alias("im"))
-    st1 = a.groupBy(*_KEYS, "j2").applyInPandas(lambda p: _four_step_first(p, True), _STAGE1)
-    c = st1.groupBy(*_KEYS, "k1").applyInPandas(_four_step_second_product, _STAGE2)
-    z = c.select(*_KEYS, "n", "m1", "m2", F.pmod(F.col("idx"), F.col("m2")).alias("j2"),
-                 F.floor(F.col("idx") / F.col("m2")).alias("j1"), F.col("re"), F.col("aim").alias("im"))
-    st1b = z.groupBy(*_KEYS, "j2").applyInPandas(lambda p: _four_step_first(p, False), _STAGE1)
-    st1b = join_small(st1b, sizes.select(*_KEYS, "dt"), _KEYS, n_rows=n_info)
-    fin = st1b.groupBy(*_KEYS, "k1").applyInPandas(_four_step_second_final, _FINAL)
-    nulls = (sizes.filter(F.col("n_null") > 0)
-             .select(*_KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2) - 1)).alias("bin"),
-                     "n", "dt")
-             .select(*_KEYS, "bin", _bin_frequency().alias("frequency_hz"),
-                     F.lit(None).cast("double").alias("amplitude")))
+    columns = [*_KEYS, "n", "m1", "m2", "wide", "tall", "dt"]
+    whole = sizes.filter(F.col("n_null") == 0).select(columns)
+    d = join_small(s, whole, _KEYS, n_rows=n_info)
+    # Consecutive points of a series lie in one row of a column tile and travel as one array.
+    d = (d.groupBy(*columns, F.floor(F.col("row_no") / F.col("wide")).alias("piece"))
+         .agg(F.collect_list(F.struct("row_no", "value")).alias("cells"))
+         .withColumn("column_tile", F.pmod(F.col("piece"), F.floor(F.col("m2") / F.col("wide")))))
+    # The chirp filter fills every column tile, also those without a point.
+    tiles = whole.withColumn("column_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m2") / F.col("wide")) - 1)))
+    parts = d.select(*columns, "column_tile", "cells").unionByName(tiles, allowMissingColumns=True)
+    first = parts.groupBy(*_KEYS, "column_tile").applyInPandas(_chirped_columns, _TILES)
+    second = first.groupBy(*_KEYS, "row_tile").applyInPandas(_convolved_rows, _TILES)
+    fin = second.groupBy(*_KEYS, "column_tile").applyInPandas(_amplitudes, SPECTRUM_SCHEMA)
+    # The bins of a series with a missing value come from its own rows.
+    missing = sizes.filter(F.col("n_null") > 0).select(*_KEYS, "n", "dt")
+    nulls = (join_small(s.select(*_KEYS, F.col("row_no").alias("bin")), missing, _KEYS, n_rows=n_info)
+             .filter(F.col("bin") < F.floor(F.col("n") / 2))
+             .select(*_KEYS, "bin", _bin_frequency().alias("frequency_hz"), F.lit(None).cast("double").alias("amplitude")))
     return fin.unionByName(nulls)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
-def _segment_psd(vals: pd.Series, fs: pd.Series) -> pd.Series:
-    """PSD of each segment (one array per row); all rows of one length go
-    through one 2-D rfft."""
-    out = [None] * len(vals)
-    lengths = vals.map(len).to_numpy()
-    fsv = fs.to_numpy(dtype=np.float64)
-    for L in np.unique(lengths):
-        sel = np.nonzero(lengths == L)[0]
-        L = int(L)
-        x = np.stack([np.asarray(vals.iloc[i], dtype=np.float64) for i in sel])
-        if L == 1:
-            win = np.ones(1)
-        else:
-            win = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(L) / L)
-        x = (x - x.mean(axis=1, keepdims=True)) * win
-        spec = np.fft.rfft(x, axis=1)
+def _block_psd(vals: pd.Series, length: pd.Series, step: pd.Series, fs: pd.Series) -> pd.Series:
+    """Sum of the PSDs of a block's segments, one array per block and one 2-D rfft for them."""
+    out = []
+    for v, size, hop, rate in zip(vals, length, step, fs):
+        size, hop = int(size), int(hop)
+        x = np.lib.stride_tricks.sliding_window_view(np.asarray(v, np.float64), size)[::hop]
+        win = np.ones(1) if size == 1 else 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(size) / size)
+        spec = np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * win, axis=1)
         with np.errstate(all="ignore"):
-            p = (np.conjugate(spec) * spec).real * (1.0 / (fsv[sel][:, None] * (win * win).sum()))
-        if L % 2:
-            p[:, 1:] *= 2
-        else:
-            p[:, 1:-1] *= 2
-        for k, i in enumerate(sel):
-            out[i] = p[k]
+            p = (np.conjugate(spec) * spec).real * (1.0 / (np.float64(np.nan if rate is None else rate) * (win * win).sum()))
+        p[:, 1:None if size % 2 else -1] *= 2
+        out.append(p.sum(axis=0))
     return pd.Series(out)
 
 
@@ -256,20 +261,22 @@ def welch_psd(samples: DataFrame, parameters: Sequence[str] | None = None,
                                                                    (F.col("n") - 1).cast("double")))))
 
     info, n_info = materialize_counted(info)
-    j = join_small(s, info.select("flight_id", "parameter", "L", "step", "nseg"), ["flight_id", "parameter"],
+    j = join_small(s, info.select("flight_id", "parameter", "L", "step", "nseg", "fs", "n_null"), ["flight_id", "parameter"],
                    n_rows=n_info)
-    first = F.floor(F.col("row_no") / F.col("step"))
-    seg = F.explode(F.array(first - 1, first)).alias("seg")
-    m = j.select("flight_id", "parameter", "row_no", "value", "L", "step", "nseg", seg)
-    m = m.filter((F.col("seg") >= 0) & (F.col("seg") < F.col("nseg"))
-                 & (F.col("row_no") - F.col("seg") * F.col("step") < F.col("L")))
-    segs = (m.groupBy("flight_id", "parameter", "seg")
-            .agg(F.array_sort(F.collect_list(F.struct("row_no", "value"))).alias("c"))
-            .select("flight_id", "parameter", "seg", F.col("c.value").alias("vals")))
-    segs = join_small(segs, info.select("flight_id", "parameter", "fs", "n_null"), ["flight_id", "parameter"],
-                      n_rows=n_info).filter(F.col("n_null") == 0)
-    psd = segs.select("flight_id", "parameter", F.posexplode(_segment_psd("vals", "fs")).alias("bin", "p"))
-    avg = psd.groupBy("flight_id", "parameter", "bin").agg(F.avg("p").alias("psd"))
+    # A block of segments takes its own rows and the head of the next block's: each sample once, but for that halo.
+    j = j.withColumn("span", F.col("step") * WELCH_BLOCK)
+    own = F.floor(F.col("row_no") / F.col("span"))
+    halo = (own > 0) & (F.col("row_no") - own * F.col("span") < F.col("L") - F.col("step"))
+    used = F.col("row_no") < (F.col("nseg") - 1) * F.col("step") + F.col("L")  # the tail is in no segment
+    m = j.filter((F.col("n_null") == 0) & used).select(
+        "flight_id", "parameter", "row_no", "value", "L", "step", "nseg", "fs",
+        F.explode(F.when(halo, F.array(own - 1, own)).otherwise(F.array(own))).alias("block"))
+    m = m.filter(F.col("block") * WELCH_BLOCK < F.col("nseg"))
+    blocks = (m.groupBy("flight_id", "parameter", "block", "L", "step", "nseg", "fs")
+              .agg(F.array_sort(F.collect_list(F.struct("row_no", "value"))).alias("c")))
+    sums = blocks.select("flight_id", "parameter", "nseg", F.posexplode(_block_psd(
+        F.col("c.value"), "L", "step", "fs")).alias("bin", "p"))
+    avg = sums.groupBy("flight_id", "parameter", "bin").agg((F.sum("p") / F.first("nseg")).alias("psd"))
     bins = info.select("flight_id", "parameter", "L", "fs", "n_null",
                        F.explode(F.sequence(F.lit(0), (F.floor(F.col("L") / 2)).cast("int"))).alias("bin"))
     out = bins.join(avg, ["flight_id", "parameter", "bin"], "left")
