@@ -85,57 +85,81 @@ class Keys:
         self.counts = np.diff(np.append(at, len(order)))
         self.many = self.counts > 1
 
-    def slices(self, bits: int) -> np.ndarray:
-        """Edges of 2^bits equal slices of the key range among the distinct keys."""
-        tops = np.arange(1 << bits, dtype=np.uint64) << np.uint64(self.high_bits - bits)
-        return np.append(np.searchsorted(self.high, tops), len(self.high))
-
-    def sent(self, a: int, b: int, with_check: bool, with_counts: bool) -> bytes:
-        """Keys a..b as byte-packed gaps, checks and counts if asked for, and a bit for those found twice here."""
-        high = self.high[a:b]
-        gaps = np.diff(high, prepend=high[:1])
-        width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-        packed_gaps = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-        return b"".join([np.array([b - a, width, high[0]], "<u8").tobytes(), packed_gaps.tobytes(),
-                         self.low[a:b].astype("<u4").tobytes() if with_check else b"",
-                         self.counts[a:b].astype("<u4").tobytes() if with_counts else b"",
-                         np.packbits(self.many[a:b]).tobytes()])
-
-
-def _received(blob: bytes, with_check: bool, with_counts: bool) -> tuple[np.ndarray, ...]:
-    n, width, first = (int(x) for x in np.frombuffer(blob, "<u8", 3))
+    def runs(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(slices that hold a key, edges of their keys): of 2^bits equal slices of the key range, only those met."""
+        if not len(self.high):
+            return np.empty(0, np.int64), np.zeros(1, np.int64)
+        of = (self.high >> np.uint64(self.high_bits - bits)).astype(np.int64)
+        starts = np.append(0, np.flatnonzero(np.diff(of)) + 1)
+        return of[starts], np.append(starts, len(of))
+
+    def messages(self, bits: int, with_check: bool, with_counts: bool) -> tuple[np.ndarray, pa.Array]:
+        """(slice, message) for every slice met; the work follows the keys, however many slices there are.
+
+        A message is the byte width of its gaps, the gaps (the first from the
+        slice's start), checks and counts if asked for, and a bit per key for
+        those found twice here.
+        """
+        slices, edges = self.runs(bits)
+        n, sizes = len(self.high), np.diff(edges)
+        run = np.repeat(np.arange(len(slices)), sizes)
+        place = np.arange(n) - edges[run]
+        base = (slices.astype(np.uint64) << np.uint64(self.high_bits - bits)) if len(slices) else np.empty(0, np.uint64)
+        gaps = np.where(place == 0, self.high - base[run], np.diff(self.high, prepend=self.high[:1]))
+        width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if n else 1
+        fields = [gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]]
+        fields += [v.astype("<u4").view(np.uint8).reshape(-1, 4)
+                   for v, sent in ((self.low, with_check), (self.counts, with_counts)) if sent]
+        row = sum(f.shape[1] for f in fields)
+        starts = np.cumsum(np.append(0, 1 + sizes * row + (sizes + 7) // 8))
+        out = np.zeros(int(starts[-1]), np.uint8)
+        out[starts[:-1]] = width
+        at = starts[run] + 1
+        for f in fields:
+            out[(at + place * f.shape[1])[:, None] + np.arange(f.shape[1])] = f
+            at = at + sizes[run] * f.shape[1]
+        twice = np.flatnonzero(self.many)
+        np.add.at(out, at[twice] + (place[twice] >> 3), (128 >> (place[twice] & 7)).astype(np.uint8))
+        return slices, pa.Array.from_buffers(pa.large_binary(), len(slices), [
+            None, pa.py_buffer(starts.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _received(blob: bytes, start: int, with_check: bool, with_counts: bool) -> tuple[np.ndarray, ...]:
+    """Keys, checks, marks and counts of a message to the slice that begins at ``start``."""
+    width = blob[0]
+    row = width + 4 * with_check + 4 * with_counts
+    n = 8 * (len(blob) - 1) // (8 * row + 1)
     gaps = np.zeros((n, 8), np.uint8)
-    gaps[:, :width] = np.frombuffer(blob, np.uint8, n * width, 24).reshape(n, width)
-    at = 24 + n * width
+    gaps[:, :width] = np.frombuffer(blob, np.uint8, n * width, 1).reshape(n, width)
+    at = 1 + n * width
     low = np.frombuffer(blob, "<u4", n, at) if with_check else np.zeros(n, np.uint32)
     at += 4 * n * with_check
     counts = np.frombuffer(blob, "<u4", n, at) if with_counts else np.ones(n, np.uint32)
     many = np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, at + 4 * n * with_counts), count=n)
-    return np.cumsum(gaps.view("<u8").reshape(-1)) + np.uint64(first), low, many.astype(bool), counts
+    return np.cumsum(gaps.view("<u8").reshape(-1)) + np.uint64(start), low, many.astype(bool), counts
 
 
-def answered(blocks: DataFrame, keys_of, slice_bits: int, with_check: bool = False, heavy: int | None = None) -> DataFrame:
+def answered(blocks: DataFrame, keys_of, slice_bits: int, with_check: bool = False, heavy: int | None = None,
+             high_bits: int = 64) -> DataFrame:
     """``blocks`` with ``flags``: per slice, bits that tell which of the block's keys stand elsewhere.
 
     ``keys_of(texts)`` gives a block's Keys. Every block sends each slice its
     distinct keys once, so a key held by any share of the rows adds one entry
-    per block. A slice answers with a bit per key for "found again in the
+    per block. ``high_bits`` is that of the Keys. A slice answers with a bit per key for "found again in the
     corpus" and, if ``heavy`` is given, one for "found ``heavy`` times or more".
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 block_id, ids, payload = (c[r].as_py() for c in batch.columns)
-                keys = keys_of(unpacked(ids, payload))
-                edges = keys.slices(slice_bits)
-                rows = [(s, keys.sent(a, b, with_check, heavy is not None))
-                        for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+                slices, messages = keys_of(unpacked(ids, payload)).messages(slice_bits, with_check, heavy is not None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _ in rows], pa.int32()), pa.array([block_id] * len(rows), pa.int64()),
-                     pa.array([k for _, k in rows], pa.binary())], ["slice", "block_id", "keys"])
+                    [pa.array(slices, pa.int32()), pa.array(np.full(len(slices), block_id), pa.int64()),
+                     messages.cast(pa.binary())], ["slice", "block_id", "keys"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_received(b, with_check, heavy is not None) for b in pdf["keys"]]
+        start = int(pdf["slice"].iloc[0]) << high_bits - slice_bits
+        parts = [_received(b, start, with_check, heavy is not None) for b in pdf["keys"]]
         high, low, many, counts = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((low, high))
         new = np.append(True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
@@ -157,10 +181,16 @@ def answered(blocks: DataFrame, keys_of, slice_bits: int, with_check: bool = Fal
 
 def flagged(keys: Keys, flags: list | None, slice_bits: int, name: str = "again") -> np.ndarray:
     """Per occurrence in the block: the answer's bit for its key."""
-    edges, out = keys.slices(slice_bits), np.zeros(len(keys.high), bool)
-    for f in flags or []:
-        a, b = edges[f["slice"]], edges[f["slice"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(f[name], np.uint8), count=b - a)
+    out = np.zeros(len(keys.high), bool)
+    if flags:
+        slices, edges = keys.runs(slice_bits)
+        run = np.searchsorted(slices, np.fromiter((f["slice"] for f in flags), np.int64, len(flags)))
+        sizes = np.diff(edges)[run]
+        bits = np.unpackbits(np.frombuffer(b"".join([f[name] for f in flags]), np.uint8))
+        # Every answer begins at a byte of its own.
+        starts = np.cumsum(np.append(0, (sizes + 7) // 8))[:-1] * 8
+        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[np.repeat(edges[run], sizes) + inner] = bits[np.repeat(starts, sizes) + inner] > 0
     return out[keys.place]
 
 

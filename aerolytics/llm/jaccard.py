@@ -112,7 +112,7 @@ def _shared_sets(docs: DataFrame, id_col: str, text_col: str, n_words: int, perc
                     [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                      pa.array(shared, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "shared"])
 
-    return stored(answered(blocks, keys_of, bits).select("ids", "payload", "flags").mapInArrow(
+    return stored(answered(blocks, keys_of, bits, high_bits=high_bits).select("ids", "payload", "flags").mapInArrow(
         apply, f"doc_id {id_type}, n_shingles long, digest binary, shared array<long>"), "shingle-sets")
 
 

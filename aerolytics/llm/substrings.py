@@ -133,7 +133,7 @@ def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def keys_of(texts: list[bytes]) -> Keys:
         return _windows(texts, window, high_bits)[1]
 
-    flagged_blocks = answered(blocks, keys_of, bits, with_check=True)
+    flagged_blocks = answered(blocks, keys_of, bits, with_check=True, high_bits=high_bits)
     id_type = docs.schema[id_col].dataType.simpleString()
     return flagged_blocks.select("ids", "payload", "flags").mapInArrow(
         apply, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string, "
