@@ -149,6 +149,25 @@ def column_rounds(groups: np.ndarray, low: np.ndarray, high: np.ndarray, column,
             yield j, order[full[:-1] | full[1:]]
 
 
+def packed_positions(at: list[int]) -> bytes:
+    """Ascending positions in a block in few bytes: one alone as 4 bytes, more as a width, the first and the gaps."""
+    if len(at) == 1:
+        return at[0].to_bytes(4, "little")
+    gaps = np.diff(np.array(at, np.int64))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return (bytes([width]) + at[0].to_bytes(4, "little")
+            + np.ascontiguousarray(gaps.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes())
+
+
+def unpacked_positions(blob: bytes) -> np.ndarray:
+    if len(blob) == 4:
+        return np.array([int.from_bytes(blob, "little")], np.int64)
+    width, n = blob[0], (len(blob) - 5) // blob[0]
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(blob, np.uint8, n * width, 5).reshape(n, width)
+    return int.from_bytes(blob[1:5], "little") + np.append(0, np.cumsum(gaps.view("<i8").reshape(-1)))
+
+
 def _shaped(margin: int, low: int, high: int) -> int:
     """Margin and the first and last column of a segment in one number."""
     return margin << 40 | low << 20 | high
@@ -196,7 +215,7 @@ class _Rounds:
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         # A segment that its block holds at several positions repeats as a whole.
-        many = np.concatenate([pc.binary_length(m[5]).to_numpy(zero_copy_only=False) > 8 for m in self.meta])
+        many = np.concatenate([pc.binary_length(m[5]).to_numpy(zero_copy_only=False) > 4 for m in self.meta])
         starts = self.margin + 1
         bits = np.zeros((len(group), (starts + 7) // 8), np.uint8)
 
@@ -280,13 +299,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         if core is None:
                             core = xxhash.xxh3_128_intdigest(data[a + margin:a + repeat], a - cell + (first + 1 << 20))
                         text = data[lo:a + margin] + data[a + repeat:hi]
-                        found.setdefault((core, _shaped(margin, lo - a, hi - a - repeat + margin), text), []).append(a)
+                        found.setdefault((core, _shaped(margin, lo - a, hi - a - repeat + margin), text), []).append(a + repeat)  # a cell may begin before its block
                 rows = list(found)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array([x[0] & _MASK for x in rows], np.uint64).view(np.int64)),
                      pa.array(np.array([x[0] >> 64 for x in rows], np.uint64).view(np.int64)),
                      pa.array([block_id] * len(rows), pa.int64()),
-                     pa.array([np.array(v, "<i8").tobytes() for v in found.values()], pa.binary()),
+                     pa.array([packed_positions(sorted(v)) for v in found.values()], pa.binary()),
                      pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], fields)
 
     def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +334,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts = np.zeros(sum(map(len, texts)) + 1, bool)
                 for h in hits or []:
                     offsets = np.flatnonzero(np.unpackbits(np.frombuffer(h["starts"], np.uint8), bitorder="little"))
-                    positions = np.frombuffer(h["positions"], "<i8")
+                    positions = unpacked_positions(h["positions"]) - repeat
                     if len(positions) < len(offsets):
                         for p in positions:
                             starts[p + offsets] = True

@@ -219,3 +219,9 @@ def test_sending_a_block_costs_the_same_at_many_slices():
         return min(best)
 
     assert cost(19) < 2 * cost(10)  # 1.2 measured; room for a busy machine
+
+
+def test_positions_survive_packing():
+    for at in ([0], [4_000_000_000], [0, 1], [5, 5 + 255, 5 + 256 + 255], [7, 70_000, 20_000_000], list(range(0, 3000, 7))):
+        blob = suffixes.packed_positions(at)
+        assert suffixes.unpacked_positions(blob).tolist() == at and (len(blob) > 4) == (len(at) > 1)
