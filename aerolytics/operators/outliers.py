@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolytics.operators.stats import Summary, summary_quartiles
 from aerolytics.plans.quantiles import quantile_columns
 from aerolytics.schema import numeric
 from aerolytics.session import join_small
@@ -23,13 +24,15 @@ METHODS = ("zscore", "iqr", "isolation")
 
 
 def outliers(samples: DataFrame, parameters: Sequence[str] | str, method: str = "zscore",
-             threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+             threshold: float = DEFAULT_THRESHOLD, summary: Summary | None = None) -> DataFrame:
     """(flight_id, row_no, parameter, value, is_outlier).
 
     ``iqr``: outside [q25 - t*IQR, q75 + t*IQR]; any other method (also
     ``isolation``) is the z-score: |v - mean| / std > t, std with n-1. Both
     strict. An absent or text parameter gives no rows. Infinite values are data:
-    a mean or quartile that they leave undefined flags no sample.
+    a mean or quartile that they leave undefined flags no sample. A ``summary``
+    of the same samples gives mean and deviation, or the quartiles' brackets, so
+    that z-score flags take the one scan that writes them, and IQR flags two.
     """
     if isinstance(parameters, str):
         parameters = [parameters]
@@ -38,15 +41,22 @@ def outliers(samples: DataFrame, parameters: Sequence[str] | str, method: str =
     v = F.col("value")
     t = F.lit(float(threshold))
     if method == "iqr":
-        st = quantile_columns(s, ["flight_id", "parameter"], "value", [0.25, 0.75], ["_q1", "_q3"])
-        j = join_small(s, st, ["flight_id", "parameter"])
+        if summary is None:
+            st, n = quantile_columns(s, ["flight_id", "parameter"], "value", [0.25, 0.75], ["_q1", "_q3"]), None
+        else:
+            chosen = Summary(summary.table.filter(F.col("parameter").isin(list(parameters))), summary.n)
+            st, n = summary_quartiles(s.withColumn("text", F.lit(None).cast("string")), chosen, ["_q1", "_q2", "_q3"]), summary.n
+        j = join_small(s, st, ["flight_id", "parameter"], n_rows=n)
         iqr = F.col("_q3") - F.col("_q1")
         low, high = F.col("_q1") - t * iqr, F.col("_q3") + t * iqr
         # Spark orders NaN above every number; a bound that infinite data left undefined flags nothing.
         flag = (~F.isnan(low) & (v < low)) | (~F.isnan(high) & (v > high))
     else:
-        st = s.groupBy("flight_id", "parameter").agg(F.avg(v).alias("_m"), F.stddev_samp(v).alias("_s"))
-        j = join_small(s, st, ["flight_id", "parameter"])
+        if summary is None:
+            st, n = s.groupBy("flight_id", "parameter").agg(F.avg(v).alias("_m"), F.stddev_samp(v).alias("_s")), None
+        else:
+            st, n = summary.table.select("flight_id", "parameter", F.col("mean").alias("_m"), F.col("std").alias("_s")), summary.n
+        j = join_small(s, st, ["flight_id", "parameter"], n_rows=n)
         z = F.try_divide(v - F.col("_m"), F.col("_s"))
         flag = ~F.isnan(z) & (F.abs(z) > t)
     return j.select("flight_id", "row_no", "parameter", "value",

@@ -67,6 +67,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
+def remove_stored(spark: SparkSession, below: str) -> bool:
+    """Delete the stored tables of one kind (a folder below the checkpoint folder, as ``llm`` or ``exports``).
+
+    Results read these tables when they are computed: call it once they have
+    been written elsewhere. Tells whether there was anything to delete.
+    """
+    if not below or below.startswith("/") or ".." in below.split("/"):
+        raise ValueError("the name of a folder below the checkpoint folder")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{below}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the checkpoint folder and cut its lineage.
 

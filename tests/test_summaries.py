@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aerolytics.operators import export, limits, quality
+from aerolytics import session
+from aerolytics.operators import export, limits, outliers, quality, stats
 from aerolytics.plans import quantiles as Q
 from tests.helpers import rows_by, series_samples
 
@@ -71,6 +72,37 @@ def test_duplicate_timestamps_in_order_or_scattered(spark, scattered):
     assert got == {"a": (900, len(set(times)), 900 - len(set(times))), "b": (50, 50, 0)}
 
 
+@pytest.mark.parametrize("method", ["zscore", "iqr"])
+def test_outliers_from_a_summary_are_the_same(spark, method):
+    rng = np.random.default_rng(6)
+    s = series_samples(spark, {"f": {"a": [*rng.normal(0, 1, 200).tolist(), 50.0, None], "b": [1.0] * 202},
+                               "g": {"a": [*rng.normal(9, 2, 50).tolist(), -90.0]}}).repartition(3)
+    keys = ("flight_id", "row_no", "parameter", "value", "is_outlier")
+    plain = rows_by(outliers.outliers(s, ["a", "b"], method, 2.0), *keys)
+    assert rows_by(outliers.outliers(s, ["a", "b"], method, 2.0, stats.parameter_summary(s)), *keys) == plain
+    assert sum(r[4] for r in plain) >= 2
+
+
+def test_describe_and_limits_from_a_summary_are_the_same(spark):
+    rng = np.random.default_rng(7)
+    s = series_samples(spark, {"f": {"a": rng.normal(0, 1, 5000).tolist(), "b": [None] * 5000}}).repartition(3)
+    summary = stats.parameter_summary(s)
+    keys = ("flight_id", "parameter", "count", "min", "q25", "q50", "q75", "max")
+    assert rows_by(stats.describe(s, summary=summary), *keys) == rows_by(stats.describe(s), *keys)
+    lim = spark.createDataFrame([("a", -1.0, 1.0)], "parameter string, min double, max double")
+    keys = ("flight_id", "parameter", "status", "min_value")
+    assert rows_by(limits.limit_check(s, lim, summary), *keys) == rows_by(limits.limit_check(s, lim), *keys)
+
+
+def test_stored_tables_can_be_removed(spark):
+    path = f"{session.checkpoint_dir(spark)}/to-remove/t"
+    spark.range(3).write.parquet(path)
+    assert session.remove_stored(spark, "to-remove") and not session.remove_stored(spark, "to-remove")
+    for bad in ("", "/etc", "../x"):
+        with pytest.raises(ValueError):
+            session.remove_stored(spark, bad)
+
+
 def test_limit_check_reads_the_samples_once(spark, tmp_path):
     series_samples(spark, {"f": {"a": [1.0, 9.0], "b": [2.0, 2.0]}, "g": {"b": [3.0, 3.0]}}).write.parquet(str(tmp_path / "s"))
     s = spark.read.parquet(str(tmp_path / "s"))
