@@ -7,7 +7,16 @@ versions in the tests.
 
 from __future__ import annotations
 
-from aerolytics.llm.quality import STOP_WORDS
+# The stop words, written out a second time so that a wrong list on either side fails.
+STOP_WORDS = (
+    "a an and are as at be been by for from had has have he her his in is it its not of on or that the "
+    "their they this to was were which will with you "
+    "als auch auf aus bei das dem den der des die ein eine einer es für ich im ist mit nicht sich sie "
+    "und von war wird zu zum zur über "
+    "au aux avec ce ces dans de du elle en est et il ils la le les leur mais ne par pas plus pour qui "
+    "que se ses son sur un une "
+    "al como con del el ella es esta este han las lo los más muy no o para pero por ser sin su sus también "
+    "una y").split()
 
 _STOP = ", ".join("'" + w + "'" for w in STOP_WORDS)
 

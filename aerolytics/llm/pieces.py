@@ -105,6 +105,10 @@ def log_scores(scores: list[float], unigram: bool) -> list[float]:
     return [-math.log(rank[s]) - norm for s in scores]
 
 
+# Texts that a character map or white-space removal changes.
+NORMALISER_PROBES = ("a  b", "a b ", "\uFB01", "\u2460", "e\u0301", "A", "\uFF21", "a\u00A0b")
+
+
 class PieceModel:
     """Pieces, log scores and byte pieces of one model file."""
 
@@ -112,6 +116,10 @@ class PieceModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        # A model that changes its text before segmenting would give other ids than these.
+        changed = [t for t in NORMALISER_PROBES if model.decode(model.encode(t)) != t]
+        if changed:
+            raise ValueError(f"the model normalises its text (it changes {changed[0]!r}), which is not supported")
         size = model.get_piece_size()
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
                    for i in range(size)]

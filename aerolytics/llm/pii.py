@@ -16,7 +16,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn")
 # Prior score of a confirmed proposal.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
-# Words that raise the score of a kind when they stand close before it.
+# Words that raise the score of a kind when they stand close to it, before or after.
 CONTEXT = {
     "email": ("email", "mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
@@ -25,8 +25,10 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto"),
     "ssn": ("ssn", "social", "security"),
 }
+# Words that lower the score of any kind: numbers of things, and made-up ones.
+AGAINST = ("serial", "version", "invoice", "order", "isbn", "sku", "ticket", "example", "sample", "dummy")
 CONTEXT_CHARS = 60
-CONTEXT_BONUS = 0.3
+CONTEXT_BONUS, CONTEXT_MALUS = 0.3, 0.2
 #: An added span is reported from this score on; base spans always are.
 MIN_SCORE = 0.5
 
@@ -105,7 +107,9 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    """Proposals may run into following capitals: shorten until mod-97 holds.
+    """Capitals and digits, plain or in groups parted by single spaces; other writings are not proposed.
+
+    Proposals may run into following capitals: shorten until mod-97 holds.
 
     The search goes on at the end of a confirmed span, or behind the start of a
     proposal of which no part is confirmed: another may begin inside either.
@@ -129,10 +133,13 @@ def _ssns(text: str):
     return [m.span() for m in _SSN.finditer(text) if _ssn_ok(m[0])]
 
 
-def _score(kind: str, text: str, start: int) -> float:
-    near = {w.lower() for w in _WORD.findall(text, max(0, start - CONTEXT_CHARS), start)}
+def _score(kind: str, text: str, start: int, end: int) -> float:
+    """Prior of the kind, raised by words that speak for it close by, lowered by words that speak against."""
+    near = {w.lower() for at, to in ((max(0, start - CONTEXT_CHARS), start), (end, end + CONTEXT_CHARS))
+            for w in _WORD.findall(text, at, to)}
     bonus = CONTEXT_BONUS if near.intersection(CONTEXT[kind]) else 0.0
-    return round(min(1.0, PRIOR[kind] + bonus), 6)
+    malus = CONTEXT_MALUS if near.intersection(AGAINST) else 0.0
+    return round(max(0.0, min(1.0, PRIOR[kind] + bonus - malus)), 6)
 
 
 def find_spans(text: str | None) -> list[dict]:
@@ -143,7 +150,7 @@ def find_spans(text: str | None) -> list[dict]:
     out = []
     for kind, find in finders.items():
         for start, end in find(text):
-            score = _score(kind, text, start)
+            score = _score(kind, text, start, end)
             if kind in BASE_KINDS or score >= MIN_SCORE:
                 out.append({"kind": kind, "start": start, "end": end, "score": score})
     return out

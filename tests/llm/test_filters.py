@@ -173,6 +173,17 @@ def test_pii_added_kinds_context_and_redaction(spark):
     assert bag(pii.redact(docs), *docs.columns) == bag(docs, *docs.columns)
 
 
+def test_pii_context_on_both_sides_raises_and_lowers():
+    found = lambda t: [(s["kind"], t[s["start"]:s["end"]]) for s in pii.find_spans(t)]
+    assert found("078-05-1120 is my SSN") == [("ssn", "078-05-1120")]
+    assert found("My number 078-05-1120 (social security)") == [("ssn", "078-05-1120")]
+    assert found("078-05-1120" + " x" * 40 + " ssn") == []  # too far away
+    assert found("ssn or serial 078-05-1120") == []
+    score = lambda t: pii.find_spans(t)[0]["score"]
+    assert score("a@b.cd is my mail") > score("a@b.cd is") > score("for example a@b.cd")
+    assert found("for example a@b.cd") == [("email", "a@b.cd")]  # base spans always stay
+
+
 @pytest.mark.parametrize("text,ibans,clean", [
     ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32",
      ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"], "[IBAN] [IBAN]"),
@@ -260,3 +271,34 @@ def test_toxicity_weights_count_as_equal_rows(spark):
     plain = toxicity.fit_linear(presence[again], rest[again], y[again], np.ones(len(again)))
     assert len(model.terms) and model.terms.tolist() == plain.terms.tolist()
     assert model.predict(presence, rest) == pytest.approx(plain.predict(presence, rest), abs=1e-8)
+
+
+def test_toxicity_chain_matches_a_plain_one():
+    """Category after category: out-of-fold probabilities while fitting, the chain's own while scoring."""
+    rng = np.random.default_rng(12)
+    presence, dense = rng.integers(0, 2, (240, 30), np.uint8), rng.normal(size=(240, 3))
+    first = (presence[:, 0] + 0.5 * dense[:, 0] + 0.3 * rng.normal(size=240) > 0.6).astype(float)
+    second = ((first > 0) & (presence[:, 1] > 0)).astype(float)
+    labels, folds, weight = np.column_stack([first, second]), rng.integers(0, toxicity.FOLDS, 240), rng.integers(1, 3, 240).astype(float)
+    chain = toxicity.fit_chain({}, presence, dense, labels, folds, ["a", "b"], weight)
+
+    def probability(m, terms, rest):
+        z = m.bias + sum(w * terms[t] for t, w in zip(m.terms.tolist(), m.term_weights.tolist()))
+        z += sum((v - a) / s * w for v, a, s, w in zip(rest, m.mean, m.scale, m.weights))
+        return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
+
+    out_of_fold = np.empty(240)
+    for k in range(toxicity.FOLDS):
+        out = folds != k
+        m = toxicity.fit_linear(presence[out], dense[out], first[out], weight[out])
+        for i in np.flatnonzero(~out):
+            out_of_fold[i] = probability(m, presence[i], dense[i])
+    plain = [toxicity.fit_linear(presence, dense, first, weight),
+             toxicity.fit_linear(presence, np.column_stack([dense, out_of_fold]), second, weight)]
+    for got, want in zip(chain.models, plain):
+        assert got.terms.tolist() == want.terms.tolist() and got.bias == pytest.approx(want.bias, abs=1e-9)
+        assert got.term_weights == pytest.approx(want.term_weights, abs=1e-9)
+        assert got.weights == pytest.approx(want.weights, abs=1e-9)
+    in_sample = np.array([probability(plain[0], presence[i], dense[i]) for i in range(240)])
+    assert np.abs(in_sample - out_of_fold).max() > 0.01  # the folds matter
+    assert len(chain.models[1].weights) == 4  # the first probability is a feature of the second model

@@ -187,3 +187,16 @@ def test_tokenize_keeps_ids_on_request(spark):
     docs = spark.createDataFrame([(1, prose(random.Random(1), 50))], "doc_id long, text string")
     row = packing.tokenize(docs, keep_ids=True).first()
     assert zlib.crc32(np.array(row["ids"], "<u4").tobytes()) == row["ids_crc32"] and row["ids"][-1] == 2
+
+
+def test_a_model_that_normalises_is_refused(monkeypatch):
+    import sentencepiece
+
+    class Normalising(sentencepiece.SentencePieceProcessor):
+        def encode(self, text, *a, **k):
+            return super().encode(" ".join(text.split()), *a, **k)
+
+    pieces.PieceModel(pieces.default_model())
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Normalising)
+    with pytest.raises(ValueError, match="normalises"):
+        pieces.PieceModel(pieces.default_model())
