@@ -37,7 +37,9 @@ def read_recordings(spark: SparkSession, paths: str | Sequence[str],
     path for files that share a name with another one read here; ``"path"``
     always the full path; ``"parts"`` the path of the folder over ``part=0``,
     ``part=1``, ..., whose files in this order are one recording (see
-    ``write_recordings``). All are decoded (a space is a space).
+    ``write_recordings``). All are decoded (a space is a space). Spark cuts files
+    by the cores it has: where executors come and go between two passes, set
+    ``spark.sql.files.minPartitionNum`` so that both meet the same splits.
     """
     if isinstance(paths, str):
         paths = [paths]
