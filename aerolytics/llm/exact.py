@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from aerolytics.llm.common import drop_marked, stored, text_sha
 
+#: Equal rows written out from one counted row at a time.
+COPIES_AT_ONCE = 1 << 16
+
 #: Fingerprints a slice holds on average, which bounds the memory of a merge.
 SLICE_FINGERPRINTS = 1 << 19
 #: Fingerprints a partition gathers before it emits its filters.
@@ -175,8 +178,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     keyed = _keyed(docs, id_col, text_col)
     alone = F.col("group_size").isNull()
-    out = (_members(keyed, _groups(keyed))
-           .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows")))))
+    # A row repeated any number of times comes back in chunks, so no array is as long as the group.
+    counted = _members(keyed, _groups(keyed)).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_rows") - 1) / COPIES_AT_ONCE))))
+    last = F.least(F.lit(COPIES_AT_ONCE), F.col("n_rows") - F.col("chunk") * COPIES_AT_ONCE)
+    out = (counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+           .withColumn("copy", F.col("copy") + F.col("chunk") * COPIES_AT_ONCE))
     return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -58,7 +58,7 @@ def encoder(vocabulary: str):
         try:
             return fast.encode_to_numpy(text, allowed_special="all")
         except BaseException as gave_up:  # the engine's panics are no Exception
-            if isinstance(gave_up, (KeyboardInterrupt, SystemExit)):
+            if isinstance(gave_up, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
             if not slow:
                 from tokenizers import Tokenizer
@@ -343,13 +343,14 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     ``pieces`` is read twice and should be stored. Only the count per length
     (at most ``max_tokens`` rows) reaches the driver. The k of a piece comes
     from windows over (length, shard), which stay bounded when one length holds
-    most pieces, plus the shard's offset.
+    most pieces, plus the shard's offset. A ``tag`` column that tells equal rows
+    apart keeps them bounded too when one row is repeated very often.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     at = places(local_search(best_fit(counts, max_tokens), max_tokens))
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(parts, sum(counts.values()) // SHARD_PIECES)
-    row = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    row = [c for c in ("doc_id", "piece", "start", "ids_crc32", "tag") if c in pieces.columns]
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64(*row), F.lit(shards)))
     sizes = sharded.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "shard", F.coalesce(F.sum("n").over(
@@ -380,5 +381,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts are one end token; repeated rows and null ids are
     packed row by row; an empty table gives an empty result.
     """
-    cut_up = stored(tokenize(docs, id_col, text_col, max_tokens, vocabulary, keep_ids=keep_ids), "pieces")
-    return pack(cut_up, max_tokens)
+    # Stored with the tag, so that both readings of the pieces see the same one.
+    cut_up = stored(tokenize(docs, id_col, text_col, max_tokens, vocabulary, keep_ids=keep_ids)
+                    .withColumn("tag", F.monotonically_increasing_id()), "pieces")
+    return pack(cut_up, max_tokens).drop("tag")

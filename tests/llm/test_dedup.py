@@ -225,3 +225,12 @@ def test_positions_survive_packing():
     for at in ([0], [4_000_000_000], [0, 1], [5, 5 + 255, 5 + 256 + 255], [7, 70_000, 20_000_000], list(range(0, 3000, 7))):
         blob = suffixes.packed_positions(at)
         assert suffixes.unpacked_positions(blob).tolist() == at and (len(blob) > 4) == (len(at) > 1)
+
+
+def test_a_row_repeated_many_times_comes_back_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(exact, "COPIES_AT_ONCE", 4)
+    rows = [(1, "same")] * 23 + [(2, "same")] * 4 + [(3, "alone")] + [(4, "pair")] * 8
+    got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r["doc_id"] for r in got) == {1: 23, 2: 4, 3: 1, 4: 8}
+    assert Counter(r["doc_id"] for r in got if r["kept"]) == {2: 1, 3: 1, 4: 1}
+    assert {r["group_size"] for r in got if r["doc_id"] < 3} == {27}

@@ -200,3 +200,16 @@ def test_a_model_that_normalises_is_refused(monkeypatch):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Normalising)
     with pytest.raises(ValueError, match="normalises"):
         pieces.PieceModel(pieces.default_model())
+
+
+def test_equal_rows_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 20)
+    docs = spark.createDataFrame([(1, "same text")] * 300 + [(2, "other")], "doc_id long, text string").repartition(4)
+    out = packing.pack_documents(docs, max_tokens=16)
+    assert "tag" not in out.columns and out.count() == 301
+    places = [(r["sequence_id"], r["offset"], r["length"]) for r in out.collect()]
+    assert len(set(places)) == 301  # every copy has a place of its own
+    fill = Counter()
+    for s, _, n in places:
+        fill[s] += n
+    assert max(fill.values()) <= 16
