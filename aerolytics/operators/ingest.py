@@ -150,10 +150,7 @@ def _numbered_in_place(kept: DataFrame, runs: DataFrame, counts: DataFrame, acce
 
 def _pick(prefix: str):
     """The column of the chosen timestamp format."""
-    e = F.col(f"{prefix}{NF - 1}")
-    for i in reversed(range(NF - 1)):
-        e = F.when(F.col("fmt") == i, F.col(f"{prefix}{i}")).otherwise(e)
-    return e
+    return F.expr(f"CASE {' '.join(f'WHEN fmt = {i} THEN {prefix}{i}' for i in range(NF - 1))} ELSE {prefix}{NF - 1} END")
 
 
 def ingest(lines: DataFrame) -> Recording:
@@ -193,30 +190,25 @@ def ingest(lines: DataFrame) -> Recording:
     late = line_state(loose.filter((F.col("line_no") > F.col("h0") + 1) & ~F.col("blank")))
     cell_rows = state.filter(kind == "cell").unionByName(late)
     cell_rows = cell_rows.coalesce(1) if few else cell_rows
-    sums = [F.sum("n_data").alias("n_data")]
-    for i in range(NF):
-        sums += [F.sum(f"cnt{i}").alias(f"cnt{i}"), F.min(f"min{i}").alias(f"min{i}"), F.max(f"max{i}").alias(f"max{i}"),
-                 F.sum(f"num{i}").alias(f"num{i}")]
+    # Long column lists as SQL text: one call to the JVM each.
+    sums = [F.expr("sum(n_data) AS n_data"), *[F.expr(f"{f}({c}{i}) AS {c}{i}") for i in range(NF) for f, c in (
+        ("sum", "cnt"), ("min", "min"), ("max", "max"), ("sum", "num"))]]
     counts = cell_rows.groupBy("flight_id", "pos").agg(*sums)
-    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ["n_data", *[f"{p}{i}" for p in ("cnt", "num") for i in range(NF)]]]
-    times = [F.timestamp_add("MICROSECOND", F.col(f"{p}{i}"), epoch).alias(f"{p}{i}") for p in ("min", "max") for i in range(NF)]
+    counted = [f"coalesce({c}, 0L) AS {c}" for c in ["n_data", *[f"{p}{i}" for p in ("cnt", "num") for i in range(NF)]]]
+    times = [f"timestampadd(MICROSECOND, {p}{i}, TIMESTAMP_NTZ'1970-01-01 00:00:00') AS {p}{i}"
+             for p in ("min", "max") for i in range(NF)]
     cols = (counts.join(header, ["flight_id", "pos"], "full")
             .join(bounds.filter(~F.col("too_few")).select("flight_id"), "flight_id", "left_semi")
-            .select("flight_id", "pos", "h1", "h2", *counted, *times))
+            .selectExpr("flight_id", "pos", "h1", "h2", *counted, *times))
     cols = materialize(cols)
     cols = cols.coalesce(1) if few else cols
 
     # per-flight decisions
-    n_rows = F.col("n_rows").cast("double")
-    fmt = F.lit(NF - 1)
-    for i in reversed(range(NF - 1)):
-        fmt = F.when(F.col(f"cnt{i}").cast("double") > n_rows * F.lit(TS_VALID_SHARE), F.lit(i)).otherwise(fmt)
-
-    at0 = cols.filter(F.col("pos") == 0).select("flight_id", F.col("n_data").alias("n_rows"),
-                                              *[f"cnt{i}" for i in range(NF)],
-                                              *[f"min{i}" for i in range(NF)],
-                                              *[f"max{i}" for i in range(NF)])
+    share = " ".join(f"WHEN double(cnt{i}) > double(n_rows) * double({TS_VALID_SHARE}) THEN {i}" for i in range(NF - 1))
+    fmt = F.expr(f"CASE {share} ELSE {NF - 1} END")
+
+    at0 = cols.filter(F.col("pos") == 0).selectExpr(
+        "flight_id", "n_data AS n_rows", *[f"{p}{i}" for p in ("cnt", "min", "max") for i in range(NF)])
     widths = cols.groupBy("flight_id").agg(
         F.least(F.count("h1"), F.count("h2")).cast("int").alias("n_cols"))
     fl = (bounds.join(widths, "flight_id", "left").join(at0, "flight_id", "left")
@@ -267,7 +259,7 @@ def ingest(lines: DataFrame) -> Recording:
     kept = keep_not_null(kept.drop("_c0", "ts_shape", "ts_any", "fmt"), "ts")
     if in_place:
         per_split = (cell_rows.filter(F.col("pos") == 0).groupBy("part", "flight_id")
-                     .agg(*[F.sum(f"cnt{i}").alias(f"cnt{i}") for i in range(NF)]))
+                     .agg(*[F.expr(f"sum(cnt{i}) AS cnt{i}") for i in range(NF)]))
         kept = _numbered_in_place(kept, runs, per_split, accepted.select("flight_id", "fmt"))
     else:
         # Too many splits or flights for a broadcast: the line itself passes the numbering
