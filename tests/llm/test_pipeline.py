@@ -48,7 +48,8 @@ def test_queries_with_sql_match_duckdb(spark):
 
     from scripts.check_oracle import rows
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     from aerolytics.llm.oracle import ORACLE
     for name, sql in ORACLE.items():
         assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(con.execute(sql).fetchdf()), name
