@@ -50,42 +50,28 @@ def timestamp_tokens(c: Column) -> Column:
     return F.array_remove(F.split(F.translate(c, "- .", ":::"), ":", -1), "")
 
 
-def _fraction_us(tok: Column) -> Column:
-    return F.when(tok.isNull(), F.lit(0)).otherwise(F.rpad(F.substring(tok, 1, 6), 6, "0").cast("long"))
-
-
-def _clock(h: Column, m: Column, s: Column, us: Column) -> Column:
-    return (h * 3600 + m * 60 + s) * 1_000_000 + us
-
-
-def _clock_ok(h: Column, m: Column, s: Column) -> Column:
-    return (h <= 23) & (m <= 59) & (s <= 61)
-
-
 def timestamp_from_tokens(tokens: Column, shape: Column) -> Column:
     """TIMESTAMP_NTZ from the tokens of a cell of the given shape, NULL when a
-    field is out of range or the date does not exist."""
+    field is out of range or the date does not exist.
+
+    One expression for all shapes, a day and a clock that begins at some token:
+    with a branch for each the generated method passes the 8,000 bytes up to
+    which the JVM compiles it.
+    """
     def t(i):
         return F.get(tokens, i).cast("long")
 
+    at = F.when(shape == 0, F.lit(1)).when(shape.isin(1, 2), F.lit(3)).otherwise(F.lit(0))
+    h, m, s = t(at), t(at + 1), t(at + 2)
+    us = F.coalesce(F.rpad(F.substring(F.get(tokens, at + 3), 1, 6), 6, "0").cast("long"), F.lit(0))
+    clock = F.when((h <= 23) & (m <= 59) & (s <= 61), (h * 3600 + m * 60 + s) * 1_000_000 + us)
+    # Day of year or time of day count from 1900; day 0 or 367 gives no time.
     base_1900 = F.expr("TIMESTAMP_NTZ'1900-01-01 00:00:00'")
-    # day of year
-    d, h, m, s = t(0), t(1), t(2), t(3)
-    doy = F.when((d >= 1) & (d <= 366) & _clock_ok(h, m, s), F.timestamp_add(
-        "MICROSECOND", (d - 1) * 86_400_000_000 + _clock(h, m, s, _fraction_us(F.get(tokens, 4))), base_1900))
-    # date and time
-    y, mo, dd, hh, mi, ss = t(0), t(1), t(2), t(3), t(4), t(5)
-    day = F.try_make_timestamp_ntz(y.cast("int"), mo.cast("int"), dd.cast("int"), F.lit(0), F.lit(0), F.lit(0))
-    frac = F.when(shape == 1, _fraction_us(F.get(tokens, 6))).otherwise(F.lit(0))
-    dt = F.timestamp_add("MICROSECOND", _clock(hh, mi, ss, frac), day)
-    dt_ok = (mo >= 1) & (mo <= 12) & (dd >= 1) & (dd <= 31) & _clock_ok(hh, mi, ss)
-    in_range = (dt >= F.expr(f"TIMESTAMP_NTZ'{TS_RANGE[0]}'")) & (dt <= F.expr(f"TIMESTAMP_NTZ'{TS_RANGE[1]}'"))
-    date_time = F.when(dt_ok & day.isNotNull() & in_range, dt)
-    # time of day
-    th, tm, ts = t(0), t(1), t(2)
-    tfrac = F.when(shape == 3, _fraction_us(F.get(tokens, 3))).otherwise(F.lit(0))
-    tod = F.when(_clock_ok(th, tm, ts), F.timestamp_add("MICROSECOND", _clock(th, tm, ts, tfrac), base_1900))
-    return (F.when(shape == 0, doy).when(shape.isin(1, 2), date_time).when(shape.isin(3, 4), tod))
+    date = F.try_make_timestamp_ntz(t(F.lit(0)).cast("int"), t(F.lit(1)).cast("int"), t(F.lit(2)).cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    day = F.when(shape.isin(1, 2), date).otherwise(base_1900)
+    days = F.when(shape == 0, t(F.lit(0)) - 1).otherwise(F.lit(0))
+    value = F.timestamp_add("MICROSECOND", F.when(days.between(0, 365), days * 86_400_000_000 + clock), day)
+    return F.when(value.between(F.expr(f"TIMESTAMP_NTZ'{TS_RANGE[0]}'"), F.expr(f"TIMESTAMP_NTZ'{TS_RANGE[1]}'")), value)
 
 
 def with_timestamp(df: DataFrame, cell: str, shape_col: str = "ts_shape", ts_col: str = "ts_any") -> DataFrame:
@@ -96,6 +82,18 @@ def with_timestamp(df: DataFrame, cell: str, shape_col: str = "ts_shape", ts_col
     return d.withColumn(ts_col, timestamp_from_tokens(F.col("_ts_tok"), F.col(shape_col))).drop("_ts_tok")
 
 
+def with_timestamp_of(df: DataFrame, cell: str, fmt: str, ts_col: str) -> DataFrame:
+    """Add the value of a cell that has the format of index column ``fmt``, NULL otherwise.
+
+    Only that format's shape is tested: a cell has the shape of at most one.
+    """
+    test = F.lit(False)
+    for i in reversed(range(len(SHAPES))):
+        test = F.when(F.col(fmt) == i, F.col(cell).rlike(SHAPES[i])).otherwise(test)
+    d = df.withColumn("_ts_tok", F.when(test, timestamp_tokens(F.col(cell))))
+    return d.withColumn(ts_col, timestamp_from_tokens(F.col("_ts_tok"), F.col(fmt))).drop("_ts_tok")
+
+
 def parse_timestamp(c: Column, fmt: int) -> Column:
     """Parse a stripped cell with format number ``fmt`` (0-based index in TS_FORMATS)."""
     if not 0 <= fmt < len(TS_FORMATS):

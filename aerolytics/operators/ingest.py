@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from aerolytics.functions.numbers import parse_number, safe_ratio
 from aerolytics.functions.text import (ELAPSED_COLUMN, column_name, py_strip,
                                        split_cells)
-from aerolytics.functions.timestamps import TS_FORMATS, with_timestamp
+from aerolytics.functions.timestamps import TS_FORMATS, with_timestamp_of
 from aerolytics.operators.ingest_state import line_state, split_state
 from aerolytics.plans.ordering import ROW_BLOCK_BITS, dense_row_number, keep_not_null, previous_values
 from aerolytics.plans.quantiles import quantile_columns
@@ -153,6 +153,11 @@ def _pick(prefix: str):
     return F.expr(f"CASE {' '.join(f'WHEN fmt = {i} THEN {prefix}{i}' for i in range(NF - 1))} ELSE {prefix}{NF - 1} END")
 
 
+def _elapsed_entry():
+    """The elapsed time as a layout entry; position 0, the timestamp's, is in no layout."""
+    return F.struct(F.lit(0).alias("position"), F.lit(ELAPSED_COLUMN).alias("parameter"), F.lit(True).alias("is_numeric"))
+
+
 def ingest(lines: DataFrame) -> Recording:
     """Parse recording lines into typed samples; see the module notes."""
     L, kind = _prepared(lines), F.col("kind")
@@ -246,7 +251,7 @@ def ingest(lines: DataFrame) -> Recording:
     body = (F.col("line_no") >= F.col("h0") + 2) & (F.col("line_no") <= F.col("hl")) & ~F.col("blank")
     rows = r.filter(body & F.col("n_cols").isNotNull())
     cells = split_cells(F.col("line"))
-    n = F.size(cells)
+    n = F.size(F.split(F.col("line"), ",", -1))
     fixed = (F.when(n > F.col("n_cols"), F.slice(cells, 1, F.col("n_cols")))
              .when(n < F.col("n_cols"), F.concat(cells, F.array_repeat(F.lit(""), F.col("n_cols") - n)))
              .otherwise(cells))
@@ -254,9 +259,8 @@ def ingest(lines: DataFrame) -> Recording:
 
     first_cell = py_strip(F.substring_index(F.col("line"), ",", 1))
     kept = rows.filter(F.col("refused").isNull()).select("flight_id", "line_no", "line", "fmt", first_cell.alias("_c0"))
-    kept = with_timestamp(kept, "_c0")
-    kept = kept.withColumn("ts", F.when(F.col("ts_shape") == F.col("fmt"), F.col("ts_any")))
-    kept = keep_not_null(kept.drop("_c0", "ts_shape", "ts_any", "fmt"), "ts")
+    kept = with_timestamp_of(kept, "_c0", "fmt", "ts")
+    kept = keep_not_null(kept.drop("_c0", "fmt"), "ts")
     if in_place:
         per_split = (cell_rows.filter(F.col("pos") == 0).groupBy("part", "flight_id")
                      .agg(*[F.expr(f"sum(cnt{i}) AS cnt{i}") for i in range(NF)]))
@@ -265,16 +269,18 @@ def ingest(lines: DataFrame) -> Recording:
         # Too many splits or flights for a broadcast: the line itself passes the numbering
         # shuffle; cells and column lists come after it.
         kept = dense_row_number(kept, ["flight_id"], ["line_no"], F.shiftright(F.col("line_no"), ROW_BLOCK_BITS))
-    kept = kept.join(head.select("flight_id", "t0", "n_cols", "layout"), "flight_id").withColumn("cells", fixed)
+    kept = kept.join(head.select("flight_id", "t0", "n_cols", "layout"), "flight_id")
     kept = kept.withColumn("elapsed_s", F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("ts")) / 1e6)
-    per_cell = F.transform(F.col("layout"), lambda p: F.struct(
-        p["parameter"].alias("parameter"), p["is_numeric"].alias("is_numeric"),
-        F.get(F.col("cells"), p["position"]).alias("cell")))
-    elapsed_cell = F.struct(F.lit(ELAPSED_COLUMN).alias("parameter"), F.lit(True).alias("is_numeric"),
-                            F.lit(None).cast("string").alias("cell"))
-    exploded = kept.select("flight_id", "row_no", "ts", "elapsed_s",
-                           F.explode(F.concat(F.filter(per_cell, lambda x: x["parameter"] != ELAPSED_COLUMN),
-                                              F.array(elapsed_cell))).alias("p"))
+    # The layout holds every position from 1 on, so a line is split once and zipped with it; cells that
+    # the line lacks are null there and become '', those beyond the layout are cut.
+    body_cells = F.slice(F.split(F.col("line"), ",", -1), F.lit(2), F.greatest(F.size("layout"), F.lit(0)))
+    exploded = (kept.select("flight_id", "row_no", "ts", "elapsed_s", F.col("line"), "layout")
+                .withColumn("z", F.explode(F.concat(F.arrays_zip(F.col("layout").alias("p"), body_cells.alias("cell")),
+                                                    F.array(F.struct(_elapsed_entry().alias("p"), F.lit(None).cast("string").alias("cell")))))))
+    exploded = (exploded.filter((F.col("z.p.position") == 0) | (F.col("z.p.parameter") != ELAPSED_COLUMN))
+                .select("flight_id", "row_no", "ts", "elapsed_s", F.struct(
+                    F.col("z.p.parameter").alias("parameter"), F.col("z.p.is_numeric").alias("is_numeric"),
+                    py_strip(F.coalesce(F.col("z.cell"), F.lit(""))).alias("cell")).alias("p")))
     samples = exploded.select(
         "flight_id", "row_no", "ts", "elapsed_s", F.col("p.parameter").alias("parameter"),
         F.when(~F.col("p.is_numeric"), F.col("p.cell")).alias("text"),

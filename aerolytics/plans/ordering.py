@@ -8,7 +8,7 @@ bounded blocks, work inside a block with a window partitioned by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,21 +47,25 @@ def dense_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column
 
 
 def range_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no",
-                     block_rows: int = 1 << ROW_BLOCK_BITS) -> DataFrame:
+                     block_rows: int = 1 << ROW_BLOCK_BITS, stored: Mapping[str, Column] | None = None) -> DataFrame:
     """Stored ``df`` in order, with ``out`` = 0-based position of each row within ``keys`` by ``order``.
 
     Blocks of equal depth: the rows are cut where a sample of their keys and
     order says, into as many ranges as they have ``block_rows``, so neither a
     burst in the order nor a long key fills a task. A range's rows are numbered
     as they lie; a table of one row per range and key gives each its offset.
-    ``order`` should have no ties, which a range cannot part.
+    ``order`` should have no ties, which a range cannot part. With ``stored`` only the
+    keys and those columns are stored, computed once the rows lie in their range: the
+    runs that count, sample and deal the rows do not compute them.
     """
     keys, order = list(keys), list(order)
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // block_rows))
     # Stored, because a second run may sample and cut elsewhere.
-    rows = materialize(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
-                       .withColumn("_rn_id", F.monotonically_increasing_id()))
+    rows = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    if stored is not None:
+        rows = rows.select(*keys, *[c.alias(name) for name, c in stored.items()])
+    rows = materialize(rows.withColumn("_rn_id", F.monotonically_increasing_id()))
     rows = rows.withColumn("_rn_part", F.shiftright("_rn_id", 33))
     per = rows.groupBy(*keys, "_rn_part").agg(F.min("_rn_id").alias("_rn_first"), F.count(F.lit(1)).alias("_rn_n"))
     before = Window.partitionBy(*keys).orderBy("_rn_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -133,25 +133,26 @@ def events_lines(spark: SparkSession, sf_dir: str, per_type: int | None = None)
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     eid = F.col("event_id")
     fid = F.col("event_type")
+    # Every expression stands once: repeated ones grow the generated method past what the JVM compiles.
     layout = None
     for name, pattern in EVENT_TS_LAYOUT.items():
         cell = F.date_format(F.col("ts"), pattern)
         layout = F.when(fid == name, cell) if layout is None else layout.when(fid == name, cell)
     mixed = F.when(eid % 5 < 3, F.date_format(F.col("ts"), MIXED_FLIGHT_LAYOUTS[0])).otherwise(
         F.date_format(F.col("ts"), MIXED_FLIGHT_LAYOUTS[1]))
-    ts_cell = layout.otherwise(mixed)
-    ts_cell = F.when(eid % BAD_TIMESTAMP_EVERY == 0, F.concat(F.lit("x"), ts_cell)).otherwise(ts_cell)
+    ts_cell = F.concat(F.when(eid % BAD_TIMESTAMP_EVERY == 0, F.lit("x")).otherwise(F.lit("")), layout.otherwise(mixed))
     value_cell = F.when(eid % BAD_NUMBER_EVERY == 0, F.lit("n/a")).otherwise(
         F.format_string("%.2f", F.col("value")))
     k_cell = F.get_json_object("props", "$.k")
     note_cell = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    full = F.concat_ws(",", ts_cell, value_cell, k_cell, note_cell)
-    short = F.concat_ws(",", ts_cell, value_cell)
-    body = F.when(eid % SHORT_ROW_EVERY == 0, short).otherwise(full)
-    body = F.when(eid % LONG_ROW_EVERY == 0, F.concat(body, F.lit(",extra"))).otherwise(body)
+    # concat_ws leaves null cells out: a short row ends after the value.
+    short = F.when(eid % SHORT_ROW_EVERY == 0, F.lit(True)).otherwise(F.lit(False))
+    body = F.concat(F.concat_ws(",", ts_cell, value_cell, F.when(~short, k_cell), F.when(~short, note_cell)),
+                    F.when(eid % LONG_ROW_EVERY == 0, F.lit(",extra")).otherwise(F.lit("")))
     line = F.when(eid % BLANK_LINE_EVERY == 0, F.lit("  ")).otherwise(body)
-    data = ev.select(_event_flight(per_type).alias("flight_id"), "ts", "event_id", line.alias("line"))
-    data = _numbered_by_time(data, out="_seq")
+    # The text is written once, where the sorted rows are stored.
+    data = range_row_number(ev.withColumn("flight_id", _event_flight(per_type)), ["flight_id"], ["ts", "event_id"],
+                            "_seq", stored={"line": line})
     data = data.select("flight_id", (F.col("_seq") + 2).alias("line_no"), "line")
     flights = ev.select(_event_flight(per_type).alias("flight_id")).distinct()
     head = flights.select("flight_id", F.explode(F.array(
