@@ -44,18 +44,19 @@ def read_recordings(spark: SparkSession, paths: str | Sequence[str],
     if isinstance(paths, str):
         paths = [paths]
     raw = (spark.read.option("lineSep", "\n").option("wholetext", "false").text(list(paths))
-           .select(decoded_path(F.col("_metadata.file_path")).alias("_path"),
+           .select(F.col("_metadata.file_path").alias("_file"),
                    F.col("_metadata.file_block_start").alias("_split"),
                    F.monotonically_increasing_id().alias("_id"),
                    F.col("value").alias("line")))
-    splits = raw.groupBy("_path", "_split").agg(F.min("_id").alias("_first"),
-                                                F.count(F.lit(1)).alias("_n"))
+    # Lines carry the path as it is given; one row per split is decoded.
+    splits = (raw.groupBy("_file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+              .withColumn("_path", decoded_path(F.col("_file"))))
     fid, part = F.col("_path"), F.lit(0)
     if flight_id_from == "parts":
         fid = F.regexp_extract("_path", r"^(.*)/part=\d+/[^/]*$", 1)
         part = F.regexp_extract("_path", r"/part=(\d+)/[^/]*$", 1).cast("long")
     before = Window.partitionBy(fid).orderBy(part, "_path", "_split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("_path", "_split", "_first",
+    splits = splits.select("_file", "_path", "_split", "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     if flight_id_from == "name":
         # One row per input split: a name that several files have names none of them.
@@ -63,7 +64,7 @@ def read_recordings(spark: SparkSession, paths: str | Sequence[str],
         paths = splits.groupBy(name.alias("_name")).agg(F.count_distinct("_path").alias("_paths"))
         splits = splits.withColumn("_name", name).join(paths, "_name")
         fid = F.when(F.col("_paths") == 1, F.col("_name")).otherwise(fid)
-    lines = join_small(raw, splits.withColumn("_flight", fid), ["_path", "_split"])
+    lines = join_small(raw, splits.withColumn("_flight", fid).drop("_path"), ["_file", "_split"])
     fid = F.col("_flight")
     return lines.select(fid.alias("flight_id"),
                         (F.col("_off") + F.col("_id") - F.col("_first")).cast("long").alias("line_no"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from aerolytics.operators.ingest import ingest
 from aerolytics.plans.ordering import range_row_number
 from aerolytics.session import materialize
-from aerolytics.sources.recordings import lines_from_text
+from aerolytics.sources.recordings import lines_from_text, read_recordings
 
 TEXT = "\n".join(["Description,A,Elapsed Time (s),B,NOTE", "EU,deg,s,-,-", "10:00:00,1, 9 , 2 ,x", "10:00:01,3", "",
                   "10:00:02,,1e400,inf, y ,extra,more", "bad,5,5,5,z", "10:00:61,4,8,7,"])
@@ -52,3 +52,11 @@ def test_stored_columns_of_numbered_rows(spark):
     for i in sorted(range(500), key=lambda i: (i % 3, i * 7 % 500, i)):
         want.setdefault(i % 3, []).append(f"{i * 7 % 500}-{i}")
     assert {(r["f"], r["n"]): r["text"] for r in got.collect()} == {(f, n): t for f, ts in want.items() for n, t in enumerate(ts)}
+
+
+def test_paths_are_decoded_once_per_split(spark, tmp_path):
+    (tmp_path / "a b+c%d.csv").write_text("1\n2")
+    lines = read_recordings(spark, str(tmp_path))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "urlcodec" not in plan and "url_decode" not in plan
+    assert sorted(tuple(r) for r in lines.collect()) == [("a b+c%d", 0, "1"), ("a b+c%d", 1, "2")]
