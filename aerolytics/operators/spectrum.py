@@ -6,7 +6,7 @@ every sample is shuffled once; a block is one array, transformed with one 2-D
 ``rfft`` and summed over its segments before Spark adds up the blocks.
 
 The FFT spectrum needs the whole series. Series up to FFT_SINGLE_TASK_MAX
-points run as one ``applyInPandas`` group each. Longer series use Bluestein's
+points run as one ``applyInArrow`` group each. Longer series use Bluestein's
 chirp transform (any length n becomes a circular convolution of power-of-two
 length M >= 2n-1) on a grid of M = M1 * M2 points. Tasks hold tiles of whole
 columns or rows, and tiles are exchanged as binary arrays: columns (forward
@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -35,7 +36,8 @@ WELCH_SEGMENT = 256
 WELCH_BLOCK = 64
 SPECTRUM_SCHEMA = "flight_id string, parameter string, bin long, frequency_hz double, amplitude double"
 # Longest series one task transforms whole (points); longer ones are distributed.
-FFT_SINGLE_TASK_MAX = 1 << 22
+# A task holds about 150 bytes a point, and an executor runs several at once.
+FFT_SINGLE_TASK_MAX = 1 << 20
 # Longest series the distributed transform takes (exact 64-bit chirp angles), and their limb.
 FFT_MAX = 1 << 41
 FFT_LIMB = 1 << 20
@@ -44,21 +46,21 @@ FFT_TASK_POINTS = 1 << 18
 _KEYS = ["flight_id", "parameter"]
 
 
-def _fft_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("row_no")
-    n = len(pdf)
-    x = pdf["value"].to_numpy(dtype=np.float64)
-    t = pdf["elapsed_s"].to_numpy(dtype=np.float64)
-    half = n // 2
-    if half == 0:
-        return pd.DataFrame({"flight_id": [], "parameter": [], "bin": [], "frequency_hz": [], "amplitude": []})
-    dt = (t[-1] - t[0]) / (n - 1)
-    with np.errstate(all="ignore"):
-        spec = np.fft.fft(x)
-        freqs = np.fft.fftfreq(n, dt)[:half]
-        amp = 2.0 / n * np.abs(spec[:half])
-    return pd.DataFrame({"flight_id": pdf["flight_id"].iloc[0], "parameter": pdf["parameter"].iloc[0],
-                         "bin": np.arange(half, dtype=np.int64), "frequency_hz": freqs, "amplitude": amp})
+def _fft_group(series: pa.Table) -> pa.Table:
+    """The spectrum of one series from plain arrays, half of the bins only."""
+    n, half = series.num_rows, series.num_rows // 2
+    order = np.argsort(series["row_no"].to_numpy(), kind="stable")
+    x = series["value"].to_numpy().astype(np.float64)[order]
+    t = series["elapsed_s"].to_numpy()[order[[0, -1]]].astype(np.float64)
+    amp, freqs = np.empty(0), np.empty(0)
+    if half:
+        with np.errstate(all="ignore"):
+            amp = 2.0 / n * np.abs(np.fft.rfft(x)[:half])
+            freqs = np.arange(half) * (1.0 / (n * ((t[1] - t[0]) / (n - 1))))
+    # NaN is null, as pandas results are.
+    return pa.table({**{c: pa.repeat(pa.scalar(series[c][0].as_py(), pa.string()), half) for c in _KEYS},
+                     "bin": pa.array(np.arange(half, dtype=np.int64)),
+                     "frequency_hz": pa.array(freqs, from_pandas=True), "amplitude": pa.array(amp, from_pandas=True)})
 
 
 def _select(samples: DataFrame, parameters: Sequence[str] | None) -> DataFrame:
@@ -81,7 +83,7 @@ def fft_spectrum(samples: DataFrame, parameters: Sequence[str] | None = None,
     small = info.filter(F.col("n") <= single_task_max).select(*_KEYS)
     large = info.filter(F.col("n") > single_task_max)
     one = (join_small(s, small, _KEYS, "left_semi", n_rows=n_info)
-           .groupBy(*_KEYS).applyInPandas(_fft_group, SPECTRUM_SCHEMA))
+           .groupBy(*_KEYS).applyInArrow(_fft_group, SPECTRUM_SCHEMA))
     dist = _bluestein_spectrum(join_small(s, large.select(*_KEYS), _KEYS, "left_semi", n_rows=n_info),
                                large, n_info)
     out = one.unionByName(dist)
@@ -134,10 +136,10 @@ def _chirped_columns(pdf: pd.DataFrame) -> pd.DataFrame:
     n, m1, m2, wide = (int(one[c]) for c in ("n", "m1", "m2", "wide"))
     tile, m = int(pdf["column_tile"].iloc[0]), m1 * m2
     a = np.zeros((m1, wide), np.complex128)
-    cells = [c for c in pdf["cells"] if c is not None and len(c)]
-    if cells:
-        j = np.concatenate([[x["row_no"] for x in c] for c in cells]).astype(np.int64)
-        v = np.concatenate([[x["value"] for x in c] for c in cells]).astype(np.float64)
+    rows = pdf[pdf["rows"].notna()]
+    if len(rows):
+        j = np.concatenate(list(rows["rows"])).astype(np.int64)
+        v = np.concatenate(list(rows["values"])).astype(np.float64)
         a[j // m2, j % m2 - tile * wide] = v * np.exp(-1j * _chirp_angle(j, n))
     j2 = tile * wide + np.arange(wide, dtype=np.int64)
     j = np.arange(m1, dtype=np.int64)[:, None] * m2 + j2[None, :]
@@ -214,7 +216,8 @@ def _bluestein_spectrum(s: DataFrame, large: DataFrame, n_info: int) -> DataFram
          .withColumn("column_tile", F.pmod(F.col("piece"), F.floor(F.col("m2") / F.col("wide")))))
     # The chirp filter fills every column tile, also those without a point.
     tiles = whole.withColumn("column_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m2") / F.col("wide")) - 1)))
-    parts = d.select(*columns, "column_tile", "cells").unionByName(tiles, allowMissingColumns=True)
+    # As two plain arrays: a list of structs would become a dict per point in Python.
+    parts = d.select(*columns, "column_tile", F.col("cells.row_no").alias("rows"), F.col("cells.value").alias("values")).unionByName(tiles, allowMissingColumns=True)
     first = parts.groupBy(*_KEYS, "column_tile").applyInPandas(_chirped_columns, _TILES)
     second = first.groupBy(*_KEYS, "row_tile").applyInPandas(_convolved_rows, _TILES)
     fin = second.groupBy(*_KEYS, "column_tile").applyInPandas(_amplitudes, SPECTRUM_SCHEMA)

@@ -1,8 +1,13 @@
 """Passes over many lines and long series: compiled code, one split per line, bounded memory."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from aerolytics.operators import spectrum
 from aerolytics.operators.ingest import ingest
 from aerolytics.plans.ordering import range_row_number
 from aerolytics.session import materialize
@@ -60,3 +65,20 @@ def test_paths_are_decoded_once_per_split(spark, tmp_path):
     plan = lines._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "urlcodec" not in plan and "url_decode" not in plan
     assert sorted(tuple(r) for r in lines.collect()) == [("a b+c%d", 0, "1"), ("a b+c%d", 1, "2")]
+
+
+def test_fft_of_one_series_in_few_bytes_a_point():
+    n = 1 << 17
+    x = np.random.default_rng(3).normal(size=n)
+    row = np.random.default_rng(4).permutation(n)
+    series = pa.table({"flight_id": pa.repeat(pa.scalar("f"), n), "parameter": pa.repeat(pa.scalar("p"), n),
+                       "row_no": row, "elapsed_s": row * 0.5, "value": x[row]})
+    tracemalloc.start()
+    try:
+        out = spectrum._fft_group(series)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 * n and spectrum.FFT_SINGLE_TASK_MAX <= 1 << 20
+    np.testing.assert_allclose(out["amplitude"].to_numpy(), 2 / n * np.abs(np.fft.fft(x)[:n // 2]), atol=1e-12)
+    np.testing.assert_array_equal(out["frequency_hz"].to_numpy(), np.fft.fftfreq(n, 0.5)[:n // 2])
